@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumidisc.llm import language, packing, pii, quality, tokens, toxicity
+from lumidisc.llm import language, ngram_model, packing, pii, quality, tokens, toxicity
 from lumidisc.llm.common import fold, table
 
 
@@ -16,6 +16,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counted = ngram_model.count(docs.where(fold(7) != 2))
+    return ngram_model.score(docs, counted, fold(7) == 2)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
@@ -46,6 +52,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_toxicity, op5_language_id, op6_pii, op7_best_fit_packing, op9_quality_rules, op10_token_counts)
+    f.__name__: f for f in (op1_lm_scoring, op3_toxicity, op5_language_id, op6_pii, op7_best_fit_packing, op9_quality_rules, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {}
