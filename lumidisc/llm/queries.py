@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumidisc.llm import language, ngram_model, packing, pii, quality, tokens, toxicity
+from lumidisc.llm import language, licenses, ngram_model, packing, pii, quality, tokens, toxicity
 from lumidisc.llm.common import fold, table
 
 
@@ -22,6 +22,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_model.score(docs, counted, fold(7) == 2)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
@@ -52,6 +56,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op3_toxicity, op5_language_id, op6_pii, op7_best_fit_packing, op9_quality_rules, op10_token_counts)
+    f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_toxicity, op5_language_id, op6_pii, op7_best_fit_packing, op9_quality_rules, op10_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.oracle_sql()}
