@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumidisc.llm import language, licenses, ngram_model, packing, pii, quality, tokens, toxicity
+from lumidisc.llm import decontamination, language, licenses, ngram_model, packing, pii, quality, tokens, toxicity
 from lumidisc.llm.common import fold, table
 
 
@@ -32,6 +32,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs, fold(3) != 1)
@@ -56,6 +60,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_toxicity, op5_language_id, op6_pii, op7_best_fit_packing, op9_quality_rules, op10_token_counts)
+    f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_toxicity, op4_decontamination, op5_language_id, op6_pii, op7_best_fit_packing, op9_quality_rules, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.oracle_sql()}
