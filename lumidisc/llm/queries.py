@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumidisc.llm import decontamination, language, licenses, ngram_model, packing, pii, quality, tokens, toxicity
+from lumidisc.llm import decontamination, jaccard_join, language, licenses, ngram_model, packing, pii, quality, tokens, toxicity
 from lumidisc.llm.common import fold, table
 
 
@@ -50,6 +50,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -60,6 +64,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_toxicity, op4_decontamination, op5_language_id, op6_pii, op7_best_fit_packing, op9_quality_rules, op10_token_counts)
+    f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_toxicity, op4_decontamination, op5_language_id, op6_pii, op7_best_fit_packing, op8_jaccard_join, op9_quality_rules, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.oracle_sql()}
