@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +24,8 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir. Only a local session that names none gets a temporary one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, set as checkpoint folder. Only a local session that names none gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
         if not folder:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -64,7 +68,3 @@ def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: st
 def first_by_hash(df: DataFrame, n: int, column: str = "doc_id") -> DataFrame:
     """A bounded sample: the n rows whose ids have the smallest hashes, the same in every run."""
     return df.orderBy(F.xxhash64(column), column).limit(n)
-
-
-def held_out_accuracy(truth: np.ndarray, guess: np.ndarray) -> float:
-    return float(np.mean(truth == guess)) if len(truth) else float("nan")

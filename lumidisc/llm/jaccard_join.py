@@ -26,8 +26,8 @@ that aren't linked yet are verified.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; a null
 text or one without words has an empty set and is linked with nothing; rows with a null id are
-left out; rows that share an id are one document, and its sets all count; repeated rows change
-nothing; further columns are ignored; an empty table gives no rows.
+left out; repeated rows change nothing; rows that share an id but not a text give one row, with the
+largest size and the smallest component; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -404,7 +404,6 @@ def join_components(docs: DataFrame, size: int = 5, part_entries: int = 800_000)
     again = labels.join(mixed, "component", "left_semi").select(F.col("id").alias("doc_id"), "label")
     rest = cut(by_rep(candidate_pairs(texts.join(again, "doc_id"), plan, forest=False)).distinct())
     links = first.unionByName(linked(rest, texts, size))
-    # ids that share a document, and classes that share an id, hang together by their smallest ids
     same = profile.where("n_shingles > 0").join(classes, ["n_shingles", "node", "node2"])
     found = components(links)
     named = same.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))

@@ -14,6 +14,7 @@ there is none); further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumidisc.llm import kernels as k
-from lumidisc.llm.common import first_by_hash, ids_and_texts, in_batches
+from lumidisc.llm.common import first_by_hash, ids_and_texts, in_batches, session
 
 SCHEMA = "doc_id bigint, score double, predicted int"
 
@@ -137,16 +138,36 @@ def scores(t: k.Texts, weights: np.ndarray, bias: float, bits: int) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1), predicted for every document."""
+def _scorer(docs: DataFrame, model: Model) -> Callable[[pa.RecordBatch], np.ndarray]:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     dense: list[np.ndarray] = []
 
-    def work(batch: pa.RecordBatch) -> dict:
-        m = sent.value
+    def of(batch: pa.RecordBatch) -> np.ndarray:
         if not dense:
-            dense.append(m.dense())
-        p = scores(k.texts(batch.column("text")), dense[0], m.bias, m.bits)
-        return {"doc_id": batch.column("doc_id"), "score": p, "predicted": (p >= m.threshold).astype(np.int32)}
+            dense.append(sent.value.dense())
+        return scores(k.texts(batch.column("text")), dense[0], sent.value.bias, sent.value.bits)
+
+    return of
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score (0 to 1), predicted for every document."""
+    of, threshold = _scorer(docs, model), model.threshold
+
+    def work(batch: pa.RecordBatch) -> dict:
+        p = of(batch)
+        return {"doc_id": batch.column("doc_id"), "score": p, "predicted": (p >= threshold).astype(np.int32)}
 
     return in_batches(ids_and_texts(docs), work, SCHEMA)
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents, with all columns, whose score is below the threshold."""
+    of, threshold = _scorer(docs, model), model.threshold
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(of(batch) < threshold))
+
+    session(docs)
+    return docs.mapInArrow(each, docs.schema)
