@@ -33,12 +33,12 @@ class Settings:
     """max_per_class: labelled rows of each class that the model learns from, at most."""
 
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 10.0
     l2: float = 0.1
-    epochs: int = 3
-    max_per_class: int = 5000
+    epochs: int = 4
+    max_per_class: int = 4000
     threshold: float = 0.3
 
 
