@@ -35,7 +35,7 @@ class Settings:
     epochs: int = 8
     rate: float = 0.5
     scale: float = 30.0
-    max_per_class: int = 3000
+    max_per_class: int = 2000
     threshold: float = 0.5
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -119,22 +119,31 @@ def fit(data: list, y: np.ndarray, base: float, s: Settings) -> Model:
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's sigmoid with his smoothed targets, by Newton steps."""
+    """Platt's sigmoid with his smoothed targets: damped Newton steps on standardised inputs, with a weak ridge against separable rows."""
     if len(set(y)) < 2:
         return 1.0, 0.0
+    center, spread = z.mean(), max(z.std(), 1e-9)
+    x = (z - center) / spread
     good, bad = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = _sigmoid(a * z + b)
-        d, r = p - target, np.maximum(p * (1 - p), 1e-9)
-        grad = np.array([(d * z).sum() + 1e-3 * a, d.sum()])
-        hess = np.array([[(r * z * z).sum() + 1e-3, (r * z).sum()], [(r * z).sum(), r.sum() + 1e-6]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+
+    def loss(v: np.ndarray) -> float:
+        t = v[0] * x + v[1]
+        return float((np.logaddexp(0, t) - target * t).sum() + 0.005 * v @ v)
+
+    v = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = _sigmoid(v[0] * x + v[1])
+        d, r = p - target, p * (1 - p)
+        grad = np.array([(d * x).sum(), d.sum()]) + 0.01 * v
+        hess = np.array([[(r * x * x).sum(), (r * x).sum()], [(r * x).sum(), r.sum()]]) + 0.01 * np.eye(2)
+        step, now = np.linalg.solve(hess, grad), loss(v)
+        while np.abs(step).max() > 1e-9 and loss(v - step) > now:
+            step = step / 2
+        v = v - step
+        if np.abs(step).max() < 1e-7:
             break
-    return float(a), float(b)
+    return float(v[0] / spread), float(v[1] - v[0] * center / spread)
 
 
 def _sigmoid(x):
