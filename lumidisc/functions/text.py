@@ -18,10 +18,10 @@ _UNITS = {"": 1, "b": 1, "kb": 10**3, "mb": 10**6, "gb": 10**9, "tb": 10**12} |
 
 
 def human_bytes(n: Column) -> Column:
-    """One decimal in GiB, MiB or KiB, or whole bytes."""
-    out = F.when(n >= 1 << 30, F.format_string("%.1f GiB", n / float(1 << 30)))
+    """One decimal (halves to even) in GiB, MiB or KiB, or whole bytes."""
+    out = F.when(n >= 1 << 30, F.format_string("%.1f GiB", F.bround(n / float(1 << 30), 1)))
     for unit, size in (("MiB", 1 << 20), ("KiB", 1 << 10)):
-        out = out.when(n >= size, F.format_string(f"%.1f {unit}", n / float(size)))
+        out = out.when(n >= size, F.format_string(f"%.1f {unit}", F.bround(n / float(size), 1)))
     return out.otherwise(F.format_string("%d B", n))
 
 
@@ -61,7 +61,7 @@ def looks_like_disc(fill: Column, aspect: Column, empty: Column, tolerance: floa
 def review_reason(error: Column, empty: Column, fill: Column, aspect: Column) -> Column:
     """Why an image needs a look: its error, nothing found, or the larger deviation (aspect on a tie)."""
     a, f = F.abs(aspect - 1.0), F.abs(fill - DISC_FILL) / DISC_FILL
-    return F.when(error.isNotNull(), error).when(empty, "no object found").when(a >= f, F.format_string("aspect ratio %.3f", aspect)).otherwise(F.format_string("fill ratio %.3f", fill))
+    return F.when(error.isNotNull(), error).when(empty, "no object found").when(a >= f, F.format_string("aspect ratio %.3f", F.bround(aspect, 3))).otherwise(F.format_string("fill ratio %.3f", F.bround(fill, 3)))
 
 
 def run_id(**settings) -> str:
