@@ -61,7 +61,7 @@ HSV = (
 hsv AS (SELECT *, CASE WHEN v = 0 THEN 0e0 ELSE d / v END AS s,
  (CASE WHEN d = 0 THEN 0e0 WHEN v = x THEN (y - z) / d - 6 * floor((y - z) / d / 6) WHEN v = y THEN (z - x) / d + 2 ELSE (x - y) / d + 4 END) / 6 AS h FROM m)"""
 )
-FR = "frames AS (SELECT event_id, 'epic_1b_' || strftime(ts, '%Y%m%d%H%M%S') AS image, CAST(ts AS DATE) AS day, date_trunc('second', ts) AS captured, ((event_id * 7919) % 1801) / 10e0 - 90e0 AS lat, ((event_id * 104729) % 3600) / 10e0 - 180e0 AS lon, CAST(floor(abs(value) * 1000) AS BIGINT) AS bytes FROM events)"
+FR = "frames AS (SELECT event_id, 'disc_' || strftime(ts, '%Y%m%d%H%M%S') AS image, CAST(ts AS DATE) AS day, date_trunc('second', ts) AS captured, ((event_id * 7919) % 1801) / 10e0 - 90e0 AS lat, ((event_id * 104729) % 3600) / 10e0 - 180e0 AS lon, CAST(floor(abs(value) * 1000) AS BIGINT) AS bytes FROM events)"
 COS = "(sin(radians({a})) * sin(radians({c})) + cos(radians({a})) * cos(radians({c})) * cos(radians({d} - {b})))"
 DAYS = "days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE CAST(o_orderdate AS DATE) NOT BETWEEN DATE '1998-03-01' AND DATE '1998-10-14')"
 
@@ -503,13 +503,13 @@ def pick_spread(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- mirror
-RAW = "raw AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'not_a_stamp' WHEN event_id % 13 = 0 THEN 'epic_1b_20241399000000' ELSE 'epic_1b_' || strftime(ts, '%Y%m%d%H%M%S') END AS image, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date FROM events)"
+RAW = "raw AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'not_a_stamp' WHEN event_id % 13 = 0 THEN 'disc_20241399000000' ELSE 'disc_' || strftime(ts, '%Y%m%d%H%M%S') END AS image, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date FROM events)"
 
 
 @query(f"WITH {RAW}, n AS (SELECT *, try_strptime(nullif(regexp_extract(image, '([0-9]{{14}})$', 1), ''), '%Y%m%d%H%M%S') AS named FROM raw) SELECT image, CAST(named AS DATE) AS archive_day, CASE WHEN date IS NOT NULL THEN coalesce(try_strptime(date, '%Y-%m-%d %H:%M:%S'), named) END AS captured FROM n WHERE named IS NOT NULL")
 def parse_frames(spark, sf_dir):
     e = F.col("event_id")
-    image = F.when(e % 11 == 0, "not_a_stamp").when(e % 13 == 0, "epic_1b_20241399000000").otherwise(F.concat(F.lit("epic_1b_"), F.date_format("ts", "yyyyMMddHHmmss")))
+    image = F.when(e % 11 == 0, "not_a_stamp").when(e % 13 == 0, "disc_20241399000000").otherwise(F.concat(F.lit("disc_"), F.date_format("ts", "yyyyMMddHHmmss")))
     date = F.when(e % 7 == 0, F.lit(None)).when(e % 5 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     raw = read(spark, sf_dir, "events").select(image.alias("image"), date.alias("date"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
     return mirror.parse_frames(raw).select("image", "archive_day", F.col("captured").cast("timestamp_ntz").alias("captured"))

@@ -31,7 +31,7 @@ def frames(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     return events.select(
         "event_id",
-        F.concat(F.lit("epic_1b_"), F.date_format("ts", "yyyyMMddHHmmss")).alias("image"),
+        F.concat(F.lit("disc_"), F.date_format("ts", "yyyyMMddHHmmss")).alias("image"),
         F.to_date("ts").alias("day"),
         F.date_trunc("second", "ts").alias("captured"),
         ((e * 7919) % 1801 / 10.0 - 90.0).alias("lat"),
