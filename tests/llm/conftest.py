@@ -1,13 +1,5 @@
-import random
-
 import pytest
-
-SYLLABLES = "ba be bi bo bu da de di do du ka ke ki ko ku la le li lo lu ma me mi mo mu".split()
-
-
-def prose(seed, n):
-    r = random.Random(seed)
-    return " ".join("".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(n))
+from tests_llm_fixtures import prose
 
 
 @pytest.fixture(scope="session")

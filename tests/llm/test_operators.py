@@ -14,20 +14,11 @@ from lumidisc.llm import decontamination, jaccard_join, language, licenses, ngra
 from lumidisc.llm import kernels as k
 from lumidisc.llm.common import fold
 from lumidisc.llm.components import components
+from tests_llm_fixtures import WORD, components_by_force, lowered
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 
-def lowered(text):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-
-
-def shingle_set(text):
-    w = WORD.findall(lowered(text))
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-
-
 def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
@@ -264,17 +255,6 @@ def test_word_encoder_equals_the_library():
 
 
 # 8
-def components_by_force(rows):
-    sets = {i: shingle_set(t) for i, t in rows}
-    label = {i: i for i in sets}
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                x, y = sorted((label[a], label[b]))
-                label = {i: x if c == y else c for i, c in label.items()}
-    return {i: (len(sets[i]), label[i]) for i in sets}
-
-
 def test_jaccard_components(documents, corpus, empty):
     got = {i: (r["n_shingles"], r["component_id"]) for i, r in by_id(jaccard_join.join_components(documents)).items()}
     assert got == components_by_force(corpus)
