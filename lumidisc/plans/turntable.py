@@ -121,14 +121,15 @@ def observed(discs: DataFrame, height: int, width: int, s: TurntableSettings) ->
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, score = s.blend_k, DENSE_SCORERS[s.scorer]
-        lat = np.repeat(90 - (np.arange(height) + 0.5) / height * 180, width)
-        lon = np.tile(-180 + (np.arange(width) + 0.5) / width * 360, height)
+        lat = (90 - (np.arange(height) + 0.5) / height * 180)[:, None]  # trigonometry by row and by column, products by cell
+        lon = (-180 + (np.arange(width) + 0.5) / width * 360)[None]
         best = np.full((k, height * width), np.inf)
         who = np.full((k, height * width), -1, np.int32)
         color = np.zeros((k, height * width, 3), np.float32)
         for batch in batches:
             for r in batch.to_pylist():
                 col, row, cos_c = dense_project(lat, lon, r["lat"], r["lon"], r["cx"], r["cy"], r["radius"])
+                col, row, cos_c = col.ravel(), row.ravel(), cos_c.ravel()
                 seen = np.flatnonzero((cos_c >= s.min_cos) & (col >= 0) & (col <= r["width"] - 1) & (row >= 0) & (row <= r["height"] - 1))
                 rgb = K.bilinear(I.array_of(r)[..., :3], row[seen], col[seen])
                 whole = np.clip(rgb, 0, 255).astype(np.uint8)
