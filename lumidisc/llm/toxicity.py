@@ -30,12 +30,12 @@ SCHEMA = "doc_id bigint, score double, predicted int"
 
 @dataclass(frozen=True)
 class Settings:
-    """max_per_class: labelled rows of each class that the model learns from, at most."""
+    """l1: times the square root of the number of rows, as chance gradients grow; max_per_class: labelled rows of each class that the model learns from, at most."""
 
     bits: int = 20
     alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 10.0
+    l1: float = 0.145
     l2: float = 0.1
     epochs: int = 4
     max_per_class: int = 4000
@@ -102,7 +102,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, base: float, s: Settings) -> Mod
     """FTRL-proximal (McMahan et al. 2013), one row at a time over its slots. The bias is a slot without L1; it is moved from the sample's share of label 1 to ``base``."""
     size = 1 << s.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    l1 = np.full(size + 1, s.l1)
+    l1 = np.full(size + 1, s.l1 * np.sqrt(len(rows)))
     l1[size] = 0
 
     def weight(at: np.ndarray) -> np.ndarray:
