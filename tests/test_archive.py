@@ -438,3 +438,15 @@ def test_entry_has_all_queries():
 
     names = __spark_entry__.queries()
     assert set(queries.QUERIES) <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_sql_functions(spark):
+    from lumidisc.functions import sql
+
+    assert "disc_pixels" in sql.register(spark)
+    df = queries.px(spark, SF).limit(500)
+    df.createOrReplaceTempView("px")
+    own = df.select(C.luminance(F.col("r"), F.col("g"), F.col("b")), F.round(C.cloud_score(F.col("r"), F.col("g"), F.col("b")), 9)).collect()
+    assert sorted(own) == sorted(spark.sql("SELECT disc_luminance(r, g, b), round(disc_cloud_score(r, g, b), 9) FROM px").collect())
+    assert spark.sql("SELECT round(disc_great_circle(0D, 0D, 0D, 90D), 9), disc_wrap_lon(180D), disc_looks_round(0.785D, 1D)").first()[:] == (90.0, -180.0, True)
+    assert spark.sql("SELECT * FROM disc_pixels(X'010203040506', 1, 2, 3)").collect()[1][:] == (0, 1, 4, 5, 6)
