@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: with texts of a few KB, some MB in a Python worker.
-BATCH_ROWS = 2000
+#: Rows of one Arrow batch: with texts of a few KB some MB in a Python worker, and bounded with texts of 100 KB too.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
