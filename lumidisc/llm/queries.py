@@ -66,4 +66,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_toxicity, op4_decontamination, op5_language_id, op6_pii, op7_best_fit_packing, op8_jaccard_join, op9_quality_rules, op10_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.oracle_sql()}
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+items AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(id, root) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.id, e.b FROM reached r JOIN both_ways e ON e.a = r.root)
+SELECT s.doc_id, s.n AS n_shingles, min(r.root) AS component_id FROM reached r JOIN sizes s ON s.doc_id = r.id GROUP BY ALL"""
+
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.oracle_sql(), "op8_jaccard_join": JACCARD_SQL}
