@@ -37,10 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, rows: int = 0) -> DataFrame:
+    """A reliable checkpoint in the shared folder. rows: of a table of narrow rows, how many a later task should read at least, so that small tables don't cost as many shuffle files as large ones."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out.coalesce(max(1, -(-out.count() // rows))) if rows else out
 
 
 def fold(modulus: int, column: str = "doc_id") -> Column:

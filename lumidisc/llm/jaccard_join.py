@@ -19,10 +19,10 @@ Entries go to parts by (scheme, hash); a group finds equal entries, and drops pa
 whose parity sketches prove too many differences. What is left are candidates.
 
 Exact copies are one class from the start. Candidates are linked to spanning forests
-and components; each member is verified exactly against one pivot of its component, which
-settles groups of near copies with one comparison a member. Only components
-with members that aren't linked to their pivot run a second round, in which all candidate pairs
-that aren't linked yet are verified.
+and components; each member is verified exactly against one pivot of its component (the one with most
+candidates), which settles groups of near copies with one comparison a member. Components
+that this doesn't span go on: each member without a link is verified against its nearest candidate
+by sketch, and then all candidate pairs whose ends aren't connected by links yet are verified.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; a null
 text or one without words has an empty set and is linked with nothing; rows with a null id are
@@ -47,6 +47,8 @@ from lumidisc.llm.components import components
 
 #: A share of differences of 1 / DIFFERENCE of both sizes is Jaccard 0.8: (1 - 0.8) / (1 + 0.8) = 1 / 9.
 DIFFERENCE = 9
+#: Narrow rows that a task should read at least.
+_ROWS = 200_000
 _KEY_BITS = np.uint64(39)
 _KEY_MASK = np.uint64((1 << 39) - 1)
 
@@ -79,7 +81,7 @@ def schemes(largest: int, ambiguous: float = 8.0) -> list[Scheme]:
         deletion = (h + 2) // 2
         by_exact = exact * (1 + ambiguous * _poisson_at_most(1, top / exact))
         by_deletion = top + deletion * (1 + ambiguous * _poisson_at_most(2, top / deletion))
-        sketch = max(128, 1 << math.ceil(math.log2(2.5 * h + 1)))
+        sketch = min(1024, max(128, -(-5 * h // 64) * 64))  # unrelated sets differ in about half of the bits
         out.append(Scheme(number, top, h, deletion if by_deletion < by_exact else exact, by_deletion < by_exact, sketch))
     return out
 
@@ -133,7 +135,7 @@ def signatures(own: np.ndarray, s: Scheme) -> tuple[np.ndarray, np.ndarray]:
 
 def sketch(own: np.ndarray, bits: int) -> bytes:
     """Parities: the Hamming distance of two sketches is at most the symmetric difference of the sets."""
-    return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 @dataclass(frozen=True)
@@ -241,23 +243,24 @@ class Sets:
     def __init__(self, nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketches: np.ndarray):
         self.nodes, self.sizes, self.labels, self.sketches = nodes, sizes.astype(np.int64), labels, sketches
 
-    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """False where sizes or sketches prove too many differences."""
+    def excess(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A bound from below on differences, less those allowed; above 0 where sizes or sketches prove too many."""
         most = (self.sizes[a] + self.sizes[b]) // DIFFERENCE
-        ok = np.abs(self.sizes[a] - self.sizes[b]) <= most
+        out = np.abs(self.sizes[a] - self.sizes[b]) - most
         for i in range(0, len(a), 50_000):
-            at = np.flatnonzero(ok[i : i + 50_000]) + i
-            ok[at] = np.bitwise_count(self.sketches[a[at]] ^ self.sketches[b[at]]).sum(1, dtype=np.int64) <= most[at]
-        return ok
+            at = np.flatnonzero(out[i : i + 50_000] <= 0) + i
+            out[at] = np.bitwise_count(self.sketches[a[at]] ^ self.sketches[b[at]]).sum(1, dtype=np.int64) - most[at]
+        return out
 
 
-def candidates(keys: np.ndarray, probes: np.ndarray, of: np.ndarray, sets: Sets, forest: bool) -> np.ndarray:
+def candidates(keys: np.ndarray, probes: np.ndarray, of: np.ndarray, sets: Sets, mode: str) -> np.ndarray:
     """Pairs of sets that share an entry which one of them looks up, and that may link.
 
-    In a run of equal entries all others are first held against one that looks up. Where
-    all may link, the run is connected; else those that failed meet the rest of the
-    run, in blocks. With ``forest``, only a spanning forest is returned (the same
-    components); without, all pairs of different labels.
+    mode ``forest``: a spanning forest of those pairs. In a run of equal entries all are first
+    held against a centre, the one that looks up and shares most entries in the part. Where all
+    may link, the run is connected; else those that failed meet the rest of the run, in blocks.
+    mode ``all``: all pairs of different labels. mode ``nearest``: for each set with a
+    negative label the one of those pairs that exceeds its bound least.
     """
     order = np.lexsort((of, keys))
     keys, probes, of = keys[order], probes[order], of[order]
@@ -270,40 +273,64 @@ def candidates(keys: np.ndarray, probes: np.ndarray, of: np.ndarray, sets: Sets,
     looked = np.add.reduceat(probes.astype(np.int64), start) if len(start) else length
     runs = np.flatnonzero((length > 1) & (looked > 0))
     out = []
-    if forest:
-        first_probe = np.flatnonzero(probes)
-        center = of[first_probe[np.searchsorted(first_probe, start[runs])]]
-        run = np.repeat(np.arange(len(runs)), length[runs])
-        member = of[np.arange(len(run)) - np.repeat(np.cumsum(length[runs]) - length[runs], length[runs]) + np.repeat(start[runs], length[runs])]
-        pair = np.stack((np.minimum(center[run], member), np.maximum(center[run], member)), 1)
+    rest, bad_members = runs, None
+    if mode == "forest" and len(runs):
+        entry = np.arange(length[runs].sum()) - np.repeat(np.cumsum(length[runs]) - length[runs], length[runs]) + np.repeat(start[runs], length[runs])
+        run, member = np.repeat(np.arange(len(runs)), length[runs]), of[entry]
+        shared = np.bincount(member, length[runs][run], len(sets.nodes))
+        rank = np.argsort(np.argsort(shared, kind="stable"), kind="stable") + 1
+        best = np.maximum.reduceat(np.where(probes[entry], rank[member], 0), np.cumsum(length[runs]) - length[runs])
+        center = np.argsort(shared, kind="stable")[best - 1]
         n = np.int64(len(sets.nodes))
-        code, back = np.unique(pair[:, 0] * n + pair[:, 1], return_inverse=True)
+        code, back = np.unique(center[run].astype(np.int64) * n + member, return_inverse=True)
         a, b = code // n, code % n
-        ok = (a == b) | sets.may_link(a, b)
+        ok = (a == b) | (sets.excess(a, b) <= 0)
         out.append(np.stack((a, b), 1)[ok & (a != b)])
+        failed = ~ok[back]
         bad = np.zeros(len(runs), bool)
-        bad[run[~ok[back]]] = True
+        bad[run[failed]] = True
+        bad_members = dict(zip(np.flatnonzero(bad).tolist(), np.split(member[failed], np.flatnonzero(np.diff(run[failed])) + 1), strict=True)) if bad.any() else {}
         rest = runs[bad]
-    else:
-        rest = runs
+        position = np.flatnonzero(bad)
     done: set[bytes] = set()
-    for r in rest:
+    for x, r in enumerate(rest):
         part = slice(start[r], start[r] + length[r])
         members, asks = of[part], probes[part]
         mark = members.tobytes() + asks.tobytes()
         if mark in done:
             continue
         done.add(mark)
-        askers = members[asks]
-        for i in range(0, len(askers), max(1, 200_000 // len(members))):
-            some = askers[i : i + max(1, 200_000 // len(members))]
-            a, b = np.repeat(some, len(members)), np.tile(members, len(some))
-            keep = (a != b) if forest else (sets.labels[a] != sets.labels[b])
+        some = bad_members[position[x]] if bad_members is not None else members
+        # pairs of which one looks up, and (for a forest) one failed
+        looks = np.zeros(len(sets.nodes), bool) if len(members) > 64 else None
+        if looks is not None:
+            looks[members[asks]] = True
+        ask = looks[some] if looks is not None else np.isin(some, members[asks])
+        step = max(1, 200_000 // len(members))
+        for i in range(0, len(some), step):
+            own = some[i : i + step]
+            a, b = np.repeat(own, len(members)), np.tile(members, len(own))
+            keep = np.repeat(ask[i : i + step], len(members)) | np.tile(asks, len(own))
+            keep &= (a < b) | np.isin(b, some, invert=True) & (a != b) if mode == "forest" else (a < b) & (sets.labels[a] != sets.labels[b])
             a, b = a[keep], b[keep]
-            ok = sets.may_link(a, b)
-            out.append(np.unique(np.stack((np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])), 1), axis=0))
-    found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return spanning(found, len(sets.nodes)) if forest else found
+            over = sets.excess(a, b)
+            out.append(np.stack((a, b, over), 1)[over <= 0] if mode == "nearest" else np.stack((a, b), 1)[over <= 0])
+    if not out:
+        return np.zeros((0, 2), np.int64)
+    found = np.concatenate(out)
+    if mode == "nearest":
+        return nearest(found, sets.labels)
+    found = np.unique(found, axis=0)
+    return spanning(found, len(sets.nodes)) if mode == "forest" else found
+
+
+def nearest(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """For each set with a negative label its pair of least excess. found: (a, b, excess)."""
+    both = np.concatenate((found, found[:, [1, 0, 2]]))
+    both = both[labels[both[:, 0]] < 0]
+    both = both[np.lexsort((both[:, 1], both[:, 2], both[:, 0]))]
+    first = np.concatenate((np.ones(min(1, len(both)), bool), both[1:, 0] != both[:-1, 0]))
+    return np.unique(np.sort(both[first][:, :2], axis=1), axis=0)
 
 
 def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -324,7 +351,7 @@ def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
     return pairs[keep]
 
 
-def candidate_pairs(docs: DataFrame, plan: Plan, forest: bool) -> DataFrame:
+def candidate_pairs(docs: DataFrame, plan: Plan, mode: str) -> DataFrame:
     """(a, b): nodes of classes that may link."""
     found = plan.schemes
 
@@ -338,7 +365,7 @@ def candidate_pairs(docs: DataFrame, plan: Plan, forest: bool) -> DataFrame:
         entries = entries.view(np.uint64).ravel()
         distinct, first, back = np.unique(nodes, return_index=True, return_inverse=True)
         sets = Sets(distinct, join("sizes", np.int32)[first], join("labels", np.int64)[first], join("sketches", np.uint8).reshape(len(nodes), -1)[first])
-        pairs = candidates(entries & _KEY_MASK, (entries >> _KEY_BITS).astype(bool), np.repeat(back, counts), sets, forest)
+        pairs = candidates(entries & _KEY_MASK, (entries >> _KEY_BITS).astype(bool), np.repeat(back, counts), sets, mode)
         return pa.table({"a": distinct[pairs[:, 0]], "b": distinct[pairs[:, 1]]})
 
     return indexed(docs, plan).groupBy("part").applyInArrow(gather, "a bigint, b bigint")
@@ -380,13 +407,14 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(each, "a bigint, b bigint").distinct()
 
 
-def join_components(docs: DataFrame, size: int = 5, part_entries: int = 800_000) -> DataFrame:
+def join_components(docs: DataFrame, size: int = 5, part_entries: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) for each document."""
     session(docs)
     docs = ids_and_texts(docs).where("doc_id IS NOT NULL")
     profile = cut(profiles(docs, size))
-    classes = profile.where("n_shingles > 0").groupBy("n_shingles", "node", "node2").agg(F.min("doc_id").alias("rep"))
-    reps = cut(classes.select("rep", "node"))
+    same = ["n_shingles", "node", "node2"]
+    classes = cut(profile.where("n_shingles > 0").groupBy(same).agg(F.min("doc_id").alias("rep")), _ROWS)
+    reps = classes.select("rep", "node")
     plan = make_plan(profile, size, part_entries)
 
     def by_rep(pairs: DataFrame) -> DataFrame:
@@ -395,17 +423,29 @@ def join_components(docs: DataFrame, size: int = 5, part_entries: int = 800_000)
             out = out.join(reps.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}")), c)
         return out.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
-    maybe = components(by_rep(candidate_pairs(docs.withColumn("label", F.lit(-1)), plan, forest=True)))
-    maybe = cut(maybe)
+    edges = cut(by_rep(candidate_pairs(docs.withColumn("label", F.lit(-1)), plan, "forest")).distinct(), _ROWS)
+    degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    maybe = components(edges)
+    pivots = maybe.join(degree, "id").groupBy("component").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"))
+    maybe = cut(maybe.join(pivots, "component").select("id", "pivot"), _ROWS)
     texts = cut(docs.join(maybe.select(F.col("id").alias("doc_id")), "doc_id"))
-    first = cut(linked(maybe.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")), texts, size))
-    labels = maybe.join(first.select(F.col("b").alias("id"), F.lit(True).alias("linked")), "id", "left").withColumn("label", F.when(F.col("linked"), F.col("component")).otherwise(F.col("id")))
-    mixed = labels.where("linked IS NULL AND id <> component").select("component").distinct()
-    again = labels.join(mixed, "component", "left_semi").select(F.col("id").alias("doc_id"), "label")
-    rest = cut(by_rep(candidate_pairs(texts.join(again, "doc_id"), plan, forest=False)).distinct())
-    links = first.unionByName(linked(rest, texts, size))
-    same = profile.where("n_shingles > 0").join(classes, ["n_shingles", "node", "node2"])
-    found = components(links)
-    named = same.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    whole = profile.select("doc_id", "n_shingles").join(named, "doc_id", "left")
-    return whole.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.coalesce(F.min("component_id"), F.first("doc_id")).alias("component_id"))
+    links = cut(linked(maybe.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, size), _ROWS)
+
+    def unsettled(links: DataFrame) -> DataFrame:
+        """(doc_id, label) in components that links don't span yet; a label is negative for an id without any link."""
+        found = components(links).withColumnRenamed("component", "label")
+        code = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << 63) - 1))
+        labels = maybe.join(found, "id", "left").withColumn("label", F.when(F.col("label").isNull(), -code("id") - 1).otherwise(code("label")))
+        mixed = labels.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("pivot")
+        return labels.join(mixed, "pivot", "left_semi").select(F.col("id").alias("doc_id"), "label")
+
+    for mode in ("nearest", "all"):
+        left = cut(unsettled(links), _ROWS)
+        if left.isEmpty():
+            break
+        rest = cut(by_rep(candidate_pairs(texts.join(left, "doc_id"), plan, mode)).distinct(), _ROWS)
+        links = cut(links.unionByName(linked(rest, texts, size)).distinct(), _ROWS)
+    found = components(links).select(F.col("id").alias("rep"), F.col("component").alias("component_id"))
+    settled = cut(classes.join(found, "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("component_id")), _ROWS)
+    named = profile.join(settled, same, "left")  # a large class is one key; its rows are split by AQE
+    return named.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("component_id", "doc_id")).alias("component_id"))

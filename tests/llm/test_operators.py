@@ -318,9 +318,11 @@ def test_components(spark):
         if label[a] != label[b]:
             x, y = sorted((label[a], label[b]))
             label = {i: x if c == y else c for i, c in label.items()}
-    got = {x["id"]: x["component"] for x in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    alone = {i for i in label if i not in got}
-    assert {i: got.get(i, i) for i in label} == label and all(a == b for a, b in edges if a in alone)
+    for one_task in (10**6, 10):
+        got = {x["id"]: x["component"] for x in components(spark.createDataFrame(edges, "a bigint, b bigint"), one_task).collect()}
+        alone = {i for i in label if i not in got}
+        assert {i: got.get(i, i) for i in label} == label and all(a == b for a, b in edges if a in alone)
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 # 9
