@@ -92,7 +92,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(buf, off - off[0])
 
 
-def blocks(t: Texts, limit: int = 4 << 20) -> Iterator[tuple[int, int, Texts]]:
+def blocks(t: Texts, limit: int = 2 << 20) -> Iterator[tuple[int, int, Texts]]:
     """Runs of whole texts of up to ``limit`` bytes; a longer text stands alone."""
     i = 0
     while i < len(t):
