@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from lumidisc.session import ship
+
 _MOST = "greatest(r, g, b)"
 _COS = "(sin(radians(lat0)) * sin(radians(lat1)) + cos(radians(lat0)) * cos(radians(lat1)) * cos(radians(lon1 - lon0)))"
 
@@ -28,6 +30,7 @@ class Pixels:
 
 def register(spark: SparkSession) -> list[str]:
     """Registers all for the session; returns their names."""
+    ship(spark)
     for head, body in FUNCTIONS.items():
         name, returns = head.rsplit(" RETURNS ", 1)
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} RETURNS {returns} RETURN {body}")

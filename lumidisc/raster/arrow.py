@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lumidisc.session import ship
+
 
 def per_image(images: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, side: int) -> DataFrame:
     """images: image_id, levels. work: from a (side, side) uint8 image to columns of equal length; image_id is put in front."""
@@ -21,6 +23,7 @@ def per_image(images: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarr
                 parts.append(pa.RecordBatch.from_pydict({"image_id": pa.array([key] * n, pa.int64()), **out}))
             yield from parts and pa.Table.from_batches(parts).combine_chunks().to_batches()
 
+    ship(images.sparkSession)
     return images.select("image_id", "levels").mapInArrow(each, f"image_id bigint, {schema}")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,3 +19,19 @@ SETTINGS = {
 
 def build(master: str = "local[*]", app: str = "lumidisc", **more: str) -> SparkSession:
     return SparkSession.builder.master(master).appName(app).config(map=SETTINGS | more).getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the workers, once for each context, so that they needn't have it on their path. Spark serves the archive from the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_lumidisc_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="lumidisc-")) / "lumidisc.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, path.relative_to(root.parent))
+        context.addPyFile(str(archive))
+    context._lumidisc_shipped = True
+    return spark

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from lumidisc.raster.kernels import orient
+from lumidisc.session import ship
 
 # Suffixes of image files.
 SUFFIXES = ("bmp", "gif", "jpeg", "jpg", "png", "tif", "tiff", "webp")
@@ -91,7 +92,8 @@ def read_images(spark: SparkSession, paths: str | list[str], recursive: bool = F
 
 
 def small_batches(spark: SparkSession) -> None:
-    """A full-size image is some 12 MB: a few in a batch."""
+    """A full-size image is some 12 MB: a few in a batch. The workers get this package too."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
 
 
