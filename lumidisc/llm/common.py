@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumidisc.session import ship
+
 #: Rows of one Arrow batch: with texts of a few KB some MB in a Python worker, and bounded with texts of 100 KB too.
 BATCH_ROWS = 500
 
@@ -18,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The frame's session, with bounded Arrow batches."""
-    spark = df.sparkSession
+    """The frame's session, with bounded Arrow batches, whose workers have this package."""
+    spark = ship(df.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
