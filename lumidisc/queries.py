@@ -20,11 +20,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, days: tuple[str, ...] = ()):
+    """days: columns with days or times, which both sides give as text."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)
+            return out.withColumns({c: F.col(c).cast("string") for c in days}) if days else out
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in days)}) FROM ({sql})" if days else sql
         return f
 
     return add
@@ -481,23 +488,23 @@ def grid_bilinear(spark, sf_dir):
 WANTED = "want AS (SELECT CAST(DATE '1994-12-01' + CAST(i * 60 AS INT) AS DATE) AS requested FROM range(45) t(i))"
 
 
-@query(f"WITH {DAYS}, {WANTED} SELECT requested, d AS resolved, CAST(abs(d - requested) AS INT) AS snap_days FROM want, days QUALIFY row_number() OVER (PARTITION BY requested ORDER BY abs(d - requested), d) = 1")
+@query(f"WITH {DAYS}, {WANTED} SELECT requested, d AS resolved, CAST(abs(d - requested) AS INT) AS snap_days FROM want, days QUALIFY row_number() OVER (PARTITION BY requested ORDER BY abs(d - requested), d) = 1", days=("requested", "resolved"))
 def pick_explicit(spark, sf_dir):
     wanted = spark.range(45).select(F.date_add(F.lit("1994-12-01").cast("date"), (F.col("id") * 60).cast("int")).alias("requested"))
     return dates.pick_explicit(D.available(read(spark, sf_dir, "orders")), wanted)
 
 
-@query(f"WITH {DAYS} SELECT d FROM days ORDER BY d DESC LIMIT 14")
+@query(f"WITH {DAYS} SELECT d FROM days ORDER BY d DESC LIMIT 14", days=("d",))
 def pick_last(spark, sf_dir):
     return dates.pick_last(D.available(read(spark, sf_dir, "orders")), 14)
 
 
-@query(f"WITH {DAYS} SELECT d FROM days WHERE d BETWEEN DATE '1997-11-05' AND DATE '1998-12-24'")
+@query(f"WITH {DAYS} SELECT d FROM days WHERE d BETWEEN DATE '1997-11-05' AND DATE '1998-12-24'", days=("d",))
 def pick_range(spark, sf_dir):
     return dates.pick_range(D.available(read(spark, sf_dir, "orders")), "1997-11-05", "1998-12-24")
 
 
-@query()
+@query(days=("requested", "resolved"))
 def pick_spread(spark, sf_dir):
     return dates.pick_spread(D.available(read(spark, sf_dir, "orders")), "1998-01-01", "1999-06-30", 24)
 
@@ -506,7 +513,7 @@ def pick_spread(spark, sf_dir):
 RAW = "raw AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'not_a_stamp' WHEN event_id % 13 = 0 THEN 'disc_20241399000000' ELSE 'disc_' || strftime(ts, '%Y%m%d%H%M%S') END AS image, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date FROM events)"
 
 
-@query(f"WITH {RAW}, n AS (SELECT *, try_strptime(nullif(regexp_extract(image, '([0-9]{{14}})$', 1), ''), '%Y%m%d%H%M%S') AS named FROM raw) SELECT image, CAST(named AS DATE) AS archive_day, CASE WHEN date IS NOT NULL THEN coalesce(try_strptime(date, '%Y-%m-%d %H:%M:%S'), named) END AS captured FROM n WHERE named IS NOT NULL")
+@query(f"WITH {RAW}, n AS (SELECT *, try_strptime(nullif(regexp_extract(image, '([0-9]{{14}})$', 1), ''), '%Y%m%d%H%M%S') AS named FROM raw) SELECT image, CAST(named AS DATE) AS archive_day, CASE WHEN date IS NOT NULL THEN coalesce(try_strptime(date, '%Y-%m-%d %H:%M:%S'), named) END AS captured FROM n WHERE named IS NOT NULL", days=("archive_day", "captured"))
 def parse_frames(spark, sf_dir):
     e = F.col("event_id")
     image = F.when(e % 11 == 0, "not_a_stamp").when(e % 13 == 0, "disc_20241399000000").otherwise(F.concat(F.lit("disc_"), F.date_format("ts", "yyyyMMddHHmmss")))
@@ -550,20 +557,21 @@ def plan_bytes(spark, sf_dir):
 SPAN = f"st AS (SELECT day, abs({wrap_sql('lon - lag(lon) OVER (PARTITION BY day ORDER BY captured, event_id)')}) AS step FROM frames), span AS (SELECT day, round(coalesce(sum(step), 0), 6) AS span FROM st GROUP BY day)"
 
 
-@query(f"WITH {FR}, {SPAN} SELECT day, span FROM span")
+@query(f"WITH {FR}, {SPAN} SELECT day, span FROM span", days=("day",))
 def longitude_span(spark, sf_dir):
     return mirror.longitude_span(frames(spark, sf_dir))
 
 
 @query(
     f"WITH {INV}, {SPAN}, d AS (SELECT day, count(*) AS frames, count(*) FILTER (image NOT IN (SELECT image FROM inv)) AS missing, CAST(coalesce(sum(CASE WHEN image NOT IN (SELECT image FROM inv) THEN coalesce(probed, 2650000) END), 0) AS BIGINT) AS bytes FROM frames LEFT JOIN sizes USING (image) GROUP BY day) "
-    f"SELECT day, frames, missing, bytes, span, {human_sql('bytes')} AS size FROM d JOIN span USING (day)"
+    f"SELECT day, frames, missing, bytes, span, {human_sql('bytes')} AS size FROM d JOIN span USING (day)",
+    days=("day",),
 )
 def plan_report_by_day(spark, sf_dir):
     return mirror.report_by_day(*_inv(spark, sf_dir), "png").select("day", "frames", "missing", "bytes", "span", "size")
 
 
-@query(f"WITH {FR}, s AS (SELECT day, event_id, bytes, CAST(sum(bytes) OVER (ORDER BY day, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM frames) SELECT *, running <= 50000000 AS fits FROM s")
+@query(f"WITH {FR}, s AS (SELECT day, event_id, bytes, CAST(sum(bytes) OVER (ORDER BY day, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM frames) SELECT *, running <= 50000000 AS fits FROM s", days=("day",))
 def budget_running(spark, sf_dir):
     return mirror.running_budget(frames(spark, sf_dir).select("day", "event_id", "bytes"), 50_000_000)
 
@@ -595,7 +603,7 @@ def pair_by_stamp(spark, sf_dir):
     return mirror.pair_by_stamp(f.where("event_id % 2 = 0"), f.where("event_id % 3 = 0"))
 
 
-@query(f"WITH {FR}, n AS (SELECT day, event_id, row_number() OVER (PARTITION BY day ORDER BY captured, event_id) - 1 AS k FROM frames) SELECT day, event_id, CAST(k AS INT) AS k FROM n WHERE k % 20 = 0")
+@query(f"WITH {FR}, n AS (SELECT day, event_id, row_number() OVER (PARTITION BY day ORDER BY captured, event_id) - 1 AS k FROM frames) SELECT day, event_id, CAST(k AS INT) AS k FROM n WHERE k % 20 = 0", days=("day",))
 def every_nth(spark, sf_dir):
     return frames(spark, sf_dir).selectExpr("day", "event_id", "row_number() OVER (PARTITION BY day ORDER BY captured, event_id) - 1 AS k").where("k % 20 = 0")
 
