@@ -10,10 +10,11 @@ words, and those by adding one:
 
 Counting: a task reduces its texts to sorted (hash, count) lists, cut by hash into
 parts, and the lists of a part meet in one group. The filter is blocked by part: each
-group builds its own segment of at most ``max_filter_bytes`` / parts, and the driver
-only puts segments side by side, so the filter has a proven bound. Where a part's
-n-grams don't fit at ``bits_per_entry``, those below the least count that fits aren't
-stored, as in any pruned model, and a lookup that ends below that count is 0.
+group builds its own segment of ``bits_per_entry`` bits for every entry, so the filter
+grows with what was counted and no n-gram is left out. Up to ``max_filter_bytes`` of segments
+go to all workers side by side. A larger filter stays where it is: documents are dealt
+into buckets of about ``bucket_bytes`` by hash, each bucket sends its distinct n-grams, cut by
+part, to the segments, and the quantised counts come back to the bucket. Both ways give the same.
 
 The base score needs exact counts of single tokens. Tokens are 64-bit hashes. The
 ``heavy`` most frequent ones (an equal number from each part) go to all workers; what
@@ -28,7 +29,7 @@ told apart by their place, so repeated rows get equal results; further columns a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,13 +41,15 @@ from pyspark.sql import functions as F
 from lumidisc.llm import kernels as k
 from lumidisc.llm.common import cut, session
 
+#: The filter and the counts of pairs go by the upper 48 bits of hashes, which takes half the bytes on the way.
+UPPER = np.uint64(2**64 - 2**16)
 END = k.mix(np.array([0xE0D], np.uint64))[0]
 _PARTS = "part int, parts int, tokens bigint, distinct bigint, segment binary, least int, heavy binary, heavy_n binary, tail binary, tail_n binary"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """base: of the quantisation; probes: hash functions of the filter; kappa: weight of the prior."""
+    """base: of the quantisation; probes: hash functions of the filter; max_filter_bytes: of a filter that is sent to all workers; kappa: weight of the prior."""
 
     base: float = 1.5
     probes: int = 6
@@ -55,11 +58,12 @@ class Settings:
     heavy: int = 1 << 20
     kappa: float = 200.0
     flush: int = 3 << 19
+    bucket_bytes: int = 4 << 20
 
 
 @dataclass(frozen=True)
 class Model:
-    """bits: all segments; first, size: of each part's segment, in bits; least: each part's least stored quantised count."""
+    """bits: all segments, or none if they don't go to the workers; first, size: of each part's segment, in bits; least: each part's least stored quantised count."""
 
     bits: np.ndarray
     first: np.ndarray
@@ -90,7 +94,19 @@ def histories(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def pairs(history: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return k.mix(history * np.uint64(0xC2B2AE3D27D4EB4F) ^ k.mix(h))
+    return k.mix(history * np.uint64(0xC2B2AE3D27D4EB4F) ^ k.mix(h)) & UPPER
+
+
+def gaps(keys: np.ndarray) -> bytes:
+    """Sorted keys of 48 upper bits as gaps of 32 bits; larger ones as 64-bit numbers at the end."""
+    gap = np.diff(keys >> np.uint64(16), prepend=np.uint64(0))
+    return np.minimum(gap, 2**32 - 1).astype("<u4").tobytes() + gap[gap >= 2**32 - 1].astype("<u8").tobytes()
+
+
+def from_gaps(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, "<u4", n).astype(np.uint64)
+    out[out == 2**32 - 1] = np.frombuffer(data[4 * n :], "<u8")
+    return np.cumsum(out, dtype=np.uint64) << np.uint64(16)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +143,7 @@ def middle(q: np.ndarray, base: float) -> np.ndarray:
 
 
 def places(keys: np.ndarray, level: int, probes: int, size: np.ndarray | int) -> Iterator[np.ndarray]:
-    a = k.mix(keys ^ np.uint64(level * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+    a = k.mix((keys & UPPER) ^ np.uint64(level * 0x9E3779B97F4A7C15 & (2**64 - 1)))
     step, low = (a >> np.uint64(32)) | np.uint64(1), a & np.uint64(0xFFFFFFFF)
     for i in range(probes):
         yield ((low + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * np.asarray(size, np.uint64) >> np.uint64(32)
@@ -190,7 +206,7 @@ def _counted(docs: DataFrame, parts: int, flush: int) -> DataFrame:
                     "part": pa.array(rows, pa.int32()),
                     "kind": pa.array(np.full(len(rows), kind), pa.int32()),
                     "n": pa.array(np.diff(at)[rows], pa.int64()),
-                    "keys": pa.array([keys[at[p] : at[p + 1]].tobytes() for p in rows], pa.binary()),
+                    "keys": pa.array([gaps(keys[at[p] : at[p + 1]]) if kind else keys[at[p] : at[p + 1]].tobytes() for p in rows], pa.binary()),
                     "counts": pa.array([narrow(counts[at[p] : at[p + 1]]) for p in rows], pa.binary()),
                 }
                 yield pa.RecordBatch.from_pydict(columns)
@@ -214,17 +230,16 @@ def count(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """A row for each part: its sums, its segment, its heavy tokens and the others. Written to the checkpoint folder."""
     session(docs)
     s, parts = settings, min(8192, max(16, 2 * docs.rdd.getNumPartitions()))
-    most_bits = max(64, s.max_filter_bytes * 8 // parts // 64 * 64)
 
     def gather(t: pa.Table) -> pa.Table:
         rows = t.to_pydict()
         found = {}
         for kind in (0, 1):
             own = [i for i, x in enumerate(rows["kind"]) if x == kind]
-            keys = np.concatenate([np.frombuffer(rows["keys"][i], np.uint64) for i in own] or [np.zeros(0, np.uint64)])
+            keys = np.concatenate([from_gaps(rows["keys"][i], rows["n"][i]) if kind else np.frombuffer(rows["keys"][i], np.uint64) for i in own] or [np.zeros(0, np.uint64)])
             found[kind] = summed(keys, np.concatenate([widen(rows["counts"][i], rows["n"][i]) for i in own] or [np.zeros(0, np.int64)]))
         keys, n = found[0]
-        bits, least = segment(np.concatenate((keys, found[1][0])), np.concatenate((n, found[1][1])), most_bits, s)
+        bits, least = segment(np.concatenate((keys, found[1][0])), np.concatenate((n, found[1][1])), 1 << 62, s)
         heavy = np.zeros(len(n), bool)
         heavy[np.argsort(-n, kind="stable")[: max(1, s.heavy // parts)]] = True
         out = {
@@ -236,13 +251,18 @@ def count(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return cut(_counted(docs, parts, s.flush).groupBy("part").applyInArrow(gather, _PARTS))
 
 
-def model(counted: DataFrame, settings: Settings = Settings()) -> Model:
-    """What goes to the workers: bounded by ``max_filter_bytes`` and ``heavy``."""
-    rows = counted.drop("tail", "tail_n").collect()
+def is_sent(counted: DataFrame, settings: Settings) -> bool:
+    """Whether all segments together are small enough to go to the workers."""
+    return (counted.agg(F.sum(F.octet_length("segment"))).first()[0] or 0) <= settings.max_filter_bytes
+
+
+def model(counted: DataFrame, settings: Settings = Settings(), with_bits: bool = True) -> Model:
+    """What goes to the workers: the heavy tokens, and with_bits the whole filter."""
+    rows = counted.drop("tail", "tail_n", *(() if with_bits else ("segment",))).collect()
     parts = rows[0]["parts"] if rows else 1
     by = {r["part"]: r for r in rows}
     bits, first, size, least, at = [], np.zeros(parts, np.uint64), np.full(parts, 64, np.uint64), np.ones(parts, np.int64), 0
-    for p in range(parts):
+    for p in range(parts) if with_bits else ():
         own = np.frombuffer(by[p]["segment"], np.uint8) if p in by else np.zeros(8, np.uint8)
         first[p], size[p], least[p] = at, len(own) * 8, by[p]["least"] if p in by else 1
         at += len(own) * 8
@@ -250,7 +270,7 @@ def model(counted: DataFrame, settings: Settings = Settings()) -> Model:
     heavy = [np.frombuffer(by[p]["heavy"], np.uint64) for p in sorted(by)]
     heavy_n = [widen(by[p]["heavy_n"], len(by[p]["heavy"]) // 8) for p in sorted(by)]
     none = [np.zeros(0, np.uint64)]
-    return Model(np.concatenate(bits), first, size, least, np.concatenate(heavy or none), np.concatenate(heavy_n or none).astype(np.int64), sum(r["tokens"] for r in rows), sum(r["distinct"] for r in rows), settings)
+    return Model(np.concatenate(bits or [np.zeros(0, np.uint8)]), first, size, least, np.concatenate(heavy or none), np.concatenate(heavy_n or none).astype(np.int64), sum(r["tokens"] for r in rows), sum(r["distinct"] for r in rows), settings)
 
 
 def tail_counts(counted: DataFrame) -> DataFrame:
@@ -267,65 +287,118 @@ def tail_counts(counted: DataFrame) -> DataFrame:
     return counted.select("tail", "tail_n").mapInArrow(each, "key bigint, c bigint")
 
 
-def log_probabilities(m: Model, h: np.ndarray, off: np.ndarray, distinct: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """log10 P(token | the one before) of each token."""
+def log_probabilities(m: Model, h: np.ndarray, off: np.ndarray, distinct: np.ndarray, inverse: np.ndarray, held: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """log10 P(token | the one before) of each token; held: the quantised counts of keys."""
     s = m.settings
-    single = middle(lookup(m, distinct), s.base)
+    single = middle(held(distinct), s.base)
     c = single[inverse]
     before = np.empty_like(c)
     before[1:] = c[:-1]
-    end = middle(lookup(m, np.array([END], np.uint64)), s.base)[0]
+    end = middle(held(np.array([END], np.uint64)), s.base)[0]
     before[off[:-1]] = end
-    pair = middle(lookup(m, pairs(histories(h, off), h)), s.base)
+    pair = middle(held(pairs(histories(h, off), h)), s.base)
     pair = np.minimum(pair, np.minimum(c, before))
     p1 = (c + 1) / (m.tokens + m.distinct + 1)
     return np.log10((pair + s.kappa * p1) / (before + s.kappa))
 
 
+_TYPES = {"key": pa.int64(), "tf": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
+_SCORED = "row bigint, key bigint, tf bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
+
+
+def _rows(ids: np.ndarray, **given) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"row": ids, **{c: (given[c] if isinstance(given[c], pa.Array) else pa.array(given[c], kind)) if c in given else pa.nulls(len(ids), kind) for c, kind in _TYPES.items()}})
+
+
+def _scored(m: Model, t: k.Texts, ids: np.ndarray, doc_id: pa.Array, held_out: pa.Array, held: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each text, and one for each of its tokens that isn't heavy."""
+    h, off = tokens(t)
+    distinct, inverse = np.unique(h, return_inverse=True)
+    found = np.minimum(np.searchsorted(m.heavy, distinct), max(0, len(m.heavy) - 1))
+    known = m.heavy[found] == distinct if len(m.heavy) else np.zeros(len(distinct), bool)
+    worth = np.where(known, np.log10(m.heavy_n[found] + 1.0), 0.0) if len(m.heavy) else np.zeros(len(distinct))
+    yield _rows(
+        ids,
+        key=k.mix(ids.astype(np.uint64)).view(np.int64),
+        doc_id=doc_id,
+        held_out=held_out,
+        n_tokens=np.diff(off),
+        n_known=k.sums(known[inverse].astype(np.int64), off).astype(np.int64),
+        base=k.sums(worth[inverse], off),
+        score=k.sums(log_probabilities(m, h, off, distinct, inverse, held), off),
+    )
+    rest = np.flatnonzero(~known[inverse])
+    if len(rest):  # summed up within each document
+        of = np.searchsorted(off, rest, "right") - 1
+        packed, tf = np.unique(of.astype(np.int64) * len(distinct) + inverse[rest], return_counts=True)
+        keys = distinct[packed % len(distinct)].view(np.int64)
+        for a in range(0, len(packed), 100_000):
+            yield _rows(ids[packed[a : a + 100_000] // len(distinct)], key=keys[a : a + 100_000], tf=tf[a : a + 100_000])
+
+
+def asked(t: k.Texts) -> np.ndarray:
+    """The distinct tokens and pairs of texts, sorted, so in the order of their parts; the order of the texts doesn't matter."""
+    h, off = tokens(t)
+    return np.unique(np.concatenate((h & UPPER, pairs(histories(h, off), h))))
+
+
+def _by_parts(docs: DataFrame, counted: DataFrame, sent, settings: Settings) -> DataFrame:
+    """Texts scored with segments that stay where they are."""
+    s, parts = settings, len(sent.value.size)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-total // s.bucket_bytes))
+    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
+
+    def ask(t: pa.Table) -> pa.Table:
+        keys = asked(k.texts(t.column("text")))
+        at = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
+        own = np.flatnonzero(np.diff(at))
+        bucket = np.full(len(own), t.column("bucket")[0].as_py())
+        return pa.table({"bucket": bucket, "part": pa.array(own, pa.int32()), "n": np.diff(at)[own], "keys": pa.array([gaps(keys[at[p] : at[p + 1]]) for p in own], pa.binary())})
+
+    def answer(asks: pa.Table, segments: pa.Table) -> pa.Table:
+        out = []
+        if segments.num_rows:
+            bits = np.frombuffer(segments.column("segment")[0].as_py(), np.uint8)
+            one = Model(bits, np.zeros(1, np.uint64), np.array([len(bits) * 8], np.uint64), np.ones(1, np.int64), bits[:0], bits[:0], 0, 0, s)
+        for n, keys in zip(asks.column("n").to_pylist(), asks.column("keys"), strict=True):
+            keys = from_gaps(keys.as_py(), n)
+            out.append((lookup(one, keys) if segments.num_rows else np.zeros(len(keys))).astype(np.uint8).tobytes())
+        return pa.table({"bucket": asks.column("bucket"), "part": asks.column("part"), "held": pa.array(out, pa.binary())})
+
+    def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()  # the same numbers in every run
+        texts = k.texts(t.column("text"))
+        keys = asked(texts)
+        held = np.frombuffer(b"".join(answers.sort_by("part").column("held").to_pylist()), np.uint8).astype(np.int64)
+        ids = (t.column("bucket")[0].as_py() << 32) + np.arange(t.num_rows)
+        doc_id, held_out = (t.column(c).combine_chunks() for c in ("doc_id", "held_out"))
+        return pa.Table.from_batches(list(_scored(sent.value, texts, ids, doc_id, held_out, lambda x: held[np.searchsorted(keys, x & UPPER)])))
+
+    # all columns, so that the texts are dealt once for both uses
+    asks = dealt.groupBy("bucket").applyInArrow(ask, "bucket bigint, part int, n bigint, keys binary")
+    answers = asks.groupBy("part").cogroup(counted.select("part", "segment").groupBy("part")).applyInArrow(answer, "bucket bigint, part int, held binary")
+    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(finish, _SCORED)
+
+
 def score(docs: DataFrame, counted: DataFrame, held_out: Column, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every document."""
-    m = model(counted, settings)
+    whole = is_sent(counted, settings)
+    m = model(counted, settings, whole)
     sent = docs.sparkSession.sparkContext.broadcast(m)
     total, norm = m.tokens, math.log10(m.tokens + m.distinct + 1)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        value = np.log10(m.heavy_n + 1.0)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             for i, j, t in k.blocks(k.texts(batch.column("text")), 2 << 20):
-                h, off = tokens(t)
-                distinct, inverse = np.unique(h, return_inverse=True)
-                found = np.minimum(np.searchsorted(m.heavy, distinct), max(0, len(m.heavy) - 1))
-                known = m.heavy[found] == distinct if len(m.heavy) else np.zeros(len(distinct), bool)
-                worth = np.where(known, value[found], 0.0) if len(m.heavy) else np.zeros(len(distinct))
-                ids = row + np.arange(j - i)
+                yield from _scored(m, t, row + np.arange(j - i), batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), lambda x: lookup(m, x))
                 row += j - i
-                yield rows(
-                    ids,
-                    key=k.mix(ids.astype(np.uint64)).view(np.int64),
-                    doc_id=batch.column("doc_id").slice(i, j - i),
-                    held_out=batch.column("held_out").slice(i, j - i),
-                    n_tokens=np.diff(off),
-                    n_known=k.sums(known[inverse].astype(np.int64), off).astype(np.int64),
-                    base=k.sums(worth[inverse], off),
-                    score=k.sums(log_probabilities(m, h, off, distinct, inverse), off),
-                )
-                rest = np.flatnonzero(~known[inverse])
-                if len(rest):  # summed up within each document
-                    of = np.searchsorted(off, rest, "right") - 1
-                    packed, tf = np.unique(of.astype(np.int64) * len(distinct) + inverse[rest], return_counts=True)
-                    keys = distinct[packed % len(distinct)].view(np.int64)
-                    for a in range(0, len(packed), 100_000):
-                        yield rows(ids[packed[a : a + 100_000] // len(distinct)], key=keys[a : a + 100_000], tf=tf[a : a + 100_000])
-
-    types = {"key": pa.int64(), "tf": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-
-    def rows(ids: np.ndarray, **given) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"row": ids, **{c: (given[c] if isinstance(given[c], pa.Array) else pa.array(given[c], kind)) if c in given else pa.nulls(len(ids), kind) for c, kind in types.items()}})
 
     session(docs)
-    parts = docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(each, "row bigint, key bigint, tf bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
+    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
+    parts = docs.mapInArrow(each, _SCORED) if whole else _by_parts(docs, counted, sent, settings)
     c = F.when(F.col("tf").isNotNull(), F.col("c"))
     joined = parts.join(tail_counts(counted), "key", "left").select("row", "doc_id", "held_out", "n_tokens", "score", F.coalesce("n_known", F.when(c > 0, F.col("tf"))).alias("n_known"), F.coalesce("base", F.col("tf") * F.log10(c + 1)).alias("base"))
     found = joined.groupBy("row").agg(*(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "score")), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"))

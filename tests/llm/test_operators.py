@@ -72,6 +72,20 @@ def test_lm_filter_returns_quantised_counts():
     assert len(small) <= 512 and least > 1
 
 
+def test_lm_filter_beyond_a_broadcast_stays_whole(documents):
+    small = ngram_model.Settings(max_filter_bytes=64, bucket_bytes=20_000)  # segments are joined, not pruned
+    results = []
+    for s in (ngram_model.Settings(), small):
+        counted = ngram_model.count(documents.where(fold(7) != 2), s)
+        results.append(by_id(ngram_model.score(documents, counted, fold(7) == 2, s)))
+        assert ngram_model.is_sent(counted, s) == (s is not small)
+        assert {r["least"] for r in counted.select("least").collect()} == {1}
+    assert results[0].keys() == results[1].keys()
+    for i, r in results[0].items():
+        for c in ("n_tokens", "n_known", "base_score", "score"):
+            assert results[1][i][c] == pytest.approx(r[c])
+
+
 def test_lm_nothing_to_learn_from(documents, empty):
     assert ngram_model.score(documents, ngram_model.count(empty), fold(7) == 2).count() == documents.count()
     assert ngram_model.score(empty, ngram_model.count(documents), fold(7) == 2).count() == 0
