@@ -9,6 +9,14 @@ bigram with any template, and each line that is left meets just the templates
 of its size, by an equi-join with the (template, size) table. That table depends only
 on the templates, so broadcasting it is bounded.
 
+Statements that wrap over lines or stand within longer lines, and the licence texts in
+``license_texts``, are found as windows over the words of the whole text: a window
+begins at a bigram of the template and has 0.75, 1 or 1.25 times its bigrams, and the whole text is one more.
+At a Dice of t a window shares at least t / (2 - t) of the template's bigrams, so texts without
+any word of a set that touches enough bigrams of every template are dropped first. Of windows
+that overlap, the one that shares most bigrams counts, ties for the largest Dice, and none counts that overlaps a line
+that counts already. Of templates of 400 bigrams and more not every hit begins a window: one in (bigrams / 64).
+
 Defined cases: a null or empty text has no lines; a line that fits several templates
 counts for the best one, ties for the first name; repeated rows each count; null ids
 stay null and are reported as one document; further columns are ignored; no match gives no row.
@@ -16,8 +24,10 @@ stay null and are reported as one document; further columns are ignored; no matc
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +53,15 @@ TEMPLATES = {
 }
 
 
+#: Words that most texts have; which they are changes the cost alone.
+COMMON = frozenset("a all an and any are as at be been by for from has have in is it no not of on or that the these this to under which will with work works you your 0 1 2 3 4".split())
+
+
+def full_texts() -> dict[str, str]:
+    """The licence texts beside this file, by name."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 def bigrams_of(text: str) -> list[str]:
     """The distinct bigrams of a template."""
     words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
@@ -59,10 +78,10 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, n_lines, dice: a row for each document and licence that it states; dice of the best line."""
+def _best_lines(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """doc_id, line_no, best: the lines that are statements."""
     spark = docs.sparkSession
-    known = [(name, bigrams_of(text)) for name, text in sorted((templates or TEMPLATES).items())]
+    known = [(name, bigrams_of(text)) for name, text in sorted(templates.items())]
     known = [(name, grams) for name, grams in known if grams]
     sizes = spark.createDataFrame([(name, grams, len(grams), n) for name, grams in known for n in size_bounds(len(grams), threshold)], "license string, template array<string>, n_template int, n_line int")
     every = sorted({g for _, grams in known for g in grams})
@@ -81,12 +100,86 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         .withColumn("dice", F.lit(2.0) * F.col("shared") / (F.col("n_line") + F.col("n_template")))
         .where(F.col("dice") >= threshold)
     )
-    best = matched.groupBy("doc_id", "line_no").agg(F.min_by(F.struct("license", "dice"), F.struct(-F.col("dice"), F.col("license"))).alias("best"))
-    return best.groupBy("doc_id", F.col("best.license").alias("license")).agg(F.count("*").alias("n_lines"), F.max("best.dice").alias("dice"))
+    return matched.groupBy("doc_id", "line_no").agg(F.min_by(F.struct("license", "dice"), F.struct(-F.col("dice"), F.col("license"))).alias("best"))
+
+
+def anchors(templates: list[list[str]], threshold: float) -> list[str]:
+    """Words of which every window that reaches the threshold with a template has at least one."""
+    out: set[str] = set()
+    for grams in sorted(templates, key=len):
+        may_miss = len(grams) - math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9)
+        left = [g.split() for g in grams if not out & set(g.split())]
+        words = sorted({w for g in left for w in g}, key=lambda w: (w in COMMON, -len(w), w))
+        while len(left) > may_miss:
+            word = words.pop(0)
+            if any(word in g for g in left):
+                out.add(word)
+                left = [g for g in left if word not in g]
+    return sorted(out)
+
+
+def _windows(docs: DataFrame, templates: list[tuple[str, str]], line_templates: dict[str, str], threshold: float) -> DataFrame:
+    """doc_id, license, dice: windows over whole texts that are statements, apart from lines that are. Only texts with enough bigrams of a template leave the scan."""
+    need = threshold / (2 - threshold)
+    known = [(name, bigrams_of(text), max(1, len(re.sub(r"[^a-z0-9]+", " ", text.lower()).split()) - 1)) for name, text in templates]
+    known = [{"license": name, "grams": grams, "n": len(grams), "need": math.ceil(need * len(grams) - 1e-9), "size": size, "step": max(1, size // 64) if size >= 400 else 1} for name, grams, size in known if grams]
+    kind = "array<struct<license:string,grams:array<string>,n:int,need:int,size:int,step:int>>"
+    constant = lambda x, t: F.from_json(F.lit(json.dumps(x)), t)
+    split = lambda text: F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+    rare = anchors([x["grams"] for x in known], threshold)
+    texts = docs.select("doc_id", "text", F.explode(F.array(split("text"))).alias("words"))
+    texts = texts.where(F.arrays_overlap("words", constant(rare, "array<string>")))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
+    texts = texts.select("doc_id", "text", F.explode(F.array(F.when(F.size("words") > 1, pairs).otherwise(F.col("words")))).alias("grams"))
+
+    def fitting(some: list[dict]) -> Column:
+        """The templates that a text has enough bigrams of."""
+        own = F.array_intersect("grams", constant(sorted({g for x in some for g in x["grams"]}), "array<string>"))
+        fits = lambda own: F.filter(constant(some, kind), lambda t: F.when(F.size(own) >= t["need"], F.size(F.array_intersect(own, t["grams"])) >= t["need"]).otherwise(False))
+        every = F.flatten(F.transform(F.array(own), fits))
+        return F.when(F.size("grams") >= min((x["need"] for x in some), default=1), every).otherwise(constant([], kind))
+
+    texts = texts.select("doc_id", "text", "grams", F.explode(F.concat(*(fitting([x for x in known if (x["size"] >= 400) == long]) for long in (False, True)))).alias("t"))
+    texts = texts.select("doc_id", "text", "grams", "t.*", F.explode(F.array(F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("at"), g.alias("gram"))), lambda x: F.array_contains(F.col("t.grams"), x["gram"])))).alias("hits"))
+    texts = texts.toDF("doc_id", "text", "grams", "license", "template", "n", "need", "size", "step", "hits")
+    count = lambda grams: F.size(F.array_distinct(grams))
+    longest = F.ceil(F.col("size") * 1.25).cast("int")
+    starts = F.filter(F.transform("hits", lambda x, i: F.struct(x["at"].alias("at"), i.alias("i"))), lambda x: x["i"] % F.col("step") == 0)
+    begun = texts.select("*", F.explode(F.concat(starts, F.array(F.struct(F.lit(0).alias("at"), F.lit(-1).alias("i"))))).alias("start"))
+    begun = begun.withColumn("near", F.when(F.col("start.i") < 0, F.col("hits")).otherwise(F.slice("hits", F.greatest(F.col("start.i"), F.lit(0)) + 1, longest)))
+    lengths = F.when(F.col("start.i") < 0, F.array(F.size("grams"))).otherwise(F.array(*(F.least(F.ceil(F.col("size") * x).cast("int"), F.size("grams") - F.col("start.at")) for x in (0.75, 1.0, 1.25))))
+    sized = begun.select("*", F.explode(F.array_distinct(lengths)).alias("length")).where(F.col("length") > 0)
+    sized = sized.select("*", F.explode(F.array(count(F.transform(F.filter("near", lambda x: x["at"] < F.col("start.at") + F.col("length")), lambda x: x["gram"])))).alias("shared"))
+    sized = sized.where(F.col("shared") >= F.col("need"))
+    dice = F.lit(2.0) * F.col("shared") / (F.col("n") + count(F.slice("grams", F.col("start.at") + 1, F.col("length"))))
+    found = sized.select("doc_id", "text", "license", F.col("start.at").alias("a"), (F.col("start.at") + F.col("length")).alias("z"), "shared", dice.alias("dice")).where(F.col("dice") >= threshold)
+    # bigrams a to z - 1 are words a to z
+    ranked = F.sort_array(F.collect_set(F.struct((-F.col("shared")).alias("less"), (-F.col("dice")).alias("d"), "license", "a", "z")))
+    found = found.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), ranked.alias("windows"))
+    # where the words of lines lie that count already
+    found = found.select("doc_id", "windows", F.explode(F.array(F.transform(F.split("text", "\n"), split))).alias("lines"))
+    before = lambda i: F.aggregate(F.slice("lines", F.lit(1), i), F.lit(0), lambda x, y: x + F.when(F.element_at(y, 1) == "", 0).otherwise(F.size(y)))
+    short = constant([g for g in map(bigrams_of, line_templates.values()) if g], "array<array<string>>")
+    fits = lambda own: F.exists(short, lambda t: F.lit(2.0) * F.size(F.array_intersect(own, t)) / (F.size(own) + F.size(t)) >= threshold)
+    counts = lambda line: F.exists(F.array(_bigrams(line)), fits)
+    taken = F.filter(F.transform("lines", lambda line, i: F.when((F.element_at(line, 1) != "") & counts(line), i)), lambda i: i.isNotNull())
+    spans = F.transform(taken, lambda i: F.struct(F.lit(1).alias("less"), F.lit(0.0).alias("d"), F.lit("").alias("license"), before(i).alias("a"), (before(i + 1) - 1).alias("z")))
+    clash = lambda x, y: (x["a"] <= y["z"]) & (y["a"] <= x["z"])
+    kind = "array<struct<less:int,d:double,license:string,a:int,z:int>>"
+    chosen = F.aggregate("windows", spans.cast(kind), lambda acc, w: F.when(F.exists(acc, lambda x: clash(x, w)), acc).otherwise(F.concat(acc, F.array(w).cast(kind))))
+    return found.select("doc_id", F.explode(chosen).alias("w")).where("w.less <= 0").select("doc_id", F.col("w.license").alias("license"), (-F.col("w.d")).alias("dice"))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, n_lines, dice: a row for each document and licence that it states; n_lines: its lines and windows, dice: of the best."""
+    lines = _best_lines(docs, templates or TEMPLATES, threshold)
+    texts = [*sorted((templates or TEMPLATES).items()), *(() if templates else full_texts().items())]
+    found = lines.select("doc_id", "best.license", "best.dice").unionByName(_windows(docs, texts, templates or TEMPLATES, threshold))
+    return found.groupBy("doc_id", "license").agg(F.count("*").alias("n_lines"), F.max("dice").alias("dice"))
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
-    """The same in DuckDB, every line against every template."""
+    """The part of it that lines are, in DuckDB, every line against every template."""
     values = ", ".join("('" + name + "', ['" + "', '".join(bigrams_of(text)) + "'])" for name, text in sorted(TEMPLATES.items()))
     return f"""
 WITH templates(license, template) AS (VALUES {values}),

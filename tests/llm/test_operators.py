@@ -98,6 +98,33 @@ def test_license_lines(spark):
     assert got == {(1, "Apache-2.0"): 1, (1, "proprietary"): 1, (2, "MIT"): 1, (None, "proprietary"): 1}
 
 
+def test_license_statements_in_longer_lines_wrapped_and_full_texts(spark):
+    full = licenses.full_texts()
+    rows = [
+        (1, "x y\nLicensed under the Apache License,\nVersion 2.0. More."),
+        (2, "This project is licensed under the MIT License. Read on"),
+        (3, "Copyright 2020 Acme Inc. All rights reserved. Twice: all rights\nreserved"),
+        (4, "Copyright (c) 2021 Acme\n\n" + full["MIT"] + "\nmore words"),
+        (5, " ".join(full["MIT-grant"].split())),
+        (6, full["GPL-3.0"]),
+        (7, full["Apache-2.0"].replace("Licensor", "Giver")),
+        (8, "no such thing in the software or the license of conditions"),
+        (9, "All rights reserved.\nAll rights reserved. And more."),
+        (None, full["BSD-2-Clause"] + "\n" + full["BSD-2-Clause"]),
+    ]
+    got = {(r["doc_id"], r["license"]): r["n_lines"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    # the text of 7 has a line that is the short statement, and the text before it
+    want = {(1, "Apache-2.0"): 1, (2, "MIT"): 1, (3, "proprietary"): 2, (4, "MIT"): 1, (5, "MIT-grant"): 1, (6, "GPL-3.0"): 1, (7, "Apache-2.0"): 2, (9, "proprietary"): 2, (None, "BSD-2-Clause"): 2}
+    assert {x: got.get(x) for x in want} == want and not {x for x in got if x[0] == 8}
+
+
+def test_license_anchors_lose_nothing():
+    for text in [*licenses.TEMPLATES.values(), *licenses.full_texts().values()]:
+        grams = licenses.bigrams_of(text)
+        words = set(licenses.anchors([grams], 0.8))
+        assert sum(not words & set(g.split()) for g in grams) < len(grams) * 0.8 / 1.2
+
+
 def test_license_size_bounds_lose_nothing():
     for n in range(1, 40):
         for m in range(1, 80):
