@@ -457,6 +457,33 @@ def grid_coverage(spark, sf_dir):
     return composite.coverage(composite.winners(_seen(spark, sf_dir)), 36, 72).withColumn("share", F.round("share", 9))
 
 
+def _all_seen(spark, sf_dir):
+    """Every frame with an image of the whole table: the k-th of n images in the order of ids, k the frame's id modulo n."""
+    images = read(spark, sf_dir, "embeddings").select("vec_id")
+    n = images.count()
+    order = D.numbered(images, "vec_id", "k")
+    levels = dense(spark, sf_dir).join(order.withColumnRenamed("vec_id", "image_id"), "image_id").select("k", "levels")
+    f = frames(spark, sf_dir).withColumn("k", F.pmod(F.col("event_id"), F.lit(max(1, n))))
+    f = f.join(levels, "k").select(F.col("event_id").alias("idx"), "lat", "lon", "levels")
+    return composite.observations(f, 36, 72, D.SIDE, 3.5)
+
+
+# The SQL of the three queries above is of 400 frames; these are of all, and tested by brute force: a join of all frames with all cells is too slow in SQL.
+@query()
+def composite_winner_all(spark, sf_dir):
+    return composite.winners(_all_seen(spark, sf_dir))
+
+
+@query()
+def composite_blend_all(spark, sf_dir):
+    return composite.blend(_all_seen(spark, sf_dir)).withColumns({c: F.round(c, 5) for c in "rgb"})
+
+
+@query()
+def grid_coverage_all(spark, sf_dir):
+    return composite.coverage(composite.winners(_all_seen(spark, sf_dir)), 36, 72).withColumn("share", F.round("share", 9))
+
+
 GRID8 = PX + ", grid AS (SELECT row AS cell_row, col AS cell_col, r, g, b FROM px WHERE image_id = 0 AND (row + col) % 5 <> 0)"
 
 

@@ -64,6 +64,19 @@ def test_queries_agree_with_sql(spark, duck, name):
         assert len(got)
 
 
+def test_composite_of_all_frames_equals_brute_force(spark, duck, tmp_path):
+    """By the SQL's own formulas without its filter of ids, over every frame and image of a table of over 400 frames."""
+    images, frames = duck.execute("SELECT count(*) FROM embeddings").fetchone()[0], duck.execute("SELECT count(*) FROM events").fetchone()[0]
+    assert frames > 400
+    whole = queries.SEEN.replace("JOIN lv ON lv.image_id = event_id % 500 WHERE event_id < 400", f"JOIN (SELECT l, row_number() OVER (ORDER BY image_id) - 1 AS k FROM lv) lv ON lv.k = event_id % {images}")
+    assert whole != queries.SEEN
+    for name in ("composite_winner", "composite_blend", "grid_coverage"):
+        want = duck.execute(queries.ORACLE_SQL[name].replace(queries.SEEN, whole)).df()
+        got = queries.QUERIES[f"{name}_all"](spark, SF).toPandas()
+        assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
+    assert queries.QUERIES["composite_winner_all"](spark, SF).where("idx >= 400").count()
+
+
 # kernels
 def test_segment_of_a_disc():
     s = K.segment(disc(200, 50, (100, 100)), sigma=0)
