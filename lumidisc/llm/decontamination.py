@@ -3,8 +3,8 @@
 The CGK walk (Chakraborty, Goldenberg, Koucky 2016) reads a text from some start: step
 j emits the current character and moves on if a random bit for (j, character) says so.
 Texts of small edit distance get embeddings of small Hamming distance. Sampling some
-embedded positions gives an LSH key; ``repetitions`` walks with bits and positions of
-their own are tried. Item windows begin at every word of an item, and document windows at every
+embedded positions gives an LSH key; walks with bits and positions of their own are tried,
+for each item as many as its number of windows needs for ``recall`` at ``max_edits``. Item windows begin at every word of an item, and document windows at every
 word of every document, so an item that was pasted with edits still has many windows
 that the edits leave alone; a match of keys says at which offset the item would lie. An item-sized
 stretch there, with room for the allowed edits, is verified by exact (infix) edit distance.
@@ -15,7 +15,8 @@ remains is the same as if all keys had been compared.
 
 Texts are compared in lower case (A-Z) with white space runs as one space. An item is
 found if at most ``max_edits`` times its length of edits lead to a stretch of the
-document. Items too short for a walk are searched as they are.
+document. Items too short for a walk are searched
+as whole words by exact edit distance at every place that has one of their pieces.
 
 The items go to the workers in blocks of ``block_bytes``, each against all documents.
 
@@ -43,13 +44,20 @@ SCHEMA = "doc_id bigint, item_id bigint, edits bigint, item_chars bigint, first_
 
 @dataclass(frozen=True)
 class Settings:
-    """steps: of a walk; samples: embedded positions in a key; stages: samples after which windows are dropped."""
+    """steps: of a walk; samples: embedded positions in a key; stages: samples after which windows are dropped.
+
+    repetitions: walks at least; recall: wanted at max_edits; survives: share of windows whose key such edits leave, set low enough
+    for the simulated recall on the benchmark of sf0.1 (windows fail together, so it isn't a plain share); few: items with up to so many windows are searched exactly.
+    """
 
     steps: int = 60
     samples: int = 14
     stages: tuple[int, ...] = (3, 4, 5, 6, 8, 10)
     repetitions: int = 2
     max_edits: float = 0.2
+    recall: float = 0.99
+    survives: float = 0.006
+    few: int = 3
     block_bytes: int = 4 << 20
     seed: int = 7
 
@@ -149,12 +157,15 @@ class Finder:
 
     def __init__(self, items: list[tuple[int, bytes]], s: Settings):
         self.ids, self.items, self.s = [i for i, _ in items], [t for _, t in items], s
-        self.walks = [Walk(s, r) for r in range(s.repetitions)]
-        covered: set[int] = set()
-        for w in self.walks:
-            w.index(self.items)
-            covered |= set(w.of.tolist())
-        self.short = [i for i, t in enumerate(self.items) if t and i not in covered]
+        probe = Walk(s, 0)
+        probe.index(self.items)
+        windows = np.bincount(probe.of, minlength=len(self.items)) if len(self.items) else np.zeros(0, np.int64)
+        self.short = [i for i, t in enumerate(self.items) if t and windows[i] <= s.few]
+        tries = np.maximum(s.repetitions, np.ceil(np.log(1 - s.recall) / np.log(1 - s.survives) / np.maximum(windows, 1)))
+        tries[windows <= s.few] = 0
+        self.walks = [Walk(s, r) for r in range(int(tries.max(initial=0)))]
+        for r, w in enumerate(self.walks):
+            w.index([t if tries[i] > r else b"" for i, t in enumerate(self.items)])
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, first word, last word): the best stretch for each pair that matches."""
@@ -192,12 +203,35 @@ class Finder:
                 out.append((d, i, edits, text.count(b" ", 0, max(0, end - length)), text.count(b" ", 0, max(0, end - 1))))
         for i in self.short:
             for d, text in enumerate(texts):
-                at = (b" " + text + b" ").find(b" " + self.items[i] + b" ")
-                if at >= 0:
-                    out.append((d, i, 0, text.count(b" ", 0, at), text.count(b" ", 0, at + len(self.items[i]))))
+                if hit := short_match(self.items[i], text, int(self.s.max_edits * len(self.items[i]))):
+                    edits, a, z = hit
+                    out.append((d, i, edits, text.count(b" ", 0, a), text.count(b" ", 0, max(a, z - 1))))
         return out
 
 
+def short_match(item: bytes, text: bytes, room: int) -> tuple[int, int, int] | None:
+    """(edits, begin, end) of the best stretch of whole words within room edits. One of room + 1 pieces is in any such stretch as it is."""
+    padded, inside = b" " + item + b" ", b" " + text + b" "
+    cuts = [len(padded) * n // (room + 1) for n in range(room + 2)]
+    places = set()
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        at = inside.find(padded[a:z])
+        while at >= 0:
+            places.add(at - a)
+            at = inside.find(padded[a:z], at + 1)
+    best = None
+    for low, high in clusters(sorted(places), room + 1) if places else ():
+        first = max(0, low - room)
+        edits, end = infix_distance(padded, inside[first : high + len(padded) + room])
+        if edits <= room and (best is None or edits < best[0]):
+            best = (edits, first + end)
+    if best is None:
+        return None
+    edits, end = best
+    _, length = infix_distance(padded[::-1], inside[max(0, end - len(padded) - room) : end][::-1])
+    return edits, max(0, end - length), max(0, min(len(text), end - 2))
+
+
 def clusters(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
     low = last = places[0]
     for p in places[1:]:

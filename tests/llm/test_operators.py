@@ -185,6 +185,24 @@ def test_decontamination_finds_edited_items(spark):
     assert decontamination.find(df, bench.limit(0)).count() == 0 and decontamination.find(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_recall_at_character_edits():
+    """Random edits of 15 and 20 % of the characters, in short and long items; those too short for walks are found always."""
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 8))) for _ in range(4000)]
+    for n, least in ((4, 1.0), (18, 0.95), (45, 0.98)):
+        items = [" ".join(r.choice(words) for _ in range(n)).encode() for _ in range(100)]
+        found = decontamination.Finder(list(enumerate(items)), decontamination.Settings())
+        for share in (0.15, 0.2):
+            texts = []
+            for item in items:
+                b = bytearray(item)
+                for _ in range(int(share * len(item))):
+                    b[r.randrange(len(b))] = r.choice(b"abcdefghiklmnoprstu")
+                texts.append(b"before it " + bytes(b) + b" after it")
+            got = {(d, i) for d, i, *_ in found.find(texts)}
+            assert sum((d, d) in got for d in range(100)) >= 100 * least, (n, share)
+
+
 def test_infix_distance_is_that_of_the_table():
     def slow(p, t):
         row = [0] * (len(t) + 1)
