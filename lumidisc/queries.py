@@ -332,6 +332,16 @@ def contact_sheet(spark, sf_dir):
     return few.join(F.broadcast(order), "image_id").select((F.col("row") + F.floor(F.col("k") / c) * 8).cast("int").alias("y"), (F.col("col") + F.col("k") % c * 8).cast("int").alias("x"), F.col("r").alias("v"))
 
 
+# The SQL of the query above is of ten images; this is of all, and tested by brute force.
+@query()
+def contact_sheet_all(spark, sf_dir):
+    from lumidisc.sinks.sheets import sheet_columns
+
+    order = D.numbered(dense(spark, sf_dir), "image_id", "k")
+    c = F.lit(sheet_columns(order.count()))
+    return px(spark, sf_dir).join(order, "image_id").select((F.col("row") + F.floor(F.col("k") / c) * 8).cast("int").alias("y"), (F.col("col") + F.col("k") % c * 8).cast("int").alias("x"), F.col("r").alias("v"))
+
+
 # ---------------------------------------------------------------- palettes
 SWATCHES = [(0, 0, 0), (60, 60, 60), (120, 120, 120), (200, 200, 200), (160, 90, 40), (40, 90, 160), (90, 140, 60)]
 
@@ -511,6 +521,17 @@ def grid_bilinear(spark, sf_dir):
     return composite.sample(_points(spark, sf_dir), _grid8(spark, sf_dir), 8, 8).withColumns({c: F.round(c, 5) for c in "rgb"})
 
 
+# The SQL of the two queries above samples one image; these sample the composite of all frames.
+@query()
+def grid_nearest_all(spark, sf_dir):
+    return composite.sample(_points(spark, sf_dir), composite.winners(_all_seen(spark, sf_dir)), 36, 72, nearest=True)
+
+
+@query()
+def grid_bilinear_all(spark, sf_dir):
+    return composite.sample(_points(spark, sf_dir), composite.winners(_all_seen(spark, sf_dir)), 36, 72).withColumns({c: F.round(c, 5) for c in "rgb"})
+
+
 # ---------------------------------------------------------------- dates
 WANTED = "want AS (SELECT CAST(DATE '1994-12-01' + CAST(i * 60 AS INT) AS DATE) AS requested FROM range(45) t(i))"
 

@@ -77,6 +77,26 @@ def test_composite_of_all_frames_equals_brute_force(spark, duck, tmp_path):
     assert queries.QUERIES["composite_winner_all"](spark, SF).where("idx >= 400").count()
 
 
+def test_sheet_and_sampled_grid_of_the_whole_table(spark):
+    images = sorted((r["image_id"], r["levels"]) for r in queries.dense(spark, SF).collect())
+    columns = int(np.ceil(np.sqrt(len(images))))
+    want = {(n // columns * 8 + i // 8, n % columns * 8 + i % 8): v for n, (_, levels) in enumerate(images) for i, v in enumerate(levels)}
+    got = [((r["y"], r["x"]), r["v"]) for r in queries.QUERIES["contact_sheet_all"](spark, SF).collect()]
+    assert len(images) > 10 and len(got) == len(want) and dict(got) == want
+    grid = {(r["cell_row"], r["cell_col"]): (r["r"], r["g"], r["b"]) for r in queries.QUERIES["composite_winner_all"](spark, SF).collect()}
+    near = {r["id"]: (r["r"], r["g"], r["b"]) for r in queries.QUERIES["grid_nearest_all"](spark, SF).collect()}
+    soft = {r["id"]: (r["r"], r["g"], r["b"]) for r in queries.QUERIES["grid_bilinear_all"](spark, SF).collect()}
+    points = queries.frames(spark, SF).select("event_id", "lat", "lon").collect()
+    assert len(points) == len(near) == len(soft)
+    for p in points:
+        y, x = min(max((90 - p["lat"]) / 180 * 36 - 0.5, 0), 35), ((p["lon"] + 180) / 360 * 72 - 0.5) % 72
+        if min(abs(y % 1 - 0.5), abs(x % 1 - 0.5)) > 1e-6:
+            assert near[p["event_id"]] == grid.get((round(y), round(x) % 72), (None,) * 3)
+        taps = [(min(int(y) + i, 35), (int(x) + j) % 72, (y % 1 if i else 1 - y % 1) * (x % 1 if j else 1 - x % 1)) for i in (0, 1) for j in (0, 1)]
+        for c in range(3):
+            assert soft[p["event_id"]][c] == pytest.approx(sum(w * grid.get((a, b), (0, 0, 0))[c] for a, b, w in taps), abs=1e-4)
+
+
 # kernels
 def test_segment_of_a_disc():
     s = K.segment(disc(200, 50, (100, 100)), sigma=0)
