@@ -18,11 +18,12 @@ A cost model of entries and of entries too small to select chooses per scheme.
 Entries go to parts by (scheme, hash); a group finds equal entries, and drops pairs
 whose parity sketches prove too many differences. What is left are candidates.
 
-Exact copies are one class from the start. Candidates are linked to spanning forests
-and components; each member is verified exactly against one pivot of its component (the one with most
-candidates), which settles groups of near copies with one comparison a member. Components
-that this doesn't span go on: each member without a link is verified against its nearest candidate
-by sketch, and then all candidate pairs whose ends aren't connected by links yet are verified.
+Exact copies are one class from the start. Each part keeps a spanning forest of its candidates, never
+their list, so memory is linear in its entries. Forests make components; each member is verified
+exactly against one pivot of its component (the one with most
+candidates), which settles groups of near copies with one comparison a member. Members of components
+that this doesn't span are indexed once more, now with all their shingles instead of sketches: a part
+verifies candidates whose ends aren't connected by links yet exactly, and keeps a forest of links.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; a null
 text or one without words has an empty set and is linked with nothing; rows with a null id are
@@ -162,8 +163,8 @@ class Plan:
         return low
 
 
-def make_plan(profile: DataFrame, size: int, part_entries: int) -> Plan:
-    """Parts of about ``part_entries`` entries, from the number of sets in each band."""
+def make_plan(profile: DataFrame, size: int, part_entries: int, part_bytes: int = 0) -> Plan:
+    """Parts of about ``part_entries`` entries, from the number of sets in each band; with part_bytes, of about so many bytes of whole sets too."""
     largest = profile.agg(F.max("n_shingles")).first()[0] or 1
     found = schemes(largest)
     tops = F.array(*(F.lit(s.top) for s in found))
@@ -172,21 +173,26 @@ def make_plan(profile: DataFrame, size: int, part_entries: int) -> Plan:
     first, at = [], 0
     for s in found:
         first.append(at)
-        entries = sum(entries_of(s, total / n) * n for n, total in (counts[b] for b in (s.number, s.number + 1) if b in counts))
-        at += max(1, math.ceil(entries / part_entries))
+        own = [counts[b] for b in (s.number, s.number + 1) if b in counts]
+        entries = sum(entries_of(s, total / n) * n for n, total in own)
+        parts = max(1, math.ceil(entries / part_entries))
+        # a set lies once in each part that has one of its entries
+        while part_bytes and sum(8 * total * (1 - (1 - 1 / parts) ** entries_of(s, total / n)) for n, total in own) > part_bytes:
+            parts *= 2
+        at += parts
     return Plan(found, [*first, at], size)
 
 
-_BLOBS = "part int, scheme int, nodes binary, sizes binary, labels binary, counts binary, sketches binary, entries binary"
+_BLOBS = "part int, scheme int, nodes binary, sizes binary, labels binary, counts binary, contents binary, entries binary"
 
 
-def indexed(docs: DataFrame, plan: Plan, flush: int = 1_500_000) -> DataFrame:
-    """Blobs of entries by part. docs: doc_id, text, label; exact copies within a task are indexed once."""
+def indexed(docs: DataFrame, plan: Plan, whole: bool, flush: int = 1_500_000, flush_bytes: int = 48 << 20) -> DataFrame:
+    """Blobs of entries by part. docs: doc_id, text, label; exact copies within a task are indexed once. whole: contents are all shingles, not sketches."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         held: dict[int, list] = {}
-        size = 0
+        size = weight = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for number, rows in held.items():
@@ -199,7 +205,7 @@ def indexed(docs: DataFrame, plan: Plan, flush: int = 1_500_000) -> DataFrame:
                 packed = (keys & _KEY_MASK) | probes.astype(np.uint64) << _KEY_BITS
                 order = np.argsort(part, kind="stable")
                 at = np.searchsorted(part[order], np.arange(parts + 1))
-                table = {name: [] for name in ("part", "scheme", "nodes", "sizes", "labels", "counts", "sketches", "entries")}
+                table = {name: [] for name in ("part", "scheme", "nodes", "sizes", "labels", "counts", "contents", "entries")}
                 for p in range(parts):
                     own = order[at[p] : at[p + 1]]
                     if len(own):
@@ -211,7 +217,7 @@ def indexed(docs: DataFrame, plan: Plan, flush: int = 1_500_000) -> DataFrame:
                         table["sizes"].append(np.array([x[1] for x in members], np.int32).tobytes())
                         table["labels"].append(np.array([x[2] for x in members], np.int64).tobytes())
                         table["counts"].append(counts.astype(np.int32).tobytes())
-                        table["sketches"].append(b"".join(x[5] for x in members))
+                        table["contents"].append(b"".join(x[5] for x in members))
                         table["entries"].append(packed[own].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c in ("part", "scheme") else pa.binary()) for c, v in table.items()})
             held.clear()
@@ -220,155 +226,212 @@ def indexed(docs: DataFrame, plan: Plan, flush: int = 1_500_000) -> DataFrame:
             labels = batch.column("label").to_pylist()
             for i, _, t in k.blocks(k.texts(batch.column("text"))):
                 for d, own in enumerate(shingles(t, plan.size)):
-                    if not len(own) or (node := node_of(own)) in seen:
+                    if not len(own) or (node := node_of(own)[0]) in seen:
                         continue
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 500_000:
                         seen.add(node)
                     for s in plan.of(len(own)):
                         keys, probes = signatures(own, s)
-                        held.setdefault(s.number, []).append((node[0], len(own), labels[i + d], keys, probes, sketch(own, s.sketch)))
+                        contents = own.tobytes() if whole else sketch(own, s.sketch)
+                        held.setdefault(s.number, []).append((node, len(own), labels[i + d], keys, probes, contents))
                         size += len(keys)
-                    if size > flush:
+                        weight += len(contents) * min(len(keys), plan.first[s.number + 1] - plan.first[s.number])
+                    if size > flush or weight > flush_bytes:
                         yield from out()
-                        size = 0
+                        size = weight = 0
         yield from out()
 
     session(docs)
-    return docs.select("text", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label")).mapInArrow(each, _BLOBS)
+    return docs.select("text", "label").mapInArrow(each, _BLOBS)
 
 
 class Sets:
     """The distinct sets of a part, for bounds on their differences."""
 
-    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketches: np.ndarray):
-        self.nodes, self.sizes, self.labels, self.sketches = nodes, sizes.astype(np.int64), labels, sketches
+    def __init__(self, sizes: np.ndarray, sketches: np.ndarray):
+        self.sizes, self.sketches = sizes.astype(np.int64), sketches
 
-    def excess(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """A bound from below on differences, less those allowed; above 0 where sizes or sketches prove too many."""
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def accept(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the pairs may link: neither sizes nor sketches prove too many differences."""
         most = (self.sizes[a] + self.sizes[b]) // DIFFERENCE
-        out = np.abs(self.sizes[a] - self.sizes[b]) - most
+        out = np.abs(self.sizes[a] - self.sizes[b]) <= most
         for i in range(0, len(a), 50_000):
-            at = np.flatnonzero(out[i : i + 50_000] <= 0) + i
-            out[at] = np.bitwise_count(self.sketches[a[at]] ^ self.sketches[b[at]]).sum(1, dtype=np.int64) - most[at]
+            at = np.flatnonzero(out[i : i + 50_000]) + i
+            out[at] = np.bitwise_count(self.sketches[a[at]] ^ self.sketches[b[at]]).sum(1, dtype=np.int64) <= most[at]
+        return out
+
+
+class WholeSets:
+    """The distinct sets of a part with all shingles, for exact verification."""
+
+    def __init__(self, sizes: np.ndarray, shingles_of: np.ndarray):
+        self.sizes = sizes.astype(np.int64)
+        self.off = np.concatenate(([0], np.cumsum(self.sizes)))
+        distinct, self.codes = np.unique(shingles_of, return_inverse=True)
+        self.mark = np.zeros(len(distinct), bool)
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def accept(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the pairs link. Pairs of one a are best given together."""
+        small, large = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
+        out = 100 * small >= 80 * large
+        at = np.flatnonzero(out)
+        at = at[np.argsort(a[at], kind="stable")]
+        for own in np.split(at, np.flatnonzero(np.diff(a[at])) + 1) if len(at) else ():
+            x = a[own[0]]
+            own_codes = self.codes[self.off[x] : self.off[x + 1]]
+            self.mark[own_codes] = True
+            for part in np.split(own, np.flatnonzero(np.diff(np.cumsum(self.sizes[b[own]]) // 1_000_000)) + 1):
+                n = self.sizes[b[part]]
+                first = np.cumsum(n) - n
+                codes = self.codes[np.arange(n.sum()) + np.repeat(self.off[b[part]] - first, n)]
+                shared = np.add.reduceat(self.mark[codes].astype(np.int64), first)
+                out[part] = 100 * shared >= 80 * (len(own_codes) + n - shared)
+            self.mark[own_codes] = False
+        return out
+
+
+class Forest:
+    """Union-find on arrays; a root is the least member of its tree."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        out = self.parent[x]
+        while not np.array_equal(up := self.parent[out], out):
+            out = up
+        self.parent[x] = out
         return out
 
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs joined two trees."""
+        took, left = [], np.arange(len(a))
+        while len(left):
+            x, y = self.roots(a[left]), self.roots(b[left])
+            left, x, y = left[x != y], x[x != y], y[x != y]
+            high, first = np.unique(np.maximum(x, y), return_index=True)
+            self.parent[high] = np.minimum(x, y)[first]
+            took.append(left[first])
+        return np.concatenate(took) if took else left
+
 
-def candidates(keys: np.ndarray, probes: np.ndarray, of: np.ndarray, sets: Sets, mode: str) -> np.ndarray:
-    """Pairs of sets that share an entry which one of them looks up, and that may link.
+class Tried:
+    """Pairs that weren't accepted, as far as they fit in ``most`` bytes; what is forgotten is tried again."""
 
-    mode ``forest``: a spanning forest of those pairs. In a run of equal entries all are first
-    held against a centre, the one that looks up and shares most entries in the part. Where all
-    may link, the run is connected; else those that failed meet the rest of the run, in blocks.
-    mode ``all``: all pairs of different labels. mode ``nearest``: for each set with a
-    negative label the one of those pairs that exceeds its bound least.
+    def __init__(self, n: int, most: int = 32 << 20):
+        self.n, self.most, self.rows = n, most, {}
+
+    def left(self, x: int, others: np.ndarray) -> np.ndarray:
+        row = self.rows.get(x)
+        return others if row is None else others[~row[others]]
+
+    def add(self, x: int, others: np.ndarray) -> None:
+        if x not in self.rows:
+            if len(self.rows) * self.n > self.most:
+                self.rows.clear()
+            self.rows[x] = np.zeros(self.n, bool)
+        self.rows[x][others] = True
+
+
+def spanning_links(keys: np.ndarray, probes: np.ndarray, of: np.ndarray, sets: Sets | WholeSets, labels: np.ndarray) -> np.ndarray:
+    """A spanning forest of the accepted pairs of sets that share an entry which one of them looks up.
+
+    Sets of equal labels count as connected. In each run of equal entries all are first held against a centre, the one
+    that looks up and shares most entries in the part. Where that connects a run it is done; else each
+    member outside the run's largest tree meets those of other trees. Pairs are never listed: memory is linear in
+    entries and sets.
     """
+    n = len(sets)
+    forest, out = Forest(n), []
+    _, first, back = np.unique(labels, return_index=True, return_inverse=True)
+    forest.join(np.arange(n), first[back])
+
+    def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ok = sets.accept(a, b)
+        a, b = a[ok], b[ok]
+        took = forest.join(a, b)
+        out.append(np.stack((a[took], b[took]), 1))
+        return ok
+
     order = np.lexsort((of, keys))
     keys, probes, of = keys[order], probes[order], of[order]
-    new = np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])))
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))))
     probes = np.logical_or.reduceat(probes, at) if len(at) else probes
     keys, of = keys[at], of[at]
     start = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
     length = np.diff(np.append(start, len(keys)))
     looked = np.add.reduceat(probes.astype(np.int64), start) if len(start) else length
     runs = np.flatnonzero((length > 1) & (looked > 0))
-    out = []
-    rest, bad_members = runs, None
-    if mode == "forest" and len(runs):
-        entry = np.arange(length[runs].sum()) - np.repeat(np.cumsum(length[runs]) - length[runs], length[runs]) + np.repeat(start[runs], length[runs])
-        run, member = np.repeat(np.arange(len(runs)), length[runs]), of[entry]
-        shared = np.bincount(member, length[runs][run], len(sets.nodes))
-        rank = np.argsort(np.argsort(shared, kind="stable"), kind="stable") + 1
-        best = np.maximum.reduceat(np.where(probes[entry], rank[member], 0), np.cumsum(length[runs]) - length[runs])
-        center = np.argsort(shared, kind="stable")[best - 1]
-        n = np.int64(len(sets.nodes))
-        code, back = np.unique(center[run].astype(np.int64) * n + member, return_inverse=True)
-        a, b = code // n, code % n
-        ok = (a == b) | (sets.excess(a, b) <= 0)
-        out.append(np.stack((a, b), 1)[ok & (a != b)])
-        failed = ~ok[back]
-        bad = np.zeros(len(runs), bool)
-        bad[run[failed]] = True
-        bad_members = dict(zip(np.flatnonzero(bad).tolist(), np.split(member[failed], np.flatnonzero(np.diff(run[failed])) + 1), strict=True)) if bad.any() else {}
-        rest = runs[bad]
-        position = np.flatnonzero(bad)
-    done: set[bytes] = set()
-    for x, r in enumerate(rest):
+    if not len(runs):
+        return np.zeros((0, 2), np.int64)
+    start, length = start[runs], length[runs]
+    begin = np.cumsum(length) - length
+    entry = np.arange(length.sum()) - np.repeat(begin, length) + np.repeat(start, length)
+    run, member = np.repeat(np.arange(len(runs)), length), of[entry]
+    shared = np.bincount(member, length[run], n)
+    by_shared = np.argsort(shared, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[by_shared] = np.arange(1, n + 1)
+    center = by_shared[np.maximum.reduceat(np.where(probes[entry], rank[member], 0), begin) - 1]
+    pairs = np.unique(center[run] * np.int64(n) + member)
+    a, b = pairs // n, pairs % n
+    apart = forest.roots(a) != forest.roots(b)
+    meet(a[apart], b[apart])
+
+    root = forest.roots(member)
+    mixed = np.flatnonzero(np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin))
+    tried, done = Tried(n), set()
+    for r in mixed:
         part = slice(start[r], start[r] + length[r])
         members, asks = of[part], probes[part]
-        mark = members.tobytes() + asks.tobytes()
-        if mark in done:
+        trees, sizes = np.unique(forest.roots(members), return_counts=True)
+        if len(trees) == 1 or (mark := hash((members.tobytes(), asks.tobytes()))) in done:
             continue
         done.add(mark)
-        some = bad_members[position[x]] if bad_members is not None else members
-        # pairs of which one looks up, and (for a forest) one failed
-        looks = np.zeros(len(sets.nodes), bool) if len(members) > 64 else None
-        if looks is not None:
-            looks[members[asks]] = True
-        ask = looks[some] if looks is not None else np.isin(some, members[asks])
-        step = max(1, 200_000 // len(members))
-        for i in range(0, len(some), step):
-            own = some[i : i + step]
-            a, b = np.repeat(own, len(members)), np.tile(members, len(own))
-            keep = np.repeat(ask[i : i + step], len(members)) | np.tile(asks, len(own))
-            keep &= (a < b) | np.isin(b, some, invert=True) & (a != b) if mode == "forest" else (a < b) & (sets.labels[a] != sets.labels[b])
-            a, b = a[keep], b[keep]
-            over = sets.excess(a, b)
-            out.append(np.stack((a, b, over), 1)[over <= 0] if mode == "nearest" else np.stack((a, b), 1)[over <= 0])
-    if not out:
-        return np.zeros((0, 2), np.int64)
-    found = np.concatenate(out)
-    if mode == "nearest":
-        return nearest(found, sets.labels)
-    found = np.unique(found, axis=0)
-    return spanning(found, len(sets.nodes)) if mode == "forest" else found
-
-
-def nearest(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """For each set with a negative label its pair of least excess. found: (a, b, excess)."""
-    both = np.concatenate((found, found[:, [1, 0, 2]]))
-    both = both[labels[both[:, 0]] < 0]
-    both = both[np.lexsort((both[:, 1], both[:, 2], both[:, 0]))]
-    first = np.concatenate((np.ones(min(1, len(both)), bool), both[1:, 0] != both[:-1, 0]))
-    return np.unique(np.sort(both[first][:, :2], axis=1), axis=0)
-
-
-def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    keep = []
-    for i, (a, b) in enumerate(pairs.tolist()):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            keep.append(i)
-    return pairs[keep]
-
-
-def candidate_pairs(docs: DataFrame, plan: Plan, mode: str) -> DataFrame:
-    """(a, b): nodes of classes that may link."""
+        main = trees[np.argmax(sizes)]
+        fresh = np.ones(len(members), bool)
+        for i in np.flatnonzero(forest.roots(members) != main):
+            x = members[i]
+            now = forest.roots(members)
+            fresh[i] = False
+            others = tried.left(x, members[fresh & (now != now[i]) & (asks | asks[i])])
+            if len(others):
+                ok = meet(np.full(len(others), x), others)
+                tried.add(x, others[~ok])
+    return np.concatenate(out)
+
+
+def forests(docs: DataFrame, plan: Plan, whole: bool) -> DataFrame:
+    """(a, b): nodes of classes that may link or, with whole, that do; a forest for each part. docs: doc_id, text and, with whole, label (what is connected already)."""
     found = plan.schemes
 
     def gather(t: pa.Table) -> pa.Table:
         rows = t.to_pydict()
         s = found[rows["scheme"][0]]
-        join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
-        nodes, counts = join("nodes", np.int64), join("counts", np.int32)
+        join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows.pop(name)])
+        nodes, counts, sizes, labels = join("nodes", np.int64), join("counts", np.int32), join("sizes", np.int32), join("labels", np.int64)
         entries = np.zeros((int(counts.sum()), 8), np.uint8)
         entries[:, :5] = join("entries", np.uint8).reshape(-1, 5)
         entries = entries.view(np.uint64).ravel()
         distinct, first, back = np.unique(nodes, return_index=True, return_inverse=True)
-        sets = Sets(distinct, join("sizes", np.int32)[first], join("labels", np.int64)[first], join("sketches", np.uint8).reshape(len(nodes), -1)[first])
-        pairs = candidates(entries & _KEY_MASK, (entries >> _KEY_BITS).astype(bool), np.repeat(back, counts), sets, mode)
+        if whole:
+            contents, off = join("contents", np.uint64), np.cumsum(sizes, dtype=np.int64) - sizes
+            n = sizes[first].astype(np.int64)
+            sets = WholeSets(n, contents[np.arange(n.sum()) + np.repeat(off[first] - (np.cumsum(n) - n), n)])
+        else:
+            sets = Sets(sizes[first], join("contents", np.uint8).reshape(len(nodes), s.sketch // 8)[first])
+        pairs = spanning_links(entries & _KEY_MASK, (entries >> _KEY_BITS).astype(bool), np.repeat(back, counts), sets, labels[first] if whole else np.arange(len(distinct)))
         return pa.table({"a": distinct[pairs[:, 0]], "b": distinct[pairs[:, 1]]})
 
-    return indexed(docs, plan).groupBy("part").applyInArrow(gather, "a bigint, b bigint")
+    if not whole:
+        docs = docs.withColumn("label", F.lit(0).cast("bigint"))
+    return indexed(docs, plan, whole).groupBy("part").applyInArrow(gather, "a bigint, b bigint")
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
@@ -407,7 +470,7 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(each, "a bigint, b bigint").distinct()
 
 
-def join_components(docs: DataFrame, size: int = 5, part_entries: int = 1_000_000) -> DataFrame:
+def join_components(docs: DataFrame, size: int = 5, part_entries: int = 1_000_000, part_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) for each document."""
     session(docs)
     docs = ids_and_texts(docs).where("doc_id IS NOT NULL")
@@ -415,7 +478,6 @@ def join_components(docs: DataFrame, size: int = 5, part_entries: int = 1_000_00
     same = ["n_shingles", "node", "node2"]
     classes = cut(profile.where("n_shingles > 0").groupBy(same).agg(F.min("doc_id").alias("rep")), _ROWS)
     reps = classes.select("rep", "node")
-    plan = make_plan(profile, size, part_entries)
 
     def by_rep(pairs: DataFrame) -> DataFrame:
         out = pairs
@@ -423,28 +485,21 @@ def join_components(docs: DataFrame, size: int = 5, part_entries: int = 1_000_00
             out = out.join(reps.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}")), c)
         return out.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
-    edges = cut(by_rep(candidate_pairs(docs.withColumn("label", F.lit(-1)), plan, "forest")).distinct(), _ROWS)
+    edges = cut(by_rep(forests(docs, make_plan(profile, size, part_entries), whole=False)).distinct(), _ROWS)
     degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     maybe = components(edges)
-    pivots = maybe.join(degree, "id").groupBy("component").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"))
+    # written before the join by component, so that AQE can split a component that holds many of the rows
+    pivots = cut(maybe.join(degree, "id").groupBy("component").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot")), _ROWS)
     maybe = cut(maybe.join(pivots, "component").select("id", "pivot"), _ROWS)
     texts = cut(docs.join(maybe.select(F.col("id").alias("doc_id")), "doc_id"))
     links = cut(linked(maybe.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, size), _ROWS)
 
-    def unsettled(links: DataFrame) -> DataFrame:
-        """(doc_id, label) in components that links don't span yet; a label is negative for an id without any link."""
-        found = components(links).withColumnRenamed("component", "label")
-        code = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << 63) - 1))
-        labels = maybe.join(found, "id", "left").withColumn("label", F.when(F.col("label").isNull(), -code("id") - 1).otherwise(code("label")))
-        mixed = labels.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("pivot")
-        return labels.join(mixed, "pivot", "left_semi").select(F.col("id").alias("doc_id"), "label")
-
-    for mode in ("nearest", "all"):
-        left = cut(unsettled(links), _ROWS)
-        if left.isEmpty():
-            break
-        rest = cut(by_rep(candidate_pairs(texts.join(left, "doc_id"), plan, mode)).distinct(), _ROWS)
-        links = cut(links.unionByName(linked(rest, texts, size)).distinct(), _ROWS)
+    labels = maybe.join(components(links).withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = cut(labels.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("pivot"), _ROWS)
+    left = cut(labels.join(mixed, "pivot", "left_semi").select(F.col("id").alias("doc_id"), "label"), _ROWS)
+    if not left.isEmpty():
+        again = make_plan(profile.join(left.select("doc_id"), "doc_id", "left_semi"), size, part_entries, part_bytes)
+        links = cut(links.unionByName(by_rep(forests(texts.join(left, "doc_id"), again, whole=True))).distinct(), _ROWS)
     found = components(links).select(F.col("id").alias("rep"), F.col("component").alias("component_id"))
     settled = cut(classes.join(found, "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("component_id")), _ROWS)
     named = profile.join(settled, same, "left")  # a large class is one key; its rows are split by AQE

@@ -367,6 +367,61 @@ def test_signatures_lose_no_link():
         assert hit
 
 
+def near_copies(n, edits, seed):
+    """Shingle sets of copies of one text of 200 words, each with words replaced."""
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 1 << 40, 204)
+    sets = []
+    for _ in range(n):
+        words = base.copy()
+        words[r.choice(204, edits, False)] = r.integers(0, 1 << 40, edits)
+        sets.append(np.sort(k.windows(k.mix(words.astype(np.uint64)), np.array([0, 204]), 5)[0]))
+    return sets
+
+
+def part_forest(sets, whole):
+    s = next(x for x in jaccard_join.schemes(400) if x.top >= len(sets[0]))
+    keys, probes = zip(*(jaccard_join.signatures(x, s) for x in sets), strict=True)
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in keys])
+    sizes = np.array([len(x) for x in sets])
+    contents = jaccard_join.WholeSets(sizes, np.concatenate(sets)) if whole else jaccard_join.Sets(sizes, np.stack([np.frombuffer(jaccard_join.sketch(x, s.sketch), np.uint8) for x in sets]))
+    return jaccard_join.spanning_links(np.concatenate(keys), np.concatenate(probes), of, contents, np.arange(len(sets)))
+
+
+def test_part_forests_span_all_links():
+    sets = [x for edits in (2, 3, 4) for x in near_copies(60, edits, edits)] + near_copies(60, 3, 2)
+    label = {i: i for i in range(len(sets))}
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = sorted((label[a], label[b]))
+                label = {i: x if c == y else c for i, c in label.items()}
+    from lumidisc.llm.components import roots
+
+    links = part_forest(sets, True)
+    got = dict(enumerate(range(len(sets)))) | dict(zip(*(x.tolist() for x in roots(links[:, 0], links[:, 1])), strict=True))
+    assert got == label and 1 < len(set(label.values())) < len(sets)
+    maybe = part_forest(sets, False)
+    joined = dict(zip(*(x.tolist() for x in roots(maybe[:, 0], maybe[:, 1])), strict=True))
+    assert all(joined[a] == joined[b] for a, b in links.tolist()) and len(maybe) < len(sets)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_part_forests_of_near_copies_take_linear_memory(whole):
+    import tracemalloc
+
+    for edits, sizes in ((3, (1000, 5000)), (6, (250, 1250))):  # most pairs link; none does, and all are tried
+        peaks = []
+        for n in sizes:
+            sets = near_copies(n, edits, n)
+            tracemalloc.start()
+            assert len(part_forest(sets, whole)) == (n - 1 if edits == 3 else 0) or not whole
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        assert peaks[1] < 7 * peaks[0], peaks
+
+
 def test_components(spark):
     r = random.Random(11)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
