@@ -203,6 +203,47 @@ def test_decontamination_recall_at_character_edits():
             assert sum((d, d) in got for d in range(100)) >= 100 * least, (n, share)
 
 
+def test_decontamination_recall_from_4_to_60_words_and_without_spaces():
+    """Against all pairs by exact edit distance."""
+    r = random.Random(22)
+    words = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    kana = [chr(c) for c in [*range(0x3042, 0x3090), *range(0x4E00, 0x4F00)]]
+    make = {n: (lambda n=n: " ".join(r.choice(words) for _ in range(n))) for n in (4, 6, 9, 12, 25, 60)} | {0: lambda: "".join(r.choice(kana) for _ in range(60)), -1: lambda: "".join(r.choice("abcdefgh0123456789") for _ in range(150))}
+    for kind, text in make.items():
+        items = [text() for _ in range(60)]
+        finder = decontamination.Finder([(i, decontamination.normal(t)) for i, t in enumerate(items)], decontamination.Settings())
+        for share in (0, 0.05, 0.1, 0.2):
+            space = " " if kind > 0 else ""
+            texts = [decontamination.normal(text() + space + decontamination.edited(t.encode(), share, r).decode() + space + text()) for t in items]
+            truth = {(d, i) for d, x in enumerate(texts) for i, t in enumerate(finder.items) if decontamination.infix_distance(t, x)[0] <= finder.room[i]}
+            got = {(d, i) for d, i, *_ in finder.find(texts)}
+            assert got <= truth and len(got) >= (0.95 if share else 1) * len(truth) and len(truth) >= 60 * (share < 0.2), (kind, share, len(got), len(truth))
+
+
+def test_decontamination_of_repeated_tied_long_and_odd_rows(spark):
+    item = " ".join(f"w{i}x{i * 7 % 11}" for i in range(30))
+    docs = [(1, f"a {item} b"), (1, f"a {item} b"), (None, item), (2, f"{item} and again {item}"), (3, "filler text here " * 60_000 + item), (4, None), (5, "z" * 400_000)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id bigint, text string, item_id string")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, item.upper()), (None, "")], "item_id bigint, text string")
+    got = collections.Counter(tuple(x) for x in decontamination.find(df, bench).collect())
+    n = len(item)
+    want = collections.Counter()
+    for i in (7, 7, 8):
+        want.update([(1, i, 0, n, 1, 30), (1, i, 0, n, 1, 30), (None, i, 0, n, 0, 29), (2, i, 0, n, 0, 29), (3, i, 0, n, 180_000, 180_029)])
+    assert got == want
+    assert sorted(r["doc_id"] for r in decontamination.clean(df, bench).collect()) == [4, 5]
+
+
+def test_infix_distances_are_those_of_single_stretches():
+    r = random.Random(23)
+    patterns = [bytes(r.choice(b"abc") for _ in range(n)) for n in (1, 5, 63, 64, 65, 128, 200, 300)]
+    text = bytes(r.choice(b"abc") for _ in range(5000))
+    which, low = (np.array([r.randrange(m) for _ in range(600)]) for m in (len(patterns), 4000))
+    high = low + np.array([r.randint(1, 500) for _ in range(600)])
+    edits, end = decontamination.infix_distances(patterns, which, np.frombuffer(text, np.uint8), low, high)
+    assert [(e, z) for e, z in zip(edits.tolist(), end.tolist(), strict=True)] == [decontamination.infix_distance(patterns[w], text[a:b]) for w, a, b in zip(which, low, high, strict=True)]
+
+
 def test_infix_distance_is_that_of_the_table():
     def slow(p, t):
         row = [0] * (len(t) + 1)
