@@ -22,8 +22,9 @@ Exact copies are one class from the start. Each part keeps a spanning forest of
 their list, so memory is linear in its entries. Forests make components; each member is verified
 exactly against one pivot of its component (the one with most
 candidates), which settles groups of near copies with one comparison a member. Members of components
-that this doesn't span are indexed once more, now with all their shingles instead of sketches: a part
-verifies candidates whose ends aren't connected by links yet exactly, and keeps a forest of links.
+that this doesn't span go on, dealt by component into buckets of ``part_bytes`` of text: a task finds their candidates by the same
+signatures, verifies those whose ends aren't connected by links yet exactly, and keeps a forest of links.
+A component of more than ``part_bytes`` is dealt by signature instead, with all shingles in place of sketches. Both ways are exact.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; a null
 text or one without words has an empty set and is linked with nothing; rows with a null id are
@@ -36,6 +37,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -434,6 +436,29 @@ def forests(docs: DataFrame, plan: Plan, whole: bool) -> DataFrame:
     return indexed(docs, plan, whole).groupBy("part").applyInArrow(gather, "a bigint, b bigint")
 
 
+def links_of_buckets(docs: DataFrame, size: int) -> DataFrame:
+    """(a, b): a forest of links between the documents of each bucket that labels don't connect already. docs: doc_id, text, label, bucket."""
+
+    def gather(t: pa.Table) -> pa.Table:
+        own = [x for _, _, part in k.blocks(k.texts(t.column("text"))) for x in shingles(part, size)]
+        ids, labels = t.column("doc_id").to_numpy(), t.column("label").to_numpy()
+        sizes = np.array([len(x) for x in own], np.int64)
+        plan = Plan(found := schemes(int(sizes.max())), [0] * (len(found) + 1), size)
+        of: dict[int, list[int]] = {}
+        for i, x in enumerate(own):
+            for s in plan.of(len(x)) if len(x) else ():
+                of.setdefault(s.number, []).append(i)
+        links = np.zeros((0, 2), np.int64)
+        for number, members in of.items():
+            keys, probes = zip(*(signatures(own[i], found[number]) for i in members), strict=True)
+            whole = WholeSets(sizes[members], np.concatenate([own[i] for i in members]))
+            new = spanning_links(np.concatenate(keys), np.concatenate(probes), np.repeat(np.arange(len(members)), [len(x) for x in keys]), whole, labels[members])
+            links = np.concatenate((links, np.array(members)[new]))
+        return pa.table({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
+
+    return docs.select("doc_id", "text", "label", "bucket").groupBy("bucket").applyInArrow(gather, "a bigint, b bigint")
+
+
 def profiles(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles and the hashes of the set."""
 
@@ -470,7 +495,7 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(each, "a bigint, b bigint").distinct()
 
 
-def join_components(docs: DataFrame, size: int = 5, part_entries: int = 1_000_000, part_bytes: int = 64 << 20) -> DataFrame:
+def join_components(docs: DataFrame, size: int = 5, part_entries: int = 1_000_000, part_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) for each document."""
     session(docs)
     docs = ids_and_texts(docs).where("doc_id IS NOT NULL")
@@ -496,10 +521,20 @@ def join_components(docs: DataFrame, size: int = 5, part_entries: int = 1_000_00
 
     labels = maybe.join(components(links).withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = cut(labels.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("pivot"), _ROWS)
-    left = cut(labels.join(mixed, "pivot", "left_semi").select(F.col("id").alias("doc_id"), "label"), _ROWS)
+    left = cut(labels.join(mixed, "pivot", "left_semi").select(F.col("id").alias("doc_id"), "label", "pivot"), _ROWS)
     if not left.isEmpty():
-        again = make_plan(profile.join(left.select("doc_id"), "doc_id", "left_semi"), size, part_entries, part_bytes)
-        links = cut(links.unionByName(by_rep(forests(texts.join(left, "doc_id"), again, whole=True))).distinct(), _ROWS)
+        weighed = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(left, "doc_id").groupBy("pivot").agg(F.sum("bytes").alias("bytes"))
+        weighed = cut(weighed.withColumn("large", F.col("bytes") > part_bytes), _ROWS)
+        total = {r["large"]: r["bytes"] for r in weighed.groupBy("large").agg(F.sum("bytes").alias("bytes")).collect()}
+        open_ = texts.join(left.join(weighed.select("pivot", "large"), "pivot"), "doc_id")
+        new = []
+        if False in total:
+            bucket = F.pmod(F.xxhash64("pivot"), F.lit(-(-total[False] // part_bytes)))
+            new.append(links_of_buckets(open_.where("NOT large").withColumn("bucket", bucket), size))
+        if True in total:
+            of = profile.join(open_.where("large").select("doc_id"), "doc_id", "left_semi")
+            new.append(by_rep(forests(open_.where("large"), make_plan(of, size, part_entries, 4 * part_bytes), whole=True)))
+        links = cut(reduce(DataFrame.unionByName, new, links).distinct(), _ROWS)
     found = components(links).select(F.col("id").alias("rep"), F.col("component").alias("component_id"))
     settled = cut(classes.join(found, "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("component_id")), _ROWS)
     named = profile.join(settled, same, "left")  # a large class is one key; its rows are split by AQE

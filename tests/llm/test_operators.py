@@ -382,8 +382,10 @@ def test_jaccard_borderline_groups(spark):
         rows.append((n, " ".join(words)))
         n += 1
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = {i: (x["n_shingles"], x["component_id"]) for i, x in by_id(jaccard_join.join_components(df, part_entries=5000)).items()}
-    assert got == components_by_force(rows)
+    want = components_by_force(rows)
+    for part_bytes in (16 << 20, 20_000, 500):  # whole components in one bucket or several; components dealt by signature
+        got = {i: (x["n_shingles"], x["component_id"]) for i, x in by_id(jaccard_join.join_components(df, part_entries=5000, part_bytes=part_bytes)).items()}
+        assert got == want
 
 
 def test_signatures_lose_no_link():
