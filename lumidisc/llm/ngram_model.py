@@ -11,25 +11,28 @@ words, and those by adding one:
 Counting: a task reduces its texts to sorted (hash, count) lists, cut by hash into
 parts, and the lists of a part meet in one group. The filter is blocked by part: each
 group builds its own segment of ``bits_per_entry`` bits for every entry, so the filter
-grows with what was counted and no n-gram is left out. Up to ``max_filter_bytes`` of segments
+grows with what was counted and no n-gram is left out. How many parts there are follows from the bytes of text alone, so
+results don't depend on the partitioning. Up to ``max_filter_bytes`` of segments
 go to all workers side by side. A larger filter stays where it is: documents are dealt
-into buckets of about ``bucket_bytes`` by hash, each bucket sends its distinct n-grams, cut by
-part, to the segments, and the quantised counts come back to the bucket. Both ways give the same.
+into buckets of about ``bucket_bytes`` by hash, each bucket sends its distinct tokens and pairs, cut by
+part, to the segments, and the quantised counts come back to the bucket. Both ways give the same. The query asks for
+the second at every size, as a filter that grows with the corpus has no bound that a broadcast could rely on.
 
-The base score needs exact counts of single tokens. Tokens are 64-bit hashes. The
-``heavy`` most frequent ones (an equal number from each part) go to all workers; what
+The base score needs exact counts of single tokens. Tokens are 64-bit hashes. Buckets get them from the
+parts together with the quantised counts. Where the filter is sent, the
+``heavy`` most frequent ones (an equal number from each part) are sent too; what
 is left of each document is joined with the counts by hash, after summing up within the
-document. Any number of distinct tokens is handled in this one way.
+document. Any number of distinct tokens is handled in either way.
 
 Defined cases: a null or empty text is one end token; a null id is scored, has no
-fold (null) and isn't learned from; with nothing to learn from N = V = 0; rows are
-told apart by their place, so repeated rows get equal results; further columns are ignored.
+fold (null) and isn't learned from; with nothing to learn from N = V = 0; repeated rows
+get equal results; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,21 +52,22 @@ _PARTS = "part int, parts int, tokens bigint, distinct bigint, segment binary, l
 
 @dataclass(frozen=True)
 class Settings:
-    """base: of the quantisation; probes: hash functions of the filter; max_filter_bytes: of a filter that is sent to all workers; kappa: weight of the prior."""
+    """base: of the quantisation; probes: hash functions of the filter; max_filter_bytes: of a filter that is sent to all workers; kappa: weight of the prior; part_bytes: text for each part; bucket_bytes: text for each bucket."""
 
     base: float = 1.5
-    probes: int = 6
-    bits_per_entry: float = 9.6
+    probes: int = 8
+    bits_per_entry: float = 14.4
     max_filter_bytes: int = 32 << 20
     heavy: int = 1 << 20
     kappa: float = 200.0
     flush: int = 3 << 19
+    part_bytes: int = 8 << 20
     bucket_bytes: int = 4 << 20
 
 
 @dataclass(frozen=True)
 class Model:
-    """bits: all segments, or none if they don't go to the workers; first, size: of each part's segment, in bits; least: each part's least stored quantised count."""
+    """bits: all segments; first, size: of each part's segment, in bits; least: each part's least stored quantised count."""
 
     bits: np.ndarray
     first: np.ndarray
@@ -226,10 +230,15 @@ def _counted(docs: DataFrame, parts: int, flush: int) -> DataFrame:
     return docs.select("text").mapInArrow(each, "part int, kind int, n bigint, keys binary, counts binary")
 
 
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def count(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """A row for each part: its sums, its segment, its heavy tokens and the others. Written to the checkpoint folder."""
     session(docs)
-    s, parts = settings, min(8192, max(16, 2 * docs.rdd.getNumPartitions()))
+    s = settings
+    parts = max(16, -(-_bytes(docs) // s.part_bytes))
 
     def gather(t: pa.Table) -> pa.Table:
         rows = t.to_pydict()
@@ -256,13 +265,13 @@ def is_sent(counted: DataFrame, settings: Settings) -> bool:
     return (counted.agg(F.sum(F.octet_length("segment"))).first()[0] or 0) <= settings.max_filter_bytes
 
 
-def model(counted: DataFrame, settings: Settings = Settings(), with_bits: bool = True) -> Model:
-    """What goes to the workers: the heavy tokens, and with_bits the whole filter."""
-    rows = counted.drop("tail", "tail_n", *(() if with_bits else ("segment",))).collect()
+def model(counted: DataFrame, settings: Settings = Settings()) -> Model:
+    """What goes to the workers: the whole filter and the heavy tokens."""
+    rows = counted.drop("tail", "tail_n").collect()
     parts = rows[0]["parts"] if rows else 1
     by = {r["part"]: r for r in rows}
     bits, first, size, least, at = [], np.zeros(parts, np.uint64), np.full(parts, 64, np.uint64), np.ones(parts, np.int64), 0
-    for p in range(parts) if with_bits else ():
+    for p in range(parts):
         own = np.frombuffer(by[p]["segment"], np.uint8) if p in by else np.zeros(8, np.uint8)
         first[p], size[p], least[p] = at, len(own) * 8, by[p]["least"] if p in by else 1
         at += len(own) * 8
@@ -287,16 +296,13 @@ def tail_counts(counted: DataFrame) -> DataFrame:
     return counted.select("tail", "tail_n").mapInArrow(each, "key bigint, c bigint")
 
 
-def log_probabilities(m: Model, h: np.ndarray, off: np.ndarray, distinct: np.ndarray, inverse: np.ndarray, held: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """log10 P(token | the one before) of each token; held: the quantised counts of keys."""
+def log_probabilities(m: Model, off: np.ndarray, single: np.ndarray, pair: np.ndarray, end: int) -> np.ndarray:
+    """log10 P(token | the one before) of each token, from quantised counts of tokens, of pairs with the token before, and of the end token."""
     s = m.settings
-    single = middle(held(distinct), s.base)
-    c = single[inverse]
+    c, pair = middle(single, s.base), middle(pair, s.base)
     before = np.empty_like(c)
     before[1:] = c[:-1]
-    end = middle(held(np.array([END], np.uint64)), s.base)[0]
-    before[off[:-1]] = end
-    pair = middle(held(pairs(histories(h, off), h)), s.base)
+    before[off[:-1]] = middle(np.array([end]), s.base)[0]
     pair = np.minimum(pair, np.minimum(c, before))
     p1 = (c + 1) / (m.tokens + m.distinct + 1)
     return np.log10((pair + s.kappa * p1) / (before + s.kappa))
@@ -310,7 +316,7 @@ def _rows(ids: np.ndarray, **given) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"row": ids, **{c: (given[c] if isinstance(given[c], pa.Array) else pa.array(given[c], kind)) if c in given else pa.nulls(len(ids), kind) for c, kind in _TYPES.items()}})
 
 
-def _scored(m: Model, t: k.Texts, ids: np.ndarray, doc_id: pa.Array, held_out: pa.Array, held: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _scored(m: Model, t: k.Texts, ids: np.ndarray, doc_id: pa.Array, held_out: pa.Array) -> Iterator[pa.RecordBatch]:
     """A row for each text, and one for each of its tokens that isn't heavy."""
     h, off = tokens(t)
     distinct, inverse = np.unique(h, return_inverse=True)
@@ -325,7 +331,7 @@ def _scored(m: Model, t: k.Texts, ids: np.ndarray, doc_id: pa.Array, held_out: p
         n_tokens=np.diff(off),
         n_known=k.sums(known[inverse].astype(np.int64), off).astype(np.int64),
         base=k.sums(worth[inverse], off),
-        score=k.sums(log_probabilities(m, h, off, distinct, inverse, held), off),
+        score=k.sums(log_probabilities(m, off, lookup(m, distinct)[inverse], lookup(m, pairs(histories(h, off), h)), lookup(m, np.array([END], np.uint64))[0]), off),
     )
     rest = np.flatnonzero(~known[inverse])
     if len(rest):  # summed up within each document
@@ -336,70 +342,109 @@ def _scored(m: Model, t: k.Texts, ids: np.ndarray, doc_id: pa.Array, held_out: p
             yield _rows(ids[packed[a : a + 100_000] // len(distinct)], key=keys[a : a + 100_000], tf=tf[a : a + 100_000])
 
 
-def asked(t: k.Texts) -> np.ndarray:
-    """The distinct tokens and pairs of texts, sorted, so in the order of their parts; the order of the texts doesn't matter."""
+def asked(t: k.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens, and the distinct pairs, of texts; sorted, so in the order of their parts. The order of the texts doesn't matter."""
     h, off = tokens(t)
-    return np.unique(np.concatenate((h & UPPER, pairs(histories(h, off), h))))
+    return np.unique(h), np.unique(pairs(histories(h, off), h))
+
+
+def counts_of(keys: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Counts of keys by sorted known keys; 0 for others."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, n[at], 0)
+
+
+_ASK = "bucket bigint, part int, n bigint, pairs binary, tokens binary"
+_ANSWER = "bucket bigint, part int, n bigint, pairs binary, tokens binary, exact binary"
+_ROWS = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
 
 
-def _by_parts(docs: DataFrame, counted: DataFrame, sent, settings: Settings) -> DataFrame:
+def _by_parts(docs: DataFrame, counted: DataFrame, m: Model, parts: int) -> DataFrame:
     """Texts scored with segments that stay where they are."""
-    s, parts = settings, len(sent.value.size)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // s.bucket_bytes))
+    s = m.settings
+    buckets = max(1, -(-_bytes(docs) // s.bucket_bytes))
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
 
     def ask(t: pa.Table) -> pa.Table:
-        keys = asked(k.texts(t.column("text")))
-        at = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-        own = np.flatnonzero(np.diff(at))
+        single, pair = asked(k.texts(t.column("text")))
+        at, at2 = (np.searchsorted(part_of(x, parts), np.arange(parts + 1)) for x in (single, pair))
+        own = np.flatnonzero(np.diff(at) + np.diff(at2))
         bucket = np.full(len(own), t.column("bucket")[0].as_py())
-        return pa.table({"bucket": bucket, "part": pa.array(own, pa.int32()), "n": np.diff(at)[own], "keys": pa.array([gaps(keys[at[p] : at[p + 1]]) for p in own], pa.binary())})
+        cut_ = lambda x, at, p: x[at[p] : at[p + 1]]
+        return pa.table({"bucket": bucket, "part": pa.array(own, pa.int32()), "n": np.diff(at2)[own], "pairs": pa.array([gaps(cut_(pair, at2, p)) for p in own], pa.binary()), "tokens": pa.array([cut_(single, at, p).tobytes() for p in own], pa.binary())})
 
     def answer(asks: pa.Table, segments: pa.Table) -> pa.Table:
-        out = []
+        n = asks.column("n").to_pylist()
+        pair = [from_gaps(x.as_py(), c) for x, c in zip(asks.column("pairs"), n, strict=True)]
+        single = [np.frombuffer(x.as_py(), np.uint64) for x in asks.column("tokens")]
+        keys, ends = np.concatenate([*pair, *single] or [np.zeros(0, np.uint64)]), np.cumsum([len(x) for x in [*pair, *single]])
         if segments.num_rows:
-            bits = np.frombuffer(segments.column("segment")[0].as_py(), np.uint8)
-            one = Model(bits, np.zeros(1, np.uint64), np.array([len(bits) * 8], np.uint64), np.ones(1, np.int64), bits[:0], bits[:0], 0, 0, s)
-        for n, keys in zip(asks.column("n").to_pylist(), asks.column("keys"), strict=True):
-            keys = from_gaps(keys.as_py(), n)
-            out.append((lookup(one, keys) if segments.num_rows else np.zeros(len(keys))).astype(np.uint8).tobytes())
-        return pa.table({"bucket": asks.column("bucket"), "part": asks.column("part"), "held": pa.array(out, pa.binary())})
+            r = segments.to_pylist()[0]
+            bits = np.frombuffer(r["segment"], np.uint8)
+            held = lookup(Model(bits, np.zeros(1, np.uint64), np.array([len(bits) * 8], np.uint64), np.ones(1, np.int64), bits[:0], bits[:0], 0, 0, s), keys).astype(np.uint8)
+            known = np.concatenate([np.frombuffer(r[c], np.uint64) for c in ("heavy", "tail")])
+            exact = np.concatenate([widen(r[f"{c}_n"], len(r[c]) // 8) for c in ("heavy", "tail")])
+            order = np.argsort(known)
+            known, exact = known[order], exact[order]
+        else:
+            held, known, exact = np.zeros(len(keys), np.uint8), keys[:0], np.zeros(0, np.int64)
+        held = np.split(held, ends[:-1])
+        exact = [narrow(counts_of(x, known, exact)) for x in single]
+        binary = lambda x: pa.array([y.tobytes() for y in x], pa.binary())
+        return pa.table({"bucket": asks.column("bucket"), "part": asks.column("part"), "n": pa.array([len(x) for x in single], pa.int64()), "pairs": binary(held[: len(n)]), "tokens": binary(held[len(n) :]), "exact": pa.array(exact, pa.binary())})
 
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()  # the same numbers in every run
         texts = k.texts(t.column("text"))
-        keys = asked(texts)
-        held = np.frombuffer(b"".join(answers.sort_by("part").column("held").to_pylist()), np.uint8).astype(np.int64)
-        ids = (t.column("bucket")[0].as_py() << 32) + np.arange(t.num_rows)
-        doc_id, held_out = (t.column(c).combine_chunks() for c in ("doc_id", "held_out"))
-        return pa.Table.from_batches(list(_scored(sent.value, texts, ids, doc_id, held_out, lambda x: held[np.searchsorted(keys, x & UPPER)])))
+        single, pair = asked(texts)
+        rows = answers.sort_by("part").to_pylist()
+        join = lambda name: np.frombuffer(b"".join(r[name] for r in rows), np.uint8).astype(np.int64)
+        held, pair_held = join("tokens"), join("pairs")
+        exact = np.concatenate([widen(r["exact"], r["n"]) for r in rows])
+        out = {"n_tokens": [], "n_known": [], "base": [], "score": []}
+        for _, _, part in k.blocks(texts):
+            h, off = tokens(part)
+            at = np.searchsorted(single, h)
+            c = exact[at]
+            out["n_tokens"].append(np.diff(off))
+            out["n_known"].append(k.sums((c > 0).astype(np.int64), off).astype(np.int64))
+            out["base"].append(k.sums(np.log10(c + 1.0), off))
+            pair_at = np.searchsorted(pair, pairs(histories(h, off), h))
+            end = held[np.searchsorted(single, END)]
+            out["score"].append(k.sums(log_probabilities(m, off, held[at], pair_held[pair_at], end), off))
+        return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), **{c: np.concatenate(x) for c, x in out.items()}})
 
     # all columns, so that the texts are dealt once for both uses
-    asks = dealt.groupBy("bucket").applyInArrow(ask, "bucket bigint, part int, n bigint, keys binary")
-    answers = asks.groupBy("part").cogroup(counted.select("part", "segment").groupBy("part")).applyInArrow(answer, "bucket bigint, part int, held binary")
-    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(finish, _SCORED)
+    asks = dealt.groupBy("bucket").applyInArrow(ask, _ASK)
+    answers = asks.groupBy("part").cogroup(counted.select("part", "segment", "heavy", "heavy_n", "tail", "tail_n").groupBy("part")).applyInArrow(answer, _ANSWER)
+    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(finish, _ROWS)
 
 
 def score(docs: DataFrame, counted: DataFrame, held_out: Column, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every document."""
-    whole = is_sent(counted, settings)
-    m = model(counted, settings, whole)
-    sent = docs.sparkSession.sparkContext.broadcast(m)
-    total, norm = m.tokens, math.log10(m.tokens + m.distinct + 1)
+    session(docs)
+    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
+    sums = counted.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"), F.max("parts").alias("parts")).first()
+    total, norm = sums["tokens"] or 0, math.log10((sums["tokens"] or 0) + (sums["distinct"] or 0) + 1)
+    base = (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score")
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base, "score")
+    if not is_sent(counted, settings):
+        nothing = np.zeros(0, np.uint64)
+        m = Model(nothing, nothing, nothing, nothing, nothing, nothing, total, sums["distinct"] or 0, settings)
+        return _by_parts(docs, counted, m, sums["parts"] or 1).select(*columns)
+    sent = docs.sparkSession.sparkContext.broadcast(model(counted, settings))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             for i, j, t in k.blocks(k.texts(batch.column("text")), 2 << 20):
-                yield from _scored(m, t, row + np.arange(j - i), batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), lambda x: lookup(m, x))
+                yield from _scored(m, t, row + np.arange(j - i), batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i))
                 row += j - i
 
-    session(docs)
-    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    parts = docs.mapInArrow(each, _SCORED) if whole else _by_parts(docs, counted, sent, settings)
+    parts = cut(docs.mapInArrow(each, _SCORED))  # rows are numbered by their places: written, so that no later task numbers them anew
     c = F.when(F.col("tf").isNotNull(), F.col("c"))
     joined = parts.join(tail_counts(counted), "key", "left").select("row", "doc_id", "held_out", "n_tokens", "score", F.coalesce("n_known", F.when(c > 0, F.col("tf"))).alias("n_known"), F.coalesce("base", F.col("tf") * F.log10(c + 1)).alias("base"))
     found = joined.groupBy("row").agg(*(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "score")), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"))
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
+    return found.select(*columns)

@@ -18,8 +18,9 @@ def vocabulary(name: str) -> str:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counted = ngram_model.count(docs.where(fold(7) != 2))
-    return ngram_model.score(docs, counted, fold(7) == 2)
+    settings = ngram_model.Settings(max_filter_bytes=0)
+    counted = ngram_model.count(docs.where(fold(7) != 2), settings)
+    return ngram_model.score(docs, counted, fold(7) == 2, settings)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

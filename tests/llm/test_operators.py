@@ -86,6 +86,50 @@ def test_lm_filter_beyond_a_broadcast_stays_whole(documents):
             assert results[1][i][c] == pytest.approx(r[c])
 
 
+def lm_by_force(corpus, s):
+    """Exact counts, quantised, and the formula."""
+    words = {i: [None, *WORD.findall(lowered(t)), None] for i, t in corpus}
+    learned = [ws for i, ws in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    single = collections.Counter(w for ws in learned for w in ws[1:])
+    pair = collections.Counter(p for ws in learned for p in zip(ws, ws[1:]))
+    n, v = sum(single.values()), len(single)
+    kept = {c: float(ngram_model.middle(ngram_model.quantised(np.array([c]), s.base), s.base)[0]) for c in {*single.values(), *pair.values()}} | {0: 0.0}
+    out = {}
+    for i, ws in words.items():
+        total = 0.0
+        for a, b in zip(ws, ws[1:]):
+            ca, cb = kept[single[a]], kept[single[b]]
+            total += math.log10((min(kept[pair[a, b]], ca, cb) + s.kappa * (cb + 1) / (n + v + 1)) / (ca + s.kappa))
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_lm_scores_are_those_of_the_formula_on_any_partitioning(documents, corpus, whole):
+    """With so many bits that no probe is wrong; then with the usual number, which may be wrong, but always alike."""
+    sure = ngram_model.Settings(bits_per_entry=120, probes=20, max_filter_bytes=64 << 20 if whole else 0, bucket_bytes=30_000)
+    counted = ngram_model.count(documents.where(fold(7) != 2), sure)
+    got = by_id(ngram_model.score(documents, counted, fold(7) == 2, sure))
+    want = lm_by_force(corpus, sure)
+    assert {i: r["score"] for i, r in got.items()} == {i: pytest.approx(x) for i, x in want.items()}
+    usual = ngram_model.Settings(max_filter_bytes=64 << 20 if whole else 0, bucket_bytes=30_000)
+    results = []
+    for n in (1, 3, 40):
+        docs = documents.repartition(n)
+        results.append({i: tuple(r) for i, r in by_id(ngram_model.score(docs, ngram_model.count(docs.where(fold(7) != 2), usual), fold(7) == 2, usual)).items()})
+    for other in results[1:]:
+        assert other.keys() == results[0].keys() and all(x == pytest.approx(results[0][i], nan_ok=True) for i, x in other.items())
+    assert np.mean([abs(results[0][i][-1] - x) < 1e-6 for i, x in want.items()]) > 0.5
+
+
+def test_lm_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b a"), (None, "a b a"), (5, "a b"), (5, "a b"), (5, "c"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    s = ngram_model.Settings(max_filter_bytes=0)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["held_out"]) for r in ngram_model.score(docs, ngram_model.count(docs.where(F.col("doc_id").isNotNull()), s), F.col("doc_id") == 6, s).collect())
+    assert got == [("5", 2, 2, False), ("5", 3, 3, False), ("5", 3, 3, False), ("6", 1, 1, True), ("None", 4, 4, None), ("None", 4, 4, None)]
+
+
 def test_lm_nothing_to_learn_from(documents, empty):
     assert ngram_model.score(documents, ngram_model.count(empty), fold(7) == 2).count() == documents.count()
     assert ngram_model.score(empty, ngram_model.count(documents), fold(7) == 2).count() == 0
