@@ -377,6 +377,36 @@ def test_packing_is_a_round_trip(documents, corpus):
         assert at <= 4096
 
 
+def test_packing_takes_few_sequences_on_any_partitioning(spark):
+    """Within 1 % of the least possible, also where each partition has pieces of one size."""
+    r = random.Random(30)
+    words = ["the", "of", "a", "and"]
+    sizes = [2600 if i % 3 == 0 else r.randint(1, 1500) for i in range(600)]
+    rows = [(i, " ".join(words[(i + j) % 4] for j in range(n))) for i, n in enumerate(sorted(sizes))]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for n in (1, 16, 211):
+        out = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).repartitionByRange(n, "doc_id"), path).collect()
+        total = sum(x["length"] for x in out)
+        assert len({x["sequence_id"] for x in out}) <= 1.01 * math.ceil(total / 4096) + 1, n
+        assert len(out) == 600
+        used = collections.defaultdict(list)
+        for x in out:
+            used[x["sequence_id"]].append((x["offset"], x["length"]))
+        for spans in used.values():
+            at = 0
+            for offset, length in sorted(spans):
+                assert offset == at
+                at += length
+            assert at <= 4096
+
+
+def test_word_encoder_keeps_no_long_words():
+    e = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "ab " + "x" * 5000 + " ab " + "y" * 65
+    assert e.ids(text) == np.array(e.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert set(e.cache) == {"ab"}
+
+
 def test_packing_heeds_every_capacity():
     r = np.random.default_rng(7)
     lengths = r.integers(1, 1000, 3000)
