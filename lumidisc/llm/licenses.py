@@ -6,8 +6,7 @@ those of each template; Dice = 2 * shared / (line's + template's). A Dice of at
 needs a line of size between t / (2 - t) and (2 - t) / t times the template's: lines
 whose size fits no template are dropped before any comparison, then lines that share no
 bigram with any template, and each line that is left meets just the templates
-of its size, by an equi-join with the (template, size) table. That table depends only
-on the templates, so broadcasting it is bounded.
+of its size. All of that happens within the line's row, so nothing but found lines is shuffled.
 
 Statements that wrap over lines or stand within longer lines, and the licence texts in
 ``license_texts``, are found as windows over the words of the whole text: a window
@@ -18,8 +17,8 @@ that overlap, the one that shares most bigrams counts, ties for the largest Dice
 that counts already. Of templates of 400 bigrams and more not every hit begins a window: one in (bigrams / 64).
 
 Defined cases: a null or empty text has no lines; a line that fits several templates
-counts for the best one, ties for the first name; repeated rows each count; null ids
-stay null and are reported as one document; further columns are ignored; no match gives no row.
+counts for the best one, ties for the first name; rows that share an id (or a null id) are reported as
+one document, and each of their lines counts, in repeated rows too; further columns are ignored; no match gives no row.
 """
 
 from __future__ import annotations
@@ -79,28 +78,29 @@ def _bigrams(words: Column) -> Column:
 
 
 def _best_lines(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """doc_id, line_no, best: the lines that are statements."""
-    spark = docs.sparkSession
+    """doc_id, license, dice: the lines that are statements."""
     known = [(name, bigrams_of(text)) for name, text in sorted(templates.items())]
     known = [(name, grams) for name, grams in known if grams]
-    sizes = spark.createDataFrame([(name, grams, len(grams), n) for name, grams in known for n in size_bounds(len(grams), threshold)], "license string, template array<string>, n_template int, n_line int")
+    if not known:
+        return docs.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("dice")).limit(0)
     every = sorted({g for _, grams in known for g in grams})
     # distinct bigrams can be fewer than words - 1, so only the lower bound holds for words
     least = min((size_bounds(len(g), threshold).start for _, g in known), default=1)
     most = max((size_bounds(len(g), threshold)[-1] for _, g in known), default=0)
     # each generator is a barrier: what it makes is computed once, not again in every filter above it
     normal = F.transform(F.split("text", "\n"), lambda line: F.split(F.trim(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " ")), " "))
-    words = docs.select("doc_id", F.posexplode(normal).alias("line_no", "words")).where((F.size("words") >= least) & (F.element_at("words", 1) != ""))
-    grams = words.select("doc_id", "line_no", F.explode(F.array(_bigrams(F.col("words")))).alias("grams"))
+    words = docs.select("doc_id", F.explode(normal).alias("words")).where((F.size("words") >= least) & (F.element_at("words", 1) != ""))
+    grams = words.select("doc_id", F.explode(F.array(_bigrams(F.col("words")))).alias("grams"))
     grams = grams.where(F.size("grams").between(least, most) & F.arrays_overlap("grams", F.array(*map(F.lit, every)) if every else F.lit(None).cast("array<string>")))
-    sized = grams.withColumn("n_line", F.size("grams"))
-    matched = (
-        sized.join(F.broadcast(sizes), "n_line")
-        .withColumn("shared", F.size(F.array_intersect("grams", "template")))
-        .withColumn("dice", F.lit(2.0) * F.col("shared") / (F.col("n_line") + F.col("n_template")))
-        .where(F.col("dice") >= threshold)
-    )
-    return matched.groupBy("doc_id", "line_no").agg(F.min_by(F.struct("license", "dice"), F.struct(-F.col("dice"), F.col("license"))).alias("best"))
+    # least first: the largest dice, then the first name
+    templates_of = [(i, name, own, size_bounds(len(own), threshold)) for i, (name, own) in enumerate(known)]
+    constant = F.from_json(F.lit(json.dumps([{"i": i, "license": name, "grams": own, "low": r.start, "high": r[-1]} for i, name, own, r in templates_of])), "array<struct<i:int,license:string,grams:array<string>,low:int,high:int>>")
+    size = F.size("grams")
+    fitting = F.filter(constant, lambda t: size.between(t["low"], t["high"]))
+    dice = lambda t: F.lit(2.0) * F.size(F.array_intersect("grams", t["grams"])) / (size + F.size(t["grams"]))
+    best = F.array_min(F.transform(fitting, lambda t: F.struct((-dice(t)).alias("less"), t["i"].alias("i"), t["license"].alias("license"))))
+    found = grams.select("doc_id", F.explode(F.array(best)).alias("best")).where(F.col("best.less") <= -threshold)
+    return found.select("doc_id", "best.license", (-F.col("best.less")).alias("dice"))
 
 
 def anchors(templates: list[list[str]], threshold: float) -> list[str]:
@@ -119,7 +119,7 @@ def anchors(templates: list[list[str]], threshold: float) -> list[str]:
 
 
 def _windows(docs: DataFrame, templates: list[tuple[str, str]], line_templates: dict[str, str], threshold: float) -> DataFrame:
-    """doc_id, license, dice: windows over whole texts that are statements, apart from lines that are. Only texts with enough bigrams of a template leave the scan."""
+    """doc_id, license, dice, copies (rows of that id and text): windows over whole texts that are statements, apart from lines that are. Only texts with enough bigrams of a template leave the scan."""
     need = threshold / (2 - threshold)
     known = [(name, bigrams_of(text), max(1, len(re.sub(r"[^a-z0-9]+", " ", text.lower()).split()) - 1)) for name, text in templates]
     known = [{"license": name, "grams": grams, "n": len(grams), "need": math.ceil(need * len(grams) - 1e-9), "size": size, "step": max(1, size // 64) if size >= 400 else 1} for name, grams, size in known if grams]
@@ -152,12 +152,14 @@ def _windows(docs: DataFrame, templates: list[tuple[str, str]], line_templates:
     sized = sized.select("*", F.explode(F.array(count(F.transform(F.filter("near", lambda x: x["at"] < F.col("start.at") + F.col("length")), lambda x: x["gram"])))).alias("shared"))
     sized = sized.where(F.col("shared") >= F.col("need"))
     dice = F.lit(2.0) * F.col("shared") / (F.col("n") + count(F.slice("grams", F.col("start.at") + 1, F.col("length"))))
-    found = sized.select("doc_id", "text", "license", F.col("start.at").alias("a"), (F.col("start.at") + F.col("length")).alias("z"), "shared", dice.alias("dice")).where(F.col("dice") >= threshold)
+    found = sized.select("doc_id", "text", "license", F.col("start.at").alias("a"), (F.col("start.at") + F.col("length")).alias("z"), "shared", dice.alias("dice"), F.col("start.i").alias("i")).where(F.col("dice") >= threshold)
     # bigrams a to z - 1 are words a to z
     ranked = F.sort_array(F.collect_set(F.struct((-F.col("shared")).alias("less"), (-F.col("dice")).alias("d"), "license", "a", "z")))
-    found = found.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), ranked.alias("windows"))
+    # a row has each of these windows once, so their number tells how often the row is repeated
+    copies = (F.count("*") / F.size(F.collect_set(F.struct("license", "a", "z", "i")))).cast("int").alias("copies")
+    found = found.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), ranked.alias("windows"), copies)
     # where the words of lines lie that count already
-    found = found.select("doc_id", "windows", F.explode(F.array(F.transform(F.split("text", "\n"), split))).alias("lines"))
+    found = found.select("doc_id", "windows", "copies", F.explode(F.array(F.transform(F.split("text", "\n"), split))).alias("lines"))
     before = lambda i: F.aggregate(F.slice("lines", F.lit(1), i), F.lit(0), lambda x, y: x + F.when(F.element_at(y, 1) == "", 0).otherwise(F.size(y)))
     short = constant([g for g in map(bigrams_of, line_templates.values()) if g], "array<array<string>>")
     fits = lambda own: F.exists(short, lambda t: F.lit(2.0) * F.size(F.array_intersect(own, t)) / (F.size(own) + F.size(t)) >= threshold)
@@ -167,15 +169,15 @@ def _windows(docs: DataFrame, templates: list[tuple[str, str]], line_templates:
     clash = lambda x, y: (x["a"] <= y["z"]) & (y["a"] <= x["z"])
     kind = "array<struct<less:int,d:double,license:string,a:int,z:int>>"
     chosen = F.aggregate("windows", spans.cast(kind), lambda acc, w: F.when(F.exists(acc, lambda x: clash(x, w)), acc).otherwise(F.concat(acc, F.array(w).cast(kind))))
-    return found.select("doc_id", F.explode(chosen).alias("w")).where("w.less <= 0").select("doc_id", F.col("w.license").alias("license"), (-F.col("w.d")).alias("dice"))
+    return found.select("doc_id", "copies", F.explode(chosen).alias("w")).where("w.less <= 0").select("doc_id", F.col("w.license").alias("license"), (-F.col("w.d")).alias("dice"), "copies")
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, n_lines, dice: a row for each document and licence that it states; n_lines: its lines and windows, dice: of the best."""
     lines = _best_lines(docs, templates or TEMPLATES, threshold)
     texts = [*sorted((templates or TEMPLATES).items()), *(() if templates else full_texts().items())]
-    found = lines.select("doc_id", "best.license", "best.dice").unionByName(_windows(docs, texts, templates or TEMPLATES, threshold))
-    return found.groupBy("doc_id", "license").agg(F.count("*").alias("n_lines"), F.max("dice").alias("dice"))
+    found = lines.withColumn("copies", F.lit(1)).unionByName(_windows(docs, texts, templates or TEMPLATES, threshold))
+    return found.groupBy("doc_id", "license").agg(F.sum("copies").alias("n_lines"), F.max("dice").alias("dice"))
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
@@ -183,9 +185,10 @@ def oracle_sql(threshold: float = THRESHOLD) -> str:
     values = ", ".join("('" + name + "', ['" + "', '".join(bigrams_of(text)) + "'])" for name, text in sorted(TEMPLATES.items()))
     return f"""
 WITH templates(license, template) AS (VALUES {values}),
-split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-words AS (SELECT doc_id, line_no, string_split(trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM split WHERE regexp_matches(lower(line), '[a-z0-9]')),
-grams AS (SELECT doc_id, line_no, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM words),
-scored AS (SELECT doc_id, line_no, license, 2.0::DOUBLE * len(list_intersect(g, template)) / (len(g) + len(template)) AS dice FROM grams, templates),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license) AS k FROM scored WHERE dice >= {threshold})
+numbered AS (SELECT doc_id, text, row_number() OVER () AS row_no FROM documents),
+split AS (SELECT doc_id, row_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM numbered),
+words AS (SELECT doc_id, row_no, line_no, string_split(trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM split WHERE regexp_matches(lower(line), '[a-z0-9]')),
+grams AS (SELECT doc_id, row_no, line_no, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM words),
+scored AS (SELECT doc_id, row_no, line_no, license, 2.0::DOUBLE * len(list_intersect(g, template)) / (len(g) + len(template)) AS dice FROM grams, templates),
+best AS (SELECT *, row_number() OVER (PARTITION BY row_no, line_no ORDER BY dice DESC, license) AS k FROM scored WHERE dice >= {threshold})
 SELECT doc_id, license, count(*) AS n_lines, max(dice) AS dice FROM best WHERE k = 1 GROUP BY doc_id, license"""
