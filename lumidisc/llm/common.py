@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumidisc.llm import kernels as k
 from lumidisc.session import ship
 
+#: Features of a sample that the driver learns from.
+SAMPLE_BYTES = 64 << 20
 #: Rows of one Arrow batch: with texts of a few KB some MB in a Python worker, and bounded with texts of 100 KB too.
 BATCH_ROWS = 500
 
@@ -68,6 +72,26 @@ def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: st
     return df.mapInArrow(each, schema)
 
 
-def first_by_hash(df: DataFrame, n: int, column: str = "doc_id") -> DataFrame:
-    """A bounded sample: the n rows whose ids have the smallest hashes, the same in every run."""
-    return df.orderBy(F.xxhash64(column), column).limit(n)
+def first_by_hash(df: DataFrame, by: str, n: int) -> DataFrame:
+    """A bounded sample: for each value of ``by`` the n rows whose ids have the smallest hashes, the same in every run; with their rank. One scan, tasks send n rows of each value at most."""
+    order = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def sent_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """The frame, written, for a join: broadcast if it has up to so many (narrow) rows, else left to a shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def learned(found: DataFrame, most_bytes: int) -> list[Row]:
+    """The rows of a sample, by rank, as far as their features have up to ``most_bytes``; those of rank 1 always. found: doc_id, rank, features and more."""
+    found = cut(found)
+    sizes = sorted((r["rank"], r["bytes"]) for r in found.groupBy("rank").agg(F.sum(F.octet_length("features")).alias("bytes")).collect())
+    last, total = 1, 0
+    for rank, size in sizes:
+        total += size
+        if total <= most_bytes:
+            last = rank
+    rows = found.where(F.col("rank") <= last).collect()
+    return sorted(rows, key=lambda r: (k.mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0], bytes(r["features"])))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumidisc.llm import kernels as k
-from lumidisc.llm.common import first_by_hash, in_batches
+from lumidisc.llm.common import SAMPLE_BYTES, first_by_hash, in_batches, learned, sent_if_small
 
 UNDETERMINED = "und"
 SCHEMA = "doc_id bigint, lang_pred string, score double, accepted boolean"
@@ -37,7 +37,7 @@ _ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 
 @dataclass(frozen=True)
 class Settings:
-    """max_per_language: learning rows of each language, at most; max_languages: languages with the most rows that are learned."""
+    """max_per_language: learning rows of each language, at most."""
 
     bits: int = 16
     dim: int = 16
@@ -45,7 +45,6 @@ class Settings:
     epochs: int = 6
     rate: float = 0.5
     max_per_language: int = 1200
-    max_languages: int = 256
     precision: float = 0.99
 
 
@@ -80,21 +79,18 @@ def _counts(batch: pa.RecordBatch, s: Settings) -> list[bytes]:
 def train(docs: DataFrame, learn: Column, settings: Settings = Settings()) -> Model:
     """Learns from documents with a language for which ``learn`` (a condition on doc_id) holds: a hash sample bounded for each language."""
     usable = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).collect()
-    languages = tuple(sorted(r["lang"] for r in sizes))
+    ids = first_by_hash(usable.select("doc_id", "lang").where("doc_id IS NOT NULL"), "lang", settings.max_per_language)
+    ids = sent_if_small(ids.groupBy("doc_id", "lang").agg(F.min("rank").alias("rank")))  # how many languages there are isn't bounded
+    rows = usable.join(ids, ["doc_id", "lang"])
+    found = in_batches(
+        rows.select("doc_id", "text", "lang", "rank"),
+        lambda b: {"doc_id": b.column("doc_id"), "lang": b.column("lang"), "rank": b.column("rank"), "features": pa.array(_counts(b, settings), pa.binary())},
+        "doc_id bigint, lang string, rank int, features binary",
+    )
+    found = learned(found, SAMPLE_BYTES)
+    languages = tuple(sorted({r["lang"] for r in found}))
     if not languages:
         return Model((), np.zeros((1 << settings.bits, 0), np.float32), np.zeros(0), 1.0, 0.0, settings)
-    ids = None
-    for lang in languages:
-        one = first_by_hash(usable.where(F.col("lang") == lang).select("doc_id"), settings.max_per_language).select("doc_id", F.lit(lang).alias("lang"))
-        ids = one if ids is None else ids.unionByName(one)
-    rows = usable.join(F.broadcast(ids.distinct()), ["doc_id", "lang"])  # bounded: max_per_language * max_languages ids
-    found = in_batches(
-        rows.select("doc_id", "text", "lang"),
-        lambda b: {"doc_id": b.column("doc_id"), "lang": b.column("lang"), "features": pa.array(_counts(b, settings), pa.binary())},
-        "doc_id bigint, lang string, features binary",
-    ).collect()
-    found.sort(key=lambda r: (k.mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0], bytes(r["features"])))
     data, y = [], []
     for r in found:
         a = np.frombuffer(r["features"], np.uint32)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumidisc.llm import kernels as k
-from lumidisc.llm.common import first_by_hash, ids_and_texts, in_batches
+from lumidisc.llm.common import SAMPLE_BYTES, first_by_hash, ids_and_texts, in_batches, learned
 
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, p_good double"
 _SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
@@ -78,16 +78,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     shares = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
         return None
-    chosen = first_by_hash(usable.where("quality = 1"), settings.max_per_class).unionByName(first_by_hash(usable.where("quality = 0"), settings.max_per_class))
+    chosen = first_by_hash(usable, "quality", settings.max_per_class)
     rows = ids_and_texts(docs).join(F.broadcast(chosen), "doc_id")  # bounded: 2 * max_per_class ids
     bits = settings.bits
     found = in_batches(
-        rows.select("doc_id", "text", "quality"),
-        lambda b: {"doc_id": b.column("doc_id"), "quality": b.column("quality"), "features": pa.array(_counts(b, bits), pa.binary())},
-        "doc_id bigint, quality int, features binary",
-    ).collect()
-    found.sort(key=lambda r: (k.mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0], bytes(r["features"])))
-    data = []
+        rows.select("doc_id", "text", "quality", "rank"),
+        lambda b: {"doc_id": b.column("doc_id"), "quality": b.column("quality"), "rank": b.column("rank"), "features": pa.array(_counts(b, bits), pa.binary())},
+        "doc_id bigint, quality int, rank int, features binary",
+    )
+    found, data = learned(found, SAMPLE_BYTES), []
     for r in found:
         a = np.frombuffer(r["features"], np.uint32)
         n = a[len(a) // 2 :].astype(np.float64)

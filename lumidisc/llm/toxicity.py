@@ -8,8 +8,8 @@ to the workers is a list of a few thousand (slot, weight) pairs.
 
 Defined cases: a null or empty text has no features and scores the model's base
 rate; a null id stays null and belongs to no learning fold; repeated rows get equal
-scores; without labels of both classes every score is the share of label 1 (0 if
-there is none); further columns are ignored.
+scores; if the labelled documents that the table holds aren't of both classes, every score is
+their share of label 1 (0 if there is none); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumidisc.llm import kernels as k
-from lumidisc.llm.common import first_by_hash, ids_and_texts, in_batches, session
+from lumidisc.llm.common import SAMPLE_BYTES, first_by_hash, ids_and_texts, in_batches, learned, session
 
 SCHEMA = "doc_id bigint, score double, predicted int"
 
@@ -81,21 +81,20 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     """Learns from labelled documents for which ``learn`` (a condition on doc_id) holds: a hash sample bounded for each class."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    total = sum(shares.values())
-    base = shares.get(1, 0) / total if total else 0.0
-    if len(shares) < 2:
-        bias = 30.0 if base == 1 else -30.0
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), bias, settings.bits, settings.threshold)
-    chosen = first_by_hash(usable.where("toxic = 1"), settings.max_per_class).unionByName(first_by_hash(usable.where("toxic = 0"), settings.max_per_class))
+    chosen = first_by_hash(usable, "toxic", settings.max_per_class)
     rows = ids_and_texts(docs).join(F.broadcast(chosen), "doc_id")  # bounded: 2 * max_per_class ids
     bits = settings.bits
     found = in_batches(
-        rows.select("doc_id", "text", "toxic"),
-        lambda b: {"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "features": pa.array(_feature_sets(b, bits), pa.binary())},
-        "doc_id bigint, toxic int, features binary",
-    ).collect()
-    found.sort(key=lambda r: (k.mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0], bytes(r["features"])))
-    return ftrl([np.frombuffer(r["features"], np.uint32) for r in found], np.array([r["toxic"] for r in found], float), base, settings)
+        rows.select("doc_id", "text", "toxic", "rank"),
+        lambda b: {"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "rank": b.column("rank"), "features": pa.array(_feature_sets(b, bits), pa.binary())},
+        "doc_id bigint, toxic int, rank int, features binary",
+    )
+    found = learned(found, SAMPLE_BYTES)
+    y = np.array([r["toxic"] for r in found], float)
+    if len(set(y)) < 2:
+        bias = 30.0 if len(y) and y[0] == 1 else -30.0
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), bias, settings.bits, settings.threshold)
+    return ftrl([np.frombuffer(r["features"], np.uint32) for r in found], y, shares[1] / (shares[0] + shares[1]), settings)
 
 
 def ftrl(rows: list[np.ndarray], y: np.ndarray, base: float, s: Settings) -> Model:

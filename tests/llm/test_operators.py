@@ -162,6 +162,24 @@ def test_license_statements_in_longer_lines_wrapped_and_full_texts(spark):
     assert {x: got.get(x) for x in want} == want and not {x for x in got if x[0] == 8}
 
 
+def test_license_rows_that_repeat_or_share_an_id_each_count(spark):
+    """The SQL gives the same for these, as they are lines."""
+    import duckdb
+
+    r, m = "All rights reserved.", "Released under the MIT License"
+    rows = [(1, r), (1, r), (1, m), (None, r), (None, m), (None, m), (2, None), (3, "x " * 50_000 + "\n" + r), (4, "y" * 200_000)]
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id bigint, text string, license string, n_lines int")
+    got = sorted((str(x["doc_id"]), x["license"], x["n_lines"]) for x in licenses.scan(df).collect())
+    assert got == [("1", "MIT", 1), ("1", "proprietary", 2), ("3", "proprietary", 1), ("None", "MIT", 2), ("None", "proprietary", 1)]
+    with duckdb.connect() as db:
+        db.register("documents", pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}))
+        assert sorted((str(i), name, n) for i, name, n, _ in db.sql(licenses.oracle_sql()).fetchall()) == got
+    wrapped = "so all rights\nreserved. And"
+    twice = spark.createDataFrame([(1, wrapped), (1, wrapped), (1, wrapped + " on")], "doc_id bigint, text string")
+    assert [(x["license"], x["n_lines"]) for x in licenses.scan(twice).collect()] == [("proprietary", 3)]
+    assert licenses.scan(df, {"none": ""}).count() == 0
+
+
 def test_license_anchors_lose_nothing():
     for text in [*licenses.TEMPLATES.values(), *licenses.full_texts().values()]:
         grams = licenses.bigrams_of(text)
@@ -198,6 +216,45 @@ def test_toxicity_learns_words(spark):
     assert {r["predicted"] for r in toxicity.score(df, one_class).collect()} == {0}
 
 
+def test_toxicity_labels_without_documents_and_of_one_class(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, None)], "doc_id bigint, text string")
+    labels = lambda rows: spark.createDataFrame(rows, "doc_id bigint, toxic int")
+    for rows, want in (([(8, 1), (9, 0)], 0), ([(1, 0), (9, 1)], 0), ([(1, 1), (9, 0)], 1)):
+        model = toxicity.train(df, labels(rows), F.lit(True))
+        got = toxicity.score(df, model).collect()
+        assert [r["predicted"] for r in got] == [want] * 3 and all(abs(r["score"] - want) < 1e-6 for r in got)
+        assert toxicity.clean(df, model).count() == 3 * (1 - want)
+
+
+def test_ftrl_equals_a_plain_implementation():
+    """Per coordinate, in dictionaries."""
+    r = random.Random(31)
+    s = toxicity.Settings(bits=8, epochs=2)
+    rows = [np.unique(np.array([r.randrange(256) for _ in range(20)], np.uint32)) for _ in range(80)]
+    y = np.array([float(5 in x or 9 in x) for x in rows])
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    l1 = s.l1 * math.sqrt(len(rows))
+
+    def weight(i):
+        penalty = 0 if i == "bias" else l1
+        if abs(z[i]) <= penalty:
+            return 0.0
+        return (math.copysign(penalty, z[i]) - z[i]) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for x, label in zip(rows, y, strict=True):
+            at = [*x.tolist(), "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in at:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    model = toxicity.ftrl(rows, y, float(y.mean()), s)
+    assert dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True)) == {i: pytest.approx(weight(i), rel=1e-4) for i in range(256) if weight(i)}
+    assert model.bias == pytest.approx(weight("bias"))
+
+
 # 4
 def test_decontamination_finds_edited_items(spark):
     r = random.Random(2)
@@ -320,6 +377,16 @@ def test_language(spark):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_language_learns_every_language_and_null_ids_are_predicted(spark):
+    r = random.Random(32)
+    rows = [(i, " ".join(f"l{i % 300}x{r.randrange(5)}" for _ in range(20)), f"lang{i % 300}") for i in range(900)] + [(None, "l7x1 l7x2", "lang7"), (5, "l5x1", "lang5")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(df, F.lit(True))
+    assert len(model.languages) == 300
+    got = language.predict(df, model).collect()
+    assert len(got) == len(rows) and {x["lang_pred"] for x in got if x["doc_id"] is None} <= set(model.languages)
+
+
 # 6
 def base_spans(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
