@@ -1,49 +1,121 @@
 """The least cloudy observation of each cell of a latitude-longitude grid, from many full-disc frames.
 
-A frame meets only the rows of cells that its cap can reach, and only
-cells that it sees leave the generator: no join of cells with frames. The
-winner is a min_by with partial aggregation, so a task sends one row a cell, however
-many frames it read.
+Frames stream through a task one at a time: it keeps the ``blend_k`` best observations of each cell over all frames it
+reads and sends those on, once. So memory is the grid's, not the frames', there is no join of cells with frames, and what
+is shuffled is at most ``blend_k`` grids a task. A frame is held against the rows and columns that its cap reaches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumidisc.functions import color as C
 from lumidisc.functions import geo as G
+from lumidisc.functions.color import SCORERS
+from lumidisc.raster import kernels as K
+from lumidisc.session import ship
+from lumidisc.sources import images as I
 
+SEEN = "cell_row int, cell_col int, idx bigint, score double, r double, g double, b double"
 
-def visible_cells(frames: DataFrame, height: int, width: int, min_cos: float = G.MIN_COS) -> DataFrame:
-    """frames (lat, lon, ...) with cell_row, cell_col, lat1, lon1 and cos_c of every cell that each sees."""
+
+def dense_score(rgb: np.ndarray) -> np.ndarray:
+    """The cloud score of color.cloud_score on arrays."""
+    most, least = rgb.max(-1).astype(float), rgb.min(-1).astype(float)
+    grey = 1 - np.divide(most - least, most, out=np.zeros_like(most), where=most > 0)
+    return most / 255 * grey**2
+
+
+DENSE_SCORERS = {"rgb": dense_score}
+
+
+def dense_project(lat: np.ndarray, lon: np.ndarray, lat0: float, lon0: float, cx: float, cy: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    p, q, d = np.radians(lat), math.radians(lat0), np.radians(lon - lon0)
+    cos_c = np.sin(q) * np.sin(p) + np.cos(q) * np.cos(p) * np.cos(d)
+    return cx + radius * np.cos(p) * np.sin(d), cy - radius * (np.cos(q) * np.sin(p) - np.sin(q) * np.cos(p) * np.cos(d)), cos_c
+
+
+def dense_unproject(col: np.ndarray, row: np.ndarray, lat0: float, lon0: float, cx: float, cy: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, y = (col - cx) / radius, (cy - row) / radius
+    rho = np.hypot(x, y)
+    c, q, safe = np.arcsin(np.minimum(rho, 1)), math.radians(lat0), np.where(rho == 0, 1, rho)
+    lat = np.degrees(np.arcsin(np.clip(np.cos(c) * np.sin(q) + y * np.sin(c) * np.cos(q) / safe, -1, 1)))
+    lon = lon0 + np.degrees(np.arctan2(x * np.sin(c), rho * np.cos(q) * np.cos(c) - y * np.sin(q) * np.sin(c)))
+    return lat, np.mod(lon + 180, 360) - 180, rho <= 1
+
+
+def reach(lat0: float, lon0: float, height: int, width: int, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and columns of the grid that a cap reaches, in order."""
     cap = math.degrees(math.acos(min_cos))
-    row_at = lambda lat: (F.lit(90.0) - lat) / 180.0 * height - 0.5
-    first = F.greatest(F.lit(0), F.floor(row_at(F.col("lat") + cap)).cast("int"))
-    last = F.least(F.lit(height - 1), F.ceil(row_at(F.col("lat") - cap)).cast("int"))
-    rows = frames.select("*", F.explode(F.sequence(first, last)).alias("cell_row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("cell_col"))
-    lat, lon = G.cell_center(F.col("cell_row"), F.col("cell_col"), height, width)
-    placed = rows.withColumns({"lat1": lat, "lon1": lon})
-    return placed.withColumn("cos_c", G.cos_distance(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"))).where(F.col("cos_c") >= min_cos)
-
-
-def observations(frames: DataFrame, height: int, width: int, side: int, radius: float, scorer: str = "rgb", min_cos: float = G.MIN_COS, floor: float = 30, penalty: float = 0.5) -> DataFrame:
-    """What each frame shows of each cell: channels, and a score that is low for clear sky seen from above. frames: idx, lat, lon, levels."""
-    seen = visible_cells(frames, height, width, min_cos)
-    mid = F.lit(float(radius))
-    col, row, _ = G.project(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"), mid, mid, mid)
-    at = (F.rint(row) * side + F.rint(col)).cast("int")
-    inside = col.between(0, side - 1) & row.between(0, side - 1)
-    seen = seen.where(inside).withColumn("at", at)
-    n = side * side
-    pick = lambda k: F.element_at("levels", (F.col("at") + k) % n + 1)
-    seen = seen.select("idx", "cell_row", "cell_col", "cos_c", pick(0).alias("r"), pick(21).alias("g"), pick(42).alias("b"))
-    r, g, b = F.col("r"), F.col("g"), F.col("b")
-    score = F.round(C.SCORERS[scorer](r, g, b) + F.lit(penalty) * (F.lit(1.0) - F.col("cos_c")), 9)
-    return seen.where(C.luminance(r, g, b) >= floor).select("cell_row", "cell_col", "idx", "r", "g", "b", score.alias("score"))
+    row_at = lambda lat: (90 - lat) / 180 * height - 0.5
+    rows = np.arange(max(0, math.floor(row_at(lat0 + cap))), min(height - 1, math.ceil(row_at(lat0 - cap))) + 1)
+    if abs(lat0) + cap >= 90:
+        return rows, np.arange(width)
+    half = math.degrees(math.asin(min(1.0, math.sin(math.radians(cap)) / math.cos(math.radians(lat0)))))
+    first, last = ((lon0 + side * half + 180) / 360 * width - 0.5 for side in (-1, 1))
+    n = min(width, math.ceil(last) - math.floor(first) + 1)
+    return rows, np.sort((math.floor(first) + np.arange(n)) % width)
+
+
+def sampled(image: np.ndarray, row: np.ndarray, col: np.ndarray, cos_c: np.ndarray, scorer: str, floor: float, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which places are bright enough, their colours, their scores): bilinear colours; whole levels decide. A score is low for clear sky seen from above."""
+    rgb = K.bilinear(image, row, col)
+    whole = np.floor(np.clip(rgb, 0, 255) + 1e-6).astype(np.uint8)  # equal taps may sum up to a hair less
+    bright = np.flatnonzero(K.to_uint8(whole @ K.LUMA) >= floor)
+    return bright, rgb[bright], np.round(DENSE_SCORERS[scorer](whole[bright]) + penalty * (1 - cos_c[bright]), 9)
+
+
+def check(scorer: str, blend_k: int) -> None:
+    if blend_k < 1:
+        raise ValueError("blend_k must be at least 1")
+    if scorer not in SCORERS:
+        raise KeyError(scorer)
+    if scorer not in DENSE_SCORERS:
+        raise NotImplementedError(scorer)
+
+
+def observed(discs: DataFrame, height: int, width: int, *, blend_k: int = 1, scorer: str = "rgb", min_cos: float = G.MIN_COS, floor: float = 30, penalty: float = 0.5) -> DataFrame:
+    """The best observations of each cell that a task saw. discs: idx, lat, lon, cx, cy, radius, height, width, channels, data."""
+    check(scorer, blend_k)
+    k = blend_k
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lat = 90 - (np.arange(height) + 0.5) / height * 180
+        lon = -180 + (np.arange(width) + 0.5) / width * 360
+        best = np.full((k, height * width), np.inf)
+        who = np.full((k, height * width), -1, np.int64)
+        color = np.zeros((k, height * width, 3))
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows, cols = reach(r["lat"], r["lon"], height, width, min_cos)
+                col, row, cos_c = dense_project(lat[rows, None], lon[None, cols], r["lat"], r["lon"], r["cx"], r["cy"], r["radius"])
+                col = np.broadcast_to(col, cos_c.shape)
+                there = np.flatnonzero((cos_c >= min_cos) & (col >= 0) & (col <= r["width"] - 1) & (row >= 0) & (row <= r["height"] - 1))
+                seen = rows[there // len(cols)] * width + cols[there % len(cols)]
+                bright, rgb, now = sampled(I.array_of(r)[..., :3], row.ravel()[there], col.ravel()[there], cos_c.ravel()[there], scorer, floor, penalty)
+                seen = seen[bright]
+                mine = np.full(len(seen), r["idx"], np.int64)
+                for level in range(k):  # insert, and carry on with what was pushed out
+                    wins = np.flatnonzero((now < best[level, seen]) | (now == best[level, seen]) & (mine < who[level, seen]))
+                    at = seen[wins]
+                    out = best[level, at], who[level, at], color[level, at]
+                    best[level, at], who[level, at], color[level, at] = now[wins], mine[wins], rgb[wins]
+                    now[wins], mine[wins], rgb[wins] = out
+        for level in range(k):
+            at = np.flatnonzero(who[level] >= 0)
+            for i in range(0, len(at), 50_000):
+                x = at[i : i + 50_000]
+                place = {"cell_row": (x // width).astype(np.int32), "cell_col": (x % width).astype(np.int32)}
+                yield pa.RecordBatch.from_pydict({**place, "idx": who[level, x], "score": best[level, x], **{c: np.ascontiguousarray(color[level, x, j]) for j, c in enumerate("rgb")}})
+
+    ship(discs.sparkSession)
+    return discs.mapInArrow(each, SEEN)
 
 
 def winners(seen: DataFrame) -> DataFrame:
@@ -53,7 +125,7 @@ def winners(seen: DataFrame) -> DataFrame:
 
 
 def blend(seen: DataFrame, k: int = 3, margin: float = 1.5) -> DataFrame:
-    """Means weighted by 1 / score over the k best whose score is within the margin of the least."""
+    """Means weighted by 1 / score over the k best whose score is within the margin of the least; idx is the best one's."""
     if k < 1:
         raise ValueError("k must be at least 1")
     w = W.partitionBy("cell_row", "cell_col")
@@ -61,7 +133,7 @@ def blend(seen: DataFrame, k: int = 3, margin: float = 1.5) -> DataFrame:
     near = ranked.withColumn("best", F.min("score").over(w)).where(F.col("score") <= F.col("best") * margin + 1e-6)
     weight = F.lit(1.0) / F.greatest("score", F.lit(1e-6))
     mean = lambda c: (F.sum(F.col(c) * weight) / F.sum(weight)).alias(c)
-    return near.groupBy("cell_row", "cell_col").agg(mean("r"), mean("g"), mean("b"), F.count("*").alias("n"))
+    return near.groupBy("cell_row", "cell_col").agg(F.min_by("idx", "rank").alias("idx"), mean("r"), mean("g"), mean("b"), F.count("*").alias("n"))
 
 
 def coverage(cells: DataFrame, height: int, width: int) -> DataFrame:

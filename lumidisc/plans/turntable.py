@@ -8,7 +8,6 @@ memory is the grid's, not the frames', and what is shuffled is at most a grid a
 from __future__ import annotations
 
 import datetime as dt
-import math
 import os
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -21,7 +20,8 @@ from pyspark.sql import functions as F
 from lumidisc.functions import geo as G
 from lumidisc.functions import text as T
 from lumidisc.functions.color import SCORERS
-from lumidisc.operators import candidates
+from lumidisc.operators import candidates, composite
+from lumidisc.operators.composite import dense_project, dense_score, dense_unproject  # noqa: F401  of the plan too
 from lumidisc.plans.segment_batch import Settings
 from lumidisc.raster import kernels as K
 from lumidisc.sinks import gif, png
@@ -58,31 +58,6 @@ class TurntableSettings:
         return width // 2, width
 
 
-def dense_score(rgb: np.ndarray) -> np.ndarray:
-    """The cloud score of color.cloud_score on arrays."""
-    most, least = rgb.max(-1).astype(float), rgb.min(-1).astype(float)
-    grey = 1 - np.divide(most - least, most, out=np.zeros_like(most), where=most > 0)
-    return most / 255 * grey**2
-
-
-DENSE_SCORERS = {"rgb": dense_score}
-
-
-def dense_project(lat: np.ndarray, lon: np.ndarray, lat0: float, lon0: float, cx: float, cy: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    p, q, d = np.radians(lat), math.radians(lat0), np.radians(lon - lon0)
-    cos_c = np.sin(q) * np.sin(p) + np.cos(q) * np.cos(p) * np.cos(d)
-    return cx + radius * np.cos(p) * np.sin(d), cy - radius * (np.cos(q) * np.sin(p) - np.sin(q) * np.cos(p) * np.cos(d)), cos_c
-
-
-def dense_unproject(col: np.ndarray, row: np.ndarray, lat0: float, lon0: float, cx: float, cy: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x, y = (col - cx) / radius, (cy - row) / radius
-    rho = np.hypot(x, y)
-    c, q, safe = np.arcsin(np.minimum(rho, 1)), math.radians(lat0), np.where(rho == 0, 1, rho)
-    lat = np.degrees(np.arcsin(np.clip(np.cos(c) * np.sin(q) + y * np.sin(c) * np.cos(q) / safe, -1, 1)))
-    lon = lon0 + np.degrees(np.arctan2(x * np.sin(c), rho * np.cos(q) * np.cos(c) - y * np.sin(q) * np.sin(c)))
-    return lat, np.mod(lon + 180, 360) - 180, rho <= 1
-
-
 def gather(spark: SparkSession, root: str, s: TurntableSettings) -> DataFrame:
     """Frames that some viewpoint can use, each once, with idx in the order that viewpoints first meet them, and where their files are."""
     frames = metadata.frame_index(spark, root, s.collection).withColumn("event_id", F.xxhash64("image"))
@@ -110,59 +85,12 @@ def geometry(images: DataFrame, s: TurntableSettings) -> DataFrame:
     return images.mapInArrow(each, schema)
 
 
-def observed(discs: DataFrame, height: int, width: int, s: TurntableSettings) -> DataFrame:
-    """The best observations of each cell that a task saw: cell, idx, score, r, g, b."""
-    if s.blend_k < 1:
-        raise ValueError("blend_k must be at least 1")
-    if s.scorer not in SCORERS:
-        raise KeyError(s.scorer)
-    if s.scorer not in DENSE_SCORERS:
-        raise NotImplementedError(s.scorer)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, score = s.blend_k, DENSE_SCORERS[s.scorer]
-        lat = (90 - (np.arange(height) + 0.5) / height * 180)[:, None]  # trigonometry by row and by column, products by cell
-        lon = (-180 + (np.arange(width) + 0.5) / width * 360)[None]
-        best = np.full((k, height * width), np.inf)
-        who = np.full((k, height * width), -1, np.int32)
-        color = np.zeros((k, height * width, 3), np.float32)
-        for batch in batches:
-            for r in batch.to_pylist():
-                col, row, cos_c = dense_project(lat, lon, r["lat"], r["lon"], r["cx"], r["cy"], r["radius"])
-                col, row, cos_c = col.ravel(), row.ravel(), cos_c.ravel()
-                seen = np.flatnonzero((cos_c >= s.min_cos) & (col >= 0) & (col <= r["width"] - 1) & (row >= 0) & (row <= r["height"] - 1))
-                rgb = K.bilinear(I.array_of(r)[..., :3], row[seen], col[seen])
-                whole = np.clip(rgb, 0, 255).astype(np.uint8)
-                bright = K.to_uint8(whole @ K.LUMA) >= s.luminance_floor  # a list of colours, not an image
-                seen, rgb, whole = seen[bright], rgb[bright], whole[bright]
-                now = score(whole) + s.obliqueness_penalty * (1 - cos_c[seen])
-                mine = np.full(len(seen), r["idx"], np.int32)
-                for level in range(k):  # insert, and carry on with what was pushed out
-                    wins = (now < best[level, seen]) | (now == best[level, seen]) & (mine < who[level, seen])
-                    at = seen[wins]
-                    out = best[level, at].copy(), who[level, at].copy(), color[level, at].copy()
-                    best[level, at], who[level, at], color[level, at] = now[wins], mine[wins], rgb[wins]
-                    now[wins], mine[wins], rgb[wins] = out
-        for level in range(k):
-            at = np.flatnonzero(who[level] >= 0)
-            for i in range(0, len(at), 50_000):
-                x = at[i : i + 50_000]
-                yield pa.RecordBatch.from_pydict({"cell": x.astype(np.int32), "idx": who[level, x], "score": best[level, x], **{c: color[level, x, j].astype(np.float64) for j, c in enumerate("rgb")}})
-
-    return discs.mapInArrow(each, "cell int, idx int, score double, r double, g double, b double")
-
-
 def reference_grid(discs: DataFrame, height: int, width: int, s: TurntableSettings) -> DataFrame:
     """cell, idx, r, g, b: decided once for all viewpoints."""
-    seen = observed(discs, height, width, s)
-    first = F.struct("score", "idx")
-    if s.blend_k == 1:
-        best = seen.groupBy("cell").agg(F.min_by(F.struct("idx", "r", "g", "b"), first).alias("w")).select("cell", "w.*")
-    else:
-        ranked = seen.selectExpr("*", "row_number() OVER (PARTITION BY cell ORDER BY score, idx) AS k", "min(score) OVER (PARTITION BY cell) AS least").where((F.col("k") <= s.blend_k) & (F.col("score") <= F.col("least") * s.blend_margin + 1e-6))
-        weight = 1 / F.greatest("score", F.lit(1e-6))
-        best = ranked.groupBy("cell").agg(F.min_by("idx", first).alias("idx"), *((F.sum(F.col(c) * weight) / F.sum(weight)).alias(c) for c in "rgb"))
-    return best.select("cell", "idx", *(F.least(F.greatest(F.rint(c), F.lit(0)), F.lit(255)).cast("int").alias(c) for c in "rgb"))
+    seen = composite.observed(discs, height, width, blend_k=s.blend_k, scorer=s.scorer, min_cos=s.min_cos, floor=s.luminance_floor, penalty=s.obliqueness_penalty)
+    best = composite.winners(seen) if s.blend_k == 1 else composite.blend(seen, s.blend_k, s.blend_margin)
+    cell = (F.col("cell_row") * width + F.col("cell_col")).alias("cell")
+    return best.select(cell, "idx", *(F.least(F.greatest(F.rint(c), F.lit(0)), F.lit(255)).cast("int").alias(c) for c in "rgb"))
 
 
 def render(grid: np.ndarray, covered: np.ndarray, lon0: float, s: TurntableSettings) -> tuple[np.ndarray, float]:
@@ -198,7 +126,7 @@ def render_all(spark: SparkSession, root: str, out_root: str, s: TurntableSettin
         discs = geometry(I.read_images(spark, paths).join(wanted, "path").select("idx", "lat", "lon", "height", "width", "channels", "data"), s)
         reference_grid(discs, height, width, s).write.mode("overwrite").parquet(grid_path)
     else:
-        spark.createDataFrame([], "cell int, idx int, r int, g int, b int").write.mode("overwrite").parquet(grid_path)
+        spark.createDataFrame([], "cell int, idx bigint, r int, g int, b int").write.mode("overwrite").parquet(grid_path)
     cells = spark.read.parquet(grid_path).toPandas()  # bounded by MOST_CELLS
     grid, covered = np.zeros((height * width, 3), np.uint8), np.zeros(height * width, bool)
     grid[cells["cell"]], covered[cells["cell"]] = cells[["r", "g", "b"]].to_numpy(), True

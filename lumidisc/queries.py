@@ -14,6 +14,7 @@ from lumidisc.functions import text as T
 from lumidisc.operators import candidates, composite, dates, mirror, palette, segmentation
 from lumidisc.raster import kernels as K
 from lumidisc.raster.arrow import grid, per_image
+from lumidisc.sinks import sheets
 from lumidisc.sources import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,24 +323,13 @@ def upscale(spark, sf_dir):
     return per_image(dense(spark, sf_dir), lambda im: grid(K.upscale(im, 2)), "row int, col int, v int", D.SIDE)
 
 
-@query(f"WITH {PX}, n AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS k FROM lv WHERE image_id < 10) SELECT CAST(row + (k // 4) * 8 AS INT) AS y, CAST(col + (k % 4) * 8 AS INT) AS x, r AS v FROM px JOIN n USING (image_id)")
-def contact_sheet(spark, sf_dir):
-    from lumidisc.sinks.sheets import sheet_columns
-
-    few = px(spark, sf_dir).where("image_id < 10")
-    order = few.select("image_id").distinct().selectExpr("image_id", "row_number() OVER (ORDER BY image_id) - 1 AS k")
-    c = F.lit(sheet_columns(10))
-    return few.join(F.broadcast(order), "image_id").select((F.col("row") + F.floor(F.col("k") / c) * 8).cast("int").alias("y"), (F.col("col") + F.col("k") % c * 8).cast("int").alias("x"), F.col("r").alias("v"))
+SHEET = PX + ", n AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS k FROM lv), w AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w FROM lv)"
 
 
-# The SQL of the query above is of ten images; this is of all, and tested by brute force.
-@query()
-def contact_sheet_all(spark, sf_dir):
-    from lumidisc.sinks.sheets import sheet_columns
-
+@query(f"WITH {SHEET} SELECT CAST(row + (k // w) * 8 AS INT) AS y, CAST(col + (k % w) * 8 AS INT) AS x, r AS v FROM px JOIN n USING (image_id), w")
+def contact_sheet(spark, sf_dir):
     order = D.numbered(dense(spark, sf_dir), "image_id", "k")
-    c = F.lit(sheet_columns(order.count()))
-    return px(spark, sf_dir).join(order, "image_id").select((F.col("row") + F.floor(F.col("k") / c) * 8).cast("int").alias("y"), (F.col("col") + F.col("k") % c * 8).cast("int").alias("x"), F.col("r").alias("v"))
+    return sheets.sheet_pixels(px(spark, sf_dir).join(order, "image_id"), order.count(), D.SIDE).select("y", "x", F.col("r").alias("v"))
 
 
 # ---------------------------------------------------------------- palettes
@@ -433,33 +423,50 @@ def candidate_union(spark, sf_dir):
     return candidates.union_frames(_near(spark, sf_dir))
 
 
-SEEN = f"""{LV}, {FR}, f AS (SELECT event_id AS idx, lat, lon, l FROM frames JOIN lv ON lv.image_id = event_id % 500 WHERE event_id < 400),
+def _tap(y: str, x: str, k: int) -> str:
+    return f"l[({y} * 8 + {x} + {k}) % 64 + 1]"
+
+
+def _soft(k: int) -> str:
+    """A bilinear sample of the channel that begins k places on."""
+    return f"(({_tap('y0', 'x0', k)} * (1 - fx) + {_tap('y0', 'x1', k)} * fx) * (1 - fy) + ({_tap('y1', 'x0', k)} * (1 - fx) + {_tap('y1', 'x1', k)} * fx) * fy)"
+
+
+_WHOLE = ", ".join(f"CAST(floor(least(greatest({c}, 0), 255) + 1e-6) AS INT) AS {c}" for c in "rgb")
+SEEN = f"""{LV}, {FR}, f AS (SELECT event_id AS idx, lat, lon, l FROM frames JOIN lv ON lv.image_id = event_id % (SELECT count(*) FROM embeddings)),
 cells AS (SELECT CAST(i // 72 AS INT) AS cell_row, CAST(i % 72 AS INT) AS cell_col, 90 - (i // 72 + 0.5e0) / 36 * 180 AS la, -180 + (i % 72 + 0.5e0) / 72 * 360 AS lo FROM range(2592) t(i)),
 j AS (SELECT *, {COS.format(a='lat', b='lon', c='la', d='lo')} AS cos_c FROM cells, f),
 p AS (SELECT *, 3.5e0 + 3.5e0 * cos(radians(la)) * sin(radians(lo - lon)) AS x, 3.5e0 - 3.5e0 * (cos(radians(lat)) * sin(radians(la)) - sin(radians(lat)) * cos(radians(la)) * cos(radians(lo - lon))) AS y FROM j WHERE cos_c >= 0.35e0),
-o AS (SELECT *, CAST(round_even(y, 0) * 8 + round_even(x, 0) AS INT) AS spot FROM p WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7),
-c AS (SELECT cell_row, cell_col, idx, cos_c, l[spot + 1] AS r, l[(spot + 21) % 64 + 1] AS g, l[(spot + 42) % 64 + 1] AS b FROM o),
-seen AS (SELECT cell_row, cell_col, idx, r, g, b, round({CLOUD} + 0.5e0 * (1 - cos_c), 9) AS score FROM c WHERE {LUM} >= 30),
-win AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY cell_row, cell_col ORDER BY score, idx) = 1)"""
+q AS (SELECT cell_row, cell_col, idx, cos_c, l, CAST(floor(x) AS INT) AS x0, CAST(floor(y) AS INT) AS y0, x - floor(x) AS fx, y - floor(y) AS fy FROM p WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7),
+t AS (SELECT *, least(x0 + 1, 7) AS x1, least(y0 + 1, 7) AS y1 FROM q),
+o AS (SELECT cell_row, cell_col, idx, cos_c, {_soft(0)} AS sr, {_soft(21)} AS sg, {_soft(42)} AS sb FROM t),
+c AS (SELECT cell_row, cell_col, idx, cos_c, sr, sg, sb, {_WHOLE} FROM (SELECT *, sr AS r, sg AS g, sb AS b FROM o)),
+seen AS (SELECT cell_row, cell_col, idx, sr, sg, sb, round({CLOUD} + 0.5e0 * (1 - cos_c), 9) AS score FROM c WHERE {LUM} >= 30),
+win AS (SELECT cell_row, cell_col, idx, sr AS r, sg AS g, sb AS b, score FROM seen QUALIFY row_number() OVER (PARTITION BY cell_row, cell_col ORDER BY score, idx) = 1)"""
+
 
+def _seen(spark, sf_dir, k: int = 1):
+    """What every frame of the table shows, with an image of the whole table; the best k of each cell and task."""
+    discs = D.discs(read(spark, sf_dir, "events"), read(spark, sf_dir, "embeddings"))
+    return composite.observed(discs.repartition(spark.sparkContext.defaultParallelism), 36, 72, blend_k=k)
 
-def _seen(spark, sf_dir):
-    f = frames(spark, sf_dir).where("event_id < 400").withColumn("image_id", F.col("event_id") % 500)
-    f = f.join(dense(spark, sf_dir), "image_id").select(F.col("event_id").alias("idx"), "lat", "lon", "levels")
-    return composite.observations(f, 36, 72, D.SIDE, 3.5)
 
+def _soft_rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 5) for c in "rgb"})
 
-@query(f"WITH {SEEN} SELECT cell_row, cell_col, idx, r, g, b, score FROM win")
+
+@query(f"WITH {SEEN} SELECT cell_row, cell_col, idx, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b, score FROM win")
 def composite_winner(spark, sf_dir):
-    return composite.winners(_seen(spark, sf_dir))
+    return _soft_rounded(composite.winners(_seen(spark, sf_dir)))
 
 
 @query(
     f"WITH {SEEN}, k AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY cell_row, cell_col ORDER BY score, idx) <= 3), m AS (SELECT *, min(score) OVER (PARTITION BY cell_row, cell_col) AS best FROM k), "
-    "w AS (SELECT *, 1 / greatest(score, 1e-6) AS w FROM m WHERE score <= best * 1.5e0 + 1e-6) SELECT cell_row, cell_col, round(sum(r * w) / sum(w), 5) AS r, round(sum(g * w) / sum(w), 5) AS g, round(sum(b * w) / sum(w), 5) AS b, count(*) AS n FROM w GROUP BY ALL"
+    "w AS (SELECT *, 1 / greatest(score, 1e-6) AS w FROM m WHERE score <= best * 1.5e0 + 1e-6) "
+    "SELECT cell_row, cell_col, arg_min(idx, score + idx * 1e-18) AS idx, round(sum(sr * w) / sum(w), 5) AS r, round(sum(sg * w) / sum(w), 5) AS g, round(sum(sb * w) / sum(w), 5) AS b, count(*) AS n FROM w GROUP BY ALL"
 )
 def composite_blend(spark, sf_dir):
-    return composite.blend(_seen(spark, sf_dir)).withColumns({c: F.round(c, 5) for c in "rgb"})
+    return _soft_rounded(composite.blend(_seen(spark, sf_dir, 3)))
 
 
 @query(f"WITH {SEEN} SELECT count(*) AS covered, round(count(*) / 2592e0, 9) AS share FROM win")
@@ -467,69 +474,24 @@ def grid_coverage(spark, sf_dir):
     return composite.coverage(composite.winners(_seen(spark, sf_dir)), 36, 72).withColumn("share", F.round("share", 9))
 
 
-def _all_seen(spark, sf_dir):
-    """Every frame with an image of the whole table: the k-th of n images in the order of ids, k the frame's id modulo n."""
-    images = read(spark, sf_dir, "embeddings").select("vec_id")
-    n = images.count()
-    order = D.numbered(images, "vec_id", "k")
-    levels = dense(spark, sf_dir).join(order.withColumnRenamed("vec_id", "image_id"), "image_id").select("k", "levels")
-    f = frames(spark, sf_dir).withColumn("k", F.pmod(F.col("event_id"), F.lit(max(1, n))))
-    f = f.join(levels, "k").select(F.col("event_id").alias("idx"), "lat", "lon", "levels")
-    return composite.observations(f, 36, 72, D.SIDE, 3.5)
-
-
-# The SQL of the three queries above is of 400 frames; these are of all, and tested by brute force: a join of all frames with all cells is too slow in SQL.
-@query()
-def composite_winner_all(spark, sf_dir):
-    return composite.winners(_all_seen(spark, sf_dir))
-
-
-@query()
-def composite_blend_all(spark, sf_dir):
-    return composite.blend(_all_seen(spark, sf_dir)).withColumns({c: F.round(c, 5) for c in "rgb"})
-
-
-@query()
-def grid_coverage_all(spark, sf_dir):
-    return composite.coverage(composite.winners(_all_seen(spark, sf_dir)), 36, 72).withColumn("share", F.round("share", 9))
-
-
-GRID8 = PX + ", grid AS (SELECT row AS cell_row, col AS cell_col, r, g, b FROM px WHERE image_id = 0 AND (row + col) % 5 <> 0)"
-
-
-def _grid8(spark, sf_dir):
-    return px(spark, sf_dir).where("image_id = 0 AND (row + col) % 5 <> 0").select(F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), "r", "g", "b")
-
-
 def _points(spark, sf_dir):
     return frames(spark, sf_dir).select(F.col("event_id").alias("id"), "lat", "lon")
 
 
-PLACED = f"pt AS (SELECT event_id AS id, least(greatest(fr, 0), 7) AS fr, fc FROM (SELECT event_id, {CELL.format(h=8, w=8)} FROM frames))"
+PLACED = f"pt AS (SELECT event_id AS id, least(greatest(fr, 0), 35) AS fr, fc FROM (SELECT event_id, {CELL.format(h=36, w=72)} FROM frames))"
 
 
-@query(f"WITH {GRID8}, {FR}, {PLACED}, q AS (SELECT id, CAST(round_even(fr, 0) AS INT) AS y, CAST(round_even(fc, 0) AS INT) % 8 AS x FROM pt) SELECT id, r, g, b FROM q LEFT JOIN grid ON y = cell_row AND x = cell_col")
+@query(f"WITH {SEEN}, {PLACED}, tap AS (SELECT id, CAST(round_even(fr, 0) AS INT) AS y, CAST(round_even(fc, 0) AS INT) % 72 AS x FROM pt) SELECT id, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b FROM tap LEFT JOIN win ON y = cell_row AND x = cell_col")
 def grid_nearest(spark, sf_dir):
-    return composite.sample(_points(spark, sf_dir), _grid8(spark, sf_dir), 8, 8, nearest=True)
+    return _soft_rounded(composite.sample(_points(spark, sf_dir), composite.winners(_seen(spark, sf_dir)), 36, 72, nearest=True))
 
 
 @query(
-    f"WITH {GRID8}, {FR}, {PLACED}, q AS (SELECT id, least(CAST(floor(fr) AS INT) + dy, 7) AS y, (CAST(floor(fc) AS INT) + dx) % 8 AS x, (CASE dy WHEN 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END) * (CASE dx WHEN 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END) AS w FROM pt, range(2) a(dy), range(2) b(dx)) "
-    "SELECT id, round(sum(w * coalesce(r, 0)), 5) AS r, round(sum(w * coalesce(g, 0)), 5) AS g, round(sum(w * coalesce(b, 0)), 5) AS b FROM q LEFT JOIN grid ON y = cell_row AND x = cell_col GROUP BY id"
+    f"WITH {SEEN}, {PLACED}, tap AS (SELECT id, least(CAST(floor(fr) AS INT) + dy, 35) AS y, (CAST(floor(fc) AS INT) + dx) % 72 AS x, (CASE dy WHEN 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END) * (CASE dx WHEN 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END) AS w FROM pt, range(2) a(dy), range(2) b(dx)) "
+    "SELECT id, round(sum(w * coalesce(r, 0)), 5) AS r, round(sum(w * coalesce(g, 0)), 5) AS g, round(sum(w * coalesce(b, 0)), 5) AS b FROM tap LEFT JOIN win ON y = cell_row AND x = cell_col GROUP BY id"
 )
 def grid_bilinear(spark, sf_dir):
-    return composite.sample(_points(spark, sf_dir), _grid8(spark, sf_dir), 8, 8).withColumns({c: F.round(c, 5) for c in "rgb"})
-
-
-# The SQL of the two queries above samples one image; these sample the composite of all frames.
-@query()
-def grid_nearest_all(spark, sf_dir):
-    return composite.sample(_points(spark, sf_dir), composite.winners(_all_seen(spark, sf_dir)), 36, 72, nearest=True)
-
-
-@query()
-def grid_bilinear_all(spark, sf_dir):
-    return composite.sample(_points(spark, sf_dir), composite.winners(_all_seen(spark, sf_dir)), 36, 72).withColumns({c: F.round(c, 5) for c in "rgb"})
+    return _soft_rounded(composite.sample(_points(spark, sf_dir), composite.winners(_seen(spark, sf_dir)), 36, 72))
 
 
 # ---------------------------------------------------------------- dates

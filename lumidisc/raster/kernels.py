@@ -293,5 +293,5 @@ def bilinear(image: np.ndarray, row: np.ndarray, col: np.ndarray, wrap: bool = F
     r1 = np.minimum(r0 + 1, h - 1)
     c1 = (c0 + 1) % w if wrap else np.minimum(c0 + 1, w - 1)
     c0 = c0 % w
-    px = image.astype(float)
-    return (px[r0, c0] * (1 - fc) + px[r0, c1] * fc) * (1 - fr) + (px[r1, c0] * (1 - fc) + px[r1, c1] * fc) * fr
+    px = lambda r, c: image[r, c].astype(float)
+    return (px(r0, c0) * (1 - fc) + px(r0, c1) * fc) * (1 - fr) + (px(r1, c0) * (1 - fc) + px(r1, c1) * fc) * fr

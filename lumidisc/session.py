@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,6 +21,19 @@ def build(master: str = "local[*]", app: str = "lumidisc", **more: str) -> Spark
     return SparkSession.builder.master(master).appName(app).config(map=SETTINGS | more).getOrCreate()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder of spark.checkpoint.dir. Only a local session that names none gets a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.startswith("local") and "cluster" not in context.master:
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the workers, once for each context, so that they needn't have it on their path. Spark serves the archive from the driver."""
     context = spark.sparkContext

@@ -5,12 +5,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def sheet_columns(n: int) -> int:
     return max(1, math.ceil(math.sqrt(n)))
 
 
+def sheet_pixels(pixels: DataFrame, tiles: int, side: int) -> DataFrame:
+    """Pixels (k: the tile's number, row, col, ...) with their places y and x on a sheet, however large it is."""
+    columns = F.lit(sheet_columns(tiles))
+    return pixels.withColumns({"y": (F.col("row") + F.floor(F.col("k") / columns) * side).cast("int"), "x": (F.col("col") + F.col("k") % columns * side).cast("int")})
+
+
 def flatten(rgba: np.ndarray, background: tuple[int, int, int] = (0, 0, 0)) -> np.ndarray:
     """An RGBA image over a solid background."""
     a = rgba[..., 3:].astype(float) / 255

