@@ -33,12 +33,16 @@ def dense_score(rgb: np.ndarray) -> np.ndarray:
 
 
 DENSE_SCORERS = {"rgb": dense_score}
+#: Cells of all frames that are worked on together.
+GROUP_CELLS = 1 << 17
 
 
 def dense_project(lat: np.ndarray, lon: np.ndarray, lat0: float, lon0: float, cx: float, cy: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    p, q, d = np.radians(lat), math.radians(lat0), np.radians(lon - lon0)
-    cos_c = np.sin(q) * np.sin(p) + np.cos(q) * np.cos(p) * np.cos(d)
-    return cx + radius * np.cos(p) * np.sin(d), cy - radius * (np.cos(q) * np.sin(p) - np.sin(q) * np.cos(p) * np.cos(d)), cos_c
+    """Column, row and the cosine of the distance from the disc's centre, of one frame or (with further axes) of many."""
+    p, q, d = np.radians(lat), np.radians(lat0), np.radians(lon - lon0)
+    turned = np.cos(p) * np.cos(d)
+    cos_c = np.sin(q) * np.sin(p) + np.cos(q) * turned
+    return cx + radius * (np.cos(p) * np.sin(d)), cy - radius * (np.cos(q) * np.sin(p) - np.sin(q) * turned), cos_c
 
 
 def dense_unproject(col: np.ndarray, row: np.ndarray, lat0: float, lon0: float, cx: float, cy: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,6 +75,18 @@ def sampled(image: np.ndarray, row: np.ndarray, col: np.ndarray, cos_c: np.ndarr
     return bright, rgb[bright], np.round(DENSE_SCORERS[scorer](whole[bright]) + penalty * (1 - cos_c[bright]), 9)
 
 
+def alike(frames: list[dict], most: int) -> Iterator[list[dict]]:
+    """Runs of up to ``most`` frames of one size: small ones on a small grid are worked on together."""
+    i = 0
+    while i < len(frames):
+        shape = [frames[i][c] for c in ("height", "width", "channels")]
+        j = i + 1
+        while j < min(len(frames), i + most) and [frames[j][c] for c in ("height", "width", "channels")] == shape and len(frames[i]["data"]) < 1 << 16:
+            j += 1
+        yield frames[i:j]
+        i = j
+
+
 def check(scorer: str, blend_k: int) -> None:
     if blend_k < 1:
         raise ValueError("blend_k must be at least 1")
@@ -91,22 +107,35 @@ def observed(discs: DataFrame, height: int, width: int, *, blend_k: int = 1, sco
         best = np.full((k, height * width), np.inf)
         who = np.full((k, height * width), -1, np.int64)
         color = np.zeros((k, height * width, 3))
-        for batch in batches:
-            for r in batch.to_pylist():
-                rows, cols = reach(r["lat"], r["lon"], height, width, min_cos)
-                col, row, cos_c = dense_project(lat[rows, None], lon[None, cols], r["lat"], r["lon"], r["cx"], r["cy"], r["radius"])
-                col = np.broadcast_to(col, cos_c.shape)
-                there = np.flatnonzero((cos_c >= min_cos) & (col >= 0) & (col <= r["width"] - 1) & (row >= 0) & (row <= r["height"] - 1))
-                seen = rows[there // len(cols)] * width + cols[there % len(cols)]
-                bright, rgb, now = sampled(I.array_of(r)[..., :3], row.ravel()[there], col.ravel()[there], cos_c.ravel()[there], scorer, floor, penalty)
-                seen = seen[bright]
-                mine = np.full(len(seen), r["idx"], np.int64)
-                for level in range(k):  # insert, and carry on with what was pushed out
-                    wins = np.flatnonzero((now < best[level, seen]) | (now == best[level, seen]) & (mine < who[level, seen]))
-                    at = seen[wins]
+
+        def insert(seen: np.ndarray, mine: int, now: np.ndarray, rgb: np.ndarray) -> None:
+            idx = np.full(len(seen), mine, np.int64)
+            for level in range(k):  # insert, and carry on with what was pushed out
+                wins = np.flatnonzero((now < best[level, seen]) | (now == best[level, seen]) & (idx < who[level, seen]))
+                at = seen[wins]
+                if level + 1 < k:
                     out = best[level, at], who[level, at], color[level, at]
-                    best[level, at], who[level, at], color[level, at] = now[wins], mine[wins], rgb[wins]
-                    now[wins], mine[wins], rgb[wins] = out
+                best[level, at], who[level, at], color[level, at] = now[wins], idx[wins], rgb[wins]
+                if level + 1 < k:
+                    now[wins], idx[wins], rgb[wins] = out
+
+        for batch in batches:
+            for group in alike(batch.to_pylist(), max(1, GROUP_CELLS // (height * width))):
+                rows, cols = reach(group[0]["lat"], group[0]["lon"], height, width, min_cos) if len(group) == 1 else (np.arange(height), np.arange(width))
+                of = {c: np.array([r[c] for r in group], float)[:, None, None] for c in ("lat", "lon", "cx", "cy", "radius")}
+                h, w = group[0]["height"], group[0]["width"]
+                col, row, cos_c = dense_project(lat[None, rows, None], lon[None, None, cols], *of.values())
+                there = np.flatnonzero((cos_c >= min_cos) & (col >= 0) & (col <= w - 1) & (row >= 0) & (row <= h - 1))
+                frame, cell = np.divmod(there, len(rows) * len(cols))
+                seen = rows[cell // len(cols)] * width + cols[cell % len(cols)]
+                # scorers give no less than 0, so the penalty alone rules out most places once a task has seen some frames
+                may = np.flatnonzero(penalty * (1 - cos_c.ravel()[there]) <= best[k - 1, seen] + 1e-8)
+                there, frame, seen = there[may], frame[may], seen[may]
+                images = np.concatenate([I.array_of(r)[..., :3] for r in group]) if len(group) > 1 else I.array_of(group[0])[..., :3]
+                bright, rgb, now = sampled(images, row.ravel()[there] + frame * h, col.ravel()[there], cos_c.ravel()[there], scorer, floor, penalty)
+                seen, cuts = seen[bright], np.searchsorted(frame[bright], np.arange(len(group) + 1))
+                for r, a, z in zip(group, cuts, cuts[1:], strict=False):
+                    insert(seen[a:z], r["idx"], now[a:z], rgb[a:z])
         for level in range(k):
             at = np.flatnonzero(who[level] >= 0)
             for i in range(0, len(at), 50_000):
