@@ -60,9 +60,9 @@ class Settings:
     max_filter_bytes: int = 32 << 20
     heavy: int = 1 << 20
     kappa: float = 200.0
-    flush: int = 3 << 19
+    flush: int = 1 << 21
     part_bytes: int = 8 << 20
-    bucket_bytes: int = 4 << 20
+    bucket_bytes: int = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -102,14 +102,21 @@ def pairs(history: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def gaps(keys: np.ndarray) -> bytes:
-    """Sorted keys of 48 upper bits as gaps of 32 bits; larger ones as 64-bit numbers at the end."""
+    """Sorted keys of 48 upper bits as gaps of 32 bits: how many are larger, these as 64-bit numbers, the lower three bytes of each gap, and the upper bytes, which are far from even, packed."""
     gap = np.diff(keys >> np.uint64(16), prepend=np.uint64(0))
-    return np.minimum(gap, 2**32 - 1).astype("<u4").tobytes() + gap[gap >= 2**32 - 1].astype("<u8").tobytes()
+    large = gap[gap >= 2**32 - 1]
+    planes = np.minimum(gap, 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return len(large).to_bytes(4, "little") + large.astype("<u8").tobytes() + planes[:, :3].tobytes() + pa.compress(planes[:, 3].tobytes(), "zstd", asbytes=True)
 
 
 def from_gaps(data: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(data, "<u4", n).astype(np.uint64)
-    out[out == 2**32 - 1] = np.frombuffer(data[4 * n :], "<u8")
+    large = int.from_bytes(data[:4], "little")
+    begin = 4 + 8 * large
+    planes = np.empty((n, 4), np.uint8)
+    planes[:, :3] = np.frombuffer(data, np.uint8, 3 * n, begin).reshape(-1, 3)
+    planes[:, 3] = np.frombuffer(pa.decompress(data[begin + 3 * n :], n, "zstd", asbytes=True), np.uint8)
+    out = planes.view("<u4").ravel().astype(np.uint64)
+    out[out == 2**32 - 1] = np.frombuffer(data, "<u8", large, 4)
     return np.cumsum(out, dtype=np.uint64) << np.uint64(16)
 
 

@@ -86,6 +86,13 @@ def test_lm_filter_beyond_a_broadcast_stays_whole(documents):
             assert results[1][i][c] == pytest.approx(r[c])
 
 
+def test_lm_key_lists_are_a_round_trip():
+    r = np.random.default_rng(33)
+    for n, top in ((0, 1), (1, 1 << 48), (5, 1 << 48), (5000, 1 << 48), (5000, 1 << 40), (3, 1 << 20)):
+        keys = np.unique(r.integers(0, top, n).astype(np.uint64)) << np.uint64(16)
+        assert np.array_equal(ngram_model.from_gaps(ngram_model.gaps(keys), len(keys)), keys)
+
+
 def lm_by_force(corpus, s):
     """Exact counts, quantised, and the formula."""
     words = {i: [None, *WORD.findall(lowered(t)), None] for i, t in corpus}
