@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import json
 import sys
 
 from lumidisc.functions.text import NOMINAL_BYTES
@@ -49,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--spread", type=int)
     f.add_argument("--date", action="append", type=dt.date.fromisoformat)
     f.add_argument("--last", type=int)
-    f.add_argument("--max-bytes", type=byte_size)
+    f.add_argument("--max-bytes", type=byte_size, default="10GiB")
     f.add_argument("--delay", type=float, default=0.5)
     f.add_argument("--retries", type=int, default=5)
     f.add_argument("--user-agent", default="lumidisc")
@@ -105,7 +106,7 @@ def run_fetch(a: argparse.Namespace, client=None) -> int:
         for asked, day in picked:
             mine, gone = ([image for d, image in x if d == day] for x in (plan.present + plan.missing, plan.missing))
             need = sum(plan.sizes.get(i, NOMINAL_BYTES[a.format]) for i in gone)
-            print(f"{day}: {len(mine)} frames, {len(gone)} missing, {human(need)}" + (f" (asked for {asked}, {abs((day - asked).days)} days off)" if day != asked else ""))
+            print(f"{day}: {len(mine)} frames, {plan.swept[day]:.0f} degrees swept, {len(gone)} missing, {human(need)}" + (f" (asked for {asked}, {abs((day - asked).days)} days off)" if day != asked else ""))
         share = f", {100 * (plan.mirror_bytes + plan.download_bytes) / a.max_bytes:.0f} % of what is allowed" if a.max_bytes else ""
         print(f"mirror {human(plan.mirror_bytes)}, to come {human(plan.download_bytes)}{share}")
         if a.dry_run or not (plan.missing or a.revalidate):
@@ -144,7 +145,9 @@ def main(argv: list[str] | None = None) -> int:
             settings = plan.TurntableSettings(a.lat0, a.frames, a.radius, 1.08, a.min_cos, a.luminance_floor, a.obliqueness_penalty, a.blend_k, a.blend_margin, a.max_candidates, a.reference_scale, a.scorer, a.collection, a.fmt)
             run, report = plan.render_all(spark, a.mirror, a.output, settings, write_gif=not a.no_gif, write_sheet=not a.no_contact_sheet)
             rows = report.collect()
-            print(run, f"{len(rows)} frames, {sum(r['suspect_fraction'] > 0.05 for r in rows)} need a look")
+            with open(f"{run}/manifest.json") as f:
+                told = json.load(f)
+            print(run, f"{len(rows)} frames from {told['candidates']} candidates ({told['segmented']} segmented now), reference coverage {100 * told['reference_coverage']:.1f} %, mean suspect fraction {100 * told['mean_suspect_fraction']:.4f} %, {sum(r['suspect_fraction'] > 0.05 for r in rows)} need a look")
             return 0
         if a.command == "pixelart":
             from lumidisc.plans import sprites as plan

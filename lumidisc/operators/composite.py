@@ -96,6 +96,34 @@ def check(scorer: str, blend_k: int) -> None:
         raise NotImplementedError(scorer)
 
 
+class Best:
+    """The k best observations of each place, whatever the order in which they come; the smaller idx on a tie."""
+
+    def __init__(self, k: int, places: int):
+        self.k = k
+        self.score = np.full((k, places), np.inf)
+        self.who = np.full((k, places), -1, np.int64)
+        self.color = np.zeros((k, places, 3))
+
+    def insert(self, at: np.ndarray, idx: int, score: np.ndarray, color: np.ndarray) -> None:
+        """One frame's observations; each place once."""
+        who = np.full(len(at), idx, np.int64)
+        for level in range(self.k):  # insert, and carry on with what was pushed out
+            wins = np.flatnonzero((score < self.score[level, at]) | (score == self.score[level, at]) & (who < self.who[level, at]))
+            x = at[wins]
+            out = self.score[level, x], self.who[level, x], self.color[level, x]
+            self.score[level, x], self.who[level, x], self.color[level, x] = score[wins], who[wins], color[wins]
+            if level + 1 < self.k:
+                score[wins], who[wins], color[wins] = out
+
+    def blended(self, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """Colours, and the best one's idx; -1 where nothing was observed."""
+        near = np.isfinite(self.score) & (self.score <= self.score[0] * margin + 1e-6)
+        weight = np.where(near, 1 / np.maximum(np.where(near, self.score, 1), 1e-6), 0)
+        total = weight.sum(0)
+        return (weight[..., None] * self.color).sum(0) / np.where(total > 0, total, 1)[:, None], self.who[0]
+
+
 def observed(discs: DataFrame, height: int, width: int, *, blend_k: int = 1, scorer: str = "rgb", min_cos: float = G.MIN_COS, floor: float = 30, penalty: float = 0.5) -> DataFrame:
     """The best observations of each cell that a task saw. discs: idx, lat, lon, cx, cy, radius, height, width, channels, data."""
     check(scorer, blend_k)
@@ -104,21 +132,7 @@ def observed(discs: DataFrame, height: int, width: int, *, blend_k: int = 1, sco
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = 90 - (np.arange(height) + 0.5) / height * 180
         lon = -180 + (np.arange(width) + 0.5) / width * 360
-        best = np.full((k, height * width), np.inf)
-        who = np.full((k, height * width), -1, np.int64)
-        color = np.zeros((k, height * width, 3))
-
-        def insert(seen: np.ndarray, mine: int, now: np.ndarray, rgb: np.ndarray) -> None:
-            idx = np.full(len(seen), mine, np.int64)
-            for level in range(k):  # insert, and carry on with what was pushed out
-                wins = np.flatnonzero((now < best[level, seen]) | (now == best[level, seen]) & (idx < who[level, seen]))
-                at = seen[wins]
-                if level + 1 < k:
-                    out = best[level, at], who[level, at], color[level, at]
-                best[level, at], who[level, at], color[level, at] = now[wins], idx[wins], rgb[wins]
-                if level + 1 < k:
-                    now[wins], idx[wins], rgb[wins] = out
-
+        kept = Best(k, height * width)
         for batch in batches:
             for group in alike(batch.to_pylist(), max(1, GROUP_CELLS // (height * width))):
                 rows, cols = reach(group[0]["lat"], group[0]["lon"], height, width, min_cos) if len(group) == 1 else (np.arange(height), np.arange(width))
@@ -129,19 +143,19 @@ def observed(discs: DataFrame, height: int, width: int, *, blend_k: int = 1, sco
                 frame, cell = np.divmod(there, len(rows) * len(cols))
                 seen = rows[cell // len(cols)] * width + cols[cell % len(cols)]
                 # scorers give no less than 0, so the penalty alone rules out most places once a task has seen some frames
-                may = np.flatnonzero(penalty * (1 - cos_c.ravel()[there]) <= best[k - 1, seen] + 1e-8)
+                may = np.flatnonzero(penalty * (1 - cos_c.ravel()[there]) <= kept.score[k - 1, seen] + 1e-8)
                 there, frame, seen = there[may], frame[may], seen[may]
                 images = np.concatenate([I.array_of(r)[..., :3] for r in group]) if len(group) > 1 else I.array_of(group[0])[..., :3]
                 bright, rgb, now = sampled(images, row.ravel()[there] + frame * h, col.ravel()[there], cos_c.ravel()[there], scorer, floor, penalty)
                 seen, cuts = seen[bright], np.searchsorted(frame[bright], np.arange(len(group) + 1))
                 for r, a, z in zip(group, cuts, cuts[1:], strict=False):
-                    insert(seen[a:z], r["idx"], now[a:z], rgb[a:z])
+                    kept.insert(seen[a:z], r["idx"], now[a:z], rgb[a:z])
         for level in range(k):
-            at = np.flatnonzero(who[level] >= 0)
+            at = np.flatnonzero(kept.who[level] >= 0)
             for i in range(0, len(at), 50_000):
                 x = at[i : i + 50_000]
                 place = {"cell_row": (x // width).astype(np.int32), "cell_col": (x % width).astype(np.int32)}
-                yield pa.RecordBatch.from_pydict({**place, "idx": who[level, x], "score": best[level, x], **{c: np.ascontiguousarray(color[level, x, j]) for j, c in enumerate("rgb")}})
+                yield pa.RecordBatch.from_pydict({**place, "idx": kept.who[level, x], "score": kept.score[level, x], **{c: np.ascontiguousarray(kept.color[level, x, j]) for j, c in enumerate("rgb")}})
 
     ship(discs.sparkSession)
     return discs.mapInArrow(each, SEEN)

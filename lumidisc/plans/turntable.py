@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -22,8 +22,10 @@ from lumidisc.functions import text as T
 from lumidisc.functions.color import SCORERS
 from lumidisc.operators import candidates, composite
 from lumidisc.operators.composite import dense_project, dense_score, dense_unproject  # noqa: F401  of the plan too
+from lumidisc.plans import geometry
 from lumidisc.plans.segment_batch import Settings
 from lumidisc.raster import kernels as K
+from lumidisc.session import checkpointed
 from lumidisc.sinks import gif, png
 from lumidisc.sinks.files import land, link_latest, manifest
 from lumidisc.sinks.sheets import contact_sheet
@@ -63,26 +65,30 @@ def gather(spark: SparkSession, root: str, s: TurntableSettings) -> DataFrame:
     frames = metadata.frame_index(spark, root, s.collection).withColumn("event_id", F.xxhash64("image"))
     near = candidates.nearest_frames(frames, candidates.viewpoints(spark, s.frames, s.lat0), s.max_candidates, 2 * G.cap_radius(s.min_cos))
     once = candidates.union_frames(near).selectExpr("image", "row_number() OVER (ORDER BY vp, rank) - 1 AS idx")  # at most frames * max_candidates rows
-    return metadata.located(frames.dropDuplicates(["image"]).join(once, "image"), root, s.form).select("idx", "image", "lat", "lon", "path")
+    return metadata.located(frames.dropDuplicates(["image"]).join(once, "image"), root, s.form).select("idx", "collection", "image", "lat", "lon", "path")
 
 
-def geometry(images: DataFrame, s: TurntableSettings) -> DataFrame:
-    """idx, lat, lon, image data and the disc in it; frames without a proper disc go. Discs come from the segmentation's tight box."""
-    keywords = asdict(s.segmentation)
-    schema = "idx int, lat double, lon double, cx double, cy double, radius double, height int, width int, channels int, data binary"
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["height"] < 0:
-                    continue
-                found = K.segment(I.array_of(r), **keywords)
-                if found.is_disc:
-                    left, top, right, bottom = found.tight
-                    row = {"idx": [r["idx"]], "lat": [r["lat"]], "lon": [r["lon"]], "cx": [(left + right) / 2], "cy": [(top + bottom) / 2], "radius": [(right - left + bottom - top) / 4], **{c: [r[c]] for c in ("height", "width", "channels", "data")}}
-                    yield pa.RecordBatch.from_pydict(row, pa.schema([("idx", pa.int32()), *((c, pa.float64()) for c in ("lat", "lon", "cx", "cy", "radius")), *((c, pa.int32()) for c in ("height", "width", "channels")), ("data", pa.binary())]))
-
-    return images.mapInArrow(each, schema)
+def views(spark: SparkSession, root: str, s: TurntableSettings) -> DataFrame:
+    """(vp, vp_lon, rank, image): the candidates of each viewpoint, nearest first."""
+    frames = metadata.frame_index(spark, root, s.collection).withColumn("event_id", F.xxhash64("image"))
+    around = candidates.viewpoints(spark, s.frames, s.lat0)
+    near = candidates.nearest_frames(frames, around, s.max_candidates, 2 * G.cap_radius(s.min_cos))
+    return near.join(F.broadcast(around), "vp").select("vp", "vp_lon", "rank", "image")
+
+
+def discs(spark: SparkSession, root: str, s: TurntableSettings, wanted: DataFrame) -> tuple[DataFrame, int, int]:
+    """wanted with the discs' places and the images' bytes; how many files there are, and how many were segmented now. Only files with a proper disc are read."""
+    files = metadata.inventory(spark, f"{root}/{s.collection}").select("path")
+    there = checkpointed(wanted.where(F.col("path").isNotNull()).join(files, "path"))  # at most frames * max_candidates names
+    n = there.count()
+    if not n:
+        return there.selectExpr("*", "0D AS cx", "0D AS cy", "0D AS radius", "0 AS height", "0 AS width", "0 AS channels", "X'' AS data").limit(0), 0, 0
+    found, new = geometry.located(spark, root, there, s.segmentation)
+    found = checkpointed(found)
+    paths = [r["path"] for r in found.select("path").distinct().collect()]
+    if not paths:
+        return there.selectExpr("*", "0D AS cx", "0D AS cy", "0D AS radius", "0 AS height", "0 AS width", "0 AS channels", "X'' AS data").limit(0), n, new
+    return I.read_images(spark, paths).join(found, "path").where("height > 0"), n, new
 
 
 def reference_grid(discs: DataFrame, height: int, width: int, s: TurntableSettings) -> DataFrame:
@@ -95,8 +101,7 @@ def reference_grid(discs: DataFrame, height: int, width: int, s: TurntableSettin
 
 def render(grid: np.ndarray, covered: np.ndarray, lon0: float, s: TurntableSettings) -> tuple[np.ndarray, float]:
     """RGBA of a viewpoint, and the share of its disc that nothing covers."""
-    half = round(s.radius * s.margin)
-    row, col = np.mgrid[0 : 2 * half, 0 : 2 * half].astype(float)
+    half, col, row = canvas(s)
     lat, lon, on = dense_unproject(col, row, s.lat0, lon0, half, half, s.radius)
     height, width = covered.shape
     fr, fc = (90 - lat) / 180 * height - 0.5, np.mod((lon + 180) / 360 * width - 0.5, width)
@@ -107,8 +112,55 @@ def render(grid: np.ndarray, covered: np.ndarray, lon0: float, s: TurntableSetti
     return rgba, float((on & ~there).sum() / max(1, on.sum()))
 
 
-def render_all(spark: SparkSession, root: str, out_root: str, s: TurntableSettings = TurntableSettings(), *, write_gif: bool = True, write_sheet: bool = True) -> tuple[str, DataFrame]:
-    """The run's folder, and suspect shares by frame."""
+def canvas(s: TurntableSettings) -> tuple[int, np.ndarray, np.ndarray]:
+    """Half the side of a viewpoint's image, and the columns and rows of its pixels."""
+    half = round(s.radius * s.margin)
+    row, col = np.mgrid[0 : 2 * half, 0 : 2 * half].astype(float)
+    return half, col, row
+
+
+def viewpoint(lon0: float, batches: Iterator[pa.RecordBatch], s: TurntableSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(on the disc, colours, rank of the winner or -1) of each pixel of a viewpoint that is composed from its own candidates, independently of others. batches: rank, lat, lon, cx, cy, radius, height, width, channels, data."""
+    half, col, row = canvas(s)
+    lat, lon, on = dense_unproject(col, row, s.lat0, lon0, half, half, s.radius)
+    lat, lon = lat[on], lon[on]
+    kept = composite.Best(s.blend_k, len(lat))
+    for batch in batches:
+        for r in batch.to_pylist():
+            x, y, cos_c = dense_project(lat, lon, r["lat"], r["lon"], r["cx"], r["cy"], r["radius"])
+            there = np.flatnonzero((cos_c >= s.min_cos) & (x >= 0) & (x <= r["width"] - 1) & (y >= 0) & (y <= r["height"] - 1))
+            bright, rgb, score = composite.sampled(I.array_of(r)[..., :3], y[there], x[there], cos_c[there], s.scorer, s.luminance_floor, s.obliqueness_penalty)
+            kept.insert(there[bright], r["rank"], score, rgb)
+    rgb, who = kept.blended(s.blend_margin)
+    colors, contributor = np.zeros((*on.shape, 3)), np.full(on.shape, -1, np.int64)
+    colors[on], contributor[on] = rgb, who
+    return on, colors, contributor
+
+
+def render_views(seen: DataFrame, s: TurntableSettings) -> DataFrame:
+    """vp, rgba, contributor (16-bit ranks, -1 for none) and suspect_fraction of each viewpoint. seen: vp, vp_lon, rank and a disc in each row. A viewpoint's frames stream through its task, so it holds its own canvas alone."""
+    composite.check(s.scorer, s.blend_k)
+
+    def each(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on, colors, who = viewpoint(key[1].as_py(), batches, s)
+        rgba = np.dstack((K.to_uint8(colors), np.where(who >= 0, 255, 0).astype(np.uint8)))
+        rgba[who < 0] = 0
+        yield pa.RecordBatch.from_pydict({"vp": pa.array([key[0].as_py()], pa.int32()), "rgba": [rgba.tobytes()], "contributor": [who.astype("<i2").tobytes()], "suspect_fraction": [float((on & (who < 0)).sum() / max(1, on.sum()))]})
+
+    columns = ("vp", "vp_lon", "rank", "lat", "lon", "cx", "cy", "radius", "height", "width", "channels", "data")
+    return seen.select(*columns).groupBy("vp", "vp_lon").applyInArrow(each, "vp int, rgba binary, contributor binary, suspect_fraction double")
+
+
+def render_independent(spark: SparkSession, root: str, s: TurntableSettings = TurntableSettings()) -> DataFrame:
+    """Viewpoints composed one by one, without a reference grid: sharper choices for a single view; neighbours in a rotation may differ."""
+    I.small_batches(spark)
+    root = os.path.abspath(root)
+    found, _, _ = discs(spark, root, s, gather(spark, root, s))
+    return render_views(found.drop("idx").join(views(spark, root, s), "image"), s)
+
+
+def render_all(spark: SparkSession, root: str, out_root: str, s: TurntableSettings = TurntableSettings(), *, write_gif: bool = True, write_sheet: bool = True, on_progress: Callable[[int, int, str], None] | None = None) -> tuple[str, DataFrame]:
+    """The run's folder, and suspect shares by frame. on_progress: called with frames done, all frames and a name, as tasks end."""
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
     if s.scorer not in SCORERS:
@@ -118,15 +170,9 @@ def render_all(spark: SparkSession, root: str, out_root: str, s: TurntableSettin
     if height * width > MOST_CELLS:
         raise ValueError(f"a grid of {height} x {width} cells is too large to send to workers")
     run = os.path.join(os.path.abspath(out_root), T.run_id(root=root, settings=asdict(s)))
-    wanted = gather(spark, root, s).where(F.col("path").isNotNull())
-    files = metadata.inventory(spark, os.path.join(root, s.collection)).select("path")
-    paths = [r["path"] for r in wanted.join(files, "path").select("path").collect()]  # at most frames * max_candidates names
     grid_path = os.path.join(run, "grid")
-    if paths:
-        discs = geometry(I.read_images(spark, paths).join(wanted, "path").select("idx", "lat", "lon", "height", "width", "channels", "data"), s)
-        reference_grid(discs, height, width, s).write.mode("overwrite").parquet(grid_path)
-    else:
-        spark.createDataFrame([], "cell int, idx bigint, r int, g int, b int").write.mode("overwrite").parquet(grid_path)
+    found, files, segmented = discs(spark, root, s, gather(spark, root, s))
+    reference_grid(found, height, width, s).write.mode("overwrite").parquet(grid_path)
     cells = spark.read.parquet(grid_path).toPandas()  # bounded by MOST_CELLS
     grid, covered = np.zeros((height * width, 3), np.uint8), np.zeros(height * width, bool)
     grid[cells["cell"]], covered[cells["cell"]] = cells[["r", "g", "b"]].to_numpy(), True
@@ -141,7 +187,12 @@ def render_all(spark: SparkSession, root: str, out_root: str, s: TurntableSettin
                 yield pa.RecordBatch.from_pydict({"frame": pa.array([r["vp"]], pa.int32()), "name": [name], "suspect_fraction": [suspect]})
 
     frames = candidates.viewpoints(spark, s.frames, s.lat0).repartition(s.frames, "vp").mapInArrow(each, "frame int, name string, suspect_fraction double")
-    report = spark.createDataFrame(frames.collect(), frames.schema).orderBy("frame")
+    made = []
+    for r in frames.toLocalIterator(prefetchPartitions=True):
+        made.append(r)
+        if on_progress:
+            on_progress(len(made), s.frames, r["name"])
+    report = spark.createDataFrame(made, frames.schema).orderBy("frame")
     rows = [r.asDict() for r in report.collect()]
     images = [png.decode(open(os.path.join(run, "frames", r["name"]), "rb").read()) for r in rows] if write_gif or write_sheet else []
     if write_sheet and images:
@@ -149,7 +200,7 @@ def render_all(spark: SparkSession, root: str, out_root: str, s: TurntableSettin
     if write_gif and images:
         land(os.path.join(run, "rotation.gif"), gif.encode(images))
     manifest(
-        os.path.join(run, "manifest.json"), run_id=os.path.basename(run), created=dt.datetime.now(dt.UTC).isoformat(), mirror_root=root, settings=asdict(s), candidates=len(paths),
+        os.path.join(run, "manifest.json"), run_id=os.path.basename(run), created=dt.datetime.now(dt.UTC).isoformat(), mirror_root=root, settings=asdict(s), candidates=files, segmented=segmented,
         reference_coverage=float(covered.mean()), mean_suspect_fraction=float(np.mean([r["suspect_fraction"] for r in rows])) if rows else 0.0, frames=rows,
     )
     link_latest(run)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,10 @@ from lumidisc.functions import color as C
 from lumidisc.functions import geo as G
 from lumidisc.functions import text as T
 from lumidisc.operators import candidates, composite, dates, mirror, palette, segmentation
+from lumidisc.plans import geometry, turntable
 from lumidisc.raster import kernels as K
 from lumidisc.raster.arrow import grid, per_image
+from lumidisc.session import ship
 from lumidisc.sinks import sheets
 from lumidisc.sources import derived as D
 
@@ -474,6 +477,36 @@ def grid_coverage(spark, sf_dir):
     return composite.coverage(composite.winners(_seen(spark, sf_dir)), 36, 72).withColumn("share", F.round("share", 9))
 
 
+VIEW = f"""{LV}, {NEAR}, pix AS (SELECT CAST(i // 16 AS INT) AS "row", CAST(i % 16 AS INT) AS col, (i % 16 - 8) / 7e0 AS u, (8 - i // 16) / 7e0 AS v FROM range(256) t(i)),
+rho AS (SELECT *, sqrt(u * u + v * v) AS rho, asin(least(sqrt(u * u + v * v), 1)) AS c FROM pix WHERE sqrt(u * u + v * v) <= 1),
+place AS (SELECT vp, "row", col, degrees(asin(least(greatest(cos(c) * sin(radians(a)) + CASE WHEN rho = 0 THEN 0 ELSE v * sin(c) * cos(radians(a)) / rho END, -1), 1))) AS la, {wrap_sql('b + degrees(atan2(u * sin(c), rho * cos(radians(a)) * cos(c) - v * sin(radians(a)) * sin(c)))')} AS lo FROM vp, rho),
+f AS (SELECT vp, rank AS idx, lat, lon, l FROM near JOIN frames USING (event_id) JOIN lv ON lv.image_id = event_id % (SELECT count(*) FROM embeddings)),
+j AS (SELECT *, {COS.format(a='lat', b='lon', c='la', d='lo')} AS cos_c FROM place JOIN f USING (vp)),
+p AS (SELECT *, 3.5e0 + 3.5e0 * cos(radians(la)) * sin(radians(lo - lon)) AS x, 3.5e0 - 3.5e0 * (cos(radians(lat)) * sin(radians(la)) - sin(radians(lat)) * cos(radians(la)) * cos(radians(lo - lon))) AS y FROM j WHERE cos_c >= 0.35e0),
+q AS (SELECT vp, "row", col, idx, cos_c, l, CAST(floor(x) AS INT) AS x0, CAST(floor(y) AS INT) AS y0, x - floor(x) AS fx, y - floor(y) AS fy FROM p WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7),
+t AS (SELECT *, least(x0 + 1, 7) AS x1, least(y0 + 1, 7) AS y1 FROM q),
+o AS (SELECT vp, "row", col, idx, cos_c, {_soft(0)} AS sr, {_soft(21)} AS sg, {_soft(42)} AS sb FROM t),
+c AS (SELECT vp, "row", col, idx, cos_c, sr, sg, sb, {_WHOLE} FROM (SELECT *, sr AS r, sg AS g, sb AS b FROM o)),
+seen AS (SELECT vp, "row", col, idx, sr, sg, sb, round({CLOUD} + 0.5e0 * (1 - cos_c), 9) AS score FROM c WHERE {LUM} >= 30)"""
+
+
+@query(f"WITH {VIEW} SELECT vp, \"row\", col, idx AS contributor, round(sr, 5) AS r, round(sg, 5) AS g, round(sb, 5) AS b FROM seen QUALIFY row_number() OVER (PARTITION BY vp, \"row\", col ORDER BY score, idx) = 1")
+def render_independent(spark, sf_dir):
+    """Each viewpoint from its own candidates; the pixels that any of them shows."""
+    s = turntable.TurntableSettings(lat0=12.0, frames=6, radius=7)
+
+    def each(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, colors, who = turntable.viewpoint(key[1].as_py(), batches, s)
+        row, col = np.nonzero(who >= 0)
+        rgb = colors[row, col]
+        yield pa.RecordBatch.from_pydict({"vp": pa.array([key[0].as_py()] * len(row), pa.int32()), "row": row.astype(np.int32), "col": col.astype(np.int32), "contributor": who[row, col].astype(np.int32), **{c: np.ascontiguousarray(rgb[:, i]) for i, c in enumerate("rgb")}})
+
+    discs = D.discs(read(spark, sf_dir, "events"), read(spark, sf_dir, "embeddings"))
+    near = _near(spark, sf_dir).join(F.broadcast(candidates.viewpoints(spark, 6, 12.0)), "vp").select("vp", "vp_lon", "rank", F.col("event_id").alias("idx"))
+    ship(spark)
+    return _soft_rounded(near.join(discs, "idx").drop("idx").groupBy("vp", "vp_lon").applyInArrow(each, "vp int, row int, col int, contributor int, r double, g double, b double"))
+
+
 def _points(spark, sf_dir):
     return frames(spark, sf_dir).select(F.col("event_id").alias("id"), "lat", "lon")
 
@@ -632,7 +665,7 @@ def etag_lookup(spark, sf_dir):
 def geometry_cache_lookup(spark, sf_dir):
     f = frames(spark, sf_dir)
     cache = f.where("event_id % 3 = 1").groupBy("image").agg(F.max(F.col("event_id") % 100).alias("radius"))
-    return f.join(cache.withColumn("hit", F.lit(True)), "image", "left").select("event_id", F.when(F.col("hit"), "cached").otherwise("compute").alias("found"), "radius")
+    return geometry.lookup(f, cache, ("image",)).select("event_id", "found", "radius")
 
 
 @query()
