@@ -56,3 +56,10 @@ def pick_spread(available: DataFrame, start: str, end: str, count: int) -> DataF
     days = [r["d"] for r in pick_range(available, start, end).distinct().collect()]
     found = spread(days, dt.date.fromisoformat(start), dt.date.fromisoformat(end), count)
     return available.sparkSession.createDataFrame(found, "requested date, resolved date").withColumn("snap_days", F.abs(F.datediff("resolved", "requested")))
+
+
+def every_nth(frames: DataFrame, n: int, most: int | None = None) -> DataFrame:
+    """Of each day's frames, in the order of capture, every nth from the first on with its number k; ``most``: so many of them at most."""
+    k = F.row_number().over(W.partitionBy("day").orderBy("captured", "event_id")) - 1
+    out = frames.withColumn("k", k).where(F.col("k") % n == 0)
+    return out if most is None else out.where(F.col("k") < n * most)

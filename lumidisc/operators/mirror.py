@@ -64,3 +64,8 @@ def pair_by_stamp(a: DataFrame, b: DataFrame) -> DataFrame:
     """Frames of two collections that share the time in their names."""
     key = F.regexp_extract("image", r"(\d{14})$", 1)
     return a.select(key.alias("stamp"), F.col("event_id").alias("natural")).join(b.select(key.alias("stamp"), F.col("event_id").alias("cloud")), "stamp")
+
+
+def with_etags(files: DataFrame, store: DataFrame) -> DataFrame:
+    """files (path, ...) with the etag that the store (path, etag) holds; null for files it doesn't know."""
+    return files.join(store, "path", "left")

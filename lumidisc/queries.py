@@ -298,14 +298,11 @@ def _box_sql(size: int) -> str:
     )
 
 
-def _boxed(spark, sf_dir, size: int):
-    w = K.box_weights(D.SIDE, size)
-
+def _boxed(spark, sf_dir, size: int, supersample: int = 1):
     def work(image: np.ndarray) -> dict:
-        rgba = _rgba(image).astype(float)
-        alpha = w @ rgba[..., 3] @ w.T
-        color = np.divide(w @ (rgba[..., 0] * rgba[..., 3]) @ w.T, alpha, out=np.zeros_like(alpha), where=alpha > 0)
-        return grid(image[:size, :size]) | {"v": color.ravel(), "alpha": alpha.ravel()}
+        rgba = _rgba(image)
+        mean = K.box_mean(K.resize_nearest(rgba, size * supersample) if supersample > 1 else rgba, size)
+        return grid(image[:size, :size]) | {"v": mean[..., 0].ravel(), "alpha": mean[..., 3].ravel()}
 
     out = per_image(dense(spark, sf_dir), work, "row int, col int, v double, alpha double", D.SIDE)
     return out.withColumns({"v": F.round("v", 6), "alpha": F.round("alpha", 6)})
@@ -313,7 +310,7 @@ def _boxed(spark, sf_dir, size: int):
 
 @query(_box_sql(4))
 def supersample_mean(spark, sf_dir):
-    return _boxed(spark, sf_dir, 4)
+    return _boxed(spark, sf_dir, 4, supersample=2)
 
 
 @query(_box_sql(3))
@@ -357,7 +354,17 @@ def palette_mediancut(spark, sf_dir):
     return palette.shared_palette(px(spark, sf_dir), 16)
 
 
-@query()
+_SPREAD = "list_transform({w}, lambda v, k: v + {e} * (CASE WHEN k = i + 2 AND i % 8 < 7 THEN 7e0 WHEN k = i + 8 AND i % 8 > 0 AND i < 56 THEN 3e0 WHEN k = i + 9 AND i < 56 THEN 5e0 WHEN k = i + 10 AND i % 8 < 7 AND i < 56 THEN 1e0 ELSE 0e0 END) / 16)"
+
+
+@query(
+    f"WITH RECURSIVE {LV}, swatches AS (SELECT [{', '.join(f'{{n: {n}, r: {r}e0, g: {g}e0, b: {b}e0}}' for n, (r, g, b) in enumerate(SWATCHES))}] AS s), "
+    "st AS (SELECT image_id, 0 AS i, CAST(l AS DOUBLE[]) AS r, CAST(l AS DOUBLE[]) AS g, CAST(l AS DOUBLE[]) AS b, CAST([] AS DOUBLE[]) AS done FROM lv UNION ALL "
+    f"SELECT image_id, i + 1, {_SPREAD.format(w='r', e='(x - c.r)')}, {_SPREAD.format(w='g', e='(y - c.g)')}, {_SPREAD.format(w='b', e='(z - c.b)')}, list_append(done, c.r) FROM ("
+    "SELECT *, s[list_sort(list_transform(s, lambda p: {d: (p.r - x) * (p.r - x) + (p.g - y) * (p.g - y) + (p.b - z) * (p.b - z), n: p.n}))[1].n + 1] AS c FROM ("
+    "SELECT *, least(greatest(r[i + 1], 0), 255) AS x, least(greatest(g[i + 1], 0), 255) AS y, least(greatest(b[i + 1], 0), 255) AS z FROM st, swatches WHERE i < 64))) "
+    "SELECT image_id, CAST(j // 8 AS INT) AS row, CAST(j % 8 AS INT) AS col, CAST(done[j + 1] AS INT) AS v FROM st, range(64) t(j) WHERE i = 64"
+)
 def dither(spark, sf_dir):
     return per_image(dense(spark, sf_dir), lambda im: grid(K.quantize(np.dstack((im, im, im)), np.array(SWATCHES, np.uint8), dither=True)[..., 0]), "row int, col int, v int", D.SIDE)
 
@@ -547,7 +554,13 @@ def pick_range(spark, sf_dir):
     return dates.pick_range(D.available(read(spark, sf_dir, "orders")), "1997-11-05", "1998-12-24")
 
 
-@query(days=("requested", "resolved"))
+@query(
+    f"WITH RECURSIVE {DAYS}, pool AS (SELECT list(d ORDER BY d) AS p FROM days WHERE d BETWEEN DATE '1998-01-01' AND DATE '1999-06-30'), "
+    "st AS (SELECT 0 AS i, CAST(NULL AS DATE) AS requested, CAST(NULL AS DATE) AS resolved, p FROM pool UNION ALL SELECT i + 1, t, best, list_filter(p, lambda x: x <> best) FROM ("
+    "SELECT *, list_sort(list_transform(p, lambda x: {gap: abs(x - t), d: x}))[1].d AS best FROM (SELECT *, CAST(DATE '1998-01-01' + CAST(round_even(i * (DATE '1999-06-30' - DATE '1998-01-01') / 23e0, 0) AS INT) AS DATE) AS t FROM st WHERE i < 24))) "
+    "SELECT requested, resolved, CAST(abs(resolved - requested) AS INT) AS snap_days FROM st WHERE i > 0",
+    days=("requested", "resolved"),
+)
 def pick_spread(spark, sf_dir):
     return dates.pick_spread(D.available(read(spark, sf_dir, "orders")), "1998-01-01", "1999-06-30", 24)
 
@@ -648,7 +661,7 @@ def pair_by_stamp(spark, sf_dir):
 
 @query(f"WITH {FR}, n AS (SELECT day, event_id, row_number() OVER (PARTITION BY day ORDER BY captured, event_id) - 1 AS k FROM frames) SELECT day, event_id, CAST(k AS INT) AS k FROM n WHERE k % 20 = 0", days=("day",))
 def every_nth(spark, sf_dir):
-    return frames(spark, sf_dir).selectExpr("day", "event_id", "row_number() OVER (PARTITION BY day ORDER BY captured, event_id) - 1 AS k").where("k % 20 = 0")
+    return dates.every_nth(frames(spark, sf_dir), 20).select("day", "event_id", "k")
 
 
 ETAG = FR + ", e AS (SELECT 'natural/' || strftime(day, '%Y/%m/%d') || '/png/' || image || '.png' AS path, event_id, event_id % 4 AS m FROM frames), t AS (SELECT path, max('\"' || event_id || '\"') AS etag FROM e WHERE m = 0 GROUP BY path)"
@@ -658,7 +671,7 @@ ETAG = FR + ", e AS (SELECT 'natural/' || strftime(day, '%Y/%m/%d') || '/png/' |
 def etag_lookup(spark, sf_dir):
     f = frames(spark, sf_dir).withColumn("path", T.archive_path(F.lit("natural"), F.col("day"), F.col("image"), "png"))
     tags = f.where("event_id % 4 = 0").groupBy("path").agg(F.max(F.concat(F.lit('"'), F.col("event_id").cast("string"), F.lit('"'))).alias("etag"))
-    return f.join(tags, "path", "left").select("event_id", "etag")
+    return mirror.with_etags(f, tags).select("event_id", "etag")
 
 
 @query(f"WITH {FR}, cache AS (SELECT image, max(event_id % 100) AS radius FROM frames WHERE event_id % 3 = 1 GROUP BY image) SELECT event_id, CASE WHEN cache.image IS NULL THEN 'compute' ELSE 'cached' END AS found, CAST(radius AS BIGINT) AS radius FROM frames LEFT JOIN cache USING (image)")

@@ -218,18 +218,19 @@ def box_weights(n: int, size: int) -> np.ndarray:
     return over / over.sum(1, keepdims=True)
 
 
-def _weighted(rgba: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Means where colour counts by its alpha."""
+def box_mean(rgba: np.ndarray, size: int) -> np.ndarray:
+    """Means over the boxes that a smaller square image has, where colour counts by its alpha; 0 to 255, not rounded."""
+    rows, cols = box_weights(rgba.shape[0], size), box_weights(rgba.shape[1], size)
     a = rgba[..., 3:].astype(float) / 255
     both = np.concatenate((rgba[..., :3] * a, a), 2)
     mean = np.einsum("ij,jkc,lk->ilc", rows, both, cols, optimize=True)
     alpha = mean[..., 3:]
     color = np.divide(mean[..., :3], alpha, out=np.zeros_like(mean[..., :3]), where=alpha > 0)
-    return to_uint8(np.concatenate((color, alpha * 255), 2))
+    return np.concatenate((color, alpha * 255), 2)
 
 
 def resize_box(rgba: np.ndarray, size: int) -> np.ndarray:
-    return _weighted(rgba, box_weights(rgba.shape[0], size), box_weights(rgba.shape[1], size))
+    return to_uint8(box_mean(rgba, size))
 
 
 def downsample(rgba: np.ndarray, size: int, method: str = "nearest", supersample: int = 1) -> np.ndarray:

@@ -432,6 +432,107 @@ def test_winner_is_whole_and_least_cloudy(spark):
     assert mean.join(limits, ["cell_row", "cell_col"]).where("r < low - 1e-6 OR r > high + 1e-6").count() == 0
 
 
+QUADRANTS = {"NW": (20, 60, 140), "NE": (160, 140, 90), "SW": (30, 90, 40), "SE": (200, 170, 120)}
+
+
+def quadrants(cloudy=(), colors=None):
+    """A disc of four flat colours with cloud over some, as large as the viewpoint's."""
+    half = round(60 * 1.08)
+    y, x = np.mgrid[: 2 * half, : 2 * half]
+    out = np.zeros((2 * half, 2 * half, 3), np.uint8)
+    for name, color in (colors or QUADRANTS).items():
+        out[((y < half) == (name[0] == "N")) & ((x < half) == (name[1] == "W")) & ((y - half) ** 2 + (x - half) ** 2 <= 60**2)] = (250, 250, 250) if name in cloudy else color
+    return out
+
+
+def from_candidates(spark, images, **settings):
+    """(rgba, contributor, suspect share) of one viewpoint from frames that were taken from there."""
+    s = turntable.TurntableSettings(radius=60, frames=1, **settings)
+    half = round(60 * 1.08)
+    rows = [(0, 0.0, n, 0.0, 0.0, float(half), float(half), 60.0, 2 * half, 2 * half, 3, image.tobytes()) for n, image in enumerate(images)]
+    df = spark.createDataFrame(rows, "vp int, vp_lon double, rank int, lat double, lon double, cx double, cy double, radius double, height int, width int, channels int, data binary")
+    r = turntable.render_views(df, s).first()
+    return np.frombuffer(r["rgba"], np.uint8).reshape(2 * half, 2 * half, 4), np.frombuffer(r["contributor"], "<i2").reshape(2 * half, 2 * half), r["suspect_fraction"]
+
+
+SPOTS = {"NW": (45, 45), "NE": (45, 85), "SW": (85, 45), "SE": (85, 85)}
+
+
+def test_independent_viewpoints_take_clear_quadrants_whole(spark):
+    rgba, who, suspect = from_candidates(spark, [quadrants(("NW", "NE")), quadrants(("SW", "SE"))])
+    assert {n: tuple(rgba[at][:3].tolist()) for n, at in SPOTS.items()} == QUADRANTS
+    assert {n: int(who[at]) for n, at in SPOTS.items()} == {"NW": 1, "NE": 1, "SW": 0, "SE": 0}
+    assert not rgba[0, 0].any() and who[0, 0] == -1 and 0 < suspect < 0.2  # the rim is beyond the caps
+    rgba, who, _ = from_candidates(spark, [quadrants(tuple(QUADRANTS)), quadrants()])
+    inner = rgba[30:64, 30:64].reshape(-1, 4)
+    assert {tuple(c) for c in inner[inner[:, 3] > 0][:, :3].tolist()} == {QUADRANTS["NW"]} and who[45, 45] == 1
+    pale, white = ({k: (v,) * 3 for k in QUADRANTS} for v in (235, 255))
+    assert from_candidates(spark, [quadrants(colors=white), quadrants(colors=pale)])[0][45, 45, :3].tolist() == [235] * 3
+    dark = {k: (5, 5, 5) for k in QUADRANTS}
+    assert tuple(from_candidates(spark, [quadrants(colors=dark), quadrants()])[0][45, 45, :3]) == QUADRANTS["NW"]
+    rgba, _, suspect = from_candidates(spark, [quadrants(colors=dark)])
+    assert suspect == 1 and not rgba[..., 3].any()
+
+
+def test_independent_blend_is_convex(spark):
+    brighter = {k: tuple(c + 10 for c in v) for k, v in QUADRANTS.items()}
+    rgba, _, _ = from_candidates(spark, [quadrants(), quadrants(colors=brighter)], blend_k=2, blend_margin=2.0)
+    low = np.array(QUADRANTS["NW"])
+    assert (rgba[45, 45, :3] > low).any() and (rgba[45, 45, :3] >= low).all() and (rgba[45, 45, :3] <= low + 10).all()
+    with pytest.raises(ValueError):
+        from_candidates(spark, [quadrants()], blend_k=0)
+
+
+def test_independent_rendering_of_a_mirror(spark, tmp_path):
+    root = str(tmp_path / "mirror")
+    tiny_mirror(root)
+    s = turntable.TurntableSettings(frames=3, radius=20, max_candidates=10)
+    rows = {r["vp"]: r for r in turntable.render_independent(spark, root, s).collect()}
+    assert sorted(rows) == [0, 1, 2] and all(0 <= r["suspect_fraction"] < 1 and len(r["rgba"]) == 44 * 44 * 4 for r in rows.values())
+    assert turntable.render_independent(spark, str(tmp_path / "mirror"), turntable.TurntableSettings(frames=2, radius=20, max_candidates=1)).count() == 2
+
+
+def test_geometry_is_remembered(spark, tmp_path, monkeypatch):
+    from lumidisc.plans import geometry
+
+    root, settings = str(tmp_path), segment_batch.Settings()
+    for name, image in (("a", disc(200, 50)), ("b", np.zeros((60, 60, 3), np.uint8))):
+        save(f"{root}/{name}.png", image)
+    (tmp_path / "c.png").write_bytes(b"nothing")
+    frames = spark.createDataFrame([("natural", n, f"{root}/{n}.png", i) for i, n in enumerate("abc")], "collection string, image string, path string, idx int")
+    images.small_batches(spark)
+    found, new = geometry.located(spark, root, frames, settings)
+    (r,) = found.collect()
+    assert new == 3 and r["image"] == "a" and abs(r["cx"] - 100) < 2 and abs(r["cy"] - 100) < 2 and abs(r["radius"] - 50) < 2
+    again, new = geometry.located(spark, root, frames, settings)
+    assert new == 0 and again.collect() == [r]  # nothing is segmented, not even what had no disc
+    assert geometry.stored(spark, root, settings).count() == 3
+    assert geometry.located(spark, root, frames, segment_batch.Settings(pad=20))[1] == 3  # other settings, other entries
+    assert geometry.located(spark, root, frames.where("image = 'z'"), settings)[1] == 0
+
+
+def test_degrees_swept_and_the_default_ceiling():
+    assert mirror.degrees_swept([170.0, -170.0, 150.0]) == 60 and mirror.degrees_swept([5.0]) == 0
+    a = cli.parser().parse_args(["fetch", "http://h"])
+    assert a.max_bytes == 10 << 30
+
+
+def test_resume_checks_what_it_gets(tmp_path):
+    """A part of another file isn't carried on."""
+    target = str(tmp_path / "a")
+    open(f"{target}.part", "wb").write(b"01234")
+    open(f"{target}.part.etag", "w").write('"e1"')
+    wrong = lambda h: Response(206, {"Content-Range": "bytes 2-9/10", "Content-Length": "8"}, [b"23456789"])
+    s = Server(a=[wrong, Response(200, {"Content-Length": "3", "ETag": '"e2"'}, [b"abc"])])
+    assert s.client().download("a", target)[1] == 3 and open(target, "rb").read() == b"abc" and not os.path.exists(f"{target}.part.etag")
+    assert s.asked[0][2]["If-Range"] == '"e1"' and "Range" not in s.asked[1][2]
+
+
+def test_every_nth_stops_after_some(spark):
+    found = dates.every_nth(queries.frames(spark, SF), 3, 2)
+    assert {r["k"] for r in found.select("k").distinct().collect()} == {0, 3}
+
+
 def test_streamed_days(spark, tmp_path):
     from lumidisc.streaming import frames
 
