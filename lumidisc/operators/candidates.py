@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 from lumidisc.functions import geo as G
 
 
+#: Viewpoints, of three numbers each, that may be sent to all workers.
+MOST_VIEWS = 100_000
+
+
 def viewpoints(spark, count: int, lat: float = 0.0) -> DataFrame:
-    """Evenly spaced longitudes, the end excluded."""
+    """Evenly spaced longitudes, the end excluded. So many that they can be sent to all workers."""
+    if not 0 <= count <= MOST_VIEWS:
+        raise ValueError(f"{count} viewpoints; up to {MOST_VIEWS} are allowed")
     return spark.range(count).select(F.col("id").cast("int").alias("vp"), F.lit(float(lat)).alias("vp_lat"), (F.col("id") * 360.0 / count).alias("vp_lon"))
 
 

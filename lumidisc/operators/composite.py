@@ -124,8 +124,8 @@ class Best:
         return (weight[..., None] * self.color).sum(0) / np.where(total > 0, total, 1)[:, None], self.who[0]
 
 
-def observed(discs: DataFrame, height: int, width: int, *, blend_k: int = 1, scorer: str = "rgb", min_cos: float = G.MIN_COS, floor: float = 30, penalty: float = 0.5) -> DataFrame:
-    """The best observations of each cell that a task saw. discs: idx, lat, lon, cx, cy, radius, height, width, channels, data."""
+def observed(discs: DataFrame, height: int, width: int, *, blend_k: int = 1, scorer: str = "rgb", min_cos: float = G.MIN_COS, floor: float = 30, penalty: float = 0.5, batch_rows: int = 4) -> DataFrame:
+    """The best observations of each cell that a task saw. discs: idx, lat, lon, cx, cy, radius, height, width, channels, data. batch_rows: frames that a worker gets at once, few as they may be large."""
     check(scorer, blend_k)
     k = blend_k
 
@@ -158,6 +158,7 @@ def observed(discs: DataFrame, height: int, width: int, *, blend_k: int = 1, sco
                 yield pa.RecordBatch.from_pydict({**place, "idx": kept.who[level, x], "score": kept.score[level, x], **{c: np.ascontiguousarray(kept.color[level, x, j]) for j, c in enumerate("rgb")}})
 
     ship(discs.sparkSession)
+    discs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return discs.mapInArrow(each, SEEN)
 
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 def pick_explicit(available: DataFrame, wanted: DataFrame) -> DataFrame:
     """requested, resolved, snap_days: the nearest day, the earlier on a tie.
 
-    A union sorted by day and two running windows instead of a join of all pairs; days
-    are calendar days, so both sides stay small however large the archive is.
+    A union sorted by day and two running windows instead of a join of all pairs; both sides are distinct
+    calendar days there, so they stay small however many frames or wishes there are. Repeated wishes get their row each.
     """
-    days = available.select("d", F.lit(None).cast("date").alias("requested")).unionByName(wanted.select(F.col("requested").alias("d"), "requested"))
+    days = available.distinct().select("d", F.lit(None).cast("date").alias("requested")).unionByName(wanted.select(F.col("requested").alias("d"), "requested").distinct())
     order = W.orderBy("d", F.col("requested").isNotNull())
     real = F.when(F.col("requested").isNull(), F.col("d"))
     back = F.last(real, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
@@ -23,7 +23,7 @@ def pick_explicit(available: DataFrame, wanted: DataFrame) -> DataFrame:
     found = days.select("requested", back.alias("a"), ahead.alias("b")).where("requested IS NOT NULL")
     use_b = F.col("a").isNull() | (F.datediff("b", "requested") < F.datediff("requested", "a"))
     out = found.select("requested", F.when(use_b, F.coalesce("b", "a")).otherwise(F.col("a")).alias("resolved")).where("resolved IS NOT NULL")
-    return out.withColumn("snap_days", F.abs(F.datediff("resolved", "requested")))
+    return wanted.select("requested").join(out, "requested").withColumn("snap_days", F.abs(F.datediff("resolved", "requested")))
 
 
 def pick_last(available: DataFrame, n: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
@@ -62,8 +62,8 @@ def outcomes(images: DataFrame, run: str, settings: Settings, overlays: bool = T
     return images.mapInArrow(each, SCHEMA)
 
 
-def process(spark: SparkSession, source: str, out_root: str, settings: Settings = Settings(), *, recursive: bool = False, overlays: bool = True, force: bool = False, dry_run: bool = False) -> tuple[str, DataFrame]:
-    """The run's folder and its outcomes, of this and of earlier calls."""
+def process(spark: SparkSession, source: str, out_root: str, settings: Settings = Settings(), *, recursive: bool = False, overlays: bool = True, force: bool = False, dry_run: bool = False, on_progress: Callable[[int, int, str], None] | None = None) -> tuple[str, DataFrame]:
+    """The run's folder and its outcomes, of this and of earlier calls. Cutouts and overlays are files that workers write: the folder has to be mounted by all of them. on_progress: called with images done now, all of them, and a name."""
     if not os.path.isdir(source):
         raise NotADirectoryError(source)
     source = os.path.abspath(source)
@@ -82,6 +82,9 @@ def process(spark: SparkSession, source: str, out_root: str, settings: Settings
             return run, done.unionByName(skipped(before, listed, todo))
         outcomes(images, run, settings, overlays).write.parquet(os.path.join(table, f"batch={n}"))
         done = spark.read.schema(SCHEMA).parquet(os.path.join(table, f"batch={n}"))
+        if on_progress:
+            for i, r in enumerate(done.select("input").toLocalIterator(), 1):
+                on_progress(i, len(paths), r["input"])
     else:
         done = spark.createDataFrame([], SCHEMA)
     found = done.unionByName(skipped(before, listed, todo))

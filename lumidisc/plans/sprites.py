@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -123,8 +123,8 @@ def finish(rgba: np.ndarray, s: SpriteSettings, size: int, palette: np.ndarray |
     return K.upscale(np.dstack((rgb, rgba[..., 3])), s.display_scale or display_scale(size))
 
 
-def render_all(spark: SparkSession, source: str, out_root: str, s: SpriteSettings = SpriteSettings(), *, write_gif: bool = True, write_sheet: bool = True) -> tuple[str, DataFrame]:
-    """The run's folder, and a row for each size."""
+def render_all(spark: SparkSession, source: str, out_root: str, s: SpriteSettings = SpriteSettings(), *, write_gif: bool = True, write_sheet: bool = True, on_progress: Callable[[int, None, str], None] | None = None) -> tuple[str, DataFrame]:
+    """The run's folder, and a row for each size. on_progress: called with frames done, no total, and a name."""
     if s.downsample not in ("nearest", "box"):
         raise ValueError(f"unknown method {s.downsample!r}")
     folder = frames_folder(os.path.abspath(source))
@@ -143,17 +143,24 @@ def render_all(spark: SparkSession, source: str, out_root: str, s: SpriteSetting
             for r in batch.to_pylist():
                 size = r["size"]
                 out = finish(np.frombuffer(r["data"], np.uint8).reshape(size, size, 4), s, size, shared.get(size))
-                land(os.path.join(run, str(size), r["name"]), png.encode(out))
-                yield pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int32()), "name": [r["name"]], "output_size": pa.array([out.shape[0]], pa.int32())})
-
-    done = small.mapInArrow(each, "size int, name string, output_size int").collect()
+                yield pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int32()), "name": [r["name"]], "output_size": pa.array([out.shape[0]], pa.int32()), "content": [png.encode(out)]})
+
+    # tasks write a table; the driver takes the frames out one at a time
+    table = os.path.join(run, "finished")
+    small.mapInArrow(each, "size int, name string, output_size int, content binary").write.mode("overwrite").parquet(table)
+    done = []
+    for r in spark.read.parquet(table).toLocalIterator(prefetchPartitions=True):
+        land(os.path.join(run, str(r["size"]), r["name"]), bytes(r["content"]))
+        done.append((r["size"], r["name"], r["output_size"]))
+        if on_progress:
+            on_progress(len(done), None, r["name"])
     report = spark.createDataFrame(done, "size int, name string, output_size int").groupBy("size").agg(F.count("*").alias("frames"), F.max("output_size").alias("output_size")).orderBy("size")
     for size in s.sizes:
-        names = sorted(r["name"] for r in done if r["size"] == size)
-        images = [png.decode(open(os.path.join(run, str(size), n), "rb").read()) for n in names] if write_gif or write_sheet else []
-        if write_sheet and images:
-            land(os.path.join(run, f"sheet_{size}.png"), png.encode(contact_sheet(images)))
-        if write_gif and images:
+        names = sorted(name for own, name, _ in done if own == size)
+        images = lambda size=size, names=names: (png.decode(open(os.path.join(run, str(size), n), "rb").read()) for n in names)
+        if write_sheet and names:
+            land(os.path.join(run, f"sheet_{size}.png"), png.encode(contact_sheet(images(), len(names))))
+        if write_gif and names:
             land(os.path.join(run, f"rotation_{size}.gif"), gif.encode(images))
     manifest(os.path.join(run, "manifest.json"), run_id=os.path.basename(run), created=dt.datetime.now(dt.UTC).isoformat(), source=folder, settings=asdict(s), sizes=[r.asDict() for r in report.collect()])
     link_latest(run)

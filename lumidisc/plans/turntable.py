@@ -182,22 +182,23 @@ def render_all(spark: SparkSession, root: str, out_root: str, s: TurntableSettin
         for batch in batches:
             for r in batch.to_pylist():
                 rgba, suspect = render(*sent.value, r["vp_lon"], s)
-                name = f"frame_{r['vp']:03d}.png"
-                land(os.path.join(run, "frames", name), png.encode(rgba))
-                yield pa.RecordBatch.from_pydict({"frame": pa.array([r["vp"]], pa.int32()), "name": [name], "suspect_fraction": [suspect]})
-
-    frames = candidates.viewpoints(spark, s.frames, s.lat0).repartition(s.frames, "vp").mapInArrow(each, "frame int, name string, suspect_fraction double")
-    made = []
-    for r in frames.toLocalIterator(prefetchPartitions=True):
-        made.append(r)
+                yield pa.RecordBatch.from_pydict({"frame": pa.array([r["vp"]], pa.int32()), "name": [f"frame_{r['vp']:03d}.png"], "suspect_fraction": [suspect], "content": [png.encode(rgba)]})
+
+    # tasks write a table; the driver takes its few frames out one at a time, so no worker writes files that others can't see
+    table = os.path.join(run, "rendered")
+    candidates.viewpoints(spark, s.frames, s.lat0).repartition(s.frames, "vp").mapInArrow(each, "frame int, name string, suspect_fraction double, content binary").write.mode("overwrite").parquet(table)
+    rows = []
+    for r in spark.read.parquet(table).toLocalIterator(prefetchPartitions=True):
+        land(os.path.join(run, "frames", r["name"]), bytes(r["content"]))
+        rows.append({c: r[c] for c in ("frame", "name", "suspect_fraction")})
         if on_progress:
-            on_progress(len(made), s.frames, r["name"])
-    report = spark.createDataFrame(made, frames.schema).orderBy("frame")
-    rows = [r.asDict() for r in report.collect()]
-    images = [png.decode(open(os.path.join(run, "frames", r["name"]), "rb").read()) for r in rows] if write_gif or write_sheet else []
-    if write_sheet and images:
-        land(os.path.join(run, "sheet.png"), png.encode(contact_sheet(images)))
-    if write_gif and images:
+            on_progress(len(rows), s.frames, r["name"])
+    rows.sort(key=lambda r: r["frame"])
+    report = spark.createDataFrame([tuple(r.values()) for r in rows], "frame int, name string, suspect_fraction double").orderBy("frame")
+    images = lambda: (png.decode(open(os.path.join(run, "frames", r["name"]), "rb").read()) for r in rows)
+    if write_sheet and rows:
+        land(os.path.join(run, "sheet.png"), png.encode(contact_sheet(images(), len(rows))))
+    if write_gif and rows:
         land(os.path.join(run, "rotation.gif"), gif.encode(images))
     manifest(
         os.path.join(run, "manifest.json"), run_id=os.path.basename(run), created=dt.datetime.now(dt.UTC).isoformat(), mirror_root=root, settings=asdict(s), candidates=files, segmented=segmented,

@@ -458,7 +458,7 @@ win AS (SELECT cell_row, cell_col, idx, sr AS r, sg AS g, sb AS b, score FROM se
 def _seen(spark, sf_dir, k: int = 1):
     """What every frame of the table shows, with an image of the whole table; the best k of each cell and task."""
     discs = D.discs(read(spark, sf_dir, "events"), read(spark, sf_dir, "embeddings"))
-    return composite.observed(discs.repartition(spark.sparkContext.defaultParallelism), 36, 72, blend_k=k)
+    return composite.observed(discs.repartition(spark.sparkContext.defaultParallelism), 36, 72, blend_k=k, batch_rows=2000)
 
 
 def _soft_rounded(df: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from lumidisc.session import ship
 
 
+#: Small images of one Arrow batch.
+BATCH_ROWS = 2000
+
+
 def per_image(images: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, side: int) -> DataFrame:
     """images: image_id, levels. work: from a (side, side) uint8 image to columns of equal length; image_id is put in front."""
 
@@ -24,6 +28,7 @@ def per_image(images: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarr
             yield from parts and pa.Table.from_batches(parts).combine_chunks().to_batches()
 
     ship(images.sparkSession)
+    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))  # whatever the last operator needed
     return images.select("image_id", "levels").mapInArrow(each, f"image_id bigint, {schema}")
 
 

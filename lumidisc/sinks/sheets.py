@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,12 +26,13 @@ def flatten(rgba: np.ndarray, background: tuple[int, int, int] = (0, 0, 0)) -> n
     return np.clip(np.rint(rgba[..., :3] * a + np.array(background) * (1 - a)), 0, 255).astype(np.uint8)
 
 
-def contact_sheet(frames: list[np.ndarray], background: tuple[int, int, int] = (0, 0, 0)) -> np.ndarray:
-    """RGB tiles of equal size, row by row in a near square."""
-    h, w = frames[0].shape[:2]
-    columns = sheet_columns(len(frames))
-    out = np.full((-(-len(frames) // columns) * h, columns * w, 3), background, np.uint8)
+def contact_sheet(frames: Iterable[np.ndarray], n: int, background: tuple[int, int, int] = (0, 0, 0)) -> np.ndarray:
+    """RGB tiles of equal size, row by row in a near square. The n frames are taken one at a time."""
+    columns, out = sheet_columns(n), None
     for k, frame in enumerate(frames):
+        h, w = frame.shape[:2]
+        if out is None:
+            out = np.full((-(-n // columns) * h, columns * w, 3), background, np.uint8)
         y, x = k // columns * h, k % columns * w
         out[y : y + h, x : x + w] = flatten(frame, background) if frame.shape[2] == 4 else frame
     return out
