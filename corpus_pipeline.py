@@ -7,7 +7,11 @@
 5. packing: what is left, as pieces in sequences.
 
 Defined cases: documents with a null text pass all stages and pack as their end token;
-documents with a null id pass too (nothing can be a copy of them); an empty table packs to nothing.
+documents with a null id pass too (nothing can be a copy of them); rows that share an id are one document: they stay or go
+together, repeated rows included; further columns are carried on; an empty table packs to nothing.
+
+What lies between stages is written to the shared folder and removed once the next stage is written; packing keeps
+what it needs of the last one in a checkpoint.
 """
 
 from __future__ import annotations
@@ -55,11 +59,22 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """By Hadoop, as the shared folder needn't be a local one."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what lies between them is written to the shared folder."""
+    """All stages."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, folder)  # the pieces are checkpointed
+    return packed
