@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of each stage, on a small corpus with planted cases."""
 
 import collections
+import os
 import random
 import zlib
 
@@ -71,4 +72,7 @@ def test_run_equals_brute_force(spark, tables):
         want[i, len(ids) // 4, zlib.crc32(ids)] += 1
     packed = corpus_pipeline.run(spark, folder).collect()
     assert collections.Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in packed) == want
+    from lumidisc.llm.common import shared_folder
+
+    assert not [f for f in os.listdir(shared_folder(spark).removeprefix("file:")) if f.startswith("corpus-")]
     assert len(want) < len(rows) - 100 and (None, 4) in {(i, n) for i, n, _ in want} and 430 in {i for i, _, _ in want}
