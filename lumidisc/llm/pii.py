@@ -52,6 +52,8 @@ _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 _USER_URL = re.compile(r"://[^\s/@?#]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
 _ACCOUNT = re.compile(r"[\s:#.=]{1,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
 _SECRET = re.compile(r"\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.-]{20,}=*)")
+#: A-Z in lower case: cues are found in any case, and places stay.
+_FOLD = {c: c + 32 for c in range(65, 91)}
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -67,8 +69,7 @@ def automaton():
     a.add_word("://", ("scheme", 3))
     for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
@@ -88,7 +89,7 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     """(index in KINDS, start, end) by kind, then start; code points, end exclusive."""
     found: list[tuple[int, int, int]] = []
     email_end = ip_end = card_end = phone_end = run_end = url_end = account_end = secret_end = 0
-    for last, (kind, width) in automaton().iter(text):
+    for last, (kind, width) in automaton().iter(text.translate(_FOLD)):
         if kind == "digit":
             if last < run_end:
                 continue

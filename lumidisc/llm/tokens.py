@@ -3,11 +3,11 @@
 A text of up to ``chunk`` characters is encoded as it is. A longer one is encoded in
 chunks that overlap; from the ids follows the character offset of every token. Two
 neighbouring chunks are spliced at a token boundary that both have inside their
-overlap and that is proven stable: a space after another character. No vocabulary
-entry holds a space after another character (checked when the vocabulary is loaded),
-so no merge ever crosses such a place, and what stands left and right of it is encoded
-independently. If an overlap has no such boundary, it is widened, up to the whole
-rest of the text. If a vocabulary lacks the property, whole texts are encoded.
+overlap and that is proven stable: between two characters that no vocabulary
+entry holds side by side. No merge ever crosses such a place, so what stands left and right of it is encoded
+independently. A space after another character is one (checked when the vocabulary is loaded), and so are most places in
+texts without spaces. If an overlap has no such boundary, it is widened, up to the whole
+rest of the text. If a vocabulary lacks the property for spaces, whole texts are encoded.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; repeated rows get equal
 counts; further columns are ignored.
@@ -38,6 +38,9 @@ class PieceEncoder:
         n = self.model.vocab_size()
         pieces = [self.model.id_to_piece(i) for i in range(n)]
         self.stable = not any(regex.search(f"[^{_SPACE}]{_SPACE}", p) for p in pieces)
+        # characters side by side, if the vocabulary takes texts as they are
+        plain = "ﬁ１２Å½①é日本　"
+        self.together = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)} if self.model.normalize(plain) == _SPACE + plain else None
         self.chars = np.array([len(p) for p in pieces])
         for i in range(n):
             if self.model.is_byte(i):  # a character counts at its first byte
@@ -78,7 +81,13 @@ class PieceEncoder:
     def _splice(self, text: str, left: np.ndarray, right: np.ndarray, low: int, high: int) -> int | None:
         """The last stable boundary of both chunks between the places."""
         both = np.intersect1d(left[(left > low) & (left < high)], right[(right > low) & (right < high)])
-        return next((int(p) for p in both[::-1] if text[p] == " " and text[p - 1] != " "), None)
+        return next((int(p) for p in both[::-1] if self.apart(text[p - 1], text[p])), None)
+
+    def apart(self, a: str, b: str) -> bool:
+        """Whether no token can hold both characters, the first before the second."""
+        if b == " ":
+            return a != " "
+        return self.together is not None and a.replace(" ", _SPACE) + b not in self.together
 
 
 _LOADED: dict[str, PieceEncoder] = {}

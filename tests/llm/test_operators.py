@@ -416,6 +416,48 @@ def test_pii_base_spans_are_those_of_the_patterns():
         assert pii.joined([s for s in pii.find_spans(text) if s[0] < 4]) == base_spans(text)
 
 
+def added_spans(text):
+    """Place by place: a cue in any case that doesn't begin inside a word, then what stands behind it."""
+    out, ends = [], {"account": 0, "secret": 0}
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    cues = [(c, "account") for c in pii.ACCOUNT_CUES] + [(c, "secret") for c in pii.SECRET_CUES]
+    for end in range(1, len(text) + 1):
+        for cue, kind in sorted(cues, key=lambda x: -len(x[0])):
+            begin = end - len(cue)
+            if begin < 0 or low[begin:end] != cue or begin > 0 and text[begin - 1].isalnum():
+                continue
+            if kind == "secret":
+                m = re.compile(r"\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.-]{20,}=*)").match(text, end)
+                if m and m.start(1) >= ends[kind] and any(c in "0123456789" for c in m[1]) and re.search("[a-zA-Z]", m[1]):
+                    out.append((kind, *m.span(1)))
+                    ends[kind] = m.end(1)
+                continue
+            m = re.compile(r"[\s:#.=]{1,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])").match(text, end)
+            if not m or m.start(1) < ends[kind]:
+                continue
+            words = m[1].split(" ")
+            if cue == "iban":
+                value = next((" ".join(words[:n]) for n in range(len(words), 0, -1) if pii.iban(" ".join(words[:n]))), "")
+            else:
+                value = words[0] if sum(c.isdigit() for c in words[0]) >= 6 else ""
+            if value:
+                out.append((kind, m.start(1), m.start(1) + len(value)))
+                ends[kind] = m.start(1) + len(value)
+    return sorted(out)
+
+
+def test_pii_added_spans_are_those_of_a_plain_search():
+    r = random.Random(35)
+    parts = ["token", "Api_Key", "SECRET", "account No", "IBAN", "iban", "Ssn", "passport number", "=", ":", " ", "  ", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "123456789", "ab12cd34ef56gh78ij90kl", "x" * 25, "A1", "'", "#", ". "]
+    seen = 0
+    for _ in range(6000):
+        text = "".join(r.choice(parts[:8]) + r.choice(parts[8:12]) + r.choice(parts[12:]) + r.choice(parts[10:12]) if r.random() < 0.5 else r.choice(parts) for _ in range(r.randint(1, 6)))
+        got = [(pii.KINDS[k], a, b) for k, a, b in pii.find_spans(text) if pii.KINDS[k] in ("account", "secret")]
+        assert sorted(got) == added_spans(text), text
+        seen += len(got)
+    assert seen > 1000
+
+
 def test_pii_columns(spark):
     rows = [(1, "mail a@b.co or é x@y.z, 10.0.0.1, 4111 1111 1111 1111, +1 (202) 555-0143"), (2, None), (3, ""), (4, "IBAN: GB82 WEST 1234 5698 7654 32 token = \"0123456789abcdef0123456789\" http://me:pw@host.org/x"), (None, "a@b.co")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -668,6 +710,15 @@ def test_token_counts_equal_the_library(documents, corpus):
         assert got[i]["over_limit"] == (got[i]["n_tokens"] > 4096)
 
 
+def test_texts_without_spaces_are_not_encoded_whole(monkeypatch):
+    e = tokens.encoder(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(34)
+    text = "".join(chr(r.randrange(0x4E00, 0x5E00)) for _ in range(30_000))
+    want, longest, ids = len(e.ids([text])[0]), [], e.ids
+    monkeypatch.setattr(e, "ids", lambda texts: longest.append(max(map(len, texts))) or ids(texts))
+    assert e.count(text, 2000, 64) == want and max(longest) < 4200
+
+
 def test_token_resynchronisation_widens():
     e = tokens.encoder(public_tokenizers.path("piece_bpe_32k.model"))
     for text in ("x" * 5000 + " " + "y z" * 2000, "日本 語" * 3000, "a" * 9000, "  " * 3000 + "b", " \n" * 3000, "<s> </s> <unk> <0x41> " * 400, "▁a ▁" * 900):
@@ -675,6 +726,33 @@ def test_token_resynchronisation_widens():
             assert e.count(text, chunk, overlap) == len(e.ids([text])[0])
 
 
+def test_null_ids_repeated_rows_and_odd_texts_everywhere(spark):
+    """A row in, a row out; equal rows give equal results; names that clash are left alone."""
+    texts = [None, "", " \n\t", "one", "z" * 300_000, "日本語の文章です。" * 3000, "word " * 60_000, "\x00 \u2028 é", "a\n" * 20_000]
+    rows = [(i if i % 3 else None, t, "en", 1, 1, 0.5, True) for i, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_words int, toxic int, score double, kept boolean")
+    path = public_tokenizers.path
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (4, 1, 1), (5, 0, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    s = ngram_model.Settings(max_filter_bytes=0)
+    results = {
+        "lm": ngram_model.score(df, ngram_model.count(df, s), F.lit(False), s),
+        "toxicity": toxicity.score(df, toxicity.train(df, labels, F.lit(True))),
+        "language": language.predict(df, language.train(df, F.lit(True))),
+        "pii": pii.find(df),
+        "quality": quality.judge(df, quality.train(df, labels)),
+        "tokens": tokens.count_tokens(df, path("piece_bpe_32k.model")),
+        "packing": packing.pack(df, path("word_bpe_49k.json")).where("piece = 0").drop("sequence_id", "offset"),
+    }
+    for name, out in results.items():
+        got = collections.Counter(tuple(f"{x:.9g}" if isinstance(x, float) else x for x in r) for r in out.collect())
+        assert sum(got.values()) == len(rows) and all(n % 2 == 0 for n in got.values()), name
+    assert toxicity.clean(df, toxicity.train(df, labels, F.lit(True))).columns == df.columns
+    assert pii.redact(df).count() == len(rows)
+    with_id = jaccard_join.join_components(df)
+    assert sorted(r["doc_id"] for r in with_id.collect()) == [i for i in range(len(texts)) if i % 3]
+    assert licenses.scan(df).count() == 0
+
+
 def test_empty_tables(empty, spark):
     model = toxicity.train(empty, spark.createDataFrame([], "doc_id bigint, toxic int"), fold(4) != 2)
     assert toxicity.score(empty, model).count() == 0
