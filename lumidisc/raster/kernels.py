@@ -221,12 +221,12 @@ def box_weights(n: int, size: int) -> np.ndarray:
 def box_mean(rgba: np.ndarray, size: int) -> np.ndarray:
     """Means over the boxes that a smaller square image has, where colour counts by its alpha; 0 to 255, not rounded."""
     rows, cols = box_weights(rgba.shape[0], size), box_weights(rgba.shape[1], size)
-    a = rgba[..., 3:].astype(float) / 255
+    a = rgba[..., 3:].astype(float)
     both = np.concatenate((rgba[..., :3] * a, a), 2)
-    mean = np.einsum("ij,jkc,lk->ilc", rows, both, cols, optimize=True)
+    mean = np.moveaxis(rows @ np.moveaxis(both, 2, 0) @ cols.T, 0, 2)
     alpha = mean[..., 3:]
     color = np.divide(mean[..., :3], alpha, out=np.zeros_like(mean[..., :3]), where=alpha > 0)
-    return np.concatenate((color, alpha * 255), 2)
+    return np.concatenate((color, alpha), 2)
 
 
 def resize_box(rgba: np.ndarray, size: int) -> np.ndarray:
