@@ -726,6 +726,30 @@ def test_token_resynchronisation_widens():
             assert e.count(text, chunk, overlap) == len(e.ids([text])[0])
 
 
+def test_model_scores_are_those_of_a_plain_sum(documents, corpus, spark):
+    """Text by text, in Python, from the features of each text alone."""
+    alone = lambda text: k.texts(pa.array([text or ""]))
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    toxic, good, lang = toxicity.train(documents, labels, F.lit(True)), quality.train(documents, labels), language.train(documents, F.lit(True))
+    got = [by_id(x) for x in (toxicity.score(documents, toxic), quality.judge(documents, good), language.predict(documents, lang))]
+    weights = dict(zip(toxic.slots.tolist(), toxic.weights.tolist(), strict=True))
+    for i, text in corpus:
+        slots = {x for part, _ in toxicity.slots(alone(text), toxic.bits) for x in part.tolist()}
+        assert got[0][i]["score"] == pytest.approx(1 / (1 + math.exp(-toxic.bias - sum(weights.get(x, 0) for x in slots))), abs=1e-6)
+        t = alone(text)
+        rows = [x for part, _ in quality.features(t, k.words(t, lower=False), good.settings.bits) for x in part.tolist()]
+        z = good.slope * (good.settings.scale * sum(float(good.weights[x]) for x in rows) / max(1, len(rows)) + good.bias) + good.shift
+        assert got[1][i]["p_good"] == pytest.approx(1 / (1 + math.exp(-min(35, max(-35, z)))), abs=1e-5)
+        rows = [x for part, _ in language.features(t, lang.settings) for x in part.tolist()]
+        logits = [(sum(float(lang.table[x, n]) for x in rows) / max(1, len(rows)) + float(lang.bias[n])) / lang.temperature for n in range(len(lang.languages))]
+        top = max(logits)
+        p = [math.exp(x - top) / sum(math.exp(y - top) for y in logits) for x in logits]
+        if any(c.isalpha() for c in text or ""):
+            assert got[2][i]["lang_pred"] == lang.languages[p.index(max(p))] and got[2][i]["score"] == pytest.approx(max(p), abs=1e-5)
+        else:
+            assert (got[2][i]["lang_pred"], got[2][i]["score"]) == ("und", 0.0)
+
+
 def test_null_ids_repeated_rows_and_odd_texts_everywhere(spark):
     """A row in, a row out; equal rows give equal results; names that clash are left alone."""
     texts = [None, "", " \n\t", "one", "z" * 300_000, "日本語の文章です。" * 3000, "word " * 60_000, "\x00 \u2028 é", "a\n" * 20_000]
