@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumidisc.llm import decontamination, jaccard_join, language, licenses, ngram_model, packing, pii, quality, tokens, toxicity
 from lumidisc.llm import kernels as k
-from lumidisc.llm.common import fold
+from lumidisc.llm.common import first_by_hash, fold
 from lumidisc.llm.components import components
 from tests_llm_fixtures import WORD, components_by_force, lowered
 
@@ -726,6 +726,19 @@ def test_token_resynchronisation_widens():
             assert e.count(text, chunk, overlap) == len(e.ids([text])[0])
 
 
+def test_samples_are_the_smallest_hashes(spark):
+    df = spark.range(30_000).selectExpr("id AS doc_id", "CASE WHEN id % 100 = 0 THEN 'rare' WHEN id % 7 = 0 THEN 'few' ELSE 'most' END AS kind").withColumn("h", F.xxhash64("doc_id"))
+    rows = df.collect()
+    for n in (1, 50, 1000):
+        got = {(r["kind"], r["rank"], r["doc_id"]) for r in first_by_hash(df.drop("h"), "kind", n).collect()}
+        want = set()
+        for kind in ("rare", "few", "most"):
+            own = sorted((r["h"], r["doc_id"]) for r in rows if r["kind"] == kind)[:n]
+            want |= {(kind, i + 1, x) for i, (_, x) in enumerate(own)}
+        assert got == want
+    assert first_by_hash(df.limit(0), "kind", 5).count() == 0
+
+
 def test_model_scores_are_those_of_a_plain_sum(documents, corpus, spark):
     """Text by text, in Python, from the features of each text alone."""
     alone = lambda text: k.texts(pa.array([text or ""]))
