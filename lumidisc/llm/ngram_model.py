@@ -62,7 +62,7 @@ class Settings:
     kappa: float = 200.0
     flush: int = 1 << 21
     part_bytes: int = 8 << 20
-    bucket_bytes: int = 16 << 20
+    bucket_bytes: int = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -101,23 +101,34 @@ def pairs(history: np.ndarray, h: np.ndarray) -> np.ndarray:
     return k.mix(history * np.uint64(0xC2B2AE3D27D4EB4F) ^ k.mix(h)) & UPPER
 
 
-def gaps(keys: np.ndarray) -> bytes:
-    """Sorted keys of 48 upper bits as gaps of 32 bits: how many are larger, these as 64-bit numbers, the lower three bytes of each gap, and the upper bytes, which are far from even, packed."""
-    gap = np.diff(keys >> np.uint64(16), prepend=np.uint64(0))
-    large = gap[gap >= 2**32 - 1]
-    planes = np.minimum(gap, 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4)
-    return len(large).to_bytes(4, "little") + large.astype("<u8").tobytes() + planes[:, :3].tobytes() + pa.compress(planes[:, 3].tobytes(), "zstd", asbytes=True)
+def gaps(keys: np.ndarray, plain: int) -> bytes:
+    """Sorted keys as gaps of 8 bytes: the lowest ``plain`` bytes of each as they are, the others, which are mostly zeros or far from even, packed."""
+    planes = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return planes[:, :plain].tobytes() + pa.compress(planes[:, plain:].T.tobytes(), "zstd", asbytes=True)
 
 
-def from_gaps(data: bytes, n: int) -> np.ndarray:
-    large = int.from_bytes(data[:4], "little")
-    begin = 4 + 8 * large
-    planes = np.empty((n, 4), np.uint8)
-    planes[:, :3] = np.frombuffer(data, np.uint8, 3 * n, begin).reshape(-1, 3)
-    planes[:, 3] = np.frombuffer(pa.decompress(data[begin + 3 * n :], n, "zstd", asbytes=True), np.uint8)
-    out = planes.view("<u4").ravel().astype(np.uint64)
-    out[out == 2**32 - 1] = np.frombuffer(data, "<u8", large, 4)
-    return np.cumsum(out, dtype=np.uint64) << np.uint64(16)
+def from_gaps(data: bytes, n: int, plain: int) -> np.ndarray:
+    planes = np.empty((n, 8), np.uint8)
+    planes[:, :plain] = np.frombuffer(data, np.uint8, plain * n).reshape(n, plain)
+    planes[:, plain:] = np.frombuffer(pa.decompress(data[plain * n :], (8 - plain) * n, "zstd", asbytes=True), np.uint8).reshape(8 - plain, n).T
+    return np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64)
+
+
+def pair_list(keys: np.ndarray) -> bytes:
+    """Of pairs only the upper 48 bits count."""
+    return gaps(keys >> np.uint64(16), 3)
+
+
+def token_list(keys: np.ndarray) -> bytes:
+    return gaps(keys, 5)
+
+
+def pairs_of(data: bytes, n: int) -> np.ndarray:
+    return from_gaps(data, n, 3) << np.uint64(16)
+
+
+def tokens_of(data: bytes, n: int) -> np.ndarray:
+    return from_gaps(data, n, 5)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +228,7 @@ def _counted(docs: DataFrame, parts: int, flush: int) -> DataFrame:
                     "part": pa.array(rows, pa.int32()),
                     "kind": pa.array(np.full(len(rows), kind), pa.int32()),
                     "n": pa.array(np.diff(at)[rows], pa.int64()),
-                    "keys": pa.array([gaps(keys[at[p] : at[p + 1]]) if kind else keys[at[p] : at[p + 1]].tobytes() for p in rows], pa.binary()),
+                    "keys": pa.array([(pair_list if kind else token_list)(keys[at[p] : at[p + 1]]) for p in rows], pa.binary()),
                     "counts": pa.array([narrow(counts[at[p] : at[p + 1]]) for p in rows], pa.binary()),
                 }
                 yield pa.RecordBatch.from_pydict(columns)
@@ -252,7 +263,7 @@ def count(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         found = {}
         for kind in (0, 1):
             own = [i for i, x in enumerate(rows["kind"]) if x == kind]
-            keys = np.concatenate([from_gaps(rows["keys"][i], rows["n"][i]) if kind else np.frombuffer(rows["keys"][i], np.uint64) for i in own] or [np.zeros(0, np.uint64)])
+            keys = np.concatenate([(pairs_of if kind else tokens_of)(rows["keys"][i], rows["n"][i]) for i in own] or [np.zeros(0, np.uint64)])
             found[kind] = summed(keys, np.concatenate([widen(rows["counts"][i], rows["n"][i]) for i in own] or [np.zeros(0, np.int64)]))
         keys, n = found[0]
         bits, least = segment(np.concatenate((keys, found[1][0])), np.concatenate((n, found[1][1])), 1 << 62, s)
@@ -351,8 +362,12 @@ def _scored(m: Model, t: k.Texts, ids: np.ndarray, doc_id: pa.Array, held_out: p
 
 def asked(t: k.Texts) -> tuple[np.ndarray, np.ndarray]:
     """The distinct tokens, and the distinct pairs, of texts; sorted, so in the order of their parts. The order of the texts doesn't matter."""
-    h, off = tokens(t)
-    return np.unique(h), np.unique(pairs(histories(h, off), h))
+    single, pair = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for _, _, part in k.blocks(t, 1 << 20):
+        h, off = tokens(part)
+        single.append(np.unique(h))
+        pair.append(np.unique(pairs(histories(h, off), h)))
+    return np.unique(np.concatenate(single)), np.unique(np.concatenate(pair))
 
 
 def counts_of(keys: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -363,7 +378,7 @@ def counts_of(keys: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(known[at] == keys, n[at], 0)
 
 
-_ASK = "bucket bigint, part int, n bigint, pairs binary, tokens binary"
+_ASK = "bucket bigint, part int, n bigint, n_tokens bigint, pairs binary, tokens binary"
 _ANSWER = "bucket bigint, part int, n bigint, pairs binary, tokens binary, exact binary"
 _ROWS = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
 
@@ -380,12 +395,12 @@ def _by_parts(docs: DataFrame, counted: DataFrame, m: Model, parts: int) -> Data
         own = np.flatnonzero(np.diff(at) + np.diff(at2))
         bucket = np.full(len(own), t.column("bucket")[0].as_py())
         cut_ = lambda x, at, p: x[at[p] : at[p + 1]]
-        return pa.table({"bucket": bucket, "part": pa.array(own, pa.int32()), "n": np.diff(at2)[own], "pairs": pa.array([gaps(cut_(pair, at2, p)) for p in own], pa.binary()), "tokens": pa.array([cut_(single, at, p).tobytes() for p in own], pa.binary())})
+        return pa.table({"bucket": bucket, "part": pa.array(own, pa.int32()), "n": np.diff(at2)[own], "n_tokens": np.diff(at)[own], "pairs": pa.array([pair_list(cut_(pair, at2, p)) for p in own], pa.binary()), "tokens": pa.array([token_list(cut_(single, at, p)) for p in own], pa.binary())})
 
     def answer(asks: pa.Table, segments: pa.Table) -> pa.Table:
         n = asks.column("n").to_pylist()
-        pair = [from_gaps(x.as_py(), c) for x, c in zip(asks.column("pairs"), n, strict=True)]
-        single = [np.frombuffer(x.as_py(), np.uint64) for x in asks.column("tokens")]
+        pair = [pairs_of(x.as_py(), c) for x, c in zip(asks.column("pairs"), n, strict=True)]
+        single = [tokens_of(x.as_py(), c) for x, c in zip(asks.column("tokens"), asks.column("n_tokens").to_pylist(), strict=True)]
         keys, ends = np.concatenate([*pair, *single] or [np.zeros(0, np.uint64)]), np.cumsum([len(x) for x in [*pair, *single]])
         if segments.num_rows:
             r = segments.to_pylist()[0]
@@ -410,7 +425,7 @@ def _by_parts(docs: DataFrame, counted: DataFrame, m: Model, parts: int) -> Data
         held, pair_held = join("tokens"), join("pairs")
         exact = np.concatenate([widen(r["exact"], r["n"]) for r in rows])
         out = {"n_tokens": [], "n_known": [], "base": [], "score": []}
-        for _, _, part in k.blocks(texts):
+        for _, _, part in k.blocks(texts, 1 << 20):
             h, off = tokens(part)
             at = np.searchsorted(single, h)
             c = exact[at]

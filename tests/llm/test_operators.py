@@ -90,7 +90,10 @@ def test_lm_key_lists_are_a_round_trip():
     r = np.random.default_rng(33)
     for n, top in ((0, 1), (1, 1 << 48), (5, 1 << 48), (5000, 1 << 48), (5000, 1 << 40), (3, 1 << 20)):
         keys = np.unique(r.integers(0, top, n).astype(np.uint64)) << np.uint64(16)
-        assert np.array_equal(ngram_model.from_gaps(ngram_model.gaps(keys), len(keys)), keys)
+        assert np.array_equal(ngram_model.pairs_of(ngram_model.pair_list(keys), len(keys)), keys)
+        keys = k.mix(keys)
+        keys.sort()
+        assert np.array_equal(ngram_model.tokens_of(ngram_model.token_list(keys), len(keys)), keys)
 
 
 def lm_by_force(corpus, s):
