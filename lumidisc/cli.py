@@ -1,4 +1,4 @@
-"""Command line: batch, fetch, turntable, pixelart, check."""
+"""Command line: batch, fetch, turntable, pixelart, inspect, check."""
 
 from __future__ import annotations
 
@@ -73,6 +73,10 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{flag}", action="store_true")
     c = sub.add_parser("check", help="report on one image")
     c.add_argument("image")
+    i = sub.add_parser("inspect", help="do files of another collection show discs beside the natural frames?")
+    i.add_argument("mirror")
+    i.add_argument("-o", "--output", help="a PNG with the sampled pairs")
+    i.add_argument("--other", default="cloud")
     return top
 
 
@@ -157,6 +161,14 @@ def main(argv: list[str] | None = None) -> int:
             print(run)
             report.show()
             return 0
+        if a.command == "inspect":
+            from lumidisc.plans import inspect_pairs as plan
+
+            rows = plan.inspect(spark, a.mirror, a.output, a.other).orderBy("stamp").collect()
+            for r in rows:
+                print(f"{r['stamp']}: {r['width']} x {r['height']}, fill ratio {r['fill']:.3f}, aspect ratio {r['aspect']:.3f}, {'a' if r['is_disc'] else 'no'} disc, {r['colors']} colours" if r["height"] > 0 else f"{r['stamp']}: cannot be decoded")
+            print(f"{len(rows)} pairs looked at")
+            return 0
         from lumidisc.plans.segment_batch import report as describe
         from lumidisc.sources.images import array_of, read_images
 

@@ -511,6 +511,32 @@ def test_geometry_is_remembered(spark, tmp_path, monkeypatch):
     assert geometry.located(spark, root, frames.where("image = 'z'"), settings)[1] == 0
 
 
+def test_inspection_of_pairs(spark, tmp_path):
+    from lumidisc.plans import inspect_pairs
+
+    root = str(tmp_path / "mirror")
+    for n in range(14):
+        day, stamp = f"2024/01/{n + 1:02d}", f"202401{n + 1:02d}030000"
+        save(f"{root}/natural/{day}/png/disc_{stamp}.png", disc())
+        if n != 3:
+            other = disc(color=(200, 200, 200)) if n % 2 else np.pad(disc(60, 20, color=(9, 99, 9)), ((0, 0), (0, 60), (0, 0)))
+            other[5:8, :] = 255  # a bar of text
+            save(f"{root}/cloud/{day}/png/cloud_{stamp}.png", other if n % 2 == 0 else disc(color=(200, 200, 200)))
+    found = inspect_pairs.pairs(spark, root)
+    assert found.count() == 13
+    sheet = str(tmp_path / "sheet.png")
+    rows = {r["stamp"]: r for r in inspect_pairs.inspect(spark, root, sheet).collect()}
+    days = [n + 1 for n in range(14) if n != 3]
+    assert sorted(rows) == [f"202401{d:02d}030000" for d in days[::2][:6]]  # 13 pairs: every second, six at most
+    assert all(r["is_disc"] == (int(s[6:8]) % 2 == 0) and r["colors"] >= 1 for s, r in rows.items())
+    image = png.decode(open(sheet, "rb").read())
+    assert image.shape == (2 * inspect_pairs.THUMB, 6 * inspect_pairs.THUMB, 3) and image.any()
+    assert inspect_pairs.inspect(spark, root, other="natural").count() == 6
+    (tmp_path / "repo/.git").mkdir(parents=True)
+    (tmp_path / "repo/a/b").mkdir(parents=True)
+    assert inspect_pairs.find_root(str(tmp_path / "repo/a/b")) == str(tmp_path / "repo")
+
+
 def test_degrees_swept_and_the_default_ceiling():
     assert mirror.degrees_swept([170.0, -170.0, 150.0]) == 60 and mirror.degrees_swept([5.0]) == 0
     a = cli.parser().parse_args(["fetch", "http://h"])
