@@ -519,9 +519,10 @@ def test_inspection_of_pairs(spark, tmp_path):
         day, stamp = f"2024/01/{n + 1:02d}", f"202401{n + 1:02d}030000"
         save(f"{root}/natural/{day}/png/disc_{stamp}.png", disc())
         if n != 3:
-            other = disc(color=(200, 200, 200)) if n % 2 else np.pad(disc(60, 20, color=(9, 99, 9)), ((0, 0), (0, 60), (0, 0)))
-            other[5:8, :] = 255  # a bar of text
-            save(f"{root}/cloud/{day}/png/cloud_{stamp}.png", other if n % 2 == 0 else disc(color=(200, 200, 200)))
+            other = disc(color=(200, 200, 200))
+            if n % 2 == 0:  # a chart, no disc
+                other[:], other[20:40, 10:100] = 0, (9, 99, 9)
+            save(f"{root}/cloud/{day}/png/cloud_{stamp}.png", other)
     found = inspect_pairs.pairs(spark, root)
     assert found.count() == 13
     sheet = str(tmp_path / "sheet.png")
