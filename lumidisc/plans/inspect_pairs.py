@@ -69,6 +69,8 @@ def described(images: DataFrame) -> DataFrame:
 
 def inspect(spark: SparkSession, root: str, out: str | None = None, other: str = "cloud", most: int = 6) -> DataFrame:
     """A row for each sampled file of the other collection; ``out``: a sheet with the natural frame above each."""
+    if other == "natural":
+        raise ValueError("natural frames can't be held against themselves")
     root = os.path.abspath(root)
     chosen = sorted(tuple(r) for r in spread(pairs(spark, root, other), most).select("stamp", "natural", "cloud").collect())  # ``most`` rows
     if not chosen:

@@ -532,7 +532,10 @@ def test_inspection_of_pairs(spark, tmp_path):
     assert all(r["is_disc"] == (int(s[6:8]) % 2 == 0) and r["colors"] >= 1 for s, r in rows.items())
     image = png.decode(open(sheet, "rb").read())
     assert image.shape == (2 * inspect_pairs.THUMB, 6 * inspect_pairs.THUMB, 3) and image.any()
-    assert inspect_pairs.inspect(spark, root, other="natural").count() == 6
+    os.makedirs(f"{root}/aerosol")
+    assert inspect_pairs.inspect(spark, root, other="aerosol").count() == 0
+    with pytest.raises(ValueError):
+        inspect_pairs.inspect(spark, root, other="natural")
     (tmp_path / "repo/.git").mkdir(parents=True)
     (tmp_path / "repo/a/b").mkdir(parents=True)
     assert inspect_pairs.find_root(str(tmp_path / "repo/a/b")) == str(tmp_path / "repo")
