@@ -54,6 +54,8 @@ _ACCOUNT = re.compile(r"[\s:#.=]{1,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![
 _SECRET = re.compile(r"\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.-]{20,}=*)")
 #: A-Z in lower case: cues are found in any case, and places stay.
 _FOLD = {c: c + 32 for c in range(65, 91)}
+#: Characters whose lower case is longer or ASCII.
+_ODD = re.compile("[" + "".join(chr(c) for c in range(128, 0x110000) if len(low := chr(c).lower()) != 1 or low.isascii()) + "]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -85,11 +87,16 @@ def iban(text: str) -> bool:
     return bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", compact)) and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def folded(text: str) -> str:
+    """With A-Z in lower case; other characters may change too, but never to ASCII, and places stay."""
+    return text.translate(_FOLD) if _ODD.search(text) else text.lower()
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """(index in KINDS, start, end) by kind, then start; code points, end exclusive."""
     found: list[tuple[int, int, int]] = []
     email_end = ip_end = card_end = phone_end = run_end = url_end = account_end = secret_end = 0
-    for last, (kind, width) in automaton().iter(text.translate(_FOLD)):
+    for last, (kind, width) in automaton().iter(folded(text)):
         if kind == "digit":
             if last < run_end:
                 continue
