@@ -54,8 +54,8 @@ _ACCOUNT = re.compile(r"[\s:#.=]{1,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![
 _SECRET = re.compile(r"\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.-]{20,}=*)")
 #: A-Z in lower case: cues are found in any case, and places stay.
 _FOLD = {c: c + 32 for c in range(65, 91)}
-#: Characters whose lower case is longer or ASCII.
-_ODD = re.compile("[" + "".join(chr(c) for c in range(128, 0x110000) if len(low := chr(c).lower()) != 1 or low.isascii()) + "]")
+# The characters beyond ASCII whose lower case is two characters or ASCII.
+_ODD = re.compile("[\u0130\u212a]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 

@@ -461,6 +461,14 @@ def test_pii_added_spans_are_those_of_a_plain_search():
     assert seen > 1000
 
 
+def test_pii_case_folding_keeps_places():
+    odd = [chr(c) for c in range(128, 0x110000) if len(chr(c).lower()) != 1 or chr(c).lower().isascii()]
+    assert all(pii._ODD.fullmatch(c) for c in odd)
+    for text in ("ToKEN É İ", "to\u212aen K", "plain"):
+        assert len(pii.folded(text)) == len(text)
+    assert not pii.find_spans("to\u212aen = ab12cd34ef56gh78ij90kl")
+
+
 def test_pii_columns(spark):
     rows = [(1, "mail a@b.co or é x@y.z, 10.0.0.1, 4111 1111 1111 1111, +1 (202) 555-0143"), (2, None), (3, ""), (4, "IBAN: GB82 WEST 1234 5698 7654 32 token = \"0123456789abcdef0123456789\" http://me:pw@host.org/x"), (None, "a@b.co")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
