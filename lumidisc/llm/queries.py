@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumidisc.llm import decontamination, jaccard_join, language, licenses, ngram_model, packing, pii, quality, tokens, toxicity
+from lumidisc.llm import alignment, decontamination, divergence, jaccard_join, language, licenses, neighbours, ngram_model, packing, pii, quality, tokens, toxicity
 from lumidisc.llm.common import fold, table
 
 
@@ -64,8 +65,35 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_toxicity, op4_decontamination, op5_language_id, op6_pii, op7_best_fit_packing, op8_jaccard_join, op9_quality_rules, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_lm_scoring,
+        op2_license_scan,
+        op3_toxicity,
+        op4_decontamination,
+        op5_language_id,
+        op6_pii,
+        op7_best_fit_packing,
+        op8_jaccard_join,
+        op9_quality_rules,
+        op10_token_counts,
+        op11_nearest_neighbours,
+        op12_tokenizer_alignment,
+        op13_source_divergence,
+    )
 }
 JACCARD_SQL = r"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
@@ -78,4 +106,4 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached(id, root) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.id, e.b FROM reached r JOIN both_ways e ON e.a = r.root)
 SELECT s.doc_id, s.n AS n_shingles, min(r.root) AS component_id FROM reached r JOIN sizes s ON s.doc_id = r.id GROUP BY ALL"""
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.oracle_sql(), "op8_jaccard_join": JACCARD_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.oracle_sql(), "op8_jaccard_join": JACCARD_SQL, "op13_source_divergence": divergence.ORACLE_SQL}
