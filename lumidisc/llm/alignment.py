@@ -41,12 +41,12 @@ POSTING = 5
 
 
 class Settings(NamedTuple):
-    block_bytes: int = 8 << 20
+    block_bytes: int = 3 << 20
     part_bytes: int = 8 << 20
     #: Links that one numpy step expands; larger groups are multiplied by distinct ids.
-    links: int = 1 << 21
+    links: int = 1 << 19
     #: (A id, B id) counts that a task gathers before it passes them on.
-    counts: int = 1 << 21
+    counts: int = 1 << 20
 
 
 class ByteEncoder:
@@ -94,8 +94,8 @@ class PieceEncoder:
         piece = lambda i: bytes([int(m.id_to_piece(i)[1:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode()
         self.bytes = [piece(i) for i in range(m.vocab_size())]
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text), np.int64)
 
 
 class Pair:
@@ -109,10 +109,9 @@ class Pair:
         self.text = [f"{i}{sep}" for v, sep in ((self.a, ","), (self.a, "|"), (self.b, ","), (self.b, ";")) for i in range(len(v.bytes))]
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        own = [i for i, t in enumerate(texts) if t]
         a, b = [np.zeros(0, np.int64)] * len(texts), [np.zeros(0, np.int64)] * len(texts)
-        for i, y in zip(own, self.b.ids([texts[i] for i in own]), strict=True):
-            x, raw = self.a.ids(" " + texts[i]), (" " + texts[i]).encode("utf-8", "replace")
+        for i, text in ((i, t) for i, t in enumerate(texts) if t):
+            x, y, raw = self.a.ids(" " + text), self.b.ids(text), (" " + text).encode("utf-8", "replace")
             if b"".join(map(self.a.bytes.__getitem__, x.tolist())) == raw == b"".join(map(self.b.bytes.__getitem__, y.tolist())):
                 a[i], b[i] = x, y
         return a, b
