@@ -133,7 +133,7 @@ def observed(discs: DataFrame, height: int, width: int, *, blend_k: int = 1, sco
         lat = 90 - (np.arange(height) + 0.5) / height * 180
         lon = -180 + (np.arange(width) + 0.5) / width * 360
         kept = Best(k, height * width)
-        for batch in batches:
+        for batch in (b.slice(i, batch_rows) for b in batches for i in range(0, b.num_rows, batch_rows)):
             for group in alike(batch.to_pylist(), max(1, GROUP_CELLS // (height * width))):
                 rows, cols = reach(group[0]["lat"], group[0]["lon"], height, width, min_cos) if len(group) == 1 else (np.arange(height), np.arange(width))
                 of = {c: np.array([r[c] for r in group], float)[:, None, None] for c in ("lat", "lon", "cx", "cy", "radius")}
@@ -158,7 +158,6 @@ def observed(discs: DataFrame, height: int, width: int, *, blend_k: int = 1, sco
                 yield pa.RecordBatch.from_pydict({**place, "idx": kept.who[level, x], "score": kept.score[level, x], **{c: np.ascontiguousarray(kept.color[level, x, j]) for j, c in enumerate("rgb")}})
 
     ship(discs.sparkSession)
-    discs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return discs.mapInArrow(each, SEEN)
 
 

@@ -15,7 +15,7 @@ from lumidisc.functions import text as T
 from lumidisc.operators import candidates, composite, dates, mirror, palette, segmentation
 from lumidisc.plans import geometry, turntable
 from lumidisc.raster import kernels as K
-from lumidisc.raster.arrow import grid, per_image
+from lumidisc.raster.arrow import grid, grids, per_batch, per_image
 from lumidisc.session import ship
 from lumidisc.sinks import sheets
 from lumidisc.sources import derived as D
@@ -220,16 +220,14 @@ lab AS (SELECT image_id, row, col, min(root) AS label FROM comp GROUP BY ALL)"""
 SET_SQL = "SELECT image_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col FROM {}"
 
 
-def _mask(work):
-    def f(image: np.ndarray) -> dict:
-        row, col = np.nonzero(work(image > 120))
-        return {"row": row.astype(np.int32), "col": col.astype(np.int32)}
-
-    return f
+def _masked(spark, sf_dir, work):
+    """work: from the masks of a batch of images to the pixels that are in the result."""
 
+    def each(stack: np.ndarray) -> tuple[np.ndarray, dict]:
+        of, row, col = np.nonzero(work(stack > 120))
+        return of, {"row": row.astype(np.int32), "col": col.astype(np.int32)}
 
-def _masked(spark, sf_dir, work):
-    return per_image(dense(spark, sf_dir), _mask(work), "row int, col int", D.SIDE)
+    return per_batch(dense(spark, sf_dir), each, "row int, col int", D.SIDE)
 
 
 @query(f"WITH {REACH.format(px=MASK)}, sz AS (SELECT image_id, label, count(*) AS n FROM lab GROUP BY ALL), big AS (SELECT image_id, label FROM sz QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, label) = 1) SELECT lab.image_id, lab.row, lab.col FROM lab JOIN big USING (image_id, label)")
@@ -366,7 +364,7 @@ _SPREAD = "list_transform({w}, lambda v, k: v + {e} * (CASE WHEN k = i + 2 AND i
     "SELECT image_id, CAST(j // 8 AS INT) AS row, CAST(j % 8 AS INT) AS col, CAST(done[j + 1] AS INT) AS v FROM st, range(64) t(j) WHERE i = 64"
 )
 def dither(spark, sf_dir):
-    return per_image(dense(spark, sf_dir), lambda im: grid(K.quantize(np.dstack((im, im, im)), np.array(SWATCHES, np.uint8), dither=True)[..., 0]), "row int, col int, v int", D.SIDE)
+    return per_batch(dense(spark, sf_dir), lambda stack: grids(K.quantize(np.stack((stack,) * 3, -1), np.array(SWATCHES, np.uint8), dither=True)[..., 0]), "row int, col int, v int", D.SIDE)
 
 
 # ---------------------------------------------------------------- geometry
@@ -538,7 +536,7 @@ def grid_bilinear(spark, sf_dir):
 WANTED = "want AS (SELECT CAST(DATE '1994-12-01' + CAST(i * 60 AS INT) AS DATE) AS requested FROM range(45) t(i))"
 
 
-@query(f"WITH {DAYS}, {WANTED} SELECT requested, d AS resolved, CAST(abs(d - requested) AS INT) AS snap_days FROM want, days QUALIFY row_number() OVER (PARTITION BY requested ORDER BY abs(d - requested), d) = 1", days=("requested", "resolved"))
+@query(f"WITH {DAYS}, {WANTED} SELECT requested, d AS resolved, CAST(d - requested AS INT) AS snap_days FROM want, days QUALIFY row_number() OVER (PARTITION BY requested ORDER BY abs(d - requested), d) = 1", days=("requested", "resolved"))
 def pick_explicit(spark, sf_dir):
     wanted = spark.range(45).select(F.date_add(F.lit("1994-12-01").cast("date"), (F.col("id") * 60).cast("int")).alias("requested"))
     return dates.pick_explicit(D.available(read(spark, sf_dir, "orders")), wanted)
@@ -558,7 +556,7 @@ def pick_range(spark, sf_dir):
     f"WITH RECURSIVE {DAYS}, pool AS (SELECT list(d ORDER BY d) AS p FROM days WHERE d BETWEEN DATE '1998-01-01' AND DATE '1999-06-30'), "
     "st AS (SELECT 0 AS i, CAST(NULL AS DATE) AS requested, CAST(NULL AS DATE) AS resolved, p FROM pool UNION ALL SELECT i + 1, t, best, list_filter(p, lambda x: x <> best) FROM ("
     "SELECT *, list_sort(list_transform(p, lambda x: {gap: abs(x - t), d: x}))[1].d AS best FROM (SELECT *, CAST(DATE '1998-01-01' + CAST(round_even(i * (DATE '1999-06-30' - DATE '1998-01-01') / 23e0, 0) AS INT) AS DATE) AS t FROM st WHERE i < 24))) "
-    "SELECT requested, resolved, CAST(abs(resolved - requested) AS INT) AS snap_days FROM st WHERE i > 0",
+    "SELECT requested, resolved, CAST(resolved - requested AS INT) AS snap_days FROM st WHERE i > 0",
     days=("requested", "resolved"),
 )
 def pick_spread(spark, sf_dir):

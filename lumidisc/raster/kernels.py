@@ -56,60 +56,80 @@ def otsu(grey: np.ndarray) -> int:
     return int(np.rint(np.flatnonzero(spread >= spread.max() * (1 - 1e-12)).mean()))
 
 
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of n items that edges (a, b) connect each with: larger roots are hung under smaller ones, all at once, then paths are halved, until no edge joins two trees."""
+    parent = np.arange(n)
+    while True:
+        p, q = parent[a], parent[b]
+        apart = p != q
+        if not apart.any():
+            return parent
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            above = parent[parent]
+            if (above == parent).all():
+                break
+            parent = above
+
+
 def label(mask: np.ndarray, eight: bool = True) -> np.ndarray:
-    """Components numbered from 1 in scan order; 0 is background. Works on runs of rows, so cost follows the outline."""
-    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    """Components numbered from 1 in scan order; 0 is background. mask: one image, or (n, height, width) of n images, each numbered by itself.
+
+    The runs of all rows of all images are one list; runs that touch one of the row above are edges of one forest. So cost follows
+    the outlines, and no step goes image by image or run by run.
+    """
+    height, width = mask.shape[-2:]
+    edge = np.diff(np.pad(mask.reshape(-1, width).astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, start = np.nonzero(edge == 1)
     _, stop = np.nonzero(edge == -1)
-    parent = np.arange(len(row))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    reach = int(eight)
-    first = np.searchsorted(row, np.arange(mask.shape[0] + 1))
-    for y in range(1, mask.shape[0]):
-        above, here = slice(first[y - 1], first[y]), slice(first[y], first[y + 1])
-        if above.start == above.stop or here.start == here.stop:
-            continue
-        low = np.searchsorted(stop[above], start[here] - reach, "right") + above.start
-        high = np.searchsorted(start[above], stop[here] + reach, "left") + above.start
-        for i, (a, b) in enumerate(zip(low, high, strict=True), here.start):
-            for j in range(a, b):
-                p, q = root(i), root(j)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-    roots = np.array([root(i) for i in range(len(row))], int)
-    number = np.unique(roots, return_inverse=True)[1] + 1 if len(roots) else roots
-    flat = np.zeros(mask.size + 1, int)
-    np.add.at(flat, row * mask.shape[1] + start, number)
-    np.add.at(flat, row * mask.shape[1] + stop, -number)
+    reach, span = int(eight), width + 4  # places of a row, with room on both sides
+    above = (row - 1) * span + 2
+    low = np.searchsorted(row * span + 2 + stop, above + start - reach, "right")
+    high = np.searchsorted(row * span + 2 + start, above + stop + reach, "left")
+    n = np.where(row % height > 0, np.maximum(high - low, 0), 0) if height else low
+    here = np.repeat(np.arange(len(row)), n)
+    there = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+    roots, number = np.unique(_forest(len(row), there, here), return_inverse=True)
+    image = row[roots] // max(1, height)  # roots are in scan order, so an image's are side by side
+    number = (np.arange(len(roots)) - np.searchsorted(image, image) + 1)[number]
+    flat = np.zeros(mask.size + 1, np.int64)
+    np.add.at(flat, row * width + start, number)
+    np.add.at(flat, row * width + stop, -number)
     return np.cumsum(flat)[:-1].reshape(mask.shape)
 
 
+def _sizes(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of (n, height, width) labels: n times the count of each label, and each pixel's image."""
+    of = np.arange(len(numbers))[:, None, None]
+    most = int(numbers.max(initial=0)) + 1
+    return np.bincount((of * most + numbers).ravel(), minlength=len(numbers) * most).reshape(len(numbers), most), of
+
+
 def largest(mask: np.ndarray) -> np.ndarray:
-    """The component with most pixels; the first in scan order on a tie."""
-    numbers = label(mask)
-    size = np.bincount(numbers.ravel())
-    size[0] = 0
-    return numbers == size.argmax() if len(size) > 1 else np.zeros_like(mask)
+    """The component with most pixels, of each image; the first in scan order on a tie."""
+    numbers = label(mask).reshape(-1, *mask.shape[-2:])
+    size, of = _sizes(numbers)
+    size[:, 0] = 0
+    best = size.argmax(1)
+    return ((numbers == best[of]) & (best[of] > 0)).reshape(mask.shape)
 
 
 def fill_holes(mask: np.ndarray) -> np.ndarray:
     """Background that no 4-connected path joins with the border becomes foreground."""
-    numbers = label(~mask, eight=False)
-    outside = np.unique(np.concatenate((numbers[0], numbers[-1], numbers[:, 0], numbers[:, -1])))
-    return mask | ~np.isin(numbers, outside) & (numbers > 0)
+    numbers = label(~mask, eight=False).reshape(-1, *mask.shape[-2:])
+    of = np.arange(len(numbers))[:, None]
+    outside = np.zeros((len(numbers), int(numbers.max(initial=0)) + 1), bool)
+    for border in (numbers[:, 0], numbers[:, -1], numbers[:, :, 0], numbers[:, :, -1]):
+        outside[of, border] = True
+    return mask | ((numbers > 0) & ~outside[of[:, None], numbers]).reshape(mask.shape)
 
 
 def dilate(mask: np.ndarray, n: int) -> np.ndarray:
-    for axis in (0, 1):
+    for axis in (-2, -1):
         out = mask.copy()
         for d in range(1, min(n, mask.shape[axis] - 1) + 1):
-            ahead, behind = [slice(None)] * 2, [slice(None)] * 2
+            ahead, behind = [slice(None)] * mask.ndim, [slice(None)] * mask.ndim
             ahead[axis], behind[axis] = slice(d, None), slice(None, -d)
             out[tuple(ahead)] |= mask[tuple(behind)]
             out[tuple(behind)] |= mask[tuple(ahead)]
@@ -119,7 +139,8 @@ def dilate(mask: np.ndarray, n: int) -> np.ndarray:
 
 def erode(mask: np.ndarray, n: int) -> np.ndarray:
     """Outside the frame counts as background."""
-    return ~dilate(np.pad(~mask, n, constant_values=True), n)[n:-n, n:-n] if n else mask
+    around = ((0, 0),) * (mask.ndim - 2) + ((n, n),) * 2
+    return ~dilate(np.pad(~mask, around, constant_values=True), n)[..., n:-n, n:-n] if n else mask
 
 
 @dataclass(frozen=True)
@@ -268,19 +289,38 @@ def nearest_swatch(colors: np.ndarray, palette: np.ndarray) -> np.ndarray:
 
 
 def quantize(rgb: np.ndarray, palette: np.ndarray, dither: bool = False) -> np.ndarray:
-    if not dither:
-        distinct, back = np.unique(rgb.reshape(-1, 3), axis=0, return_inverse=True)
-        return palette[nearest_swatch(distinct, palette)][back.ravel()].reshape(rgb.shape)
-    work, out = rgb.astype(float), np.zeros_like(rgb)
-    h, w = rgb.shape[:2]
-    for y in range(h):
-        for x in range(w):
-            want = np.clip(work[y, x], 0, 255)
-            out[y, x] = palette[((palette.astype(float) - want) ** 2).sum(1).argmin()]
-            error = want - out[y, x]
-            for dx, dy, share in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
-                if 0 <= x + dx < w and y + dy < h:
-                    work[y + dy, x + dx] += error * share / 16
+    """Each pixel's nearest swatch. rgb: one image, or (n, height, width, 3)."""
+    if dither:
+        return diffuse(rgb.reshape(-1, *rgb.shape[-3:]), palette).reshape(rgb.shape)
+    distinct, back = np.unique(rgb.reshape(-1, 3), axis=0, return_inverse=True)
+    return palette[nearest_swatch(distinct, palette)][back.ravel()].reshape(rgb.shape)
+
+
+#: Shares (of 16) of a pixel's error: rows down, columns right, share. Those of the next row come first, as the pixel to the right gets its share last.
+SPREAD = ((1, -1, 3), (1, 0, 5), (1, 1, 1), (0, 1, 7))
+
+
+def diffuse(rgb: np.ndarray, palette: np.ndarray) -> np.ndarray:
+    """Error diffusion, wave by wave: pixel (y, x) needs its left neighbour and three of the row above, so all pixels with the same x + 2 y, of all images, are ready at once.
+
+    Each pixel gets its shares in the order that a scan gives them, so the result is the scan's, bit by bit.
+    """
+    n, h, w = rgb.shape[:3]
+    work, out = np.zeros((n, h + 1, w + 2, 3)), np.empty_like(rgb)  # a margin for what leaves the image
+    work[:, :h, 1:-1] = rgb
+    swatch = palette.astype(float)
+    for wave in range(w + 2 * (h - 1) if n and h and w else 0):
+        y = np.arange(max(0, (wave - w + 2) // 2), min(h - 1, wave // 2) + 1)
+        x = wave - 2 * y
+        want = np.clip(work[:, y, x + 1], 0, 255)
+        d = (swatch[:, 0] - want[..., :1]) ** 2
+        for c in (1, 2):
+            d += (swatch[:, c] - want[..., c : c + 1]) ** 2
+        pick = d.argmin(-1)
+        out[:, y, x] = palette[pick]
+        error = want - swatch[pick]
+        for dy, dx, share in SPREAD:
+            work[:, y + dy, x + dx + 1] += error * share / 16
     return out
 
 

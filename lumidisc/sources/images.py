@@ -62,6 +62,7 @@ def read_images(spark: SparkSession, paths: str | list[str], recursive: bool = F
 
     Only turned photos meet in the join that fetches tags: a few numbers a file.
     """
+    small_batches(spark)  # before any function is made: a function takes what its workers are sent when it is made
     option = str(recursive).lower()
     images = spark.read.format("image").option("recursiveFileLookup", option).load(paths).select(plain(F.col("image.origin")).alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("n"), F.col("image.data").alias("bytes"))
 
@@ -87,14 +88,12 @@ def read_images(spark: SparkSession, paths: str | list[str], recursive: bool = F
                 rows["data"].append(b"" if image is None else image.tobytes())
             yield pa.RecordBatch.from_pydict(rows, pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())]))
 
-    small_batches(spark)
     return images.join(turned, "path", "left").mapInArrow(each, SCHEMA)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """A full-size image is some 12 MB: a few in a batch. The workers get this package too."""
+    """The workers get this package. A full-size image is some 12 MB; Spark ends Arrow batches by bytes, so a few are in one, and the session's settings stay as they are."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
 
 
 def decoded(data: bytes, height: int, width: int, n: int, channels: int) -> np.ndarray | None:
