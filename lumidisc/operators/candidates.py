@@ -57,27 +57,30 @@ def _cell(band: Column, cell: Column, deg: float) -> tuple[Column, Column, Colum
 def nearest_frames(frames: DataFrame, views: DataFrame, k: int, limit_deg: float | None = None, deg: float = CELL_DEG) -> DataFrame:
     """The k nearest frames of each viewpoint within twice a cap, by a spherical cell index.
 
-    Frames are counted by cell. From the counts (one row, as large as the grid of cells) follows for each view how far its k nearest frames
-    can lie at most, and so which cells it needs: those that its limit or that distance reaches. Views and frames meet by cell in
-    an equi-join; exact distances and the rank decide, and rows beyond k leave before the shuffle by WindowGroupLimit. The same for any
-    number of views and frames; the finer the cells, the fewer pairs.
+    Frames are counted by cell, views are put into cells too. From the counts (one row, as large as the grid of cells) follows for
+    each cell with views how far their k nearest frames can lie at most, and so which cells they need: those that the limit or that
+    distance reaches. Views and frames meet by cell in equi-joins; exact distances and the rank decide, and rows beyond k leave before
+    the shuffle by WindowGroupLimit. ``deg`` trades cells against pairs: with many frames finer cells leave fewer of them.
     """
     limit = 2 * G.cap_radius() if limit_deg is None else limit_deg
-    band, cell = cell_of(F.col("lat"), F.col("lon"), deg)
-    placed = frames.where("lat IS NOT NULL AND lon IS NOT NULL").withColumns({"band": band, "cell": cell})
+    at = lambda lat, lon: dict(zip(("band", "cell"), cell_of(F.col(lat), F.col(lon), deg), strict=True))
+    placed = frames.where("lat IS NOT NULL AND lon IS NOT NULL").withColumns(at("lat", "lon"))
     lat, lon, radius = _cell(F.col("band"), F.col("cell"), deg)
     counts = placed.groupBy("band", "cell").agg(F.count("*").alias("n"))
     census = counts.agg(F.collect_list(F.struct("band", "cell", "n", lat.alias("lat"), lon.alias("lon"), radius.alias("radius"))).alias("cells"))
 
     def reach(c: Column) -> Column:
-        d = G.great_circle(F.col("vp_lat"), F.col("vp_lon"), c["lat"], c["lon"])
-        return F.struct((d + c["radius"]).alias("far"), (d - c["radius"]).alias("near"), c["band"].alias("band"), c["cell"].alias("cell"), c["n"].alias("n"))
+        d, both = G.great_circle(lat, lon, c["lat"], c["lon"]), c["radius"] + radius
+        return F.struct((d + both).alias("far"), (d - both).alias("near"), c["band"].alias("band"), c["cell"].alias("cell"), c["n"].alias("n"))
 
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("far"))
     enough = F.aggregate("cells", none, lambda had, c: F.when(had["n"] >= k, had).otherwise(F.struct((had["n"] + c["n"]).alias("n"), c["far"].alias("far"))), lambda had: F.when(had["n"] >= k, had["far"]).otherwise(F.lit(360.0)))
-    asked = views.withColumn("cells", census.scalar()).withColumn("cells", F.array_sort(F.transform("cells", reach)))
-    asked = asked.withColumn("most", F.least(enough, F.lit(float(limit))) + 1e-4)  # distances are rounded later
-    asked = asked.withColumn("c", F.explode(F.filter("cells", lambda c: c["near"] <= F.col("most")))).select("vp", "vp_lat", "vp_lon", "c.band", "c.cell")
+    seen = views.withColumns(at("vp_lat", "vp_lon"))
+    needs = seen.select("band", "cell").distinct().withColumn("cells", census.scalar())
+    needs = needs.withColumn("cells", F.array_sort(F.transform("cells", reach)))
+    needs = needs.withColumn("most", F.least(enough, F.lit(float(limit))) + 1e-4)  # distances are rounded later
+    needs = needs.select("band", "cell", F.explode(F.filter("cells", lambda c: c["near"] <= F.col("most"))).alias("c"))
+    asked = seen.join(needs, ["band", "cell"]).select("vp", "vp_lat", "vp_lon", "c.band", "c.cell")
     near = placed.join(asked, ["band", "cell"])
     near = near.withColumn("distance", G.great_circle(F.col("vp_lat"), F.col("vp_lon"), F.col("lat"), F.col("lon"))).where(F.col("distance") < limit)
     near = near.withColumn("distance", F.round("distance", 6))
