@@ -1,8 +1,10 @@
-"""Where the disc lies in each frame, found once: a table beside the mirror remembers it for each segmentation setting.
+"""Where the disc lies in each frame, found once: a table beside the mirror remembers it for each file and segmentation setting.
 
-The store is Parquet in ``<root>/.cache/geometry`` and grows by one file set for each run that met new frames. A run
-joins its frames with the store, reads and segments only those that it doesn't hold, and adds them; frames in
-which no disc was found, or that can't be decoded, are remembered too.
+The store lies in ``<root>/.cache/discs`` (see ``sinks.versions``): each run that met new files adds a folder, and many folders are merged
+into one. A file is known by collection, image, format, length and time of its last change, so another format, a replaced
+file and a repaired one are measured anew, and of several results for a file the newest counts. A run joins its frames with the
+store, reads and segments only files that it doesn't hold, and adds them. That a file shows no disc, or can't be decoded, is
+remembered of that file as it is; once it changes, it is another.
 """
 
 from __future__ import annotations
@@ -12,34 +14,43 @@ from collections.abc import Iterator
 from dataclasses import asdict
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumidisc.plans.segment_batch import Settings
 from lumidisc.raster import kernels as K
+from lumidisc.sinks.versions import Versions
 from lumidisc.sources import images as I
+from lumidisc.sources import metadata
 
 FOUND = "cx double, cy double, radius double, is_disc boolean"
-STORE = f"collection string, image string, settings string, {FOUND}"
-_ARROW = pa.schema([("collection", pa.string()), ("image", pa.string()), *((c, pa.float64()) for c in ("cx", "cy", "radius")), ("is_disc", pa.bool_())])
+#: What a file is known by.
+FILE = ("collection", "image", "form", "length", "modified")
+STORE = f"collection string, image string, form string, length bigint, modified timestamp, settings string, {FOUND}, decoded boolean, measured timestamp"
+#: Folders of the store beyond which a run merges them.
+MOST_FOLDERS = 16
+_FOUND = (*((c, pa.float64()) for c in ("cx", "cy", "radius")), ("is_disc", pa.bool_()), ("decoded", pa.bool_()))
 
 
 def key_of(settings: Settings) -> str:
     return json.dumps(asdict(settings), sort_keys=True)
 
 
-def store_path(root: str) -> str:
-    return f"{root.rstrip('/')}/.cache/geometry"
+def store(spark: SparkSession, root: str) -> Versions:
+    return Versions(spark, f"{root.rstrip('/')}/.cache/discs", STORE, (*FILE, "settings"), "measured")
 
 
 def stored(spark: SparkSession, root: str, settings: Settings) -> DataFrame:
-    """What the store holds for these settings, each frame once."""
-    try:
-        table = spark.read.schema(STORE).parquet(store_path(root))
-    except AnalysisException:
-        table = spark.createDataFrame([], STORE)
-    return table.where(F.col("settings") == key_of(settings)).dropDuplicates(["collection", "image"]).drop("settings")
+    """What the store holds for these settings, each file once."""
+    table = store(spark, root)
+    return table.newest(table.read().where(F.col("settings") == key_of(settings))).drop("settings", "measured")
+
+
+def files_of(frames: DataFrame, root: str) -> DataFrame:
+    """The frames whose files are there, with form, length and modified."""
+    there = metadata.inventory(frames.sparkSession, root).select("path", "length", F.col("modificationTime").alias("modified"))
+    form = F.lower(F.element_at(F.split("path", r"\."), -1)).alias("form")
+    return frames.join(there, "path").select(*frames.columns, form, "length", "modified")
 
 
 def lookup(frames: DataFrame, store: DataFrame, on: tuple[str, ...] = ("collection", "image")) -> DataFrame:
@@ -49,32 +60,38 @@ def lookup(frames: DataFrame, store: DataFrame, on: tuple[str, ...] = ("collecti
 
 
 def measured(images: DataFrame, settings: Settings) -> DataFrame:
-    """collection, image and the disc's centre and radius, from the segmentation's tight box; nulls where there is none. images: collection, image, height, width, channels, data."""
+    """The file's columns with the disc's centre and radius, from the segmentation's tight box; nulls where there is none. images: the columns of FILE, height, width, channels, data."""
     keywords = asdict(settings)
 
     def one(r: dict) -> dict:
-        out = dict.fromkeys(_ARROW.names) | {"collection": r["collection"], "image": r["image"], "is_disc": False}
         s = K.segment(I.array_of(r), **keywords) if r["height"] > 0 else None
         if s is None or s.tight is None:
-            return out
+            return {"cx": None, "cy": None, "radius": None, "is_disc": False, "decoded": s is not None}
         left, top, right, bottom = s.tight
-        return out | {"cx": (left + right) / 2, "cy": (top + bottom) / 2, "radius": (right - left + bottom - top) / 4, "is_disc": bool(s.is_disc)}
+        return {"cx": (left + right) / 2, "cy": (top + bottom) / 2, "radius": (right - left + bottom - top) / 4, "is_disc": bool(s.is_disc), "decoded": True}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_pylist([one(r) for r in batch.to_pylist()], _ARROW)
+                found = pa.RecordBatch.from_pylist([one(r) for r in batch.select(["height", "width", "channels", "data"]).to_pylist()], pa.schema(_FOUND))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in FILE), *found.columns], [*FILE, *found.schema.names])
 
-    return images.mapInArrow(each, f"collection string, image string, {FOUND}")
+    files = ", ".join(f"{c} {dict(images.dtypes)[c]}" for c in FILE)
+    return images.select(*FILE, "height", "width", "channels", "data").mapInArrow(each, f"{files}, {FOUND}, decoded boolean")
 
 
 def located(spark: SparkSession, root: str, frames: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
-    """The frames that show a proper disc, with cx, cy and radius; how many were segmented now. frames: collection, image, path of files that are there, and more."""
-    before = lookup(frames, stored(spark, root, settings))
+    """The frames that show a proper disc, with cx, cy and radius; how many files were measured now. frames: collection, image, path, and more."""
+    I.small_batches(spark)
+    files = files_of(frames, root)
+    before = lookup(files, stored(spark, root, settings), FILE)
     paths = [r["path"] for r in before.where("found = 'compute'").select("path").distinct().collect()]  # names of one run's candidates alone
     if paths:
-        images = I.read_images(spark, paths).join(frames.select("collection", "image", "path").distinct(), "path")
-        new = measured(images, settings).select("collection", "image", F.lit(key_of(settings)).alias("settings"), "cx", "cy", "radius", "is_disc")
-        new.write.mode("append").parquet(store_path(root))
-        before = lookup(frames, stored(spark, root, settings))
-    return before.where("is_disc").drop("found", "is_disc"), len(paths)
+        images = I.read_images(spark, paths).join(files.select("path", *FILE).distinct(), "path")
+        new = measured(images, settings).withColumns({"settings": F.lit(key_of(settings)), "measured": F.current_timestamp()})
+        table = store(spark, root)
+        table.add(new.select(*(c.split()[0] for c in STORE.split(", "))))
+        if len(table.folders()) > MOST_FOLDERS:
+            table.merge()
+        before = lookup(files, stored(spark, root, settings), FILE)
+    return before.where("is_disc").select(*frames.columns, "cx", "cy", "radius"), len(paths)

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumidisc.functions import text as T
 from lumidisc.operators.segmentation import status_counts
 from lumidisc.raster import kernels as K
+from lumidisc.session import checkpointed
 from lumidisc.sinks import png
 from lumidisc.sinks.files import land, link_latest, manifest
 from lumidisc.sources import images as I
@@ -62,32 +65,82 @@ def outcomes(images: DataFrame, run: str, settings: Settings, overlays: bool = T
     return images.mapInArrow(each, SCHEMA)
 
 
-def process(spark: SparkSession, source: str, out_root: str, settings: Settings = Settings(), *, recursive: bool = False, overlays: bool = True, force: bool = False, dry_run: bool = False, on_progress: Callable[[int, int, str], None] | None = None) -> tuple[str, DataFrame]:
-    """The run's folder and its outcomes, of this and of earlier calls. Cutouts and overlays are files that workers write: the folder has to be mounted by all of them. on_progress: called with images done now, all of them, and a name."""
+#: Files of one micro-batch: their names are all that the driver ever holds.
+FILES_PER_BATCH = 1000
+
+
+class Outcomes:
+    """The outcome table of a run: a folder for each batch, which a batch that is made again replaces."""
+
+    def __init__(self, spark: SparkSession, run: str):
+        self.spark, self.path = spark, os.path.join(run, "outcomes")
+
+    def read(self) -> DataFrame:
+        schema = SCHEMA + ", batch int"
+        try:
+            return self.spark.read.schema(schema).parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
+
+    def write(self, rows: DataFrame, batch: int) -> DataFrame:
+        place = os.path.join(self.path, f"batch={batch}")
+        rows.write.mode("overwrite").parquet(place)
+        return self.spark.read.schema(SCHEMA).parquet(place)
+
+
+def process(
+    spark: SparkSession, source: str, out_root: str, settings: Settings = Settings(), *, recursive: bool = False, overlays: bool = True, force: bool = False, dry_run: bool = False,
+    on_progress: Callable[[int, int, str], None] | None = None, files_per_batch: int = FILES_PER_BATCH,
+) -> tuple[str, DataFrame]:
+    """The run's folder and its outcomes, of this and of earlier calls.
+
+    New files come as a stream that ends when all are done. Its checkpoint, in the run's folder, knows which files were taken, and a micro-batch's outcomes are one folder of the
+    table, named by the batch; so a call that breaks off is taken up by the next one where it stopped, the batch that was under way is made again in its place, and
+    no image has two outcomes of a call. Images without an ok outcome are tried again by each call, all images if ``force``.
+    Cutouts and overlays are files that workers write: the folder has to be mounted by all of them. on_progress: called with images done now, all of them, and a name.
+    """
     if not os.path.isdir(source):
         raise NotADirectoryError(source)
+    I.small_batches(spark)
     source = os.path.abspath(source)
     ident = T.run_id(source=source, settings=asdict(settings), recursive=recursive)
     run = os.path.join(os.path.abspath(out_root), ident)
     listed = I.find_images(spark, source, recursive)
-    table = os.path.join(run, "outcomes")
-    before = spark.read.schema(SCHEMA + ", batch int").parquet(table).drop("batch") if os.path.isdir(table) and os.listdir(table) else spark.createDataFrame([], SCHEMA)
-    todo = listed if force else listed.join(before.where("status = 'ok'").select(F.col("input").alias("relative")), "relative", "left_anti")
-    paths = [r["path"] for r in todo.select("path").orderBy("path").collect()]  # file names alone
-    if paths:
-        images = I.read_images(spark, paths).join(todo.select("path", "relative"), "path")
-        n = len([d for d in os.listdir(table) if d.startswith("batch=")]) if os.path.isdir(table) else 0
-        if dry_run:
-            done = outcomes(images, run, settings, overlays, True)
-            return run, done.unionByName(skipped(before, listed, todo))
-        outcomes(images, run, settings, overlays).write.parquet(os.path.join(table, f"batch={n}"))
-        done = spark.read.schema(SCHEMA).parquet(os.path.join(table, f"batch={n}"))
-        if on_progress:
-            for i, r in enumerate(done.select("input").toLocalIterator(), 1):
-                on_progress(i, len(paths), r["input"])
-    else:
-        done = spark.createDataFrame([], SCHEMA)
-    found = done.unionByName(skipped(before, listed, todo))
+    table = Outcomes(spark, run)
+    before = checkpointed(table.read())  # as it was: the table grows below
+    ok = before.where("status = 'ok'").select(F.col("input").alias("relative"))
+    todo = listed if force else listed.join(ok, "relative", "left_anti")
+    if dry_run:
+        images = I.read_images(spark, source, recursive).join(todo.select("path", "relative"), "path")
+        return run, outcomes(images, run, settings, overlays, True).unionByName(skipped(before, listed, todo))
+    total, mine, state = (todo.count() if on_progress else 0), [], {"done": 0}
+
+    def make(files: list[tuple[str, str]], batch: int) -> None:
+        """files: path and relative of up to ``files_per_batch`` images."""
+        names = spark.createDataFrame(files, "path string, relative string")
+        images = I.read_images(spark, [path for path, _ in files]).join(F.broadcast(names), "path")
+        rows = table.write(outcomes(images, run, settings, overlays), batch)
+        mine.append(batch)
+        for r in rows.select("input").toLocalIterator() if on_progress else ():
+            state["done"] += 1
+            on_progress(state["done"], total, r["input"])
+
+    def arrived(files: DataFrame, batch: int) -> None:
+        # a batch that is made again has outcomes already, which don't count; other batches' do
+        known = before.where(f"status = 'ok' AND batch <> {batch}").select(F.col("input").alias("relative"))
+        rows = files if force else files.join(known, "relative", "left_anti")
+        if found := [tuple(r) for r in rows.select("path", "relative").collect()]:
+            make(found, batch)
+
+    stream = I.new_images(spark, source, recursive, files_per_batch)
+    stream.writeStream.foreachBatch(arrived).option("checkpointLocation", os.path.join(run, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    now = table.read().where(F.col("batch").isin(mine))
+    rest = todo.join(now.select(F.col("input").alias("relative")), "relative", "left_anti").select("path", "relative")
+    least = min(0, before.agg(F.min("batch")).first()[0] or 0)
+    for part in chunks(rest.toLocalIterator(), files_per_batch):
+        least -= 1  # batches below 0 are of second tries
+        make([tuple(r) for r in part], least)
+    found = table.read().where(F.col("batch").isin(mine)).drop("batch").unionByName(skipped(before.where(~F.col("batch").isin(mine)), listed, todo))
     counts = status_counts(found).first().asDict()
     rows = [r.asDict() for r in found.orderBy("input").toLocalIterator()]
     manifest(os.path.join(run, "manifest.json"), run_id=ident, created=dt.datetime.now(dt.UTC).isoformat(), source=source, settings=asdict(settings), disc_fill_ratio=T.DISC_FILL, counts=counts, images=rows)
@@ -95,6 +148,11 @@ def process(spark: SparkSession, source: str, out_root: str, settings: Settings
     return run, found
 
 
+def chunks(rows: Iterator, n: int) -> Iterator[list]:
+    while part := list(itertools.islice(rows, n)):
+        yield part
+
+
 def skipped(before: DataFrame, listed: DataFrame, todo: DataFrame) -> DataFrame:
     """Earlier outcomes of images that need no work, with their numbers."""
     rest = listed.join(todo.select("path"), "path", "left_anti").select(F.col("relative").alias("input"))

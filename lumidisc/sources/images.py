@@ -26,9 +26,18 @@ def plain(path: Column) -> Column:
 
 def find_images(spark: SparkSession, source: str, recursive: bool = False) -> DataFrame:
     """path, relative and length of the image files below ``source``; the scan never reads contents. Hidden files and anything below a folder named outputs stay out."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(source).select(plain(F.col("path")).alias("path"), "length", "modificationTime")
-    root = source.rstrip("/") + "/"
-    relative = F.expr(f"substring(path, {len(root) + 1})")
+    return _images_of(spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(source), source)
+
+
+def new_images(spark: SparkSession, source: str, recursive: bool = False, files_per_batch: int = 1000) -> DataFrame:
+    """The same as a stream of files that its checkpoint doesn't know yet, whatever their age."""
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", str(recursive).lower())
+    return _images_of(found.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", "365000d").load(source), source)
+
+
+def _images_of(files: DataFrame, source: str) -> DataFrame:
+    listed = files.select(plain(F.col("path")).alias("path"), "length", "modificationTime")
+    relative = F.expr(f"substring(path, {len(source.rstrip('/')) + 2})")
     out = listed.withColumn("relative", relative)
     name = F.element_at(F.split("relative", "/"), -1)
     return out.where(F.lower(F.element_at(F.split("relative", r"\."), -1)).isin(*SUFFIXES) & ~name.startswith(".") & ~F.array_contains(F.split("relative", "/"), "outputs"))

@@ -601,3 +601,104 @@ def test_sql_functions(spark):
     assert sorted(own) == sorted(spark.sql("SELECT disc_luminance(r, g, b), round(disc_cloud_score(r, g, b), 9) FROM px").collect())
     assert spark.sql("SELECT round(disc_great_circle(0D, 0D, 0D, 90D), 9), disc_wrap_lon(180D), disc_looks_round(0.785D, 1D)").first()[:] == (90.0, -180.0, True)
     assert spark.sql("SELECT * FROM disc_pixels(X'010203040506', 1, 2, 3)").collect()[1][:] == (0, 1, 4, 5, 6)
+
+
+# stores and resumable runs
+def test_geometry_of_other_formats_and_changed_files(spark, tmp_path):
+    """Another format of an image, a replaced file and a repaired one are measured; nothing else is."""
+    from lumidisc.plans import geometry
+
+    root, settings = str(tmp_path), segment_batch.Settings()
+    save(f"{root}/a.png", disc(200, 50))
+    (tmp_path / "b.png").write_bytes(b"nothing")
+
+    def run(*names):
+        frames = spark.createDataFrame([("natural", n.split(".")[0], f"{root}/{n}") for n in names], "collection string, image string, path string")
+        found, new = geometry.located(spark, root, frames, settings)
+        return {r["path"].rsplit("/", 1)[1]: round(r["radius"]) for r in found.collect()}, new
+
+    assert run("a.png", "b.png") == ({"a.png": 50}, 2)
+    save(f"{root}/a.bmp", disc(50, 20))  # its bytes tell its format
+    assert run("a.png", "a.bmp", "b.png") == ({"a.png": 50, "a.bmp": 20}, 1)
+    save(f"{root}/a.png", disc(120, 40))
+    assert run("a.png", "a.bmp") == ({"a.png": 40, "a.bmp": 20}, 1)
+    save(f"{root}/b.png", disc(120, 30))
+    assert run("a.png", "a.bmp", "b.png") == ({"a.png": 40, "a.bmp": 20, "b.png": 30}, 1)
+    assert run("a.png", "a.bmp", "b.png")[1] == 0
+
+
+def test_a_store_with_many_writers(spark, tmp_path):
+    from lumidisc.sinks.versions import Versions
+
+    table = Versions(spark, f"{tmp_path}/store", "k int, v int, at int", ("k",), "at")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v int, at int")
+    assert table.read().count() == 0 and table.merge() is None
+    table.add(rows((1, 10, 1), (2, 20, 1)))
+    table.add(rows((1, 11, 2)))
+    before = table.folders()
+    table.add(rows((3, 30, 3)))  # while another run merges what was there before
+    table._add(table.newest(table.read(before)), before)
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 11, 2), (2, 20, 1), (3, 30, 3)]
+    one, other = table.folders(), table.folders()  # two merges at once
+    table._add(table.newest(table.read(one)), one)
+    table._add(table.newest(table.read(other)), other)
+    assert sorted(tuple(r) for r in table.newest(table.read()).collect()) == [(1, 11, 2), (2, 20, 1), (3, 30, 3)]
+    table.merge()
+    assert len(table.folders()) == 1 and table.read().count() == 3
+    rows((9, 9, 9)).write.parquet(f"{tmp_path}/store/data/half")  # a run that ended before its entry
+    assert table.read().count() == 3
+
+
+def by_input(found):
+    rows = [(r["input"], r["status"]) for r in found.collect()]
+    assert len(rows) == len({i for i, _ in rows})
+    return dict(rows)
+
+
+def test_batches_over_a_growing_folder(spark, tmp_path):
+    """Two calls over a folder that grows come to what one call comes to; images come in micro-batches."""
+    source, settings = tmp_path / "in", segment_batch.Settings(threshold=40)
+    for n in "abc":
+        save(str(source / f"{n}.png"), disc(60, 20))
+    told = []
+    first = segment_batch.process(spark, str(source), str(tmp_path / "one"), settings, files_per_batch=2, on_progress=lambda *x: told.append(x))[1]
+    assert by_input(first) == dict.fromkeys(("a.png", "b.png", "c.png"), "ok") and [x[:2] for x in told] == [(1, 3), (2, 3), (3, 3)]
+    for n in "de":
+        save(str(source / f"{n}.png"), disc(60, 25))
+    os.utime(source / "e.png", (10**9, 10**9))  # an old file that comes late
+    (source / "f.png").write_bytes(b"nothing")
+    run, second = segment_batch.process(spark, str(source), str(tmp_path / "one"), settings, files_per_batch=2)
+    assert by_input(second) == {"a.png": "skipped", "b.png": "skipped", "c.png": "skipped", "d.png": "ok", "e.png": "ok", "f.png": "failed"}
+    whole_run, whole = segment_batch.process(spark, str(source), str(tmp_path / "two"), settings)
+    numbers = lambda df: sorted((r["input"], r["fill"], r["output"]) for r in df.collect())
+    assert numbers(second) == numbers(whole) and sorted(os.listdir(f"{run}/cutouts")) == sorted(os.listdir(f"{whole_run}/cutouts"))
+    save(str(source / "f.png"), disc(60, 20))  # repaired, and known to the stream
+    assert by_input(segment_batch.process(spark, str(source), str(tmp_path / "one"), settings)[1])["f.png"] == "ok"
+    dry = by_input(segment_batch.process(spark, str(source), str(tmp_path / "three"), settings, dry_run=True)[1])
+    assert set(dry.values()) == {"dry-run"} and len(dry) == 6 and not (tmp_path / "three").exists()
+    assert set(by_input(segment_batch.process(spark, str(source), str(tmp_path / "one"), settings, force=True)[1]).values()) == {"ok"}
+
+
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_batch_that_breaks_off_is_made_once(spark, tmp_path, monkeypatch, when):
+    source, settings = tmp_path / "in", segment_batch.Settings(threshold=40)
+    for n in "abcd":
+        save(str(source / f"{n}.png"), disc(60, 20))
+    write = segment_batch.Outcomes.write
+
+    def broken(self, rows, batch):
+        if batch == 1 and when == "before":
+            raise RuntimeError("lost")
+        out = write(self, rows, batch)
+        if batch == 1:
+            raise RuntimeError("lost")  # its outcomes are there, but the checkpoint doesn't know that
+        return out
+
+    monkeypatch.setattr(segment_batch.Outcomes, "write", broken)
+    with pytest.raises(Exception, match="lost"):
+        segment_batch.process(spark, str(source), str(tmp_path / "out"), settings, files_per_batch=1)
+    monkeypatch.setattr(segment_batch.Outcomes, "write", write)
+    run, found = segment_batch.process(spark, str(source), str(tmp_path / "out"), settings, files_per_batch=1)
+    assert sorted(by_input(found)) == ["a.png", "b.png", "c.png", "d.png"]
+    rows = segment_batch.Outcomes(spark, run).read().collect()
+    assert len(rows) == 4 and {r["status"] for r in rows} == {"ok"}
