@@ -79,9 +79,11 @@ def _counts(batch: pa.RecordBatch, s: Settings) -> list[bytes]:
 def train(docs: DataFrame, learn: Column, settings: Settings = Settings()) -> Model:
     """Learns from documents with a language for which ``learn`` (a condition on doc_id) holds: a hash sample bounded for each language."""
     usable = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = first_by_hash(usable.select("doc_id", "lang").where("doc_id IS NOT NULL"), "lang", settings.max_per_language)
-    ids = sent_if_small(ids.groupBy("doc_id", "lang").agg(F.min("rank").alias("rank")))  # how many languages there are isn't bounded
-    rows = usable.join(ids, ["doc_id", "lang"])
+    # ids are what is ranked, so they are what is counted: of an id, the text with the smallest hash, once
+    usable = usable.where("doc_id IS NOT NULL").withColumn("of_text", F.xxhash64("text"))
+    ids = first_by_hash(usable.groupBy("doc_id", "lang").agg(F.min("of_text").alias("of_text")), "lang", settings.max_per_language)
+    ids = sent_if_small(ids)  # how many languages there are isn't bounded
+    rows = usable.join(ids, ["doc_id", "lang", "of_text"]).dropDuplicates(["doc_id", "lang"])
     found = in_batches(
         rows.select("doc_id", "text", "lang", "rank"),
         lambda b: {"doc_id": b.column("doc_id"), "lang": b.column("lang"), "rank": b.column("rank"), "features": pa.array(_counts(b, settings), pa.binary())},

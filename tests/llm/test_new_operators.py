@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests_llm_fixtures import prose
 
-from lumidisc.llm import alignment, divergence, neighbours
+from lumidisc.llm import alignment, divergence, language, neighbours
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -175,3 +175,12 @@ def test_probabilities_of_large_counts_are_exact(spark):
     df = spark.createDataFrame(rows, "n bigint, total bigint, v bigint").select(divergence.probability(F.col("n"), F.col("total"), F.col("v")).alias("p"))
     assert [r["p"] for r in df.collect()] == want
     assert [int(divergence.probabilities(np.array([n]), np.array([total]), v)[0]) for n, total, v in rows] == want
+
+
+def test_a_language_with_few_ids_is_learned(spark):
+    """298 rows of one language with an id each, and very many rows of another under two ids: both are learned, of an id one row."""
+    rows = [(i, f"der die das und nicht {prose(i, 12)} ung schaft", "de") for i in range(298)]
+    rows += [(1000 + i % 2, f"the and of with this {prose(i % 50, 12)} ing tion", "en") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = language.train(docs, F.lit(True))
+    assert model.languages == ("de", "en")
