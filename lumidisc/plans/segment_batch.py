@@ -18,12 +18,15 @@ from lumidisc.operators.segmentation import status_counts
 from lumidisc.raster import kernels as K
 from lumidisc.session import checkpointed
 from lumidisc.sinks import png
-from lumidisc.sinks.files import land, link_latest, manifest
+from lumidisc.sinks.files import link_latest, manifest
+from lumidisc.sinks.landing import land_files
 from lumidisc.sources import images as I
 
 SCHEMA = "input string, status string, output string, threshold int, left int, top int, right int, bottom int, coverage double, fill double, aspect double, needs_review boolean, error string"
 _ARROW = pa.schema([("input", pa.string()), ("status", pa.string()), ("output", pa.string()), ("threshold", pa.int32()), *((c, pa.int32()) for c in ("left", "top", "right", "bottom")), *((c, pa.float64()) for c in ("coverage", "fill", "aspect")), ("needs_review", pa.bool_()), ("error", pa.string())])
 
+_MADE = pa.schema([*_ARROW, ("cutout", pa.binary()), ("overlay", pa.binary())])
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -36,12 +39,12 @@ class Settings:
     min_area: float = 0.001
 
 
-def outcomes(images: DataFrame, run: str, settings: Settings, overlays: bool = True, dry_run: bool = False) -> DataFrame:
-    """A row for each decoded image (path, relative, ...). Cutouts and overlays land while the rows are made."""
+def outcomes(images: DataFrame, settings: Settings, overlays: bool = True, dry_run: bool = False) -> DataFrame:
+    """A row for each decoded image (path, relative, ...), with the bytes of its cutout and overlay."""
     keywords = asdict(settings)
 
     def one(r: dict) -> dict:
-        out = dict.fromkeys(_ARROW.names) | {"input": r["relative"], "needs_review": True}
+        out = dict.fromkeys(_MADE.names) | {"input": r["relative"], "needs_review": True}
         if r["height"] < 0:
             return out | {"status": "failed", "error": "cannot be decoded"}
         image = I.array_of(r)
@@ -52,17 +55,14 @@ def outcomes(images: DataFrame, run: str, settings: Settings, overlays: bool = T
         out |= dict(zip(("left", "top", "right", "bottom"), s.box, strict=True)) | {"output": f"cutouts/{r['relative']}.png"}
         if dry_run:
             return out | {"status": "dry-run"}
-        if overlays:
-            land(os.path.join(run, "overlays", r["relative"] + ".png"), png.encode(K.overlay(image, s)))
-        land(os.path.join(run, out["output"]), png.encode(K.cutout(image, s)))
-        return out | {"status": "ok"}
+        return out | {"status": "ok", "cutout": png.encode(K.cutout(image, s)), "overlay": png.encode(K.overlay(image, s)) if overlays else None}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_pylist([one(r) for r in batch.to_pylist()], _ARROW)
+                yield pa.RecordBatch.from_pylist([one(r) for r in batch.to_pylist()], _MADE)
 
-    return images.mapInArrow(each, SCHEMA)
+    return images.mapInArrow(each, f"{SCHEMA}, cutout binary, overlay binary")
 
 
 #: Files of one micro-batch: their names are all that the driver ever holds.
@@ -73,7 +73,7 @@ class Outcomes:
     """The outcome table of a run: a folder for each batch, which a batch that is made again replaces."""
 
     def __init__(self, spark: SparkSession, run: str):
-        self.spark, self.path = spark, os.path.join(run, "outcomes")
+        self.spark, self.run, self.path = spark, run, os.path.join(run, "outcomes")
 
     def read(self) -> DataFrame:
         schema = SCHEMA + ", batch int"
@@ -83,8 +83,14 @@ class Outcomes:
             return self.spark.createDataFrame([], schema)
 
     def write(self, rows: DataFrame, batch: int) -> DataFrame:
-        place = os.path.join(self.path, f"batch={batch}")
-        rows.write.mode("overwrite").parquet(place)
+        """Images are segmented once, into a table with the files' bytes; the files land, then the outcomes are told."""
+        made, place = os.path.join(self.run, "made"), os.path.join(self.path, f"batch={batch}")
+        rows.write.mode("overwrite").parquet(made)
+        rows = self.spark.read.schema(f"{SCHEMA}, cutout binary, overlay binary").parquet(made)
+        files = F.array(F.struct(F.col("output").alias("path"), F.col("cutout").alias("content")), F.struct(F.concat(F.lit("overlays/"), "input", F.lit(".png")).alias("path"), F.col("overlay").alias("content")))
+        land_files(rows.select(F.inline(files)).where("content IS NOT NULL"), self.run)
+        rows.select(*_ARROW.names).write.mode("overwrite").parquet(place)
+        rows.limit(0).write.mode("overwrite").parquet(made)  # the bytes are in the files now
         return self.spark.read.schema(SCHEMA).parquet(place)
 
 
@@ -97,7 +103,7 @@ def process(
     New files come as a stream that ends when all are done. Its checkpoint, in the run's folder, knows which files were taken, and a micro-batch's outcomes are one folder of the
     table, named by the batch; so a call that breaks off is taken up by the next one where it stopped, the batch that was under way is made again in its place, and
     no image has two outcomes of a call. Images without an ok outcome are tried again by each call, all images if ``force``.
-    Cutouts and overlays are files that workers write: the folder has to be mounted by all of them. on_progress: called with images done now, all of them, and a name.
+    Cutouts and overlays land by ``sinks.landing``. on_progress: called with images done now, all of them, and a name.
     """
     if not os.path.isdir(source):
         raise NotADirectoryError(source)
@@ -112,14 +118,14 @@ def process(
     todo = listed if force else listed.join(ok, "relative", "left_anti")
     if dry_run:
         images = I.read_images(spark, source, recursive).join(todo.select("path", "relative"), "path")
-        return run, outcomes(images, run, settings, overlays, True).unionByName(skipped(before, listed, todo))
+        return run, outcomes(images, settings, overlays, True).select(*_ARROW.names).unionByName(skipped(before, listed, todo))
     total, mine, state = (todo.count() if on_progress else 0), [], {"done": 0}
 
     def make(files: list[tuple[str, str]], batch: int) -> None:
         """files: path and relative of up to ``files_per_batch`` images."""
         names = spark.createDataFrame(files, "path string, relative string")
         images = I.read_images(spark, [path for path, _ in files]).join(F.broadcast(names), "path")
-        rows = table.write(outcomes(images, run, settings, overlays), batch)
+        rows = table.write(outcomes(images, settings, overlays), batch)
         mine.append(batch)
         for r in rows.select("input").toLocalIterator() if on_progress else ():
             state["done"] += 1

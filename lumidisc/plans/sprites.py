@@ -16,6 +16,7 @@ from lumidisc.functions import text as T
 from lumidisc.raster import kernels as K
 from lumidisc.sinks import gif, png
 from lumidisc.sinks.files import land, link_latest, manifest
+from lumidisc.sinks.landing import land_files
 from lumidisc.sinks.sheets import contact_sheet
 from lumidisc.sources import images as I
 
@@ -145,15 +146,14 @@ def render_all(spark: SparkSession, source: str, out_root: str, s: SpriteSetting
                 out = finish(np.frombuffer(r["data"], np.uint8).reshape(size, size, 4), s, size, shared.get(size))
                 yield pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int32()), "name": [r["name"]], "output_size": pa.array([out.shape[0]], pa.int32()), "content": [png.encode(out)]})
 
-    # tasks write a table; the driver takes the frames out one at a time
+    # finished once, as a table; its frames then land as files, written by tasks
     table = os.path.join(run, "finished")
     small.mapInArrow(each, "size int, name string, output_size int, content binary").write.mode("overwrite").parquet(table)
-    done = []
-    for r in spark.read.parquet(table).toLocalIterator(prefetchPartitions=True):
-        land(os.path.join(run, str(r["size"]), r["name"]), bytes(r["content"]))
-        done.append((r["size"], r["name"], r["output_size"]))
-        if on_progress:
-            on_progress(len(done), None, r["name"])
+    finished = spark.read.parquet(table)
+    land_files(finished.select(F.concat_ws("/", F.col("size").cast("string"), "name").alias("path"), "content"), run)
+    done = [tuple(r) for r in finished.select("size", "name", "output_size").collect()]  # names of the frames
+    for i, (_, name, _) in enumerate(done if on_progress else (), 1):
+        on_progress(i, None, name)
     report = spark.createDataFrame(done, "size int, name string, output_size int").groupBy("size").agg(F.count("*").alias("frames"), F.max("output_size").alias("output_size")).orderBy("size")
     for size in s.sizes:
         names = sorted(name for own, name, _ in done if own == size)

@@ -28,6 +28,7 @@ from lumidisc.raster import kernels as K
 from lumidisc.session import checkpointed
 from lumidisc.sinks import gif, png
 from lumidisc.sinks.files import land, link_latest, manifest
+from lumidisc.sinks.landing import land_files
 from lumidisc.sinks.sheets import contact_sheet
 from lumidisc.sources import images as I
 from lumidisc.sources import metadata
@@ -184,15 +185,14 @@ def render_all(spark: SparkSession, root: str, out_root: str, s: TurntableSettin
                 rgba, suspect = render(*sent.value, r["vp_lon"], s)
                 yield pa.RecordBatch.from_pydict({"frame": pa.array([r["vp"]], pa.int32()), "name": [f"frame_{r['vp']:03d}.png"], "suspect_fraction": [suspect], "content": [png.encode(rgba)]})
 
-    # tasks write a table; the driver takes its few frames out one at a time, so no worker writes files that others can't see
+    # rendered once, as a table; its frames then land as files, written by tasks
     table = os.path.join(run, "rendered")
     candidates.viewpoints(spark, s.frames, s.lat0).repartition(s.frames, "vp").mapInArrow(each, "frame int, name string, suspect_fraction double, content binary").write.mode("overwrite").parquet(table)
-    rows = []
-    for r in spark.read.parquet(table).toLocalIterator(prefetchPartitions=True):
-        land(os.path.join(run, "frames", r["name"]), bytes(r["content"]))
-        rows.append({c: r[c] for c in ("frame", "name", "suspect_fraction")})
-        if on_progress:
-            on_progress(len(rows), s.frames, r["name"])
+    rendered = spark.read.parquet(table)
+    land_files(rendered.select(F.concat(F.lit("frames/"), "name").alias("path"), "content"), run)
+    rows = [r.asDict() for r in rendered.select("frame", "name", "suspect_fraction").collect()]  # numbers of a rotation's frames
+    for i, r in enumerate(rows if on_progress else (), 1):
+        on_progress(i, s.frames, r["name"])
     rows.sort(key=lambda r: r["frame"])
     report = spark.createDataFrame([tuple(r.values()) for r in rows], "frame int, name string, suspect_fraction double").orderBy("frame")
     images = lambda: (png.decode(open(os.path.join(run, "frames", r["name"]), "rb").read()) for r in rows)

@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame
-
 
 def land(path: str, content: bytes) -> None:
     """Written beside, then renamed: no reader sees half a file."""
@@ -17,16 +15,6 @@ def land(path: str, content: bytes) -> None:
     os.replace(part, path)
 
 
-def write_files(files: DataFrame) -> None:
-    """files: path, content. A task writes its own rows; a repeated task writes the same bytes again."""
-
-    def each(rows) -> None:
-        for r in rows:
-            land(r["path"], bytes(r["content"]))
-
-    files.select("path", "content").foreachPartition(each)
-
-
 def manifest(path: str, **fields) -> None:
     land(path, json.dumps(fields, indent=1, sort_keys=True, default=str).encode())
 

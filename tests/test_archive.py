@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -702,3 +703,29 @@ def test_a_batch_that_breaks_off_is_made_once(spark, tmp_path, monkeypatch, when
     assert sorted(by_input(found)) == ["a.png", "b.png", "c.png", "d.png"]
     rows = segment_batch.Outcomes(spark, run).read().collect()
     assert len(rows) == 4 and {r["status"] for r in rows} == {"ok"}
+
+
+def tree(root):
+    return {os.path.relpath(os.path.join(d, f), root): open(os.path.join(d, f), "rb").read() for d, _, names in os.walk(root) for f in names}
+
+
+def test_files_land_by_commit(spark, tmp_path):
+    from lumidisc.sinks.landing import LandingWriter, land_files
+
+    root = f"{tmp_path}/out"
+    rows = [(f"{i % 3}/f{i}.bin", bytes([i]) * i) for i in range(20)]
+    land_files(spark.createDataFrame(rows, "path string, content binary").repartition(4), root)
+    assert tree(root) == dict(rows)
+    land_files(spark.createDataFrame([("0/f0.bin", b"new"), ("empty", None)], "path string, content binary"), f"file://{root}")
+    assert tree(root) == dict(rows) | {"0/f0.bin": b"new", "empty": b""}
+    # a job that fails in one task leaves nothing, not even what other tasks wrote
+    for bad in ("../escape", "/abs", "", None):
+        with pytest.raises(Exception, match="no path below the root"):
+            land_files(spark.createDataFrame([("good", b"x"), (bad, b"y")], "path string, content binary").repartition(2), root)
+    assert tree(root) == dict(rows) | {"0/f0.bin": b"new", "empty": b""} and not [d for d in os.listdir(root) if d.startswith(".")]
+    # of two attempts at a task one is committed
+    writer = LandingWriter(f"{tmp_path}/again")
+    batch = lambda v: iter([pa.RecordBatch.from_pydict({"path": ["a"], "content": [v]})])
+    writer.write(batch(b"lost"))
+    writer.commit([writer.write(batch(b"kept")), None])
+    assert tree(f"{tmp_path}/again") == {"a": b"kept"}
