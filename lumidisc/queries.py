@@ -347,7 +347,22 @@ def palette_nearest(spark, sf_dir):
     return palette.nearest(px(spark, sf_dir), SWATCHES)
 
 
-@query()
+def _cut_round(k: int, most: int) -> str:
+    return (
+        f"h{k} AS (SELECT box, x.c AS c, x.v AS v, sum(n) AS n FROM (SELECT box, n, unnest([{{c: 0, v: r}}, {{c: 1, v: g}}, {{c: 2, v: b}}]) AS x FROM c{k}) GROUP BY ALL), "
+        f"w{k} AS (SELECT *, sum(n) OVER (PARTITION BY box, c ORDER BY v) AS below, sum(n) OVER (PARTITION BY box, c) AS total, max(v) OVER (PARTITION BY box, c) AS top FROM h{k}), "
+        f"s{k} AS (SELECT box, c, max(v) - min(v) AS spread, max(total) AS total, coalesce(min(v) FILTER (2 * below >= total AND v < top), max(v) FILTER (v < top)) AS cut FROM w{k} GROUP BY box, c), "
+        f"b{k} AS (SELECT * FROM s{k} QUALIFY row_number() OVER (PARTITION BY box ORDER BY spread DESC, c) = 1), "
+        f"t{k} AS (SELECT * FROM b{k} WHERE spread > 0 QUALIFY row_number() OVER (ORDER BY spread * total DESC, box) <= {most} - (SELECT count(*) FROM b{k})), "
+        f"c{k + 1} AS (SELECT r, g, b, n, c{k}.box * 2 + CASE WHEN [r, g, b][t{k}.c + 1] > cut THEN 1 ELSE 0 END AS box FROM c{k} LEFT JOIN t{k} ON t{k}.box = c{k}.box)"
+    )
+
+
+@query(
+    f"WITH {PX}, c0 AS (SELECT r, g, b, count(*) AS n, 0 AS box FROM px GROUP BY r, g, b), {', '.join(_cut_round(k, 16) for k in range(4))}, "
+    "m AS (SELECT DISTINCT r, g, b FROM (SELECT box, " + ", ".join(f"CAST(round_even(sum({c} * n) / CAST(sum(n) AS DOUBLE), 0) AS INT) AS {c}" for c in "rgb") + " FROM c4 GROUP BY box)) "
+    "SELECT CAST(row_number() OVER (ORDER BY r, g, b) - 1 AS INT) AS idx, r, g, b FROM m"
+)
 def palette_mediancut(spark, sf_dir):
     return palette.shared_palette(px(spark, sf_dir), 16)
 

@@ -729,3 +729,23 @@ def test_files_land_by_commit(spark, tmp_path):
     writer.write(batch(b"lost"))
     writer.commit([writer.write(batch(b"kept")), None])
     assert tree(f"{tmp_path}/again") == {"a": b"kept"}
+
+
+def test_median_cut_in_rounds(spark):
+    """At most so many boxes, none empty; equal colours share one; every box lies in its own part of the colours."""
+    from lumidisc.operators import palette
+
+    rng = np.random.default_rng(5)
+    rows = [(*map(int, c), int(n)) for c, n in zip(np.unique(rng.integers(0, 256, (400, 3)), axis=0), rng.integers(1, 50, 400), strict=False)]
+    colors = spark.createDataFrame(rows, "r int, g int, b int, n bigint")
+    for most in (1, 2, 5, 16, 100):
+        found = palette.boxes(colors, most).collect()
+        ranges = {}
+        for r in found:
+            ranges.setdefault(r["box"], []).append((r["r"], r["g"], r["b"]))
+        assert len(found) == len(rows) and len(ranges) == most
+        apart = [(np.min(x, 0), np.max(x, 0)) for x in ranges.values()]
+        assert all(((a[1] < b[0]) | (b[1] < a[0])).any() for i, a in enumerate(apart) for b in apart[:i])
+    few = spark.createDataFrame([(1, 2, 3, 10), (200, 2, 3, 1)], "r int, g int, b int, n bigint")
+    assert len({r["box"] for r in palette.boxes(few, 16).collect()}) == 2
+    assert palette.shared_palette(spark.createDataFrame([], "r int, g int, b int"), 4).count() == 0
