@@ -5,9 +5,11 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import json
+import os
 import sys
 
 from lumidisc.functions.text import NOMINAL_BYTES
+from lumidisc.sinks.files import find_root
 
 
 def byte_size(text: str) -> int:
@@ -27,11 +29,12 @@ def human(n: int) -> str:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lumidisc", description=__doc__)
+    home = find_root(os.curdir)  # outputs and mirrors lie at the repository's top, wherever in it the command is given
     top.add_argument("--master", default="local[*]")
     sub = top.add_subparsers(dest="command", required=True)
     b = sub.add_parser("batch", help="cut bright discs out of a folder of images")
     b.add_argument("source")
-    b.add_argument("-o", "--output", default="outputs")
+    b.add_argument("-o", "--output", default=os.path.join(home, "outputs"))
     b.add_argument("-r", "--recursive", action="store_true")
     b.add_argument("-t", "--threshold", type=int)
     b.add_argument("--blur", type=float, default=1.0)
@@ -44,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("base")
     f.add_argument("--collection", choices=("natural", "enhanced", "aerosol", "cloud"), default="natural")
     f.add_argument("--format", choices=sorted(NOMINAL_BYTES), default="png")
-    f.add_argument("--root", default="mirror")
+    f.add_argument("--root", default=os.path.join(home, "mirror"))
     f.add_argument("--from", dest="start", type=dt.date.fromisoformat)
     f.add_argument("--to", dest="end", type=dt.date.fromisoformat)
     f.add_argument("--spread", type=int)
@@ -58,14 +61,14 @@ def parser() -> argparse.ArgumentParser:
         f.add_argument(f"--{flag}", action="store_true")
     t = sub.add_parser("turntable", help="a turning globe from a mirror")
     t.add_argument("mirror")
-    t.add_argument("-o", "--output", default="outputs")
+    t.add_argument("-o", "--output", default=os.path.join(home, "outputs"))
     for name, kind, default in (("lat0", float, 0.0), ("frames", int, 72), ("radius", int, 800), ("min-cos", float, 0.35), ("luminance-floor", float, 30), ("obliqueness-penalty", float, 0.5), ("blend-k", int, 1), ("blend-margin", float, 1.5), ("max-candidates", int, 48), ("reference-scale", float, 4), ("scorer", str, "rgb"), ("collection", str, "natural"), ("fmt", str, "png")):
         t.add_argument(f"--{name}", type=kind, default=default)
     t.add_argument("--no-gif", action="store_true")
     t.add_argument("--no-contact-sheet", action="store_true")
     p = sub.add_parser("pixelart", help="small sprites from rotation frames")
     p.add_argument("source")
-    p.add_argument("-o", "--output", default="outputs")
+    p.add_argument("-o", "--output", default=os.path.join(home, "outputs"))
     p.add_argument("--sizes", default="32,64,128")
     for name, kind, default in (("stylize", float, 1.0), ("saturation-boost", float, 1.8), ("gamma", float, 2.4), ("contrast", float, 0.35), ("black-point", float, 0.05), ("land-green", float, 1.0), ("colors", int, 32), ("downsample", str, "nearest"), ("supersample", int, 1), ("display-scale", int, None)):
         p.add_argument(f"--{name}", type=kind, default=default)

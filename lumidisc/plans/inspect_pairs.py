@@ -14,7 +14,7 @@ from lumidisc.operators import mirror
 from lumidisc.raster import kernels as K
 from lumidisc.session import checkpointed
 from lumidisc.sinks import png
-from lumidisc.sinks.files import land
+from lumidisc.sinks.files import find_root, land  # noqa: F401  roots of this plan too
 from lumidisc.sources import images as I
 from lumidisc.sources import metadata
 from lumidisc.sources.derived import numbered
@@ -24,16 +24,6 @@ SCHEMA = "path string, height int, width int, fill double, aspect double, is_dis
 THUMB = 160
 
 
-def find_root(start: str) -> str:
-    """The nearest folder at or above ``start`` that is a repository; ``start`` itself if none is."""
-    at = os.path.abspath(start)
-    while not os.path.exists(os.path.join(at, ".git")):
-        if (up := os.path.dirname(at)) == at:
-            return os.path.abspath(start)
-        at = up
-    return at
-
-
 def pairs(spark: SparkSession, root: str, other: str = "cloud", form: str = "png") -> DataFrame:
     """stamp, natural and cloud: paths of files of both collections with the same time in their names."""
     files = lambda name: metadata.inventory(spark, f"{root}/{name}").where(F.col("path").endswith(f".{form}")).select(F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1).alias("image"), F.col("path").alias("event_id"))

@@ -40,8 +40,9 @@ class Versions:
         rank = F.row_number().over(Window.partitionBy(*self.key).orderBy(F.desc(self.order)))
         return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
-    def add(self, rows: DataFrame) -> str:
-        return self._add(rows, [])
+    def add(self, rows: DataFrame, instead: list[str] | None = None) -> str:
+        """instead: folders that the rows stand for."""
+        return self._add(rows, instead or [])
 
     def merge(self, files: int = 1) -> str | None:
         """Many small folders become one, each key once."""

@@ -749,3 +749,28 @@ def test_median_cut_in_rounds(spark):
     few = spark.createDataFrame([(1, 2, 3, 10), (200, 2, 3, 1)], "r int, g int, b int, n bigint")
     assert len({r["box"] for r in palette.boxes(few, 16).collect()}) == 2
     assert palette.shared_palette(spark.createDataFrame([], "r int, g int, b int"), 4).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_a_grid_that_is_kept_between_runs(spark, tmp_path, k):
+    """Increments, one of them repeated and two made at once, come to the grid of all frames."""
+    from lumidisc.operators import composite
+    from lumidisc.plans.grid_state import GridState
+    from lumidisc.sources import derived
+
+    discs = derived.discs(queries.read(spark, SF, "events"), queries.read(spark, SF, "embeddings")).where("idx < 240").cache()
+    state = GridState(spark, f"{tmp_path}/grid", 12, 24, blend_k=k)
+    part = lambda i: discs.where(F.col("idx") % 4 == i)
+    assert state.update(part(0)) == 60 and state.update(part(0)) == 0
+    assert state.update(part(0).unionByName(part(1))) == 60
+    folders = state.table.folders()
+    assert len(folders) == 1
+    assert state.update(part(2)) == 60
+    other = GridState(spark, f"{tmp_path}/grid", 12, 24, blend_k=k)
+    other.table.folders = lambda: folders  # began before the last update ended
+    assert other.update(part(3)) == 60
+    assert state.frames().count() == 240 and len(state.table.folders()) == 2
+    seen = composite.observed(discs, 12, 24, blend_k=k)
+    whole = composite.winners(seen) if k == 1 else composite.blend(seen, k)
+    cells = lambda df: sorted((r["cell_row"], r["cell_col"], r["idx"], *(round(r[c], 9) for c in "rgb")) for r in df.collect())
+    assert cells(state.grid()) == cells(whole)
