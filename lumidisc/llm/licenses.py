@@ -10,7 +10,8 @@ of its size. All of that happens within the line's row, so nothing but found lin
 
 Statements that wrap over lines or stand within longer lines, and the licence texts in
 ``license_texts``, are found as windows over the words of the whole text: a window
-begins at a bigram of the template and has 0.75, 1 or 1.25 times its bigrams, and the whole text is one more.
+begins at a bigram of the template. For templates of up to 64 bigrams, all statements among them, it ends at one too, and all of those windows
+of a size that can reach the threshold are tried: no other window could be better. For longer ones it has 0.75, 1 or 1.25 times the template's bigrams, and the whole text is one more.
 At a Dice of t a window shares at least t / (2 - t) of the template's bigrams, so texts without
 any word of a set that touches enough bigrams of every template are dropped first. Of windows
 that overlap, the one that shares most bigrams counts, ties for the largest Dice, and none counts that overlaps a line
@@ -56,6 +57,10 @@ TEMPLATES = {
 COMMON = frozenset("a all an and any are as at be been by for from has have in is it no not of on or that the these this to under which will with work works you your 0 1 2 3 4".split())
 
 
+#: Bigrams of a template up to which all windows are tried.
+EVERY_WINDOW = 64
+
+
 def full_texts() -> dict[str, str]:
     """The licence texts beside this file, by name."""
     return {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
@@ -122,8 +127,8 @@ def _windows(docs: DataFrame, templates: list[tuple[str, str]], line_templates:
     """doc_id, license, dice, copies (rows of that id and text): windows over whole texts that are statements, apart from lines that are. Only texts with enough bigrams of a template leave the scan."""
     need = threshold / (2 - threshold)
     known = [(name, bigrams_of(text), max(1, len(re.sub(r"[^a-z0-9]+", " ", text.lower()).split()) - 1)) for name, text in templates]
-    known = [{"license": name, "grams": grams, "n": len(grams), "need": math.ceil(need * len(grams) - 1e-9), "size": size, "step": max(1, size // 64) if size >= 400 else 1} for name, grams, size in known if grams]
-    kind = "array<struct<license:string,grams:array<string>,n:int,need:int,size:int,step:int>>"
+    known = [{"license": name, "grams": grams, "n": len(grams), "need": math.ceil(need * len(grams) - 1e-9), "size": size, "step": max(1, size // 64) if size >= 400 else 1, "low": size_bounds(len(grams), threshold).start, "high": size_bounds(len(grams), threshold)[-1]} for name, grams, size in known if grams]
+    kind = "array<struct<license:string,grams:array<string>,n:int,need:int,size:int,step:int,low:int,high:int>>"
     constant = lambda x, t: F.from_json(F.lit(json.dumps(x)), t)
     split = lambda text: F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
     rare = anchors([x["grams"] for x in known], threshold)
@@ -141,13 +146,14 @@ def _windows(docs: DataFrame, templates: list[tuple[str, str]], line_templates:
 
     texts = texts.select("doc_id", "text", "grams", F.explode(F.concat(*(fitting([x for x in known if (x["size"] >= 400) == long]) for long in (False, True)))).alias("t"))
     texts = texts.select("doc_id", "text", "grams", "t.*", F.explode(F.array(F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("at"), g.alias("gram"))), lambda x: F.array_contains(F.col("t.grams"), x["gram"])))).alias("hits"))
-    texts = texts.toDF("doc_id", "text", "grams", "license", "template", "n", "need", "size", "step", "hits")
+    texts = texts.toDF("doc_id", "text", "grams", "license", "template", "n", "need", "size", "step", "low", "high", "hits")
     count = lambda grams: F.size(F.array_distinct(grams))
-    longest = F.ceil(F.col("size") * 1.25).cast("int")
+    longest = F.greatest(F.ceil(F.col("size") * 1.25).cast("int"), F.col("high"))
     starts = F.filter(F.transform("hits", lambda x, i: F.struct(x["at"].alias("at"), i.alias("i"))), lambda x: x["i"] % F.col("step") == 0)
     begun = texts.select("*", F.explode(F.concat(starts, F.array(F.struct(F.lit(0).alias("at"), F.lit(-1).alias("i"))))).alias("start"))
     begun = begun.withColumn("near", F.when(F.col("start.i") < 0, F.col("hits")).otherwise(F.slice("hits", F.greatest(F.col("start.i"), F.lit(0)) + 1, longest)))
-    lengths = F.when(F.col("start.i") < 0, F.array(F.size("grams"))).otherwise(F.array(*(F.least(F.ceil(F.col("size") * x).cast("int"), F.size("grams") - F.col("start.at")) for x in (0.75, 1.0, 1.25))))
+    all_ends = F.filter(F.transform("near", lambda x: x["at"] - F.col("start.at") + 1), lambda length: length.between(F.col("low"), F.col("high")))
+    lengths = F.when(F.col("start.i") < 0, F.array(F.size("grams"))).when(F.col("size") <= EVERY_WINDOW, all_ends).otherwise(F.array(*(F.least(F.ceil(F.col("size") * x).cast("int"), F.size("grams") - F.col("start.at")) for x in (0.75, 1.0, 1.25))))
     sized = begun.select("*", F.explode(F.array_distinct(lengths)).alias("length")).where(F.col("length") > 0)
     sized = sized.select("*", F.explode(F.array(count(F.transform(F.filter("near", lambda x: x["at"] < F.col("start.at") + F.col("length")), lambda x: x["gram"])))).alias("shared"))
     sized = sized.where(F.col("shared") >= F.col("need"))

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import random
+import re
 
 import duckdb
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests_llm_fixtures import prose
 
-from lumidisc.llm import alignment, divergence, language, neighbours
+from lumidisc.llm import alignment, divergence, language, licenses, neighbours
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -184,3 +186,67 @@ def test_a_language_with_few_ids_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
     model = language.train(docs, F.lit(True))
     assert model.languages == ("de", "en")
+
+
+def windows_by_force(rows, templates, t=0.8):
+    """Every window of every text against every template; greedy, as the operator's text says."""
+    split = lambda text: re.sub(r"[^a-z0-9]+", " ", text.lower()).strip().split(" ")
+    known = {name: licenses.bigrams_of(x) for name, x in templates.items()}
+    dice = lambda own, g: 2 * len(own & set(g)) / (len(own) + len(g))
+    found = collections.Counter()
+    best = {}
+    for i, text in rows:
+        taken, at = [], 0
+        for line in (text or "").split("\n"):
+            w = split(line)
+            if w == [""]:
+                continue
+            own = {" ".join(w[j : j + 2]) for j in range(max(1, len(w) - 1))}
+            # the query's lines are of the same templates
+            name, d = max(((n, dice(own, g)) for n, g in sorted(known.items()) if len(own) in licenses.size_bounds(len(g), t)), key=lambda x: x[1], default=("", 0))
+            if d >= t:
+                taken.append((at, at + len(w) - 1))
+                found[i, name] += 1
+                best[i, name] = max(best.get((i, name), 0), d)
+            at += len(w)
+        w = split(text or "")
+        grams = [" ".join(w[j : j + 2]) for j in range(len(w) - 1)]
+        out = []
+        for name, g in known.items():
+            for a in range(len(grams)):
+                for z in range(a + 1, min(len(grams), a + licenses.size_bounds(len(g), t)[-1]) + 1):
+                    own = set(grams[a:z])
+                    if dice(own, g) >= t:
+                        out.append((-len(own & set(g)), -dice(own, g), name, a, z))
+        for _, d, name, a, z in sorted(out):
+            if not any(a <= y and x <= z for x, y in taken):
+                taken.append((a, z))
+                found[i, name] += 1
+                best[i, name] = max(best.get((i, name), 0), -d)
+    return sorted((i, n, c, best[i, n]) for (i, n), c in found.items())
+
+
+def test_license_windows_against_every_window(spark):
+    """Statements with words put in, left out and changed, within prose, wrapped, twice in a text and beside lines that count."""
+    r, rows = random.Random(4), []
+    for i, (_, text) in enumerate(sorted(licenses.TEMPLATES.items()) * 5):
+        w = text.split()
+        for _ in range(i % 4):
+            at = r.randrange(len(w))
+            w[at : at + r.choice((0, 1))] = r.choice(([], ["very"], ["quite", "so"]))
+        body = " ".join(w)
+        middle = body.replace(" ", "\n", 2) if i % 3 == 0 else body
+        rows.append((i, f"{prose(i, 9)} {middle} {prose(i + 1, 7)}" + (f"\n{text}\n" if i % 5 == 0 else "") + (f" {body}" if i % 7 == 0 else "")))
+    rows += [(900, "all rights all rights reserved reserved all rights"), (901, "reserved"), (902, "rights reserved all rights reserved all rights reserved")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["license"], r["n_lines"], r["dice"]) for r in licenses.scan(df, licenses.TEMPLATES).collect())
+    want = windows_by_force(rows, licenses.TEMPLATES)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want])
+
+
+def test_one_word_put_into_a_statement(spark):
+    w = "Licensed under the Apache License, Version 2.0.".split()
+    rows = [(i, f"{prose(i, 8)} {' '.join([*w[:i], 'the very', *w[i:]][: i + 1] + w[i:])} {prose(i + 9, 8)}") for i in range(1, 7)]
+    rows = [(i, t.replace("the very", "extra")) for i, t in rows]
+    got = {r["doc_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r["license"] == "Apache-2.0"}
+    assert got == {i for i, n, _, _ in windows_by_force(rows, licenses.TEMPLATES) if n == "Apache-2.0"} and len(got) >= 5
