@@ -774,3 +774,30 @@ def test_a_grid_that_is_kept_between_runs(spark, tmp_path, k):
     whole = composite.winners(seen) if k == 1 else composite.blend(seen, k)
     cells = lambda df: sorted((r["cell_row"], r["cell_col"], r["idx"], *(round(r[c], 9) for c in "rgb")) for r in df.collect())
     assert cells(state.grid()) == cells(whole)
+
+
+def test_workers_without_the_package(tmp_path):
+    """The first thing that a session does is to read images: its workers are sent the package."""
+    import subprocess
+    import sys
+
+    save(str(tmp_path / "a.png"), disc())
+    script = (
+        f"import sys; sys.path.insert(0, {os.getcwd()!r})\n"
+        "from lumidisc.session import build\nfrom lumidisc.sources.images import read_images\n"
+        "spark = build('local[1]', 'bare', **{'spark.ui.enabled': 'false'})\n"
+        f"print('read', read_images(spark, {str(tmp_path / 'a.png')!r}).first()['height'])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONSAFEPATH": "1"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "read 120" in out.stdout, out.stderr[-2000:]
+
+
+def test_session_settings_stay(spark, tmp_path):
+    settings = lambda: {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+    before = settings()
+    for name in ("components_largest", "dither", "composite_winner", "render_independent", "pick_spread", "palette_mediancut", "candidate_topk"):
+        queries.QUERIES[name](spark, SF)
+    save(str(tmp_path / "a.png"), disc())
+    images.read_images(spark, str(tmp_path)).count()
+    assert settings() == before
