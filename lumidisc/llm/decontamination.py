@@ -10,9 +10,9 @@ edits still has windows that the edits leave alone. A match of keys says at whic
 the item would lie. An item-sized stretch there, with room for the allowed edits, is verified by exact
 (infix) edit distance, for many stretches at once.
 
-How many walks an item gets follows from the target recall: the driver edits copies of items by
-``max_edits`` of their characters at random (``trials`` copies of up to ``sample`` items in each class of
-window counts) and adds walks until ``recall`` of them is met.
+How many walks an item gets follows from the target recall: for each class of window counts a task edits copies
+of items by ``max_edits`` of their characters at random (``trials`` copies of up to ``sample`` items)
+and adds walks until ``recall`` of them is met. A class that ``most_walks`` don't bring there is searched exactly.
 
 Positions are sampled in walk order, so a document window is dropped at the first
 prefix of its key that no item window has: most windows end after a few steps, and what
@@ -20,10 +20,12 @@ remains is the same as if all keys had been compared.
 
 Texts are compared in lower case (A-Z) with white space runs as one space. An item is
 found if at most ``max_edits`` times its length of edits lead to a stretch of the
-document. Items with too few windows for walks are searched as whole words: of room + 1 pieces one is in
+document. Items with too few windows for walks are searched as whole words. Exact search: of room + 1 pieces one is in
 any such stretch as it is, and every place that has one is verified.
 
-The items go to the workers in blocks of ``block_bytes``, each against all documents.
+The items go to the workers in blocks of ``block_bytes``. One operator holds documents of ``run_bytes`` against
+all blocks by turns, so a worker has the lookups of two blocks at most; beyond ``pass_bytes`` of items the
+documents are read again for the rest, so what is broadcast for one pass is bounded.
 
 Defined cases: null or empty texts and items match nothing; repeated documents and
 items are reported each; a null id stays null; of equally good stretches the first counts;
@@ -42,18 +44,21 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumidisc.llm import kernels as k
 from lumidisc.llm.common import ids_and_texts, session
 
 SCHEMA = "doc_id bigint, item_id bigint, edits bigint, item_chars bigint, first_word bigint, last_word bigint"
+#: In place of a number of walks.
+WHOLE_WORDS, EXACT = 0, -1
 
 
 @dataclass(frozen=True)
 class Settings:
-    """steps: of a walk; samples: embedded positions in a key; stages: samples after which windows are dropped; recall: wanted at max_edits; few: items with up to so many windows are searched exactly; run: bytes of an unbroken run after which windows begin everywhere."""
+    """steps: of a walk; samples: embedded positions in a key; stages: samples after which windows are dropped; recall: wanted at max_edits; few: items with up to so many windows are searched as whole words; run: bytes of an unbroken run after which windows begin everywhere; block_bytes, pass_bytes: of items looked up at once, and broadcast at once; run_bytes: of texts between two blocks."""
 
     steps: int = 60
     samples: int = 10
@@ -66,6 +71,8 @@ class Settings:
     few: int = 3
     run: int = 16
     block_bytes: int = 4 << 20
+    pass_bytes: int = 64 << 20
+    run_bytes: int = 16 << 20
     seed: int = 7
 
 
@@ -275,30 +282,42 @@ def window_counts(items: list[bytes], s: Settings) -> np.ndarray:
     return np.bincount(probe.of, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
 
 
+def grades(items: list[bytes], s: Settings) -> np.ndarray:
+    """The class of each item: 0 for too few windows, otherwise two for each doubling."""
+    windows = window_counts(items, s)
+    return np.where(windows > s.few, np.ceil(2 * np.log2(np.maximum(windows, 1))), 0).astype(np.int64)
+
+
+def walks_of(some: list[bytes], s: Settings, seed: int) -> int:
+    """How many walks items like these need, or EXACT."""
+    r = random.Random(seed)
+    copies = [edited(t, s.max_edits, r) for t in some for _ in range(s.trials)]
+    of = np.repeat(np.arange(len(some)), s.trials)
+    base = np.concatenate(([0], np.cumsum([len(t) + 1 for t in copies])))
+    buf = np.frombuffer(b"".join(t + b"\n" for t in copies) + bytes(s.steps + 1), np.uint8)
+    start = places(buf[: base[-1]], s.run)
+    room = np.array([int(s.max_edits * len(t)) + 1 for t in some])
+    caught = np.zeros(len(copies), bool)
+    for n in range(s.most_walks):
+        walk = Walk(s, n)
+        walk.index(some)
+        item, begin, at = walk.hits(buf, start)
+        copy = np.searchsorted(base, at, "right") - 1
+        good = (of[copy] == item) & (np.abs(begin - base[copy]) <= room[item])
+        caught[copy[good]] = True
+        if n and caught.mean() >= s.recall:
+            return n + 1
+    return EXACT
+
+
 def walks_for(items: list[bytes], s: Settings) -> np.ndarray:
-    """How many walks each item gets; 0 for those that are searched exactly."""
-    windows, r = window_counts(items, s), random.Random(s.seed)
-    out = np.zeros(len(items), np.int64)
-    grade = np.where(windows > s.few, np.ceil(2 * np.log2(np.maximum(windows, 1))), 0).astype(np.int64)
-    for g in np.unique(grade[grade > 0]):
+    """For each item of a few its number of walks, WHOLE_WORDS or EXACT."""
+    grade = grades(items, s)
+    out = np.full(len(items), WHOLE_WORDS, np.int64)
+    for g in np.unique(grade[grade > 0]).tolist():
         own = np.flatnonzero(grade == g)
-        some = [items[i] for i in own[np.argsort(k.mix(own.astype(np.uint64)), kind="stable")[: s.sample]]]
-        copies = [edited(t, s.max_edits, r) for t in some for _ in range(s.trials)]
-        of = np.repeat(np.arange(len(some)), s.trials)
-        base = np.concatenate(([0], np.cumsum([len(t) + 1 for t in copies])))
-        buf = np.frombuffer(b"".join(t + b"\n" for t in copies) + bytes(s.steps + 1), np.uint8)
-        start = places(buf[: base[-1]], s.run)
-        room = np.array([int(s.max_edits * len(t)) + 1 for t in some])
-        caught, n = np.zeros(len(copies), bool), 0
-        while n < s.most_walks and (n < 2 or caught.mean() < s.recall):
-            walk = Walk(s, n)
-            walk.index(some)
-            item, begin, at = walk.hits(buf, start)
-            copy = np.searchsorted(base, at, "right") - 1
-            good = (of[copy] == item) & (np.abs(begin - base[copy]) <= room[item])
-            caught[copy[good]] = True
-            n += 1
-        out[own] = n
+        some = own[np.argsort(k.mix(own.astype(np.uint64)), kind="stable")[: s.sample]]
+        out[own] = walks_of([items[i] for i in some], s, s.seed + g)
     return out
 
 
@@ -308,7 +327,7 @@ class Finder:
     def __init__(self, items: list[tuple[int, bytes]], s: Settings, walks: np.ndarray | None = None):
         self.ids, self.items, self.s = [i for i, _ in items], [t for _, t in items], s
         tries = walks_for(self.items, s) if walks is None else walks
-        self.short = np.array([t == 0 for t in tries], bool)
+        self.short = np.array([t == WHOLE_WORDS for t in tries], bool)
         self.room = np.array([int(s.max_edits * len(t)) for t in self.items], np.int64)
         self.patterns = [b" " + t + b" " if short else t for t, short in zip(self.items, self.short, strict=True)]
         self.size = np.array([len(p) for p in self.patterns], np.int64)
@@ -317,7 +336,7 @@ class Finder:
             w.index([t if tries[i] > r else b"" for i, t in enumerate(self.items)])
         self.pieces = None
         held: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for i in np.flatnonzero(self.short):
+        for i in np.flatnonzero(np.array(tries) <= WHOLE_WORDS):
             p, n = self.patterns[i], self.room[i] + 1
             cuts = [len(p) * x // n for x in range(n + 1)]
             for a, z in zip(cuts, cuts[1:], strict=False):
@@ -340,8 +359,8 @@ class Finder:
             item, place, at = w.hits(buf, start)
             found.append(np.stack((np.searchsorted(begin, at, "right") - 1, item, place), 1))
         if self.pieces is not None:
-            one = [(e + 1, i, e + 1 - z) for e, where in self.pieces.iter(raw.decode("latin-1")) for i, z in where]
-            e, item, place = (np.array(x, np.int64) for x in (zip(*one, strict=True) if one else ((), (), ())))
+            one = np.fromiter((x for e, where in self.pieces.iter(raw.decode("latin-1")) for i, z in where for x in (e + 1, i, e + 1 - z)), np.int64)
+            e, item, place = one.reshape(-1, 3).T
             found.append(np.stack((np.searchsorted(begin, e, "left") - 1, item, place), 1))
         found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         if not len(found):
@@ -375,64 +394,109 @@ class Finder:
         return out
 
 
-def item_blocks(benchmark: DataFrame, s: Settings) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of about ``block_bytes``, one at a time, by one scan."""
-    block, size = [], 0
-    for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
-        if t := normal(r["text"]):
-            block.append((r["item_id"], t))
-            size += len(t)
-            if size >= s.block_bytes:
-                yield block
-                block, size = [], 0
-    if block:
-        yield block
+def planned(benchmark: DataFrame, s: Settings) -> tuple[DataFrame, dict[int, int]]:
+    """The items (item_id, item, grade), and the walks of each grade, of which there are a few dozens."""
 
+    def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [normal(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"item_id": batch.column("item_id"), "item": pa.array(items, pa.binary()), "grade": grades(items, s)})
 
-def _found(finder: Finder, column: pa.Array) -> Iterator[list[tuple[int, int, int, int, int]]]:
-    """Matches of a batch, by blocks of texts; the first number is the row in the batch."""
-    texts = [normal(t) for t in column.to_pylist()]
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= 2 << 20):
-            size += len(texts[j]) + 1
-            j += 1
-        yield [(i + d, *rest) for d, *rest in finder.find(texts[i:j])]
-        i = j
+    def simulated(t: pa.Table) -> pa.Table:
+        grade = t.column("grade")[0].as_py()
+        return pa.table({"grade": [grade], "walks": pa.array([walks_of(sorted(t.column("item").to_pylist()), s, s.seed + grade)], pa.int64())})
 
+    items = benchmark.select(F.col("item_id").cast("bigint"), "text").mapInArrow(graded, "item_id bigint, item binary, grade bigint").where("item <> x''")
+    order = Window.partitionBy("grade").orderBy(F.xxhash64("item"), "item")
+    some = items.where("grade > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.sample)
+    walks = some.select("grade", "item").groupBy("grade").applyInArrow(simulated, "grade bigint, walks bigint").collect()
+    return items, {0: WHOLE_WORDS} | {r["grade"]: r["walks"] for r in walks}
 
-_LOADED: dict[str, Finder] = {}
 
+@dataclass(frozen=True)
+class Block:
+    """Items on their way to the workers, each with its number of walks."""
 
-def _sent(spark, items: list[tuple[int, bytes]], s: Settings):
-    """A function that gives the block's finder in a worker, where it is made once."""
-    sent, name = spark.sparkContext.broadcast((items, walks_for([t for _, t in items], s))), uuid.uuid4().hex
+    name: str
+    sent: Broadcast
+    settings: Settings
 
-    def finder() -> Finder:
-        if name not in _LOADED:
+    def finder(self) -> Finder:
+        """In a worker, where the last two are kept."""
+        if self.name not in _LOADED:
             if len(_LOADED) > 1:
                 _LOADED.pop(next(iter(_LOADED)))
-            _LOADED[name] = Finder(sent.value[0], s, sent.value[1])
-        return _LOADED[name]
+            items, walks = self.sent.value
+            _LOADED[self.name] = Finder(items, self.settings, np.array(walks, np.int64))
+        return _LOADED[self.name]
 
-    return finder
+
+_LOADED: dict[str, Finder] = {}
+
+
+def passes(benchmark: DataFrame, s: Settings) -> Iterator[list[Block]]:
+    """The items in blocks, and these in lists of up to ``pass_bytes``. The driver has one block at a time, by one scan."""
+    context = benchmark.sparkSession.sparkContext
+    items, walks = planned(benchmark, s)
+    block, blocks, size, whole = [], [], 0, 0
+
+    def close() -> Block:
+        return Block(uuid.uuid4().hex, context.broadcast(([x[:2] for x in block], [x[2] for x in block])), s)
+
+    for r in items.orderBy("item_id", "item").toLocalIterator():
+        block.append((r["item_id"], bytes(r["item"]), walks[r["grade"]]))
+        size += len(r["item"])
+        if size >= s.block_bytes:
+            blocks.append(close())
+            block, size, whole = [], 0, whole + size
+            if whole >= s.pass_bytes:
+                yield blocks
+                blocks, whole = [], 0
+    if block:
+        blocks.append(close())
+    if blocks:
+        yield blocks
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[pa.RecordBatch, list[bytes]]]]:
+    """Batches and their texts, so many that about ``most`` bytes wait for all blocks."""
+    run, size = [], 0
+    for batch in batches:
+        run.append((batch, [normal(t) for t in batch.column("text").to_pylist()]))
+        size += sum(map(len, run[-1][1]))
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def _found(finder: Finder, texts: list[bytes]) -> Iterator[list[tuple[int, int, int, int, int]]]:
+    """Matches, by blocks of texts; the first number is the text's."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= 2 << 20):
+            size += len(texts[j]) + 1
+            j += 1
+        yield [(i + d, *rest) for d, *rest in finder.find(texts[i:j])]
+        i = j
 
 
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """A row for each document and item that it holds, with the fewest edits and the words where it lies."""
-    spark = session(docs)
+    spark, s = session(docs), settings
     one = []
-    for items in item_blocks(benchmark, settings):
-        finder = _sent(spark, items, settings)
+    for blocks in passes(benchmark, s):
 
-        def each(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                f = finder()
-                for found in _found(f, batch.column("text")):
-                    if found:
-                        d, i, edits, first, last = (np.array(x) for x in zip(*found, strict=True))
-                        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(d)), "item_id": pa.array([f.ids[x] for x in i], pa.int64()), "edits": edits, "item_chars": [len(f.items[x]) for x in i], "first_word": first, "last_word": last})
+        def each(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
+            for run in _runs(batches, s.run_bytes):
+                for f in (b.finder() for b in blocks):
+                    for batch, texts in run:
+                        for found in _found(f, texts):
+                            if found:
+                                d, i, edits, first, last = (np.array(x) for x in zip(*found, strict=True))
+                                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(d)), "item_id": pa.array([f.ids[x] for x in i], pa.int64()), "edits": edits, "item_chars": [len(f.items[x]) for x in i], "first_word": first, "last_word": last})
 
         one.append(ids_and_texts(docs).mapInArrow(each, SCHEMA))
     return reduce(DataFrame.unionByName, one) if one else spark.createDataFrame([], SCHEMA)
@@ -440,17 +504,18 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings())
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents, with all columns, that hold no item."""
-    spark = session(docs)
-    out = docs
-    for items in item_blocks(benchmark, settings):
-        finder = _sent(spark, items, settings)
-
-        def each(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for found in _found(finder(), batch.column("text")):
-                    keep[[d for d, *_ in found]] = False
-                yield batch.filter(pa.array(keep))
+    session(docs)
+    s, out = settings, docs
+    for blocks in passes(benchmark, s):
+
+        def each(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
+            for run in _runs(batches, s.run_bytes):
+                left = [np.arange(batch.num_rows) for batch, _ in run]
+                for f in (b.finder() for b in blocks):
+                    for x, (_, texts) in enumerate(run):
+                        gone = [d for found in _found(f, [texts[i] for i in left[x]]) for d, *_ in found]
+                        left[x] = np.delete(left[x], gone)
+                yield from (batch.take(pa.array(rows)) for (batch, _), rows in zip(run, left, strict=True))
 
         out = out.mapInArrow(each, docs.schema)
     return out

@@ -296,6 +296,35 @@ def test_decontamination_finds_edited_items(spark):
     assert decontamination.find(df, bench.limit(0)).count() == 0 and decontamination.find(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_by_turns_in_passes_and_exactly(spark):
+    """Blocks by turns, passes one after the other, and exact search of what walks don't reach: all pairs within the edits, and no others."""
+    r = random.Random(31)
+    words = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 8))) for _ in range(2000)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, text(9 + 3 * (i % 8))) for i in range(48)]
+    docs = [(d, f"{text(20)} {decontamination.edited(items[d % 48][1].encode(), d % 4 / 20, r).decode()} {text(20)}") for d in range(144)] + [(d, text(50)) for d in range(144, 170)]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    truth = {(d, i) for d, t in docs for i, item in items if decontamination.infix_distance(decontamination.normal(item), decontamination.normal(t))[0] <= int(0.2 * len(item))}
+    for s in (decontamination.Settings(), decontamination.Settings(block_bytes=1500, run_bytes=2000), decontamination.Settings(block_bytes=800, pass_bytes=2500, run_bytes=1)):
+        found = decontamination.find(df, bench, s)
+        got = collections.Counter((x["doc_id"], x["item_id"]) for x in found.collect())
+        assert set(got) <= truth and len(got) >= 0.98 * len(truth) and max(got.values()) == 1 and len(truth) >= 144
+        assert sorted(x["doc_id"] for x in decontamination.clean(df, bench, s).collect()) == sorted({d for d, _ in docs} - {d for d, _ in got})
+    exact = decontamination.Settings(most_walks=1, block_bytes=1500)  # no recall is met by one walk
+    assert set(decontamination.planned(bench, exact)[1].values()) == {decontamination.WHOLE_WORDS, decontamination.EXACT}
+    assert {(x["doc_id"], x["item_id"]) for x in decontamination.find(df, bench, exact).collect()} == truth
+
+
+def test_decontamination_reads_documents_once_for_each_pass(spark):
+    bench = spark.createDataFrame([(i, f"w{i} x{i} y{i} z{i} " * 5) for i in range(40)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "w1 x1")], "doc_id bigint, text string")
+    for most, wanted in ((1 << 20, 1), (1600, 2)):
+        blocks = list(decontamination.passes(bench, decontamination.Settings(block_bytes=400, pass_bytes=most)))
+        assert len(blocks) >= wanted and sum(map(len, blocks)) > 4
+        plan = decontamination.clean(docs, bench, decontamination.Settings(block_bytes=400, pass_bytes=most))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("MapInArrow") == len(blocks)
+
+
 def test_decontamination_recall_at_character_edits():
     """Random edits of 15 and 20 % of the characters, in short and long items; those too short for walks are found always."""
     r = random.Random(21)
