@@ -558,6 +558,14 @@ def test_packing_takes_few_sequences_on_any_partitioning(spark):
             assert at <= 4096
 
 
+def test_packing_spreads_repeated_rows(spark):
+    rows = [(1, "the of a and " * 50)] * 3000 + [(None, None)] * 1000
+    out = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), public_tokenizers.path("word_bpe_49k.json"), packing.Settings(group=200)).cache()
+    groups = collections.Counter(x["sequence_id"] >> 32 for x in out.collect())
+    assert len(groups) == 20 and sum(groups.values()) == 4000 and max(groups.values()) < 300
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("places"), F.count("*").alias("pieces")).where("n > 4096 or places <> pieces").count() == 0
+
+
 def test_word_encoder_keeps_no_long_words():
     e = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     text = "ab " + "x" * 5000 + " ab " + "y" * 65
