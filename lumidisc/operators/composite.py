@@ -105,9 +105,9 @@ class Best:
         self.who = np.full((k, places), -1, np.int64)
         self.color = np.zeros((k, places, 3))
 
-    def insert(self, at: np.ndarray, idx: int, score: np.ndarray, color: np.ndarray) -> None:
-        """One frame's observations; each place once."""
-        who = np.full(len(at), idx, np.int64)
+    def insert(self, at: np.ndarray, idx: int | np.ndarray, score: np.ndarray, color: np.ndarray) -> None:
+        """One frame's observations, or one level of others' best; each place once. Overwrites score and color."""
+        who = np.broadcast_to(np.asarray(idx, np.int64), len(at)).copy()
         for level in range(self.k):  # insert, and carry on with what was pushed out
             wins = np.flatnonzero((score < self.score[level, at]) | (score == self.score[level, at]) & (who < self.who[level, at]))
             x = at[wins]

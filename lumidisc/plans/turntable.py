@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from lumidisc.functions import geo as G
 from lumidisc.functions import text as T
 from lumidisc.functions.color import SCORERS
-from lumidisc.operators import candidates, composite
-from lumidisc.operators.composite import dense_project, dense_score, dense_unproject  # noqa: F401  of the plan too
+from lumidisc.operators import candidates, composite, viewpoints
+from lumidisc.operators.composite import dense_score, dense_unproject  # noqa: F401  of the plan too
 from lumidisc.plans import geometry
 from lumidisc.plans.segment_batch import Settings
 from lumidisc.raster import kernels as K
@@ -35,6 +35,8 @@ from lumidisc.sources import metadata
 
 #: Cells of a grid that may be sent to all workers.
 MOST_CELLS = 16_000_000
+#: Files with their places, and pairs of a frame and a viewpoint, that are sent to all workers (tens of MB); more are joined by key.
+MOST_FILES, MOST_PAIRS = 100_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -89,7 +91,7 @@ def discs(spark: SparkSession, root: str, s: TurntableSettings, wanted: DataFram
     paths = [r["path"] for r in found.select("path").distinct().collect()]
     if not paths:
         return there.selectExpr("*", "0D AS cx", "0D AS cy", "0D AS radius", "0 AS height", "0 AS width", "0 AS channels", "X'' AS data").limit(0), n, new
-    return I.read_images(spark, paths).join(found, "path").where("height > 0"), n, new
+    return I.read_images(spark, paths).join(F.broadcast(found) if n <= MOST_FILES else found, "path").where("height > 0"), n, new
 
 
 def reference_grid(discs: DataFrame, height: int, width: int, s: TurntableSettings) -> DataFrame:
@@ -120,44 +122,26 @@ def canvas(s: TurntableSettings) -> tuple[int, np.ndarray, np.ndarray]:
     return half, col, row
 
 
-def viewpoint(lon0: float, batches: Iterator[pa.RecordBatch], s: TurntableSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(on the disc, colours, rank of the winner or -1) of each pixel of a viewpoint that is composed from its own candidates, independently of others. batches: rank, lat, lon, cx, cy, radius, height, width, channels, data."""
-    half, col, row = canvas(s)
-    lat, lon, on = dense_unproject(col, row, s.lat0, lon0, half, half, s.radius)
-    lat, lon = lat[on], lon[on]
-    kept = composite.Best(s.blend_k, len(lat))
-    for batch in batches:
-        for r in batch.to_pylist():
-            x, y, cos_c = dense_project(lat, lon, r["lat"], r["lon"], r["cx"], r["cy"], r["radius"])
-            there = np.flatnonzero((cos_c >= s.min_cos) & (x >= 0) & (x <= r["width"] - 1) & (y >= 0) & (y <= r["height"] - 1))
-            bright, rgb, score = composite.sampled(I.array_of(r)[..., :3], y[there], x[there], cos_c[there], s.scorer, s.luminance_floor, s.obliqueness_penalty)
-            kept.insert(there[bright], r["rank"], score, rgb)
-    rgb, who = kept.blended(s.blend_margin)
-    colors, contributor = np.zeros((*on.shape, 3)), np.full(on.shape, -1, np.int64)
-    colors[on], contributor[on] = rgb, who
-    return on, colors, contributor
-
-
 def render_views(seen: DataFrame, s: TurntableSettings) -> DataFrame:
-    """vp, rgba, contributor (16-bit ranks, -1 for none) and suspect_fraction of each viewpoint. seen: vp, vp_lon, rank and a disc in each row. A viewpoint's frames stream through its task, so it holds its own canvas alone."""
-    composite.check(s.scorer, s.blend_k)
+    """vp, rgba, contributor (16-bit ranks, -1 for none) and suspect_fraction of each viewpoint. seen: vp, vp_lon, rank and a disc in each row."""
+    return render_frames(seen.withColumn("serves", F.array(F.struct("vp", "vp_lon", "rank"))), s)
 
-    def each(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on, colors, who = viewpoint(key[1].as_py(), batches, s)
-        rgba = np.dstack((K.to_uint8(colors), np.where(who >= 0, 255, 0).astype(np.uint8)))
-        rgba[who < 0] = 0
-        yield pa.RecordBatch.from_pydict({"vp": pa.array([key[0].as_py()], pa.int32()), "rgba": [rgba.tobytes()], "contributor": [who.astype("<i2").tobytes()], "suspect_fraction": [float((on & (who < 0)).sum() / max(1, on.sum()))]})
 
-    columns = ("vp", "vp_lon", "rank", "lat", "lon", "cx", "cy", "radius", "height", "width", "channels", "data")
-    return seen.select(*columns).groupBy("vp", "vp_lon").applyInArrow(each, "vp int, rgba binary, contributor binary, suspect_fraction double")
+def render_frames(frames: DataFrame, s: TurntableSettings) -> DataFrame:
+    """The same from rows of a frame each, with the viewpoints that it serves."""
+    whole = s.blend_k == 1
+    return viewpoints.images(viewpoints.states(frames, s, whole=whole), s, whole=whole)
 
 
 def render_independent(spark: SparkSession, root: str, s: TurntableSettings = TurntableSettings()) -> DataFrame:
-    """Viewpoints composed one by one, without a reference grid: sharper choices for a single view; neighbours in a rotation may differ."""
+    """Viewpoints composed one by one, without a reference grid: sharper choices for a single view; neighbours in a rotation may differ. A frame is read once, whatever the number of viewpoints that use it."""
     I.small_batches(spark)
     root = os.path.abspath(root)
     found, _, _ = discs(spark, root, s, gather(spark, root, s))
-    return render_views(found.drop("idx").join(views(spark, root, s), "image"), s)
+    serves = viewpoints.asked(views(spark, root, s))
+    if s.frames * s.max_candidates <= MOST_PAIRS:
+        serves = F.broadcast(serves)
+    return render_frames(found.drop("idx").join(serves, "image"), s)
 
 
 def render_all(spark: SparkSession, root: str, out_root: str, s: TurntableSettings = TurntableSettings(), *, write_gif: bool = True, write_sheet: bool = True, on_progress: Callable[[int, int, str], None] | None = None) -> tuple[str, DataFrame]:

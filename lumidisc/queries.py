@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumidisc.functions import color as C
 from lumidisc.functions import geo as G
 from lumidisc.functions import text as T
-from lumidisc.operators import candidates, composite, dates, mirror, palette, segmentation
+from lumidisc.operators import candidates, composite, dates, mirror, palette, segmentation, viewpoints
 from lumidisc.plans import geometry, turntable
 from lumidisc.raster import kernels as K
 from lumidisc.raster.arrow import grid, grids, per_batch, per_image
-from lumidisc.session import ship
 from lumidisc.sinks import sheets
 from lumidisc.sources import derived as D
 
@@ -514,17 +512,9 @@ seen AS (SELECT vp, "row", col, idx, sr, sg, sb, round({CLOUD} + 0.5e0 * (1 - co
 def render_independent(spark, sf_dir):
     """Each viewpoint from its own candidates; the pixels that any of them shows."""
     s = turntable.TurntableSettings(lat0=12.0, frames=6, radius=7)
-
-    def each(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, colors, who = turntable.viewpoint(key[1].as_py(), batches, s)
-        row, col = np.nonzero(who >= 0)
-        rgb = colors[row, col]
-        yield pa.RecordBatch.from_pydict({"vp": pa.array([key[0].as_py()] * len(row), pa.int32()), "row": row.astype(np.int32), "col": col.astype(np.int32), "contributor": who[row, col].astype(np.int32), **{c: np.ascontiguousarray(rgb[:, i]) for i, c in enumerate("rgb")}})
-
     discs = D.discs(read(spark, sf_dir, "events"), read(spark, sf_dir, "embeddings"))
     near = _near(spark, sf_dir).join(F.broadcast(candidates.viewpoints(spark, 6, 12.0)), "vp").select("vp", "vp_lon", "rank", F.col("event_id").alias("idx"))
-    ship(spark)
-    return _soft_rounded(near.join(discs, "idx").drop("idx").groupBy("vp", "vp_lon").applyInArrow(each, "vp int, row int, col int, contributor int, r double, g double, b double"))
+    return _soft_rounded(viewpoints.pixels(viewpoints.states(discs.join(viewpoints.asked(near, "idx"), "idx"), s), s))
 
 
 def _points(spark, sf_dir):

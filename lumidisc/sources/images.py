@@ -69,7 +69,7 @@ def orientation(content: bytes) -> int:
 def read_images(spark: SparkSession, paths: str | list[str], recursive: bool = False, alpha: bool = False) -> DataFrame:
     """path, height, width, channels, data (rows of RGB or RGBA bytes). A file that can't be decoded has height -1.
 
-    Only turned photos meet in the join that fetches tags: a few numbers a file.
+    Only turned photos meet in the join that fetches tags: a few numbers a file. paths: a list names files, no folders.
     """
     small_batches(spark)  # before any function is made: a function takes what its workers are sent when it is made
     option = str(recursive).lower()
@@ -97,6 +97,8 @@ def read_images(spark: SparkSession, paths: str | list[str], recursive: bool = F
                 rows["data"].append(b"" if image is None else image.tobytes())
             yield pa.RecordBatch.from_pydict(rows, pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())]))
 
+    if isinstance(paths, list) and not any(p.lower().endswith((".jpg", ".jpeg")) for p in paths):  # files by name, none of them a photo: no join of their bytes
+        return images.withColumn("tag", F.lit(None).cast("int")).mapInArrow(each, SCHEMA)
     return images.join(turned, "path", "left").mapInArrow(each, SCHEMA)
 
 

@@ -16,7 +16,7 @@ from lumidisc import cli, queries
 from lumidisc.functions import color as C
 from lumidisc.functions import geo as G
 from lumidisc.functions import text as T
-from lumidisc.operators import candidates, dates
+from lumidisc.operators import candidates, composite, dates, viewpoints
 from lumidisc.plans import mirror, segment_batch, sprites, turntable
 from lumidisc.raster import kernels as K
 from lumidisc.sinks import gif, png
@@ -484,6 +484,87 @@ def test_independent_blend_is_convex(spark):
         from_candidates(spark, [quadrants()], blend_k=0)
 
 
+def direct_view(frames, lon0, s):
+    """Every observation of every pixel, sorted: {position: (colours of the blend, rank of the best)}. Nothing is kept or merged."""
+    half, seen = round(s.radius * s.margin), {}
+    for rank, lat, lon, cx, cy, radius, image in frames:
+        for row, col in np.ndindex(2 * half, 2 * half):
+            la, lo, on = turntable.dense_unproject(np.array(float(col)), np.array(float(row)), s.lat0, lon0, half, half, s.radius)
+            x, y, cos_c = composite.dense_project(la, lo, lat, lon, cx, cy, radius)
+            if on and cos_c >= s.min_cos and 0 <= x <= image.shape[1] - 1 and 0 <= y <= image.shape[0] - 1:
+                bright, rgb, score = composite.sampled(image, *(np.array([float(v)]) for v in (y, x, cos_c)), s.scorer, s.luminance_floor, s.obliqueness_penalty)
+                if len(bright):
+                    seen.setdefault((row, col), []).append((score[0], rank, rgb[0]))
+    out = {}
+    for at, found in seen.items():
+        best = sorted(found, key=lambda o: o[:2])[: s.blend_k]
+        near = [o for o in best if o[0] <= best[0][0] * s.blend_margin + 1e-6]
+        weight = [1 / max(o[0], 1e-6) for o in near]
+        out[at] = sum(w * o[2] for w, o in zip(weight, near, strict=True)) / sum(weight), best[0][1]
+    return out
+
+
+DISC_COLUMNS = "lat double, lon double, cx double, cy double, radius double, height int, width int, channels int, data binary"
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_viewpoints_from_merged_tiles_equal_all_observations(spark, monkeypatch, k):
+    s = turntable.TurntableSettings(lat0=12.0, radius=9, blend_k=k, blend_margin=1.8)
+    rng, lons = np.random.default_rng(7), (0.0, 35.0, 170.0)
+    frames = [(float(lat), float(lon), 8.0, 8.0, 7.5, rng.integers(0, 256, (17, 17, 3), dtype=np.uint8)) for lat, lon in zip(rng.uniform(-30, 30, 12), rng.uniform(-180, 180, 12), strict=True)]
+    frames += [frames[0], (0.0, 0.0, 8.0, 8.0, 7.5, np.zeros((17, 17, 3), np.uint8))]  # a repeated image, and a dark one
+    rows = [([(v, lon, n) for v, lon in enumerate(lons)], *f[:5], 17, 17, 3, f[5].tobytes()) for n, f in enumerate(frames)]
+    df = spark.createDataFrame(rows, "serves array<struct<vp int, vp_lon double, rank int>>, " + DISC_COLUMNS)
+    want = {(v, *at): (rgb, who) for v, lon in enumerate(lons) for at, (rgb, who) in direct_view([(n, *f) for n, f in enumerate(frames)], lon, s).items()}
+    assert len(want) > 500
+    for parts, held in ((1, viewpoints.HELD), (5, viewpoints.HELD), (3, 1)):  # the last sends each tile on at once
+        seen = viewpoints.states(df.repartition(parts), s, held=held)
+        got = {(r["vp"], r["row"], r["col"]): r for r in viewpoints.pixels(seen, s).collect()}
+        assert got.keys() == want.keys() and all(got[at]["contributor"] == who for at, (_, who) in want.items())
+        assert max(abs(np.array([got[at][c] for c in "rgb"]) - rgb).max() for at, (rgb, _) in want.items()) < 1e-9
+    assert seen.count() >= 3 * len(frames) - 3
+    whole = {r["vp"]: r for r in turntable.render_frames(df, s).collect()}
+    for (v, row, col), (rgb, who) in want.items():
+        at = row * 2 * round(9 * 1.08) + col
+        assert np.frombuffer(whole[v]["contributor"], "<i2")[at] == who and abs(np.frombuffer(whole[v]["rgba"], np.uint8)[4 * at : 4 * at + 3] - rgb).max() <= 0.5 + 1e-6
+
+
+def test_viewpoints_of_several_tiles_and_of_nothing(spark):
+    s = turntable.TurntableSettings(radius=170)  # two tiles
+    half, places = viewpoints.disc(170, 1.08)
+    assert viewpoints.TILE < len(places) < 2 * viewpoints.TILE
+    image = np.full((2 * half, 2 * half, 3), (40, 120, 200), np.uint8)
+    row = lambda vp, image: ([(vp, 0.0, 1)], 0.0, 0.0, float(half), float(half), 170.0, 2 * half, 2 * half, 3, image.tobytes())
+    schema = "serves array<struct<vp int, vp_lon double, rank int>>, " + DISC_COLUMNS
+    got = {r["vp"]: r for r in turntable.render_frames(spark.createDataFrame([row(0, image), row(4, image * 0)], schema), s).collect()}
+    rgba = np.frombuffer(got[0]["rgba"], np.uint8).reshape(2 * half, 2 * half, 4)
+    col, line = np.meshgrid(np.arange(2 * half) - half, half - np.arange(2 * half))
+    cap = np.sqrt(np.clip(1 - (col**2 + line**2) / 170**2, 0, None)) >= s.min_cos + 1e-9
+    assert (rgba[cap] == (40, 120, 200, 255)).all() and not rgba[~cap & (np.hypot(col, line) > 171)].any()
+    assert got[4]["suspect_fraction"] == 1 and not any(got[4]["rgba"]) and set(np.frombuffer(got[4]["contributor"], "<i2")) == {-1}
+    assert turntable.render_frames(spark.createDataFrame([], schema), s).count() == 0
+    with pytest.raises(ValueError):
+        viewpoints.states(spark.createDataFrame([], schema), turntable.TurntableSettings(blend_k=2), whole=True)
+
+
+def test_independent_rendering_shuffles_no_images(spark, tmp_path):
+    root = str(tmp_path / "mirror")
+    tiny_mirror(root)
+    plan = turntable.render_independent(spark, root, turntable.TurntableSettings(frames=3, radius=20, max_candidates=10))._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    depth = lambda line: max(line.find("+- "), line.find(":- "))
+    at = next(i for i, line in enumerate(lines) if "FileScan image" in line)
+    above, now = [], depth(lines[at])
+    for line in reversed(lines[:at]):  # from the scan to the root of the plan
+        if depth(line) < now:
+            above.append(line)
+            now = depth(line)
+    seen = next(i for i, line in enumerate(above) if "MapInArrow each(serves" in line)
+    assert not [line for line in above[:seen] if "Exchange" in line]
+    keys = [line.split("Exchange ")[1].split(",")[0] for line in above if "Exchange" in line]
+    assert len(keys) == 2 and keys[0].startswith("hashpartitioning(vp") and "SortMergeJoin" not in "".join(above)
+
+
 def test_independent_rendering_of_a_mirror(spark, tmp_path):
     root = str(tmp_path / "mirror")
     tiny_mirror(root)
