@@ -406,14 +406,20 @@ def geo_inverse(spark, sf_dir):
     return frames(spark, sf_dir).where(F.abs(rho - 1) > 1e-9).select("event_id", F.round(lat, 5).alias("lat"), F.round(lon, 5).alias("lon"), on.alias("on_disc"))
 
 
-@query("SELECT CAST(i // 72 AS INT) AS cell_row, CAST(i % 72 AS INT) AS cell_col, round(90 - (i // 72 + 0.5e0) / 36 * 180, 9) AS lat, round(-180 + (i % 72 + 0.5e0) / 72 * 360, 9) AS lon FROM range(2592) t(i)")
-def cell_to_latlon(spark, sf_dir):
-    cells = spark.range(2592).select(F.expr("id div 72").cast("int").alias("cell_row"), (F.col("id") % 72).cast("int").alias("cell_col"))
-    lat, lon = G.cell_center(F.col("cell_row"), F.col("cell_col"), 36, 72)
-    return cells.select("cell_row", "cell_col", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
+CELL = "(90 - lat) / 180 * {h} - 0.5e0 AS fr, (lon + 180) / 360 * {w} - 0.5e0 - {w} * floor(((lon + 180) / 360 * {w} - 0.5e0) / {w}) AS fc"
 
 
-CELL = "(90 - lat) / 180 * {h} - 0.5e0 AS fr, (lon + 180) / 360 * {w} - 0.5e0 - {w} * floor(((lon + 180) / 360 * {w} - 0.5e0) / {w}) AS fc"
+@query(
+    f"WITH {FR}, c AS (SELECT event_id, least(greatest(floor(fr + 0.5e0), 0), 35) AS y, floor(fc + 0.5e0) % 72 AS x FROM (SELECT event_id, {CELL.format(h=36, w=72)} FROM frames)) "
+    "SELECT event_id, CAST(y AS INT) AS cell_row, CAST(x AS INT) AS cell_col, round(90 - (y + 0.5e0) / 36 * 180, 9) AS lat, round(-180 + (x + 0.5e0) / 72 * 360, 9) AS lon FROM c"
+)
+def cell_to_latlon(spark, sf_dir):
+    """The centre of the cell that each frame looks at."""
+    fr, fc = G.cell_at(F.col("lat"), F.col("lon"), 36, 72)
+    y, x = F.least(F.greatest(F.floor(fr + 0.5), F.lit(0)), F.lit(35)).cast("int"), (F.floor(fc + 0.5) % 72).cast("int")
+    lat, lon = G.cell_center(F.col("cell_row"), F.col("cell_col"), 36, 72)
+    cells = frames(spark, sf_dir).select("event_id", y.alias("cell_row"), x.alias("cell_col"))
+    return cells.select("event_id", "cell_row", "cell_col", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
 
 
 @query(f"WITH {FR} SELECT event_id, round(fr, 6) AS fr, round(fc, 6) AS fc FROM (SELECT event_id, {CELL.format(h=36, w=72)} FROM frames)")
@@ -684,6 +690,8 @@ def geometry_cache_lookup(spark, sf_dir):
     return geometry.lookup(f, cache, ("image",)).select("event_id", "found", "radius")
 
 
-@query()
+@query(f"""WITH {FR} SELECT day, count(*) AS n, substr(sha256('{{"frames":' || count(*) || ',"source":"' || strftime(day, '%Y-%m-%d') || '"}}'), 1, 8) AS run_id FROM frames GROUP BY day""", days=("day",))
 def run_id(spark, sf_dir):
-    return spark.createDataFrame([(T.run_id(source="archive", radius=360, frames=72),)], "run_id string")
+    """A run for the frames of each day."""
+    by_day = frames(spark, sf_dir).groupBy("day").agg(F.count("*").alias("n"))
+    return by_day.withColumn("run_id", T.run_id_of(source=F.date_format("day", "yyyy-MM-dd"), frames=F.col("n")))

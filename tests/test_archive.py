@@ -574,6 +574,13 @@ def test_independent_rendering_of_a_mirror(spark, tmp_path):
     assert turntable.render_independent(spark, str(tmp_path / "mirror"), turntable.TurntableSettings(frames=2, radius=20, max_candidates=1)).count() == 2
 
 
+def test_run_ids_of_columns_are_those_of_settings(spark):
+    rows = [("natural", 3, True), ('quote" \\ \u00e9', -1, False), ("", 0, None), (None, 7, True)]
+    df = spark.createDataFrame(rows, "source string, frames long, force boolean")
+    got = df.withColumn("id", T.run_id_of(source=F.col("source"), frames=F.col("frames"), force=F.col("force"))).collect()
+    assert [r["id"] for r in got] == [T.run_id(force=f, frames=n, source=s) for s, n, f in rows] and len({r["id"] for r in got}) == 4
+
+
 def test_geometry_is_remembered(spark, tmp_path, monkeypatch):
     from lumidisc.plans import geometry
 
