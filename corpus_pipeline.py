@@ -10,7 +10,7 @@ Defined cases: documents with a null text pass all stages and pack as their end
 documents with a null id pass too (nothing can be a copy of them); rows that share an id are one document: they stay or go
 together, repeated rows included; further columns are carried on; an empty table packs to nothing.
 
-What lies between stages is written to the shared folder and removed once the next stage is written; packing keeps
+What lies between stages is written to the shared folder and removed once the next stage is written, or once a stage fails; packing keeps
 what it needs of the last one in a checkpoint.
 """
 
@@ -69,12 +69,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages."""
     docs = table(spark, sf_dir, "documents")
     folder, before = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", None
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        if before:
-            remove(spark, before)
-        before = f"{folder}/{name}"
-        docs = spark.read.parquet(before)
-    packed = STAGES[-1][1](spark, docs, sf_dir)
-    remove(spark, folder)  # the pieces are checkpointed
-    return packed
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            if before:
+                remove(spark, before)
+            before = f"{folder}/{name}"
+            docs = spark.read.parquet(before)
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:  # the pieces are checkpointed
+        remove(spark, folder)
