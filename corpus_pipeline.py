@@ -7,8 +7,9 @@
 5. packing: what is left, as pieces in sequences.
 
 Defined cases: documents with a null text pass all stages and pack as their end token;
-documents with a null id pass too (nothing can be a copy of them); rows that share an id are one document: they stay or go
-together, repeated rows included; further columns are carried on; an empty table packs to nothing.
+documents with a null id are judged by their texts alone (nothing can be a copy of them); of rows that share an id, toxicity and
+decontamination judge each by its own text, while near copies take them as one document, so that they stay or go together, repeated rows
+included; further columns are carried on up to packing; an empty table packs to nothing.
 
 What lies between stages is written to the shared folder and removed once the next stage is written, or once a stage fails; packing keeps
 what it needs of the last one in a checkpoint.
