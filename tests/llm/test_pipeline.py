@@ -76,3 +76,55 @@ def test_run_equals_brute_force(spark, tables):
 
     assert not [f for f in os.listdir(shared_folder(spark).removeprefix("file:")) if f.startswith("corpus-")]
     assert len(want) < len(rows) - 100 and (None, 4) in {(i, n) for i, n, _ in want} and 430 in {i for i, _, _ in want}
+
+
+def folders(spark):
+    from lumidisc.llm.common import shared_folder
+
+    return [f for f in os.listdir(shared_folder(spark).removeprefix("file:")) if f.startswith("corpus-")]
+
+
+def test_a_failed_stage_leaves_no_folder(spark, tables, monkeypatch):
+    def breaks(spark, docs, sf_dir):
+        raise RuntimeError("broken stage")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("pii", corpus_pipeline.redact_personal_data), ("broken", breaks), corpus_pipeline.STAGES[-1]])
+    with pytest.raises(RuntimeError, match="broken stage"):
+        corpus_pipeline.run(spark, tables[0])
+    assert not folders(spark)
+
+
+def test_run_with_odd_rows(spark, tables, tmp_path):
+    folder, rows, items = tables
+    extra = "component_id bigint, score double, predicted int, piece int, length bigint, part int, key string, spans string"
+    long = prose(900, 60_000)
+    odd = [(i, prose(500 + i, 80), "en", "s", 0) for i in range(30)]
+    odd += [odd[3], odd[3], (50, long, None, None, None), (51, items[0][1] + " " + prose(901, 60), "en", "s", 0), (51, prose(902, 60), "en", "s", 0)]
+    odd += [(None, None, None, None, None), (None, odd[4][1], None, None, None)]
+    spark.createDataFrame([(*r, 7, 0.5, 1, 3, 9, 2, "k", "x") for r in odd], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + extra).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    labels.withColumn("toxic", labels["toxic"] * 0).write.parquet(f"{tmp_path}/labels.parquet")  # nothing is toxic here
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    n_tokens = lambda text: len(encoder.ids(pii.redacted(text) if text else "")) // 4 + 1
+    want = collections.Counter()
+    for i, text, *_ in odd:
+        if (i, text) != odd[33][:2]:  # it holds an item; the other row of its id doesn't
+            want[i] += n_tokens(text)
+    got = collections.Counter()
+    for r in packed:
+        got[r["doc_id"]] += r["length"]
+    assert got == want and sum(r["doc_id"] == 50 for r in packed) == -(-n_tokens(long) // 4096) > 5
+    filled = collections.defaultdict(list)
+    for r in packed:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in filled.values():
+        ends = [a + n for a, n in sorted(pieces)]
+        assert ends[-1] <= 4096 and [a for a, _ in sorted(pieces)] == [0, *ends[:-1]]
+
+
+def test_run_on_empty_tables(spark, tables, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tables[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0 and not folders(spark)
