@@ -45,13 +45,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumidisc.llm import kernels as k
-from lumidisc.llm.common import cut, ids_and_texts, session
+from lumidisc.llm.common import cut, ids_and_texts, sent_if_small, session
 from lumidisc.llm.components import components
 
 #: A share of differences of 1 / DIFFERENCE of both sizes is Jaccard 0.8: (1 - 0.8) / (1 + 0.8) = 1 / 9.
 DIFFERENCE = 9
 #: Narrow rows that a task should read at least.
 _ROWS = 200_000
+#: Entries of a part at most, 5 bytes each, and of one pass over a part.
+MOST_ENTRIES = 8_000_000
+PASS_ENTRIES = 1_000_000
+#: Parts that keep a cluster's cores busy; with as many, parts grow up to MOST_ENTRIES.
+PARTS = 64
 _KEY_BITS = np.uint64(39)
 _KEY_MASK = np.uint64((1 << 39) - 1)
 
@@ -84,11 +89,16 @@ def schemes(largest: int, ambiguous: float = 8.0) -> list[Scheme]:
         deletion = (h + 2) // 2
         by_exact = exact * (1 + ambiguous * _poisson_at_most(1, top / exact))
         by_deletion = top + deletion * (1 + ambiguous * _poisson_at_most(2, top / deletion))
-        sketch = min(1024, max(128, -(-5 * h // 64) * 64))  # unrelated sets differ in about half of the bits
+        sketch = min(1024, max(128, -(-3 * h // 64) * 64))  # unrelated sets differ in about half of the bits
         out.append(Scheme(number, top, h, deletion if by_deletion < by_exact else exact, by_deletion < by_exact, sketch))
     return out
 
 
+def count_type(s: Scheme) -> type:
+    """Of sizes and numbers of entries, which are below 2 n."""
+    return np.uint16 if s.top < 20_000 else np.int32
+
+
 def entries_of(s: Scheme, n: int) -> int:
     """About how many entries a set of n shingles has."""
     return n + s.segments if s.deletion else s.segments
@@ -165,18 +175,24 @@ class Plan:
         return low
 
 
-def make_plan(profile: DataFrame, size: int, part_entries: int, part_bytes: int = 0) -> Plan:
-    """Parts of about ``part_entries`` entries, from the number of sets in each band; with part_bytes, of about so many bytes of whole sets too."""
+def make_plan(profile: DataFrame, size: int, part_entries: int, part_bytes: int = 0, parts_wanted: int = 0) -> Plan:
+    """Parts of about ``part_entries`` entries, from the number of sets in each band; with part_bytes, of about so many bytes of whole sets too.
+
+    A set is named anew in each part that has one of its entries. With parts_wanted, parts therefore hold more, up to ``MOST_ENTRIES``,
+    as long as there are that many of them, so that sets meet no more parts in a larger table.
+    """
     largest = profile.agg(F.max("n_shingles")).first()[0] or 1
     found = schemes(largest)
     tops = F.array(*(F.lit(s.top) for s in found))
     band = F.size(F.filter(tops, lambda top: top < F.col("n_shingles")))
     counts = {r["band"]: (r["n"], r["total"]) for r in profile.where("n_shingles > 0").groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).collect()}
+    own_of = [[counts[b] for b in (s.number, s.number + 1) if b in counts] for s in found]
+    entries_in = [sum(entries_of(s, total / n) * n for n, total in own) for s, own in zip(found, own_of, strict=True)]
+    if parts_wanted:
+        part_entries = min(max(part_entries, MOST_ENTRIES), max(part_entries, math.ceil(sum(entries_in) / parts_wanted)))
     first, at = [], 0
-    for s in found:
+    for s, own, entries in zip(found, own_of, entries_in, strict=True):
         first.append(at)
-        own = [counts[b] for b in (s.number, s.number + 1) if b in counts]
-        entries = sum(entries_of(s, total / n) * n for n, total in own)
         parts = max(1, math.ceil(entries / part_entries))
         # a set lies once in each part that has one of its entries
         while part_bytes and sum(8 * total * (1 - (1 - 1 / parts) ** entries_of(s, total / n)) for n, total in own) > part_bytes:
@@ -216,9 +232,9 @@ def indexed(docs: DataFrame, plan: Plan, whole: bool, flush: int = 1_500_000, fl
                         table["part"].append(plan.first[number] + p)
                         table["scheme"].append(s.number)
                         table["nodes"].append(np.array([x[0] for x in members], np.int64).tobytes())
-                        table["sizes"].append(np.array([x[1] for x in members], np.int32).tobytes())
-                        table["labels"].append(np.array([x[2] for x in members], np.int64).tobytes())
-                        table["counts"].append(counts.astype(np.int32).tobytes())
+                        table["sizes"].append(np.array([x[1] for x in members], count_type(s)).tobytes())
+                        table["labels"].append(np.array([x[2] for x in members], np.int64).tobytes() if whole else b"")
+                        table["counts"].append(counts.astype(count_type(s)).tobytes())
                         table["contents"].append(b"".join(x[5] for x in members))
                         table["entries"].append(packed[own].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c in ("part", "scheme") else pa.binary()) for c, v in table.items()})
@@ -409,18 +425,31 @@ def spanning_links(keys: np.ndarray, probes: np.ndarray, of: np.ndarray, sets: S
     return np.concatenate(out)
 
 
+def links_by_passes(packed: np.ndarray, of: np.ndarray, sets: Sets | WholeSets, labels: np.ndarray, most: int = PASS_ENTRIES) -> np.ndarray:
+    """spanning_links of a part's packed entries, by ranges of keys of about ``most`` entries; each pass takes what the ones before connected as connected."""
+    passes = min(128, max(1, -(-len(packed) // most)))
+    pass_of = ((packed[:, 4] & 127).astype(np.int32) * passes >> 7).astype(np.uint8)  # by the upper 7 bits of keys
+    forest, out = Forest(len(sets)), []
+    _, first, back = np.unique(labels, return_index=True, return_inverse=True)
+    forest.join(np.arange(len(sets)), first[back])
+    for i in range(passes):
+        at = np.flatnonzero(pass_of == i)
+        entries = np.zeros((len(at), 8), np.uint8)
+        entries[:, :5] = packed[at]
+        entries = entries.view(np.uint64).ravel()
+        out.append(spanning_links(entries & _KEY_MASK, (entries >> _KEY_BITS).astype(bool), of[at].astype(np.int64), sets, forest.roots(np.arange(len(sets)))))
+        forest.join(out[-1][:, 0], out[-1][:, 1])
+    return np.concatenate(out)
+
+
 def forests(docs: DataFrame, plan: Plan, whole: bool) -> DataFrame:
     """(a, b): nodes of classes that may link or, with whole, that do; a forest for each part. docs: doc_id, text and, with whole, label (what is connected already)."""
     found = plan.schemes
 
     def gather(t: pa.Table) -> pa.Table:
-        rows = t.to_pydict()
-        s = found[rows["scheme"][0]]
-        join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows.pop(name)])
-        nodes, counts, sizes, labels = join("nodes", np.int64), join("counts", np.int32), join("sizes", np.int32), join("labels", np.int64)
-        entries = np.zeros((int(counts.sum()), 8), np.uint8)
-        entries[:, :5] = join("entries", np.uint8).reshape(-1, 5)
-        entries = entries.view(np.uint64).ravel()
+        s = found[t.column("scheme")[0].as_py()]
+        join = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name)])
+        nodes, counts, sizes, labels = join("nodes", np.int64), join("counts", count_type(s)), join("sizes", count_type(s)).astype(np.int64), join("labels", np.int64)
         distinct, first, back = np.unique(nodes, return_index=True, return_inverse=True)
         if whole:
             contents, off = join("contents", np.uint64), np.cumsum(sizes, dtype=np.int64) - sizes
@@ -428,7 +457,7 @@ def forests(docs: DataFrame, plan: Plan, whole: bool) -> DataFrame:
             sets = WholeSets(n, contents[np.arange(n.sum()) + np.repeat(off[first] - (np.cumsum(n) - n), n)])
         else:
             sets = Sets(sizes[first], join("contents", np.uint8).reshape(len(nodes), s.sketch // 8)[first])
-        pairs = spanning_links(entries & _KEY_MASK, (entries >> _KEY_BITS).astype(bool), np.repeat(back, counts), sets, labels[first] if whole else np.arange(len(distinct)))
+        pairs = links_by_passes(join("entries", np.uint8).reshape(-1, 5), np.repeat(back.astype(np.int32), counts), sets, labels[first] if whole else np.arange(len(distinct)))
         return pa.table({"a": distinct[pairs[:, 0]], "b": distinct[pairs[:, 1]]})
 
     if not whole:
@@ -490,8 +519,10 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     session(texts)
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    # the pairs go to the texts; only those of a are shuffled, with what is compared with them
+    with_b = sent_if_small(pairs).join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    of_a = texts.join(sent_if_small(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id")
+    both = with_b.join(of_a.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(each, "a bigint, b bigint").distinct()
 
 
@@ -510,13 +541,13 @@ def join_components(docs: DataFrame, size: int = 5, part_entries: int = 1_000_00
             out = out.join(reps.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}")), c)
         return out.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
-    edges = cut(by_rep(forests(docs, make_plan(profile, size, part_entries), whole=False)).distinct(), _ROWS)
+    edges = cut(by_rep(forests(docs, make_plan(profile, size, part_entries, parts_wanted=PARTS), whole=False)).distinct(), _ROWS)
     degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     maybe = components(edges)
     # written before the join by component, so that AQE can split a component that holds many of the rows
     pivots = cut(maybe.join(degree, "id").groupBy("component").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot")), _ROWS)
     maybe = cut(maybe.join(pivots, "component").select("id", "pivot"), _ROWS)
-    texts = cut(docs.join(maybe.select(F.col("id").alias("doc_id")), "doc_id"))
+    texts = cut(docs.join(sent_if_small(maybe.select(F.col("id").alias("doc_id"))), "doc_id"))  # no text that isn't a candidate's is shuffled
     links = cut(linked(maybe.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, size), _ROWS)
 
     labels = maybe.join(components(links).withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -526,7 +557,7 @@ def join_components(docs: DataFrame, size: int = 5, part_entries: int = 1_000_00
         weighed = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(left, "doc_id").groupBy("pivot").agg(F.sum("bytes").alias("bytes"))
         weighed = cut(weighed.withColumn("large", F.col("bytes") > part_bytes), _ROWS)
         total = {r["large"]: r["bytes"] for r in weighed.groupBy("large").agg(F.sum("bytes").alias("bytes")).collect()}
-        open_ = texts.join(left.join(weighed.select("pivot", "large"), "pivot"), "doc_id")
+        open_ = texts.join(sent_if_small(left.join(weighed.select("pivot", "large"), "pivot")), "doc_id")
         new = []
         if False in total:
             bucket = F.pmod(F.xxhash64("pivot"), F.lit(-(-total[False] // part_bytes)))

@@ -690,6 +690,37 @@ def test_part_forests_span_all_links():
     assert all(joined[a] == joined[b] for a, b in links.tolist()) and len(maybe) < len(sets)
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_passes_over_a_part_connect_what_one_pass_does(whole):
+    from lumidisc.llm.components import roots
+
+    sets = [x for edits in (2, 3, 4) for x in near_copies(60, edits, edits)]
+    s = next(x for x in jaccard_join.schemes(400) if x.top >= len(sets[0]))
+    keys, probes = zip(*(jaccard_join.signatures(x, s) for x in sets), strict=True)
+    packed = np.concatenate(keys) & jaccard_join._KEY_MASK | np.concatenate(probes).astype(np.uint64) << jaccard_join._KEY_BITS
+    packed = packed.view(np.uint8).reshape(-1, 8)[:, :5]
+    of = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in keys])
+    sizes = np.array([len(x) for x in sets])
+    contents = jaccard_join.WholeSets(sizes, np.concatenate(sets)) if whole else jaccard_join.Sets(sizes, np.stack([np.frombuffer(jaccard_join.sketch(x, s.sketch), np.uint8) for x in sets]))
+    labels = np.arange(len(sets))
+    labels[5] = 3  # connected already
+    found = [jaccard_join.links_by_passes(packed, of, contents, labels, most) for most in (len(packed), 1000, 1)]
+    one, some, many = (tuple(x.tolist() for x in roots(np.append(f[:, 0], 3), np.append(f[:, 1], 5))) for f in found)
+    assert len(found[0]) and one == some == many
+    assert all(len(f) < len(sets) for f in found)  # a forest
+
+
+def test_a_set_meets_hardly_more_parts_in_a_table_of_twelve_times_the_rows(spark):
+    met = []
+    for n in (250_000, 3_000_000):
+        profile = spark.range(n).selectExpr("id AS doc_id", "60 + id % 400 AS n_shingles")
+        plan = jaccard_join.make_plan(profile, 5, 1_000_000, parts_wanted=jaccard_join.PARTS)
+        parts = np.diff(plan.first)
+        met.append(np.mean([sum(parts[s.number] * (1 - (1 - 1 / parts[s.number]) ** jaccard_join.entries_of(s, x)) for s in plan.of(x)) for x in range(60, 460)]))
+        assert jaccard_join.PARTS <= parts.sum()
+    assert met[1] < 2 * met[0]  # parts of a million entries each: 7.5 times
+
+
 @pytest.mark.parametrize("whole", [False, True])
 def test_part_forests_of_near_copies_take_linear_memory(whole):
     import tracemalloc
