@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumidisc.llm import decontamination, jaccard_join, packing, pii, toxicity
-from lumidisc.llm.common import fold, shared_folder, table
+from lumidisc.llm.common import fold, sent_if_small, shared_folder, table
 from lumidisc.llm.queries import vocabulary
 
 
@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = jaccard_join.join_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(sent_if_small(copies), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,13 @@ def test_stages_have_the_given_order_and_columns(spark, tables):
         assert stage(spark, docs.limit(0), folder).count() == 0
 
 
+def test_whole_texts_are_not_shuffled_for_a_few_copies(spark, tables):
+    folder, _, _ = tables
+    kept = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_run_equals_brute_force(spark, tables):
     folder, rows, items = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet")
