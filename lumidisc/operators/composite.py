@@ -32,7 +32,19 @@ def dense_score(rgb: np.ndarray) -> np.ndarray:
     return most / 255 * grey**2
 
 
+def dense_least(rgb: np.ndarray) -> np.ndarray:
+    """For each place of images (n, height, width, 3): what dense_score gives at least for whole levels between it and its right and lower neighbours."""
+
+    def square(x: np.ndarray, of: np.ufunc) -> np.ndarray:
+        x = of(x, np.concatenate((x[:, 1:], x[:, -1:]), 1))
+        return of(x, np.concatenate((x[:, :, 1:], x[:, :, -1:]), 2)).astype(float)
+
+    # the score is least ** 2 / (255 * most), of the levels of three channels
+    return square(rgb.min(-1), np.minimum) ** 2 / (255 * np.maximum(square(rgb.max(-1), np.maximum), 1))
+
+
 DENSE_SCORERS = {"rgb": dense_score}
+DENSE_LEAST = {"rgb": dense_least}
 #: Cells of all frames that are worked on together.
 GROUP_CELLS = 1 << 17
 
@@ -130,26 +142,41 @@ def observed(discs: DataFrame, height: int, width: int, *, blend_k: int = 1, sco
     k = blend_k
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = 90 - (np.arange(height) + 0.5) / height * 180
+        p = np.radians(90 - (np.arange(height) + 0.5) / height * 180)
         lon = -180 + (np.arange(width) + 0.5) / width * 360
+        sin_p, cos_p = np.sin(p), np.cos(p)
         kept = Best(k, height * width)
         for batch in (b.slice(i, batch_rows) for b in batches for i in range(0, b.num_rows, batch_rows)):
             for group in alike(batch.to_pylist(), max(1, GROUP_CELLS // (height * width))):
                 rows, cols = reach(group[0]["lat"], group[0]["lon"], height, width, min_cos) if len(group) == 1 else (np.arange(height), np.arange(width))
-                of = {c: np.array([r[c] for r in group], float)[:, None, None] for c in ("lat", "lon", "cx", "cy", "radius")}
+                lat0, lon0, cx, cy, radius = (np.array([r[c] for r in group], float) for c in ("lat", "lon", "cx", "cy", "radius"))
                 h, w = group[0]["height"], group[0]["width"]
-                col, row, cos_c = dense_project(lat[None, rows, None], lon[None, None, cols], *of.values())
-                there = np.flatnonzero((cos_c >= min_cos) & (col >= 0) & (col <= w - 1) & (row >= 0) & (row <= h - 1))
-                frame, cell = np.divmod(there, len(rows) * len(cols))
-                seen = rows[cell // len(cols)] * width + cols[cell % len(cols)]
+                q, d = np.radians(lat0), np.radians(lon[None, cols] - lon0[:, None])
+                sin_q, cos_q, sin_d, cos_d = np.sin(q), np.cos(q), np.sin(d), np.cos(d)
+                cos_c = (sin_q[:, None] * sin_p[rows])[:, :, None] + cos_q[:, None, None] * (cos_p[rows][None, :, None] * cos_d[:, None, :])
                 # scorers give no less than 0, so the penalty alone rules out most places once a task has seen some frames
-                may = np.flatnonzero(penalty * (1 - cos_c.ravel()[there]) <= kept.score[k - 1, seen] + 1e-8)
-                there, frame, seen = there[may], frame[may], seen[may]
+                worst = kept.score[k - 1].reshape(height, width)[np.ix_(rows, cols)]
+                near = cos_c >= (np.maximum(min_cos, 1 - (worst + 1e-8) / penalty - 1e-12) if penalty > 0 else min_cos)
+                frame, cell = np.nonzero(near.reshape(len(group), -1))
+                cos_c = cos_c.reshape(len(group), -1)[frame, cell]
+                i, j = np.repeat(rows, len(cols))[cell], np.tile(np.arange(len(cols)), len(rows))[cell]
+                seen = i * width + cols[j]
+                col = cx[frame] + radius[frame] * (cos_p[i] * sin_d[frame, j])
+                row = cy[frame] - radius[frame] * (cos_q[frame] * sin_p[i] - sin_q[frame] * (cos_p[i] * cos_d[frame, j]))
+                may = (cos_c >= min_cos) & (col >= 0) & (col <= w - 1) & (row >= 0) & (row <= h - 1)
                 images = np.concatenate([I.array_of(r)[..., :3] for r in group]) if len(group) > 1 else I.array_of(group[0])[..., :3]
-                bright, rgb, now = sampled(images, row.ravel()[there] + frame * h, col.ravel()[there], cos_c.ravel()[there], scorer, floor, penalty)
-                seen, cuts = seen[bright], np.searchsorted(frame[bright], np.arange(len(group) + 1))
+                if len(group) > 1 and scorer in DENSE_LEAST:  # of small frames, so do the levels around a place
+                    may = np.flatnonzero(may)
+                    least = DENSE_LEAST[scorer](images.reshape(len(group), h, w, 3))[frame[may], row[may].astype(int), col[may].astype(int)]
+                    may = may[least + penalty * (1 - cos_c[may]) <= kept.score[k - 1, seen[may]] + 1e-8]
+                frame, seen, cos_c, row, col = frame[may], seen[may], cos_c[may], row[may], col[may]
+                bright, rgb, now = sampled(images, row + frame * h, col, cos_c, scorer, floor, penalty)
+                better = np.flatnonzero(now <= kept.score[k - 1, seen[bright]])
+                frame, seen, rgb, now = frame[bright][better], seen[bright][better], rgb[better], now[better]
+                cuts = np.searchsorted(frame, np.arange(len(group) + 1))
                 for r, a, z in zip(group, cuts, cuts[1:], strict=False):
-                    kept.insert(seen[a:z], r["idx"], now[a:z], rgb[a:z])
+                    if a < z:
+                        kept.insert(seen[a:z], r["idx"], now[a:z], rgb[a:z])
         for level in range(k):
             at = np.flatnonzero(kept.who[level] >= 0)
             for i in range(0, len(at), 50_000):

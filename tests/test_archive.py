@@ -889,3 +889,34 @@ def test_session_settings_stay(spark, tmp_path):
     save(str(tmp_path / "a.png"), disc())
     images.read_images(spark, str(tmp_path)).count()
     assert settings() == before
+
+
+def test_composite_looks_at_few_places_of_late_frames(monkeypatch):
+    """In one process: most frames can't improve a grid that has seen many, and neither are sampled nor inserted; the outcome is the same without the bound from levels."""
+    import pyarrow as pa
+
+    from lumidisc.operators import composite
+
+    class Here:
+        sparkSession = None
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    r, n = np.random.default_rng(3), 4000
+    of = {"idx": np.arange(n), "lat": r.uniform(-90, 90, n).round(1), "lon": r.uniform(-180, 180, n).round(1), **{c: np.full(n, 3.5) for c in ("cx", "cy", "radius")}}
+    sizes = {c: pa.array(np.full(n, x), pa.int32()) for c, x in (("height", 8), ("width", 8), ("channels", 3))}
+    batch = pa.RecordBatch.from_pydict({**of, **sizes, "data": pa.array([r.integers(0, 256, 192, np.uint8).tobytes() for _ in range(n)], pa.binary())})
+    monkeypatch.setattr(composite, "ship", lambda spark: None)
+    sampled, insert, places, inserts = composite.sampled, composite.Best.insert, [], []
+    monkeypatch.setattr(composite, "sampled", lambda image, row, *more: places.append(len(row)) or sampled(image, row, *more))
+    monkeypatch.setattr(composite.Best, "insert", lambda self, *given: inserts.append(1) or insert(self, *given))
+    found = []
+    for bounds in (composite.DENSE_LEAST, {}):
+        monkeypatch.setattr(composite, "DENSE_LEAST", bounds)
+        places.clear(), inserts.clear()
+        out = pa.Table.from_batches(list(composite.observed(Here(), 12, 24, blend_k=2, batch_rows=400)(iter([batch]))))
+        found.append((out.to_pydict(), sum(places), len(inserts)))
+    (one, few, inserted), (other, more, _) = found
+    assert one == other and len(one["idx"]) == 2 * 12 * 24
+    assert few < more and few < 0.1 * n * 12 * 24 and inserted < 0.7 * n, (few, more, inserted)
