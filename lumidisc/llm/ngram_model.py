@@ -131,13 +131,39 @@ def tokens_of(data: bytes, n: int) -> np.ndarray:
     return from_gaps(data, n, 5)
 
 
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each of sorted keys begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+
+
+def distinct_of(keys: np.ndarray) -> np.ndarray:
+    """Sorted. np.unique goes through a hash table from NumPy 2.3 on, which took 20 times as long as the sort."""
+    keys = np.sort(keys)
+    return keys[firsts(keys)]
+
+
+def occurrences(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and how often each occurs."""
+    keys = np.sort(keys)
+    first = firsts(keys)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # most keys come as a few sorted runs
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    first = firsts(keys)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
 
+def ranks(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """np.searchsorted, with the keys in order, which keeps to the caches."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.searchsorted(known, keys[order])
+    return out
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """In the order of the keys."""
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -237,7 +263,7 @@ def _counted(docs: DataFrame, parts: int, flush: int) -> DataFrame:
             for _, _, t in k.blocks(k.texts(batch.column("text"))):
                 h, off = tokens(t)
                 for kind, keys in ((0, h), (1, pairs(histories(h, off), h))):
-                    own = summed(keys, np.ones(len(keys), np.int64))
+                    own = occurrences(keys)
                     held[kind].append(own)
                     size += len(own[0])
                 if size > flush:
@@ -365,9 +391,9 @@ def asked(t: k.Texts) -> tuple[np.ndarray, np.ndarray]:
     single, pair = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for _, _, part in k.blocks(t, 1 << 20):
         h, off = tokens(part)
-        single.append(np.unique(h))
-        pair.append(np.unique(pairs(histories(h, off), h)))
-    return np.unique(np.concatenate(single)), np.unique(np.concatenate(pair))
+        single.append(distinct_of(h))
+        pair.append(distinct_of(pairs(histories(h, off), h)))
+    return distinct_of(np.concatenate(single)), distinct_of(np.concatenate(pair))
 
 
 def counts_of(keys: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -427,12 +453,12 @@ def _by_parts(docs: DataFrame, counted: DataFrame, m: Model, parts: int) -> Data
         out = {"n_tokens": [], "n_known": [], "base": [], "score": []}
         for _, _, part in k.blocks(texts, 1 << 20):
             h, off = tokens(part)
-            at = np.searchsorted(single, h)
+            at = ranks(single, h)
             c = exact[at]
             out["n_tokens"].append(np.diff(off))
             out["n_known"].append(k.sums((c > 0).astype(np.int64), off).astype(np.int64))
             out["base"].append(k.sums(np.log10(c + 1.0), off))
-            pair_at = np.searchsorted(pair, pairs(histories(h, off), h))
+            pair_at = ranks(pair, pairs(histories(h, off), h))
             end = held[np.searchsorted(single, END)]
             out["score"].append(k.sums(log_probabilities(m, off, held[at], pair_held[pair_at], end), off))
         return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), **{c: np.concatenate(x) for c, x in out.items()}})

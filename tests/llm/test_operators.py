@@ -628,6 +628,21 @@ def test_jaccard_borderline_groups(spark):
         assert got == want
 
 
+def test_lists_of_keys_are_made_by_sorting():
+    """They equal what NumPy gives, and don't take the hash table of np.unique, which made op1 fail its budget."""
+    import inspect
+
+    r = np.random.default_rng(12)
+    for n in (0, 1, 5, 20_000):
+        keys = r.integers(0, max(1, n // 3) + 1, n).astype(np.uint64)
+        known, counts = np.unique(keys, return_counts=True)
+        assert np.array_equal(ngram_model.distinct_of(keys), known)
+        for got in (ngram_model.occurrences(keys), ngram_model.summed(keys, np.ones(n, np.int64))):
+            assert np.array_equal(got[0], known) and np.array_equal(got[1], counts)
+        assert np.array_equal(ngram_model.ranks(known, keys), np.searchsorted(known, keys))
+    assert "unique" not in inspect.getsource(ngram_model.asked)
+
+
 def test_signatures_lose_no_link():
     r = np.random.default_rng(10)
     found = jaccard_join.schemes(400)
