@@ -55,6 +55,8 @@ _ROWS = 200_000
 #: Entries of a part at most, 5 bytes each, and of one pass over a part.
 MOST_ENTRIES = 8_000_000
 PASS_ENTRIES = 1_000_000
+#: Sketches of one side of the pairs that are compared at once.
+PAIR_BYTES = 6_400_000
 #: Parts that keep a cluster's cores busy; with as many, parts grow up to MOST_ENTRIES.
 PARTS = 64
 _KEY_BITS = np.uint64(39)
@@ -89,7 +91,7 @@ def schemes(largest: int, ambiguous: float = 8.0) -> list[Scheme]:
         deletion = (h + 2) // 2
         by_exact = exact * (1 + ambiguous * _poisson_at_most(1, top / exact))
         by_deletion = top + deletion * (1 + ambiguous * _poisson_at_most(2, top / deletion))
-        sketch = min(1024, max(128, -(-3 * h // 64) * 64))  # unrelated sets differ in about half of the bits
+        sketch = max(128, -(-3 * h // 64) * 64)  # unrelated sets differ in about half of the bits, more than h at any size
         out.append(Scheme(number, top, h, deletion if by_deletion < by_exact else exact, by_deletion < by_exact, sketch))
     return out
 
@@ -276,8 +278,9 @@ class Sets:
         """Whether the pairs may link: neither sizes nor sketches prove too many differences."""
         most = (self.sizes[a] + self.sizes[b]) // DIFFERENCE
         out = np.abs(self.sizes[a] - self.sizes[b]) <= most
-        for i in range(0, len(a), 50_000):
-            at = np.flatnonzero(out[i : i + 50_000]) + i
+        step = min(50_000, max(1, PAIR_BYTES // max(1, self.sketches.shape[1])))
+        for i in range(0, len(a), step):
+            at = np.flatnonzero(out[i : i + step]) + i
             out[at] = np.bitwise_count(self.sketches[a[at]] ^ self.sketches[b[at]]).sum(1, dtype=np.int64) <= most[at]
         return out
 

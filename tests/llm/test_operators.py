@@ -736,6 +736,25 @@ def test_a_set_meets_hardly_more_parts_in_a_table_of_twelve_times_the_rows(spark
     assert met[1] < 2 * met[0]  # parts of a million entries each: 7.5 times
 
 
+def test_long_unrelated_sets_are_no_candidates(spark):
+    """Long texts that share a passage: of fixed sketches all were candidates of each other, in one component whose whole sets filled the disk."""
+    r = random.Random(13)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        words = [f"w{r.randint(0, 10**7)}" for _ in range(2200 + 60 * i)]
+        words[500:560] = passage
+        rows.append((i, " ".join(words)))
+    words = rows[20][1].split()
+    words[7] = "edit"
+    rows.append((40, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    plan = jaccard_join.make_plan(jaccard_join.profiles(df, 5), 5, 10_000)
+    nodes = {jaccard_join.node_of(x)[0] for x in jaccard_join.shingles(k.texts(pa.array([rows[20][1], rows[40][1]])), 5)}
+    assert {frozenset(p) for p in jaccard_join.forests(df, plan, whole=False).collect()} == {frozenset(nodes)}
+    assert all(s.sketch >= 3 * s.differences for s in jaccard_join.schemes(1_000_000))
+
+
 @pytest.mark.parametrize("whole", [False, True])
 def test_part_forests_of_near_copies_take_linear_memory(whole):
     import tracemalloc
