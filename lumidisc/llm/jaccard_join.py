@@ -24,7 +24,7 @@ exactly against one pivot of its component (the one with most
 candidates), which settles groups of near copies with one comparison a member. Members of components
 that this doesn't span go on, dealt by component into buckets of ``part_bytes`` of text: a task finds their candidates by the same
 signatures, verifies those whose ends aren't connected by links yet exactly, and keeps a forest of links.
-A component of more than ``part_bytes`` is dealt by signature instead, with all shingles in place of sketches. Both ways are exact.
+A component of more than ``part_bytes`` is dealt by signature instead, or by pairs of blocks of sets where those are fewer copies, with all shingles in place of sketches. All ways are exact.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; a null
 text or one without words has an empty set and is linked with nothing; rows with a null id are
@@ -36,8 +36,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -155,11 +156,16 @@ def sketch(own: np.ndarray, bits: int) -> bytes:
 
 @dataclass(frozen=True)
 class Plan:
-    """The schemes, and where each one's parts begin."""
+    """The schemes, and where each one's parts begin. blocks: of schemes whose parts are pairs of blocks of sets, not ranges of entries, how many blocks."""
 
     schemes: list[Scheme]
     first: list[int]
     size: int
+    blocks: dict[int, int] = field(default_factory=dict)
+
+    def copies(self, number: int, entries: int) -> int:
+        """In how many parts a set lies at most."""
+        return self.blocks[number] - 1 if number in self.blocks else min(entries, self.first[number + 1] - self.first[number])
 
     def of(self, n: int) -> list[Scheme]:
         """Its own band's scheme and that of the band below; those without differences find only exact copies."""
@@ -181,7 +187,8 @@ def make_plan(profile: DataFrame, size: int, part_entries: int, part_bytes: int
     """Parts of about ``part_entries`` entries, from the number of sets in each band; with part_bytes, of about so many bytes of whole sets too.
 
     A set is named anew in each part that has one of its entries. With parts_wanted, parts therefore hold more, up to ``MOST_ENTRIES``,
-    as long as there are that many of them, so that sets meet no more parts in a larger table.
+    as long as there are that many of them, so that sets meet no more parts in a larger table. With part_bytes, a scheme whose sets have more
+    is dealt into blocks of half as much, and each two blocks are a part, where that copies sets less often than their entries would.
     """
     largest = profile.agg(F.max("n_shingles")).first()[0] or 1
     found = schemes(largest)
@@ -192,15 +199,18 @@ def make_plan(profile: DataFrame, size: int, part_entries: int, part_bytes: int
     entries_in = [sum(entries_of(s, total / n) * n for n, total in own) for s, own in zip(found, own_of, strict=True)]
     if parts_wanted:
         part_entries = min(max(part_entries, MOST_ENTRIES), max(part_entries, math.ceil(sum(entries_in) / parts_wanted)))
-    first, at = [], 0
+    first, at, blocks = [], 0, {}
     for s, own, entries in zip(found, own_of, entries_in, strict=True):
         first.append(at)
         parts = max(1, math.ceil(entries / part_entries))
-        # a set lies once in each part that has one of its entries
-        while part_bytes and sum(8 * total * (1 - (1 - 1 / parts) ** entries_of(s, total / n)) for n, total in own) > part_bytes:
-            parts *= 2
+        if part_bytes and (whole := sum(8 * total for _, total in own)) > part_bytes:
+            # a set lies once in each part that has one of its entries
+            while (copied := sum(8 * total * (1 - (1 - 1 / parts) ** entries_of(s, total / n)) for n, total in own)) > part_bytes:
+                parts *= 2
+            if (n := math.ceil(2 * whole / part_bytes)) - 1 < copied * parts / whole:
+                blocks[s.number], parts = n, n * (n - 1) // 2
         at += parts
-    return Plan(found, [*first, at], size)
+    return Plan(found, [*first, at], size, blocks)
 
 
 _BLOBS = "part int, scheme int, nodes binary, sizes binary, labels binary, counts binary, contents binary, entries binary"
@@ -221,13 +231,15 @@ def indexed(docs: DataFrame, plan: Plan, whole: bool, flush: int = 1_500_000, fl
                 keys = np.concatenate([x[3] for x in rows])
                 probes = np.concatenate([x[4] for x in rows])
                 of = np.repeat(np.arange(len(rows)), [len(x[3]) for x in rows])
-                part = ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
                 packed = (keys & _KEY_MASK) | probes.astype(np.uint64) << _KEY_BITS
+                blocks = plan.blocks.get(number)
+                part = np.array([x[0] % blocks for x in rows])[of] if blocks else ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                at = np.searchsorted(part[order], np.arange(parts + 1))
+                at = np.searchsorted(part[order], np.arange((blocks or parts) + 1))
+                dealt = [order[at[p] : at[p + 1]] for p in range(blocks or parts)]
+                dealt = (np.sort(np.concatenate(two)) for two in combinations(dealt, 2)) if blocks else dealt
                 table = {name: [] for name in ("part", "scheme", "nodes", "sizes", "labels", "counts", "contents", "entries")}
-                for p in range(parts):
-                    own = order[at[p] : at[p + 1]]
+                for p, own in enumerate(dealt):
                     if len(own):
                         docs_in, counts = np.unique(of[own], return_counts=True)
                         members = [rows[d] for d in docs_in]
@@ -255,7 +267,7 @@ def indexed(docs: DataFrame, plan: Plan, whole: bool, flush: int = 1_500_000, fl
                         contents = own.tobytes() if whole else sketch(own, s.sketch)
                         held.setdefault(s.number, []).append((node, len(own), labels[i + d], keys, probes, contents))
                         size += len(keys)
-                        weight += len(contents) * min(len(keys), plan.first[s.number + 1] - plan.first[s.number])
+                        weight += len(contents) * plan.copies(s.number, len(keys))
                     if size > flush or weight > flush_bytes:
                         yield from out()
                         size = weight = 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumidisc.llm import decontamination, jaccard_join, language, licenses, ngram_model, packing, pii, quality, tokens, toxicity
 from lumidisc.llm import kernels as k
 from lumidisc.llm.common import first_by_hash, fold
-from lumidisc.llm.components import components
+from lumidisc.llm.components import components, roots
 from tests_llm_fixtures import WORD, components_by_force, lowered
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -755,6 +755,27 @@ def test_long_unrelated_sets_are_no_candidates(spark):
     assert all(s.sketch >= 3 * s.differences for s in jaccard_join.schemes(1_000_000))
 
 
+def test_large_components_are_copied_a_few_times(spark):
+    """A scheme with ten times the bytes of a part: by entries each set lay in over a thousand parts, whole."""
+    r = random.Random(14)
+    base = [f"v{i}" for i in range(4000)]
+    rows = []
+    for i in range(24):
+        words = list(base) if i < 20 else [f"{w}x{i}" for w in base]
+        words[r.randrange(4000)] = f"edit{i}"
+        words[100 * i] = f"edit{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).withColumn("label", F.col("doc_id"))
+    profile = jaccard_join.profiles(df, 5).cache()
+    nodes = {r["node"]: r["doc_id"] for r in profile.collect()}
+    plan = jaccard_join.make_plan(profile, 5, 1_000_000, 8 * 4000 * 24 // 10)
+    copies = jaccard_join.indexed(df, plan, True).agg(F.sum(F.octet_length("nodes")) / 8).first()[0]
+    assert 24 < copies <= 24 * 2 * 20
+    links = [(nodes[a], nodes[b]) for a, b in jaccard_join.forests(df, plan, whole=True).collect()]
+    ids, least = roots(*(np.array(x) for x in zip(*links, strict=True)))
+    assert ids.tolist() == list(range(20)) and not least.any()
+
+
 @pytest.mark.parametrize("whole", [False, True])
 def test_part_forests_of_near_copies_take_linear_memory(whole):
     import tracemalloc
